@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomledger.llm import canonical as p4
 from loomledger.llm import encoding as p8
+from loomledger.llm import neighbours as p6
 from loomledger.llm import splitting as p7
 from loomledger.tables import latest, table
 
@@ -30,6 +31,11 @@ def p4_canonical_documents(spark: SparkSession, root: str) -> DataFrame:
     return p4.with_canonical(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    """The pairs of items of which one is among the five nearest of the other."""
+    return p6.pairs(p6.nearest(table(spark, root, "items").select("item_id", "embedding")))
+
+
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
     """The chunks that the splitter cuts."""
     return p7.oversized(table(spark, root, "chunks"))
@@ -46,7 +52,7 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_canonical_documents, p7_found, p7_pieces, p8_ids)}
+    return {f.__name__: f for f in (p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
