@@ -8,11 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomledger.llm import canonical as p4
 from loomledger.llm import encoding as p8
+from loomledger.llm import neardup as p2
 from loomledger.llm import neighbours as p6
 from loomledger.llm import splitting as p7
 from loomledger.tables import latest, table
 
 
+def p2_found(spark: SparkSession, root: str) -> DataFrame:
+    """Pairs of documents of at least 400 characters that share at least 0.6 of their three-word sequences."""
+    return p2.document_pairs(*p2.links(table(spark, root, "documents").select("doc_id", "text"), words=3, similarity=0.6, min_chars=400))
+
+
+def p2_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Every document with at least five words, its group of near-duplicates (five-word shingles, 0.8) and its number of links."""
+    return p2.groups(*p2.links(table(spark, root, "documents").select("doc_id", "text")))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Records of documents and of script turns (a delivery counts once, the latest) that hold disguised characters."""
     from pyspark.sql import functions as F
@@ -52,7 +63,7 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
