@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomledger.llm import canonical as p4
 from loomledger.llm import encoding as p8
+from loomledger.llm import leakage as p9
 from loomledger.llm import neardup as p2
 from loomledger.llm import neighbours as p6
 from loomledger.llm import splitting as p7
@@ -62,8 +63,24 @@ def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     return p8.encode(table(spark, root, "documents"))
 
 
+def _premises(spark: SparkSession, root: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return table(spark, root, "stance_pairs").select("item_id", F.col("premise").alias("text"))
+
+
+def p9_leaks(spark: SparkSession, root: str) -> DataFrame:
+    """Documents that hold a ten-word passage of a test item, at most one word edited."""
+    return p9.leaks(table(spark, root, "documents"), _premises(spark, root))
+
+
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    """Those of the leaks in which at least ten words in a row are the item's."""
+    return p9_leaks(spark, root).where(f"run >= {p9.LEAST}").select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
