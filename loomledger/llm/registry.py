@@ -11,6 +11,7 @@ from loomledger.llm import encoding as p8
 from loomledger.llm import leakage as p9
 from loomledger.llm import neardup as p2
 from loomledger.llm import neighbours as p6
+from loomledger.llm import packing as p3
 from loomledger.llm import splitting as p7
 from loomledger.tables import latest, table
 
@@ -25,6 +26,23 @@ def p2_groups(spark: SparkSession, root: str) -> DataFrame:
     return p2.groups(*p2.links(table(spark, root, "documents").select("doc_id", "text")))
 
 
+def _packed(spark: SparkSession, root: str) -> DataFrame:
+    return p3.assign(p3.parts(*(table(spark, root, n) for n in ("pieces", "script_turns", "scripts", "backends"))))
+
+
+def p3_chunks(spark: SparkSession, root: str) -> DataFrame:
+    """The planned chunks of every script, each piece in one of them."""
+    return p3.chunks(_packed(spark, root))
+
+
+def p3_unused(spark: SparkSession, root: str) -> DataFrame:
+    """Of each script: the chunks, the fewest that its words can need, and the unused words."""
+    from pyspark.sql import functions as F
+
+    c = p3_chunks(spark, root).groupBy("script_id").agg(F.count("*").alias("n_chunks"), F.sum("words").alias("words"), F.max("room").alias("room"))
+    return c.select("script_id", "n_chunks", F.ceil(F.col("words") / F.col("room")).alias("fewest"), (F.col("n_chunks") * F.col("room") - F.col("words")).alias("unused"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Records of documents and of script turns (a delivery counts once, the latest) that hold disguised characters."""
     from pyspark.sql import functions as F
@@ -80,7 +98,7 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found)}
 
 
 def oracle_sql() -> dict[str, str]:
