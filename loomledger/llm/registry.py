@@ -12,6 +12,7 @@ from loomledger.llm import leakage as p9
 from loomledger.llm import neardup as p2
 from loomledger.llm import neighbours as p6
 from loomledger.llm import packing as p3
+from loomledger.llm import residue as p10
 from loomledger.llm import splitting as p7
 from loomledger.tables import latest, table
 
@@ -97,8 +98,18 @@ def p9_found(spark: SparkSession, root: str) -> DataFrame:
     return p9_leaks(spark, root).where(f"run >= {p9.LEAST}").select("doc_id", "item_id").distinct()
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    """The documents that hold unfilled placeholders, filler, error messages or script notices."""
+    return p10.found(table(spark, root, "documents").select("doc_id", "title", "text"))
+
+
+def p10_unseen_hosts(spark: SparkSession, root: str) -> DataFrame:
+    """Weak label and prediction of the documents of hosts that training did not see."""
+    return p10.validate(table(spark, root, "documents").select("doc_id", "title", "text", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found)}
+    return {f.__name__: f for f in (p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found, p10_found, p10_unseen_hosts)}
 
 
 def oracle_sql() -> dict[str, str]:
