@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from loomledger.llm import canonical as p4
 from loomledger.llm import encoding as p8
 from loomledger.llm import leakage as p9
+from loomledger.llm import markup as p1
 from loomledger.llm import neardup as p2
 from loomledger.llm import neighbours as p6
 from loomledger.llm import packing as p3
@@ -17,6 +18,16 @@ from loomledger.llm import splitting as p7
 from loomledger.tables import latest, table
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    """The documents whose text or title holds markup."""
+    return p1.marked_up(table(spark, root, "documents").select("doc_id", "title", "text"))
+
+
+def p1_clean(spark: SparkSession, root: str) -> DataFrame:
+    """Clean text, title and labelled blocks of every document."""
+    return p1.cleaned(table(spark, root, "documents").select("doc_id", "title", "text"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     """Pairs of documents of at least 400 characters that share at least 0.6 of their three-word sequences."""
     return p2.document_pairs(*p2.links(table(spark, root, "documents").select("doc_id", "text"), words=3, similarity=0.6, min_chars=400))
@@ -109,7 +120,7 @@ def p10_unseen_hosts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found, p10_found, p10_unseen_hosts)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found, p10_found, p10_unseen_hosts)}
 
 
 def oracle_sql() -> dict[str, str]:
