@@ -38,7 +38,7 @@ _LINES = (
     ("fence", re.compile(r"\s{0,3}(?:```|~~~)")), ("atx", re.compile(r"#{1,6} +\S")), ("whead", re.compile(r"(={2,6})[^=\n].*\1\s*$")), ("thead", re.compile(r"\\(?:sub)*(?:section|chapter|paragraph|part|title)\*?\{")),
     ("preamble", re.compile(r"\\(?:documentclass|usepackage|begin\{document\}|end\{document\}|maketitle|author|date|newcommand|tableofcontents|bibliography)")), ("category", re.compile(r"\[\[(?:Category|File|Image):", re.I)),
     ("infobox", re.compile(r"\{\{[A-Z][^{}]*\|[^{}]*\}\}\s*$")), ("wtable", re.compile(r"\{\|")), ("env", re.compile(r"\\begin\{(?:verbatim|lstlisting|equation|align|displaymath|tabular|quote|quotation|itemize|enumerate|table|figure|center|abstract)\*?\}")),
-    ("hr", re.compile(r"\s{0,3}([-*_])(?: ?\1){2,}\s*$")), ("setext", re.compile(r"(?:={3,}|-{3,})\s*$")), ("display", re.compile(r"\s*\$\$.*\$\$\s*$|\s*\\\[.*\\\]\s*$|\s*\$[^$\n]+\$\s*$")), ("item", re.compile(r"\s*\\item\b|\s*[-+*•]\s+\S|\*{1,4}\s*\S(?!.*\*\s*$)")), ("number", re.compile(r"\s*\d{1,3}[.)]\s+\S")),
+    ("setext", re.compile(r"(?:={3,}|-{3,})\s*$")), ("hr", re.compile(r"\s{0,3}([-*_])(?: ?\1){2,}\s*$")), ("display", re.compile(r"\s*\$\$.*\$\$\s*$|\s*\\\[.*\\\]\s*$|\s*\$[^$\n]+\$\s*$")), ("item", re.compile(r"\s*\\item\b|\s*(?:[-+•]|\*{1,4})\s+\S")), ("number", re.compile(r"\s*\d{1,3}[.)]\s+\S")),
     ("bar", re.compile(r"\s*\|.*\|\s*$")), ("mark", re.compile(r"\s{0,3}>\s?\S")),
 )
 _ENVS = {"verbatim": "verbatim", "lstlisting": "verbatim", "equation": "equation", "align": "equation", "displaymath": "equation", "tabular": "tabular"}
@@ -385,7 +385,7 @@ def _render(r: random.Random, notation: str, plan: list[str]) -> list[tuple[str,
         elif notation == "wiki":
             bar = "=" * r.randint(2, 4)
             piece = {
-                "text": text(), "heading": f"{bar} {head()} {bar}", "list": "\n".join("* " + x for x in items), "code": f"<syntaxhighlight lang=\"python\">\n{code}\n</syntaxhighlight>", "formula": f"<math>{formula}</math>",
+                "text": text(), "heading": f"{bar} {head()} {bar}", "list": "\n".join("*" * r.randint(1, 2) + " " + x for x in items), "code": f"<syntaxhighlight lang=\"python\">\n{code}\n</syntaxhighlight>", "formula": f"<math>{formula}</math>",
                 "table": '{| class="wikitable"\n' + "\n|-\n".join("| " + " || ".join(row) for row in cells) + "\n|}", "quote": f"<blockquote>{text()}</blockquote>",
             }[what]
         elif notation == "tex":
@@ -477,6 +477,10 @@ def render(block: Block, label: str) -> tuple[str, int]:
         n += 1
     if label in ("code", "formula") and kind in ("para", "item", "number", "mark", "bar", "equote") and not {"pre", "code", "math", "syntaxhighlight"} & set(block.path):
         label = "text"  # running text beside a formula is text
+    if label == "table" and kind not in ("bar", "wtable", "tabular") and not {"tr", "table"} & set(block.path):
+        label = "text"
+    if label == "drop" and kind in ("para", "item", "number", "mark", "bar", "raw") and raw.strip() and not {"head", "title", "script", "style"} & set(block.path):
+        label = "text"  # only what no reader sees is dropped
     if label == "drop" or kind in ("preamble", "category", "infobox", "envmark"):
         return "", n
     if kind in _STRIP and (kind in _CERTAIN or _AMBIGUOUS.get(kind) == label):

@@ -14,6 +14,7 @@ from loomledger.llm import neardup as p2
 from loomledger.llm import neighbours as p6
 from loomledger.llm import packing as p3
 from loomledger.llm import residue as p10
+from loomledger.llm import sentences as p5
 from loomledger.llm import splitting as p7
 from loomledger.tables import latest, table
 
@@ -73,6 +74,22 @@ def p4_canonical_documents(spark: SparkSession, root: str) -> DataFrame:
     return p4.with_canonical(table(spark, root, "documents").select("doc_id", "text")).select("doc_id", "canonical")
 
 
+def p5_found(spark: SparkSession, root: str) -> DataFrame:
+    """The sentences of the documents named in sentence_docs."""
+    docs = table(spark, root, "documents").select("doc_id", "text").join(table(spark, root, "sentence_docs").select("doc_id"), "doc_id", "left_semi")
+    return p5.sentences(docs).select("doc_id", "sent_start", "sent_stop")
+
+
+def p5_document_sentences(spark: SparkSession, root: str) -> DataFrame:
+    """The sentences of all documents."""
+    return p5.sentences(table(spark, root, "documents"))
+
+
+def p5_chunk_sentences(spark: SparkSession, root: str) -> DataFrame:
+    """The sentences of all chunks; a repeated delivery has its sentences once."""
+    return p5.sentences(latest(table(spark, root, "chunks").select("chunk_id", "ingested_at", "text"), "chunk_id").select("chunk_id", "text"), "chunk_id")
+
+
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
     """The pairs of items of which one is among the five nearest of the other."""
     return p6.pairs(p6.nearest(table(spark, root, "items").select("item_id", "embedding")))
@@ -120,7 +137,7 @@ def p10_unseen_hosts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found, p10_found, p10_unseen_hosts)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p5_found, p5_document_sentences, p5_chunk_sentences, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found, p10_found, p10_unseen_hosts)}
 
 
 def oracle_sql() -> dict[str, str]:
