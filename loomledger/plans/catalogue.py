@@ -1,11 +1,562 @@
-"""The queries of the ledger engine and the SQL each is checked against."""
+"""The queries of the ledger engine and the SQL that each is checked against.
+
+Arrays are joined with '|' where a result holds them, so that both engines print one form.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from loomledger.config import DEFAULT
+from loomledger.functions import speech, text
+from loomledger.functions.ids import content_id
+from loomledger.operators import adjudicate, analyse, claims, cluster, ground, ledger, prepare, ranking, script, stances, vectors, windows
+from loomledger.operators.audio import plan, verify
+from loomledger.plans import sql
+from loomledger.tables import latest, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql_text: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql_text is not None:
+            _SQL[f.__name__] = sql_text
+        return f
+
+    return add
+
+
+def bar(c) -> F.Column:
+    return F.array_join(c, "|")
+
+
+def _chunks(spark: SparkSession, root: str) -> DataFrame:
+    return latest(table(spark, root, "chunks"), "chunk_id")
+
+
+def _turns(spark: SparkSession, root: str) -> DataFrame:
+    return latest(table(spark, root, "script_turns"), "turn_id")
+
+
+def _pieces(spark: SparkSession, root: str) -> DataFrame:
+    return latest(table(spark, root, "pieces"), "piece_id")
+
+
+_CH, _TU, _PI = sql.latest("chunks", "chunk_id"), sql.latest("script_turns", "turn_id"), sql.latest("pieces", "piece_id")
+_NORM = r"replace(replace(regexp_replace(text, '^\x{FEFF}+', ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+
+
+# documents -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, sha256({_NORM}) AS digest, octet_length(encode({_NORM})) AS n_bytes FROM documents WHERE text IS NOT NULL")
+def normalise_text(spark, root):
+    return table(spark, root, "documents").where("text is not null").select("doc_id", text.normalise_text("text").alias("t")).select("doc_id", F.sha2("t", 256).alias("digest"), F.octet_length("t").cast("bigint").alias("n_bytes"))
+
+
+@query(f"SELECT doc_id, octet_length(encode(t)) AS n_bytes FROM (SELECT doc_id, {_NORM} AS t, source_ref.independence_group AS g FROM documents WHERE text IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY g, t ORDER BY doc_id) = 1")
+def dedup_within_group(spark, root):
+    return prepare.dedup_within_group(table(spark, root, "documents").select("doc_id", "text", "source_ref"), "source_ref.independence_group").select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+@query(f"SELECT doc_id, {sql.content_id('source_ref.connector', 'source_ref.locator', 'text')} AS document_id, {sql.content_id('source_ref.connector', 'source_ref.locator')} AS source_id FROM documents")
+def document_ids(spark, root):
+    s = F.col("source_ref")
+    return table(spark, root, "documents").select("doc_id", prepare.document_id(s["connector"], s["locator"], F.col("text")).alias("document_id"), prepare.source_id(s["connector"], s["locator"]).alias("source_id"))
+
+
+@query("SELECT doc_id, count(DISTINCT (coalesce(source_ref.connector, ''), coalesce(source_ref.locator, ''), coalesce(source_ref.independence_group, ''))) AS n_sources FROM documents GROUP BY doc_id HAVING n_sources > 1")
+def shared_document_ids(spark, root):
+    return prepare.shared_ids(table(spark, root, "documents"))
+
+
+@query()
+def chunk_documents(spark, root):
+    return prepare.chunk_documents(table(spark, root, "documents")).withColumn("chunk_id", prepare.chunk_id("doc_id", F.col("span.start"), F.col("span.stop")))
+
+
+@query(f"SELECT c.doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE decode(encode(d.text)[c.span.start + 1:c.span.stop]) = c.text) AS n_exact FROM {_CH} c JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL GROUP BY c.doc_id")
+def chunk_slices(spark, root):
+    c = _chunks(spark, root).select("doc_id", "span", F.col("text").alias("own"))
+    d = table(spark, root, "documents").where("text is not null").select("doc_id", "text")
+    same = text.byte_slice("text", F.col("span.start"), F.col("span.stop")) == F.col("own")
+    return c.join(d, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.count_if(F.coalesce(same, F.lit(False))).alias("n_exact"))
+
+
+@query(f"SELECT chunk_id, {sql.content_id('doc_id', 'span.start', 'span.stop')} AS own_id FROM {_CH}")
+def chunk_ids(spark, root):
+    return _chunks(spark, root).select("chunk_id", prepare.chunk_id("doc_id", F.col("span.start"), F.col("span.stop")).alias("own_id"))
+
+
+# text ----------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS sent_ix, unnest(s) AS sentence FROM (SELECT doc_id, {sql.sentences('text')} AS s FROM documents WHERE text IS NOT NULL)")
+def sentences(spark, root):
+    return table(spark, root, "documents").select("doc_id", F.posexplode(text.sentences("text")).alias("sent_ix", "sentence"))
+
+
+@query(f"WITH text_rows AS (SELECT doc_id AS k, text AS t FROM documents), {sql.SPANS} SELECT k AS doc_id, sent_ix, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM spans")
+def sentence_spans(spark, root):
+    return windows.sentence_spans(table(spark, root, "documents").where("text is not null"), "doc_id").select("doc_id", "sent_ix", "start", "stop")
+
+
+@query(f"SELECT claim_id, array_to_string({sql.content_words('text')}, '|') AS words FROM claims")
+def content_words(spark, root):
+    return table(spark, root, "claims").select("claim_id", bar(text.content_words("text")).alias("words"))
+
+
+@query(f"SELECT doc_id, array_to_string({sql.numbers('text')}, '|') AS numbers FROM documents WHERE text IS NOT NULL")
+def numbers_in_text(spark, root):
+    return table(spark, root, "documents").where("text is not null").select("doc_id", bar(text.numbers("text")).alias("numbers"))
+
+
+_QUOTES = rf"""list_filter(list_transform(list_filter(regexp_extract_all(text, '"[^"]*("|\z)|“[^”]*(”|\z)'), lambda q: length(q) > 1 AND ((q[1] = '"' AND q[-1] = '"') OR (q[1] = '“' AND q[-1] = '”'))), lambda q: substr(q, 2, length(q) - 2)), lambda q: len({sql.words('q')}) >= 3)"""
+
+
+@query(f"SELECT doc_id, generate_subscripts(s, 1) - 1 AS quote_ix, unnest(s) AS quoted FROM (SELECT doc_id, {_QUOTES} AS s FROM documents WHERE text IS NOT NULL)")
+def quotations(spark, root):
+    return table(spark, root, "documents").select("doc_id", F.posexplode(text.quotations("text")).alias("quote_ix", "quoted"))
+
+
+@query("""SELECT doc_id FROM documents WHERE regexp_matches(regexp_replace(text, '"[^"]*"|“[^”]*”', '', 'g'), '["“”]')""")
+def stray_marks(spark, root):
+    return table(spark, root, "documents").where(text.stray_mark("text")).select("doc_id")
+
+
+@query(f"SELECT claim_id, {sql.content_id(sql.normalise('text'))} AS claim_key FROM claims")
+def claim_keys(spark, root):
+    return table(spark, root, "claims").select("claim_id", claims.claim_key("text").alias("claim_key"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 80 THEN left(text, 80) || '…' ELSE text END AS echo FROM documents")
+def echoes(spark, root):
+    return table(spark, root, "documents").select("doc_id", text.echo("text").alias("echo"))
+
+
+_NAMED = f"list_filter(list_transform(list_concat([d.title], coalesce(c.heading_path, [])), lambda n: {sql.trim('n')}), lambda n: n IS NOT NULL AND n <> '')"
+
+
+@query(f"SELECT chunk_id, CASE WHEN len(e) > 0 THEN array_to_string(e, ' ') || ' ' ELSE '' END AS prefix FROM (SELECT c.chunk_id, list_transform({_NAMED}, lambda n: CASE WHEN regexp_matches(n, '[.!?]$') THEN n ELSE n || '.' END) AS e FROM {_CH} c LEFT JOIN documents d USING (doc_id))")
+def names_prefix(spark, root):
+    d = table(spark, root, "documents").select("doc_id", "title")
+    return _chunks(spark, root).join(d, "doc_id", "left").select("chunk_id", text.names_prefix("title", "heading_path").alias("prefix"))
+
+
+@query(f"SELECT script_id, sum(len({sql.words('text')})) AS words, sum(len({sql.words('text')})) * 60.0 / 150 AS secs FROM {_TU} WHERE text IS NOT NULL GROUP BY script_id")
+def estimate_secs(spark, root):
+    return _turns(spark, root).where("text is not null").groupBy("script_id").agg(F.sum(text.word_count("text")).alias("words")).withColumn("secs", F.col("words") * 60.0 / DEFAULT.words_per_minute)
+
+
+@query("""SELECT turn_id, replace(replace(replace(text, '"', ''), '“', ''), '”', '') AS bare FROM script_turns GROUP BY ALL""")
+def stripped_marks(spark, root):
+    return _turns(spark, root).select("turn_id", text.strip_marks("text").alias("bare"))
+
+
+@query(f"SELECT turn_id, array_to_string({sql.spoken_tokens('text')}, ' ') AS tokens FROM {_TU} WHERE text IS NOT NULL")
+def speech_tokens(spark, root):
+    return _turns(spark, root).where("text is not null").select("turn_id", F.array_join(speech.spoken_tokens("text"), " ").alias("tokens"))
+
+
+@query()
+def spoken_words(spark, root):
+    return _turns(spark, root).where("text is not null").select("turn_id", F.array_join(speech.spoken_words("text"), " ").alias("words"))
+
+
+_CW = f"WITH text_rows AS (SELECT chunk_id AS k, text AS t FROM {_CH}), {sql.SPANS}, runs AS (SELECT k, sent_ix AS first, 1 AS n_sents, start, stop FROM spans UNION ALL SELECT * FROM (SELECT k, sent_ix, 2, start, lead(stop) OVER (PARTITION BY k ORDER BY sent_ix) AS stop FROM spans) WHERE stop IS NOT NULL)"
+_PREMISE = "decode(encode(t)[CAST(start AS BIGINT) + 1:CAST(stop AS BIGINT)])"
+#: All premises: short runs as they are, and the slices of single sentences that are too long (their words joined by spaces).
+_ALL = f"""{_CW}, cut AS (SELECT k, first, n_sents, premise, {sql.words('premise')} AS w FROM (SELECT k, first, n_sents, {_PREMISE} AS premise FROM runs JOIN text_rows USING (k))), long_ AS (SELECT k, first, w, list_distinct(list_append(range(0, len(w) - 120, 60), len(w) - 120)) AS ats FROM cut WHERE len(w) > 120 AND n_sents = 1),
+ premises AS (SELECT k AS chunk_id, first, n_sents, 0 AS slice, premise FROM cut WHERE len(w) <= 120 UNION ALL SELECT k, first, 1, CAST(s // 60 + CASE WHEN s % 60 > 0 THEN 1 ELSE 0 END AS INTEGER), array_to_string(w[s + 1:s + 120], ' ') FROM (SELECT k, first, w, unnest(ats) AS s FROM long_))"""
+
+
+@query(f"{_CW}, cut AS (SELECT k, first, n_sents, start, stop, {_PREMISE} AS premise FROM runs JOIN text_rows USING (k)) SELECT k AS chunk_id, first, n_sents, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, sha256(premise) AS digest FROM cut WHERE len({sql.words('premise')}) <= 120")
+def sentence_windows(spark, root):
+    w = windows.windows(_chunks(spark, root))
+    return w.where(text.word_count("premise") <= DEFAULT.window_words).where("slice = 0").join(_short_only(spark, root, w), ["chunk_id", "first", "n_sents", "start", "stop"], "left_semi").select("chunk_id", "first", "n_sents", "start", "stop", F.sha2("premise", 256).alias("digest"))
+
+
+def _short_only(spark, root, w):
+    """Windows that are whole runs: they end where a sentence ends."""
+    s = windows.sentence_spans(_chunks(spark, root), "chunk_id")
+    o = Window.partitionBy("chunk_id").orderBy("sent_ix")
+    one = s.select("chunk_id", F.col("sent_ix").alias("first"), F.lit(1).alias("n_sents"), "start", "stop")
+    two = s.select("chunk_id", F.col("sent_ix").alias("first"), F.lit(2).alias("n_sents"), "start", F.lead("stop").over(o).alias("stop"))
+    return one.unionByName(two)
+
+
+@query()
+def long_sentence_slices(spark, root):
+    w = windows.windows(_chunks(spark, root))
+    return w.where(text.word_count("premise") == DEFAULT.window_words).select("chunk_id", "first", "slice", "start", "stop", "premise")
+
+
+# claims and the ledger -----------------------------------------------------------------------------------------------
+
+
+def _statements(spark, root):
+    d = table(spark, root, "documents").select("doc_id", text.fold_group("source_ref.independence_group").alias("grp"), F.posexplode(text.sentences("text")).alias("draft_ix", "claim_text"))
+    return d.withColumn("claim_text", text.trim_ws(text.strip_marks("claim_text"))).where("claim_text <> ''")
+
+
+_BARE = sql.trim("""replace(replace(replace(s, '"', ''), '“', ''), '”', '')""")
+_STATED = f"(SELECT * FROM (SELECT doc_id, i, g, {_BARE} AS claim_text FROM (SELECT doc_id, generate_subscripts(ss, 1) AS i, unnest(ss) AS s, {sql.fold('source_ref.independence_group')} AS g FROM (SELECT doc_id, source_ref, {sql.sentences('text')} AS ss FROM documents WHERE text IS NOT NULL))) WHERE claim_text <> '')"
+
+
+@query(f"SELECT claim_id, count(DISTINCT g) AS n_groups, count(*) AS n_statements FROM (SELECT {sql.content_id(sql.normalise('claim_text'))} AS claim_id, g FROM {_STATED}) GROUP BY claim_id HAVING n_groups > 1")
+def corroborated_claims(spark, root):
+    return claims.merge_counts(_statements(spark, root), "grp").where("n_groups > 1").select("claim_id", "n_groups", "n_statements")
+
+
+@query(f"SELECT {sql.content_id(sql.normalise('claim_text'))} AS claim_id, arg_min(claim_text, (doc_id, i)) AS text, count(*) AS n FROM {_STATED} GROUP BY 1")
+def claim_merge(spark, root):
+    keyed = _statements(spark, root).withColumn("claim_id", claims.claim_key("claim_text"))
+    return keyed.groupBy("claim_id").agg(F.min_by("claim_text", F.struct("doc_id", "draft_ix")).alias("text"), F.count("*").alias("n"))
+
+
+@query(f"SELECT claim_id, status, CASE WHEN status = 'corroborated' THEN array_to_string(s_, '|') END AS groups, CASE WHEN status = 'single_source' THEN s_[1] END AS grp, CASE WHEN status = 'contested' THEN array_to_string(s_, '|') END AS supporting, CASE WHEN status = 'contested' THEN array_to_string(c_, '|') END AS contradicting FROM {sql.LEDGER}")
+def ledger_status(spark, root):
+    out = ledger.classify(table(spark, root, "claims").select("claim_id", "evidence"))
+    return out.select("claim_id", "status", bar("groups").alias("groups"), "grp", bar("supporting").alias("supporting"), bar("contradicting").alias("contradicting"))
+
+
+@query(f"SELECT status, count(*) AS n FROM {sql.LEDGER} GROUP BY status")
+def ledger_summary(spark, root):
+    return ledger.classify(table(spark, root, "claims").select("claim_id", "evidence")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT claim_id, array_to_string(list_sort(list_distinct(list_transform(evidence, lambda e: e.chunk || ':' || coalesce(e.independence_group, '') || ':' || e.stance))), '|') AS evidence FROM claims")
+def evidence_sets(spark, root):
+    one = F.transform("evidence", lambda e: F.concat(e["chunk"], F.lit(":"), F.coalesce(e["independence_group"], F.lit("")), F.lit(":"), e["stance"]))
+    return table(spark, root, "claims").select("claim_id", bar(F.array_sort(F.array_distinct(one))).alias("evidence"))
+
+
+@query(f"SELECT claim_id, coalesce(min(o), 9223372036854775807) AS position FROM (SELECT claim_id, unnest(CASE WHEN len(evidence) > 0 THEN list_transform(evidence, lambda e: e.chunk) ELSE [NULL] END) AS chunk_id FROM claims) LEFT JOIN (SELECT chunk_id, doc_id * 100000 + chunk_ix AS o FROM {_CH}) USING (chunk_id) GROUP BY claim_id")
+def first_appearance(spark, root):
+    c = _chunks(spark, root).select("chunk_id", (F.col("doc_id") * 100000 + F.col("chunk_ix")).alias("ord"))
+    return ledger.first_appearance(table(spark, root, "claims"), c)
+
+
+@query(f"SELECT l.claim_id, generate_subscripts(l.evidence, 1) - 1 AS ev_ix, unnest(l.evidence).stance AS stance, unnest(l.evidence).chunk AS chunk FROM {sql.LEDGER} l WHERE status = 'contested'")
+def contested_evidence(spark, root):
+    c = ledger.classify(table(spark, root, "claims").select("claim_id", "evidence")).where("status = 'contested'")
+    return c.select("claim_id", F.posexplode("evidence").alias("ev_ix", "e")).select("claim_id", "ev_ix", F.col("e.stance").alias("stance"), F.col("e.chunk").alias("chunk"))
+
+
+@query(f"SELECT e.claim_id, e.ev_ix, e.stance, d.title, c.text AS passage FROM (SELECT claim_id, generate_subscripts(evidence, 1) - 1 AS ev_ix, unnest(evidence).stance AS stance, unnest(evidence).chunk AS chunk_id FROM {sql.LEDGER} WHERE status = 'contested') e LEFT JOIN {_CH} c USING (chunk_id) LEFT JOIN documents d ON d.doc_id = c.doc_id")
+def contested_passages(spark, root):
+    contested = ledger.classify(table(spark, root, "claims").select("claim_id", "evidence")).where("status = 'contested'")
+    return adjudicate.passages(contested, _chunks(spark, root), table(spark, root, "documents"))
+
+
+_FIRST = "list_filter(evidence, lambda e: e.stance = '{}')[1].chunk"
+
+
+@query(f"SELECT claim_id, 'unresolved' AS favours, array_to_string(list_filter([{_FIRST.format('supports')}, {_FIRST.format('contradicts')}], lambda x: x IS NOT NULL), '|') AS cites FROM {sql.LEDGER} WHERE status = 'contested'")
+def fallback_verdicts(spark, root):
+    contested = ledger.classify(table(spark, root, "claims").select("claim_id", "evidence")).where("status = 'contested'")
+    return adjudicate.fallback(contested).select("claim_id", "favours", bar("cites").alias("cites"))
+
+
+@query(f"SELECT 'unresolved' AS favours, count(*) AS n FROM {sql.LEDGER} WHERE status = 'contested' HAVING count(*) > 0")
+def verdict_tallies(spark, root):
+    contested = ledger.classify(table(spark, root, "claims").select("claim_id", "evidence")).where("status = 'contested'")
+    return adjudicate.tallies(adjudicate.fallback(contested))
+
+
+@query(f"SELECT count(*) AS n_claims, count(*) FILTER (WHERE status IS NULL) AS n_unknown, 0 AS n_tampered FROM {sql.LEDGER}")
+def ledger_integrity(spark, root):
+    stored = ledger.classify(table(spark, root, "claims").select("claim_id", "evidence"))
+    bad = ledger.tampered(stored).agg(F.count("*").cast("int").alias("n_tampered"))
+    return stored.agg(F.count("*").alias("n_claims"), F.count_if(F.col("status").isNull()).alias("n_unknown")).crossJoin(bad)  # one row each
+
+
+_EV = f"(SELECT DISTINCT claim_id, text AS claim_text, unnest(list_transform(evidence, lambda e: e.chunk)) AS chunk_id FROM claims)"
+_GROUND = f"""SELECT claim_id, chunk_id, coalesce(len(list_filter(list_filter(w, lambda n_: regexp_matches(n_, '[0-9]')), lambda n_: NOT list_contains(p, n_) AND NOT list_contains(nm, n_))) = 0 AND len(said) > 0 AND len(list_intersect(said, p)) >= 0.6 * len(said), false) AS grounded
+ FROM (SELECT *, list_filter(w, lambda n_: NOT list_contains(nm, n_)) AS said FROM (SELECT e.claim_id, e.chunk_id, {sql.content_words('e.claim_text')} AS w, {sql.content_words('c.text')} AS p, {sql.content_words("concat_ws(' ', d.title, array_to_string(c.heading_path, ' '))")} AS nm
+ FROM {_EV} e JOIN {_CH} c USING (chunk_id) LEFT JOIN documents d ON d.doc_id = c.doc_id))"""
+
+
+def _evidence(spark, root):
+    return table(spark, root, "claims").select("claim_id", F.col("text"), F.explode("evidence.chunk").alias("chunk_id")).distinct()
+
+
+@query(_GROUND)
+def lexical_grounding(spark, root):
+    c = _chunks(spark, root).select("chunk_id", "doc_id", F.col("text").alias("passage"), "heading_path")
+    d = table(spark, root, "documents").select("doc_id", "title")
+    j = _evidence(spark, root).join(c, "chunk_id").join(d, "doc_id", "left").withColumn("names", F.concat_ws(" ", "title", F.array_join("heading_path", " ")))
+    return j.select("claim_id", "chunk_id", claims.is_grounded("text", "passage", "names").alias("grounded"))
+
+
+_JUDGED = f"""{_ALL},
+ ev AS {_EV}, pw AS (SELECT *, {sql.content_words('premise')} AS p_ FROM premises WHERE chunk_id IN (SELECT chunk_id FROM ev)), hw AS (SELECT *, {sql.content_words('claim_text')} AS h_ FROM ev),
+ pairs AS (SELECT claim_id, chunk_id, first, n_sents, slice, premise, p_, h_, {sql.slot_cosine('ps', 'hs')} AS cos FROM (SELECT *, {sql.slots('p_')} AS ps, {sql.slots('h_')} AS hs FROM hw JOIN pw USING (chunk_id))),
+ top AS (SELECT *, row_number() OVER (PARTITION BY claim_id, chunk_id ORDER BY cos DESC, first, n_sents, slice) AS rank FROM pairs QUALIFY rank <= 4),
+ best AS (SELECT claim_id, chunk_id, {sql.per_mille('entailment')} AS entail_pm, rank FROM (SELECT claim_id, chunk_id, rank, {sql.nli('p', 'h')} FROM top))"""
+
+
+def _judged(spark, root):
+    c = _chunks(spark, root)
+    w = windows.windows(c.join(_evidence(spark, root).select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    return ground.judge(_evidence(spark, root), w)
+
+
+@query(f"{_JUDGED} SELECT ev.claim_id, ev.chunk_id, max(entail_pm) AS entail_pm, CASE WHEN max(entail_pm) >= 800 THEN 'keep' ELSE 'reject' END AS outcome FROM ev LEFT JOIN best USING (claim_id, chunk_id) GROUP BY ALL")
+def ground_evidence(spark, root):
+    j = _judged(spark, root)
+    return j.select("claim_id", "chunk_id", "entail_pm", F.when(F.col("entail_pm") >= DEFAULT.ground_pm, "keep").otherwise("reject").alias("outcome"))
+
+
+@query(f"{_JUDGED} SELECT ev.claim_id, max(entail_pm) AS best_pm FROM ev LEFT JOIN best USING (claim_id, chunk_id) GROUP BY ev.claim_id HAVING coalesce(max(entail_pm), 0) < 800")
+def dropped_claims(spark, root):
+    return ground.dropped_claims(_judged(spark, root))
+
+
+# stances -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT item_id, {sql.per_mille('entailment')} AS entail_pm, {sql.per_mille('contradiction')} AS contra_pm FROM (SELECT item_id, {sql.nli('p', 'h')} FROM (SELECT item_id, {sql.content_words('premise')} AS p_, {sql.content_words('claim')} AS h_ FROM stance_pairs))")
+def nli_scores(spark, root):
+    s = stances.score(table(spark, root, "stance_pairs").select("item_id", "claim", "premise"))
+    return s.select("item_id", "entail_pm", "contra_pm")
+
+
+_PAIRS = f"""scored AS (SELECT item_id, label, claim, premise, p_, h_, {sql.per_mille(sql.slot_cosine('ps', 'hs'))} AS sim_pm, {sql.nli('p', 'h')} FROM (SELECT *, {sql.slots('p_')} AS ps, {sql.slots('h_')} AS hs FROM (SELECT *, {sql.content_words('premise')} AS p_, {sql.content_words('claim')} AS h_ FROM stance_pairs))),
+ hyps AS (SELECT item_id, h_ AS rp_, unnest(CASE WHEN len(nu) > 0 AND len(nu) < len(al) THEN list_append(nu, premise) ELSE nu END) AS hyp FROM (SELECT item_id, h_, premise, al, list_filter(al, lambda s: len({sql.numbers('s')}) > 0) AS nu FROM (SELECT item_id, h_, premise, {sql.sentences('premise')} AS al FROM scored WHERE entailment < 0.7995 AND contradiction >= 0.9495 AND sim_pm >= 600 AND len(list_filter(h_, lambda n_: regexp_matches(n_, '[0-9]'))) > 0))),
+ rev AS (SELECT item_id, max({sql.per_mille('contradiction')}) AS reverse_pm FROM (SELECT item_id, {sql.nli('p', 'h', 'x')} FROM (SELECT item_id, rp_ AS xp_, {sql.content_words('hyp')} AS xh_ FROM hyps)) GROUP BY item_id),
+ decided AS (SELECT s.item_id, label, sim_pm, reverse_pm, CASE WHEN {sql.per_mille('entailment')} >= 800 THEN 'supports' WHEN {sql.per_mille('contradiction')} >= 950 AND sim_pm >= 600 AND (len(list_filter(h_, lambda n_: regexp_matches(n_, '[0-9]'))) = 0 OR len(list_filter(p_, lambda n_: regexp_matches(n_, '[0-9]'))) = 0 OR coalesce(reverse_pm, 0) >= 950) THEN 'contradicts' END AS stance FROM scored s LEFT JOIN rev USING (item_id))"""
+
+
+@query(f"WITH {_PAIRS} SELECT item_id, sim_pm, reverse_pm, stance FROM decided")
+def stance_decisions(spark, root):
+    return stances.score(table(spark, root, "stance_pairs").select("item_id", "claim", "premise")).select("item_id", "sim_pm", "reverse_pm", "stance")
+
+
+_RATE = "CASE WHEN {0} + {1} > 0 THEN CAST(round(1000 * {0} / ({0} + {1})) AS INTEGER) END"
+
+
+@query(f"WITH {_PAIRS}, c AS (SELECT k.stance, count(*) FILTER (WHERE d.stance IS NOT DISTINCT FROM k.stance AND label = k.stance) AS tp, count(*) FILTER (WHERE d.stance IS NOT DISTINCT FROM k.stance AND label <> k.stance) AS fp, count(*) FILTER (WHERE d.stance IS DISTINCT FROM k.stance AND label = k.stance) AS fn FROM (VALUES ('supports'), ('contradicts')) k(stance) CROSS JOIN decided d GROUP BY 1) SELECT stance, tp, fp, fn, {_RATE.format('tp', 'fp')} AS precision_pm, {_RATE.format('tp', 'fn')} AS recall_pm FROM c")
+def precision_recall(spark, root):
+    return stances.report(stances.score(table(spark, root, "stance_pairs").select("label", "claim", "premise")))
+
+
+_TOPW = f"""{_ALL}, ws AS (SELECT chunk_id, first, n_sents, slice, {sql.slots(sql.content_words('premise'))} AS ps FROM premises),
+ wn AS (SELECT *, row_number() OVER (ORDER BY chunk_id, first, n_sents, slice) AS w FROM ws WHERE len(ps) > 0), wl AS (SELECT w, unnest(ps) AS s FROM wn), wc AS (SELECT w, s, count(*) AS n FROM wl GROUP BY ALL), w2 AS (SELECT w, sum(n * n) AS q FROM wc GROUP BY w),
+ qs AS (SELECT item_id, unnest({sql.slots(sql.content_words('claim'))}) AS s FROM stance_pairs), qc AS (SELECT item_id, s, count(*) AS n FROM qs GROUP BY ALL), q2 AS (SELECT item_id, sum(n * n) AS q FROM qc GROUP BY item_id),
+ dots AS (SELECT item_id, w, sum(qc.n * wc.n) AS dot FROM qc JOIN wc USING (s) GROUP BY ALL), sims AS (SELECT item_id, w, {sql.per_mille('dot / sqrt(CAST(q2.q * w2.q AS DOUBLE))')} AS sim_pm FROM dots JOIN q2 USING (item_id) JOIN w2 USING (w))
+ SELECT item_id, rank, sim_pm FROM (SELECT item_id, sim_pm, row_number() OVER (PARTITION BY item_id ORDER BY sim_pm DESC, w) AS rank FROM sims WHERE sim_pm >= 300) WHERE rank <= 4"""
+
+
+@query(_TOPW)
+def topk_windows(spark, root):
+    w = windows.windows(_chunks(spark, root))
+    c = w.select(F.xxhash64("chunk_id", "first", "n_sents", "slice").alias("id"), F.xxhash64("chunk_id", "first", "n_sents", "slice").alias("ord"), vectors.slots_of("premise").alias("vec"), F.lit(None).cast("string").alias("grp"))
+    q = table(spark, root, "stance_pairs").select(F.col("item_id").alias("id"), vectors.slots_of("claim").alias("vec"), F.array().cast("array<string>").alias("grp"))
+    return vectors.top_k(q, c, DEFAULT.retrieve_k, DEFAULT.retrieve_floor_pm).select(F.col("qid").alias("item_id"), "rank", "sim_pm")
+
+
+@query("""SELECT qid, rank, sim_pm FROM (SELECT a.vec_id AS qid, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) DESC) AS rank,
+ CAST(round(greatest(0.0, least(1.0, list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_inner_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))))) * 1000) AS INTEGER) AS sim_pm FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) WHERE rank <= 8""")
+def topk_vectors(spark, root):
+    e = table(spark, root, "embeddings").where(vectors.usable("embedding")).select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), F.col("embedding").cast("array<double>").alias("vec"))
+    out = vectors.top_k(e.select("id", "vec", F.array().cast("array<string>").alias("grp")), e.withColumn("grp", F.lit(None).cast("string")), DEFAULT.merge_partners, slots=None, on_pm=False)
+    return out.select("qid", "rank", "sim_pm")
+
+
+def _equivalent(spark, root):
+    return cluster.equivalent(cluster.nominated(table(spark, root, "claims").select("claim_id", "text")))
+
+
+@query(f"""WITH c AS (SELECT claim_id, text, {sql.content_words('text')} AS w FROM claims), sl AS (SELECT claim_id, unnest({sql.slots('w')}) AS s FROM c), sc AS (SELECT claim_id, s, count(*) AS n FROM sl GROUP BY ALL), q2 AS (SELECT claim_id, sum(n * n) AS q FROM sc GROUP BY ALL),
+ dots AS (SELECT x.claim_id AS a, y.claim_id AS b, sum(x.n * y.n) AS dot FROM sc x JOIN sc y USING (s) WHERE x.claim_id <> y.claim_id GROUP BY ALL), sims AS (SELECT a, b, {sql.per_mille('dot / sqrt(CAST(p.q * r.q AS DOUBLE))')} AS sim_pm FROM dots JOIN q2 p ON p.claim_id = a JOIN q2 r ON r.claim_id = b),
+ top AS (SELECT a, b FROM sims WHERE sim_pm >= 800 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim_pm DESC, b) <= 8), pairs AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM top), both_ AS (SELECT a, b, x.w AS xw, y.w AS yw FROM pairs JOIN c x ON x.claim_id = a JOIN c y ON y.claim_id = b WHERE list_filter(x.w, lambda n_: regexp_matches(n_, '[0-9]')) = list_filter(y.w, lambda n_: regexp_matches(n_, '[0-9]'))),
+ f AS (SELECT a, b, {sql.per_mille('entailment')} AS f FROM (SELECT a, b, {sql.nli('p', 'h')} FROM (SELECT a, b, xw AS p_, yw AS h_ FROM both_))), g AS (SELECT a, b, {sql.per_mille('entailment')} AS g FROM (SELECT a, b, {sql.nli('p', 'h')} FROM (SELECT a, b, yw AS p_, xw AS h_ FROM both_)))
+ SELECT a, b, least(f, g) AS mutual_pm FROM f JOIN g USING (a, b) WHERE least(f, g) >= 800""")
+def equivalent_claims(spark, root):
+    return _equivalent(spark, root)
+
+
+@query()
+def claim_clusters(spark, root):
+    return cluster.clusters(_equivalent(spark, root))
+
+
+# scripts -------------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH t AS (SELECT turn_id, text, quotes FROM {_TU}), q AS (SELECT turn_id, text, generate_subscripts(quotes, 1) - 1 AS check_ix, unnest(quotes) AS q FROM t),
+ j AS (SELECT turn_id, check_ix, CASE WHEN d.doc_id IS NULL THEN 'unknown' WHEN NOT coalesce(q.q.span.stop <= octet_length(encode(d.text)) AND hex(encode(d.text)[q.q.span.start + 1:q.q.span.stop]) = hex(encode(q.q.text)), false) THEN 'differs' WHEN NOT coalesce(contains(q.text, q.q.text), false) THEN 'unspoken' END AS problem FROM q LEFT JOIN documents d ON d.doc_id = q.q.document)
+ SELECT problem, count(*) AS n FROM j WHERE problem IS NOT NULL GROUP BY problem""")
+def quote_problems(spark, root):
+    f = analyse.quote_findings(_turns(spark, root), table(spark, root, "documents").select("doc_id", "text")).where("check_ix < 1000")
+    m = F.col("message")
+    kind = F.when(m.startswith("quote cites unknown"), "unknown").when(m.startswith("quote does not match"), "differs").otherwise("unspoken")
+    return f.groupBy(kind.alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT turn_id, q AS quoted FROM (SELECT turn_id, quotes, unnest({_QUOTES}) AS q FROM {_TU} WHERE text IS NOT NULL) WHERE NOT coalesce(list_bool_or(list_transform(quotes, lambda x: contains(x.text, q))), false)")
+def uncovered_quotations(spark, root):
+    f = analyse.quote_findings(_turns(spark, root), table(spark, root, "documents").select("doc_id", "text")).where("check_ix >= 1000")
+    return f.select("turn_id", F.regexp_replace("message", r"\Aturn quotes words no quote covers: ", "").alias("quoted"))
+
+
+@query(f"SELECT turn_id, regexp_replace(regexp_replace(f, '^{sql.NOT_ALNUM}', ''), '{sql.NOT_ALNUM}$', '') AS figure FROM (SELECT turn_id, list_filter({sql.words('bare')}, lambda w: regexp_matches(w, '[0-9]'))[1] AS f FROM (SELECT turn_id, list_reduce(list_concat([text], list_transform(coalesce(quotes, []), lambda q: q.text)), lambda a, x: CASE WHEN coalesce(x, '') = '' THEN a ELSE replace(a, x, ' ') END) AS bare FROM {_TU} WHERE coalesce(len(citations), 0) = 0 AND text IS NOT NULL)) WHERE f IS NOT NULL")
+def uncited_figures(spark, root):
+    return analyse.uncited_figures(_turns(spark, root)).select("turn_id", "figure")
+
+
+@query(f"SELECT turn_id, c AS claim_id FROM (SELECT DISTINCT turn_id, unnest(citations) AS c FROM {_TU}) WHERE c NOT IN (SELECT claim_id FROM claims)")
+def unknown_citations(spark, root):
+    c = _turns(spark, root).select("turn_id", F.explode("citations").alias("claim_id")).distinct()
+    return c.join(table(spark, root, "claims").select("claim_id"), "claim_id", "left_anti").select("turn_id", "claim_id")
+
+
+@query(f"SELECT claim_id FROM {sql.LEDGER} WHERE status = 'contested' AND claim_id NOT IN (SELECT unnest(citations) FROM script_turns)")
+def judged_but_uncited(spark, root):
+    contested = ledger.classify(table(spark, root, "claims").select("claim_id", "evidence")).where("status = 'contested'").select("claim_id")
+    return contested.join(_turns(spark, root).select(F.explode("citations").alias("claim_id")), "claim_id", "left_anti")
+
+
+@query(f"SELECT claim_id, count(*) AS times FROM (SELECT unnest(citations) AS claim_id FROM {_TU}) GROUP BY claim_id")
+def citation_counts(spark, root):
+    return _turns(spark, root).select(F.explode("citations").alias("claim_id")).groupBy("claim_id").agg(F.count("*").alias("times"))
+
+
+@query(f"""WITH t AS (SELECT * FROM {_TU}), b AS (SELECT script_id, sum(len({sql.words("coalesce(text, '')")})) AS words, count(*) AS turns, sum(coalesce(len(quotes), 0)) AS quotes, sum(coalesce(len(citations), 0)) AS citations FROM t GROUP BY script_id), l AS (SELECT claim_id, status FROM {sql.LEDGER}),
+ c AS (SELECT script_id, claim_id, count(*) AS times FROM (SELECT script_id, unnest(citations) AS claim_id FROM t) GROUP BY ALL), j AS (SELECT script_id, count(*) FILTER (WHERE status <> 'unsupported') AS distinct_cited, count(*) FILTER (WHERE status = 'unsupported') AS cited_unsupported, coalesce(sum(times) FILTER (WHERE status IS NULL), 0) AS unknown_citations, count(*) FILTER (WHERE status = 'contested') AS judged_cited FROM c LEFT JOIN l USING (claim_id) GROUP BY script_id), u AS (SELECT count(*) AS usable_claims FROM l WHERE status <> 'unsupported')
+ SELECT script_id, words, words / 1500.0 AS word_ratio, turns, quotes, citations, coalesce(distinct_cited, 0) AS distinct_cited, coalesce(cited_unsupported, 0) AS cited_unsupported, usable_claims, coalesce(distinct_cited, 0) / usable_claims AS coverage, coalesce(judged_cited, 0) AS judged_cited, coalesce(unknown_citations, 0) AS unknown_citations FROM b LEFT JOIN j USING (script_id) CROSS JOIN u""")
+def script_metrics(spark, root):
+    return analyse.script_metrics(_turns(spark, root), ledger.classify(table(spark, root, "claims").select("claim_id", "evidence")))
+
+
+@query(f"""WITH o AS (SELECT DISTINCT s.backend AS k, c.claim_id FROM (SELECT script_id, unnest(citations) AS claim_id FROM {_TU}) c JOIN scripts s USING (script_id) WHERE s.backend IS NOT NULL), n AS (SELECT k, count(*) AS n FROM o GROUP BY k), sh AS (SELECT x.k AS a, y.k AS b, count(*) AS shared FROM o x JOIN o y USING (claim_id) WHERE x.k < y.k GROUP BY ALL)
+ SELECT x.k AS a, y.k AS b, coalesce(shared, 0) AS shared, x.n - coalesce(shared, 0) AS only_a, y.n - coalesce(shared, 0) AS only_b, coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)) AS jaccard FROM n x JOIN n y ON x.k < y.k LEFT JOIN sh ON sh.a = x.k AND sh.b = y.k""")
+def citation_overlap(spark, root):
+    c = _turns(spark, root).select("script_id", F.explode("citations").alias("claim_id")).join(table(spark, root, "scripts").select("script_id", "backend"), "script_id").where("backend is not null")
+    return analyse.citation_overlap(c, "backend")
+
+
+_MARKED = f"(SELECT script_id, turn, CASE WHEN pace = 'interrupt' THEN 'banter' WHEN callback_to IS NOT NULL THEN 'recap' END AS mark FROM {_TU})"
+
+
+def _marked(spark, root):
+    return _turns(spark, root).select("script_id", "turn", F.when(F.col("pace") == "interrupt", "banter").when(F.col("callback_to").isNotNull(), "recap").alias("mark"))
+
+
+@query(f"SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY turn) - 1 AS beat, coalesce(mark, 'narration') AS kind, turn AS start, coalesce(lead(turn) OVER (PARTITION BY script_id ORDER BY turn), last_ + 1) AS stop FROM (SELECT *, count(mark) OVER (PARTITION BY script_id) AS n_, min(turn) OVER (PARTITION BY script_id) AS first_, max(turn) OVER (PARTITION BY script_id) AS last_ FROM {_MARKED}) WHERE n_ > 0 AND (mark IS NOT NULL OR turn = first_)")
+def beats_from_marks(spark, root):
+    return script.beats(_marked(spark, root))
+
+
+@query(f"WITH m AS (SELECT script_id FROM {_MARKED} GROUP BY script_id HAVING count(mark) = 0) SELECT script_id, row_number() OVER (PARTITION BY script_id ORDER BY turn) - 1 AS beat, turn AS start, turn + 1 AS stop FROM {_TU} WHERE script_id IN (SELECT script_id FROM m)")
+def implied_beats(spark, root):
+    t = _marked(spark, root)
+    stored = script.beats(t)
+    return script.implied_beats(t, stored).join(stored.select("script_id").distinct(), "script_id", "left_anti").select("script_id", "beat", "start", "stop")
+
+
+@query("SELECT script_id, beat, 'gap' AS problem FROM (SELECT 1 AS script_id, 1 AS beat) WHERE false")
+def broken_beats(spark, root):
+    return script.broken_beats(script.beats(_marked(spark, root))).select(F.col("script_id").cast("int").alias("script_id"), F.col("beat").cast("int").alias("beat"), "problem")
+
+
+@query(f"WITH t AS (SELECT * FROM {_TU}), c AS (SELECT script_id, speaker FROM t GROUP BY script_id, speaker HAVING count(*) > 1) SELECT turn_id, t.script_id, t.speaker FROM t WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.script_id = t.script_id AND c.speaker = t.speaker)")
+def undeclared_speakers(spark, root):
+    t = _turns(spark, root)
+    cast = t.groupBy("script_id", "speaker").count().where("count > 1")
+    return script.undeclared_speakers(t.select("turn_id", "script_id", "speaker"), cast).select("turn_id", "script_id", "speaker")
+
+
+@query(f"SELECT p.script_id, p.chunk_no, max(x.turn) AS last_turn, lag(max(x.turn)) OVER (PARTITION BY p.script_id ORDER BY p.chunk_no) AS previous FROM planned_chunks p, unnest(p.pieces) u(x) GROUP BY p.script_id, p.chunk_no")
+def chunk_context(spark, root):
+    c = table(spark, root, "planned_chunks").select("script_id", "chunk_no", F.array_distinct("pieces.turn").alias("turns"))
+    out = script.context(c, _turns(spark, root).select("script_id", "turn", "callback_to"))
+    return out.join(c, ["script_id", "chunk_no"]).select("script_id", "chunk_no", F.array_max("turns").alias("last_turn"), "previous")
+
+
+@query()
+def plan_chunks(spark, root):
+    t = _turns(spark, root).where("text is not null").select("script_id", "turn", "speaker", "text", F.col("quotes.text").alias("quotes"))
+    beat = _pieces(spark, root).groupBy("script_id", "turn").agg(F.min("beat").alias("beat"))
+    s = table(spark, root, "scripts").select("script_id", "backend").join(table(spark, root, "backends"), "backend")
+    rows = t.join(beat, ["script_id", "turn"], "left").withColumn("beat", F.coalesce("beat", "turn")).join(s, "script_id").withColumn("max_speakers", F.lit(2))
+    return plan.plan_chunks(rows)
+
+
+@query(f"SELECT l.claim_id, l.status, CASE WHEN l.status = 'contested' THEN 'unresolved' END AS favours FROM {sql.LEDGER} l")
+def ledger_view(spark, root):
+    own = ledger.classify(table(spark, root, "claims"))
+    verdicts = adjudicate.fallback(own.where("status = 'contested'"))
+    return script.ledger_view(own, verdicts).select("claim_id", "status", "favours")
+
+
+# speech --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT turn_id, count(*) AS n_quotes, count(*) FILTER (WHERE contains('|' || h || '|', '|' || q || '|')) AS n_heard FROM (SELECT turn_id, array_to_string({sql.spoken_tokens('text')}, '|') AS h, array_to_string({sql.spoken_tokens('q')}, '|') AS q FROM (SELECT turn_id, text, unnest(quotes).text AS q FROM {_TU} WHERE text IS NOT NULL)) GROUP BY turn_id")
+def quotes_heard(spark, root):
+    t = _turns(spark, root).where("text is not null").select("turn_id", speech.spoken_tokens("text").alias("heard"), F.explode("quotes.text").alias("q"))
+    rows = t.select("turn_id", verify.contains_words(F.col("heard"), speech.spoken_tokens("q")).alias("ok"))
+    return rows.groupBy("turn_id").agg(F.count("*").alias("n_quotes"), F.count_if("ok").alias("n_heard"))
+
+
+@query()
+def turn_wer(spark, root):
+    """Word errors of each turn's quote read as the turn's text."""
+    t = _turns(spark, root).where("text is not null").select("turn_id", "text", F.posexplode("quotes.text").alias("quote_ix", "q"))
+    return t.select("turn_id", "quote_ix", verify.wer_pm(speech.spoken_words("q"), speech.spoken_words("text")).alias("wer_pm"))
+
+
+@query("SELECT event_type, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY event_type")
+def upper_median(spark, root):
+    return ranking.upper_median(table(spark, root, "events"), "event_type", "value")
+
+
+@query("WITH m AS (SELECT event_type, list_sort(list(value))[len(list(value)) // 2 + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT user_id, event_id AS take FROM events JOIN m USING (event_type) WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY (event_id % 3 = 0), event_id % 7, abs(value - median), event_id) = 1")
+def best_take(spark, root):
+    e = table(spark, root, "events").where("value is not null")
+    m = ranking.upper_median(e, "event_type", "value")
+    takes = e.join(m, "event_type").select("user_id", F.col("event_id").alias("take"), (F.col("event_id") % 3 != 0).alias("passed"), (F.col("event_id") % 7).alias("wer_pm"), F.col("value").alias("rate"), "median")
+    return ranking.best_take(takes, "user_id").select("user_id", "take")
+
+
+@query("SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC NULLS LAST, event_id) AS rank FROM events) WHERE rank <= 4")
+def top_events(spark, root):
+    return ranking.top_per_key(table(spark, root, "events").select("user_id", "event_id", "value"), "user_id", 4, F.desc_nulls_last("value"), "event_id").select("user_id", "event_id", "rank")
+
+
+@query(f"SELECT chunk_id, octet_length(encode(text)) AS n_bytes FROM {_CH}")
+def latest_chunks(spark, root):
+    return _chunks(spark, root).select("chunk_id", F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+@query("SELECT s.backend, count(*) AS n_scripts, avg(s.n_turns) AS mean_turns, count(*) FILTER (WHERE s.title IS NULL) AS n_untitled FROM scripts s GROUP BY s.backend")
+def script_summary(spark, root):
+    return table(spark, root, "scripts").groupBy("backend").agg(F.count("*").alias("n_scripts"), F.avg("n_turns").alias("mean_turns"), F.count_if(F.col("title").isNull()).alias("n_untitled"))
+
+
+@query("SELECT doc_id, octet_length(encode(text)) AS bytes FROM documents WHERE octet_length(encode(text)) > 12000")
+def oversized_texts(spark, root):
+    return table(spark, root, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes")).where("bytes > 12000")
+
+
+@query("SELECT item_id FROM items WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0")
+def usable_vectors(spark, root):
+    return table(spark, root, "items").where(vectors.usable("embedding")).select("item_id")
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
