@@ -29,6 +29,11 @@ def claim_key(text: Column | str) -> Column:
     return content_id(normalise_claim(text))
 
 
+def with_key(rows: DataFrame, text: str = "claim_text") -> DataFrame:
+    """``rows`` with claim_id; the normal form is a column of its own, so that it is made once a row."""
+    return rows.withColumn("_k", normalise_claim(text)).withColumn("claim_id", content_id(F.col("_k"))).drop("_k")
+
+
 def drafts(chunks: DataFrame, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """Every sentence of a chunk as a claim, as the stand-in for a model gives them; blank ones left out."""
     rows = chunks.select(key, F.posexplode(sentences(text)).alias("draft_ix", "claim_text"))
@@ -40,11 +45,11 @@ def merge(rows: DataFrame, order: list[str], evidence: list[str]) -> DataFrame:
 
     ``rows``: claim_text and the columns named. A statement may stand in any share of all rows: the map side combines before the shuffle.
     """
-    keyed = rows.withColumn("claim_id", claim_key("claim_text"))
+    keyed = with_key(rows)
     return keyed.groupBy("claim_id").agg(F.min_by("claim_text", F.struct(*order)).alias("text"), F.array_sort(F.collect_set(F.struct(*evidence))).alias("evidence"))
 
 
 def merge_counts(rows: DataFrame, group: str) -> DataFrame:
     """Per claim the number of statements and of different groups, without gathering evidence: two aggregations, none holds a group's rows."""
-    keyed = rows.withColumn("claim_id", claim_key("claim_text")).groupBy("claim_id", group).agg(F.count("*").alias("n"))
+    keyed = with_key(rows).groupBy("claim_id", group).agg(F.count("*").alias("n"))
     return keyed.groupBy("claim_id").agg(F.sum("n").alias("n_statements"), F.count(group).alias("n_groups"))

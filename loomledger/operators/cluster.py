@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from loomledger.config import DEFAULT, Settings
 from loomledger.functions.ids import per_mille
-from loomledger.functions.text import numbers
-from loomledger.operators.nli import stand_in
+from loomledger.functions.text import content_words, is_number
+from loomledger.operators.nli import of_words
 from loomledger.operators.vectors import slots_of, top_k
 from loomledger.tables import settle
 
@@ -35,9 +35,10 @@ def nominated(claims: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
 def equivalent(pairs: DataFrame, veto: bool = True, settings: Settings = DEFAULT) -> DataFrame:
     """a, b and mutual_pm of the pairs that entail each other both ways; with the veto, only where the numbers are the same."""
+    pairs = pairs.withColumn("_a", content_words("text_a")).withColumn("_b", content_words("text_b"))
     if veto:
-        pairs = pairs.where(numbers("text_a") == numbers("text_b"))
-    both = F.least(per_mille(stand_in("text_a", "text_b")["entailment"]), per_mille(stand_in("text_b", "text_a")["entailment"]))
+        pairs = pairs.where(F.filter("_a", is_number) == F.filter("_b", is_number))
+    both = F.least(per_mille(of_words(F.col("_a"), F.col("_b"))["entailment"]), per_mille(of_words(F.col("_b"), F.col("_a"))["entailment"]))
     return pairs.select("a", "b", both.alias("mutual_pm")).where(F.col("mutual_pm") >= settings.merge_entailment_pm)
 
 

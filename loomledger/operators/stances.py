@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from loomledger.config import DEFAULT, Settings
 from loomledger.functions.ids import per_mille
-from loomledger.functions.text import numbers, sentences
-from loomledger.operators.nli import stand_in
-from loomledger.operators.vectors import cosine_of_slots, slots_of
+from loomledger.functions.text import content_words, numbers, sentences
+from loomledger.operators.nli import of_words, stand_in
+from loomledger.operators.vectors import pair_cosine, slot_of
 
 
 def reverse_hypotheses(premise: Column | str) -> Column:
@@ -37,9 +37,9 @@ def score(pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
 
     The reverse scores are only taken of pairs that would contradict with the best of them.
     """
-    n = stand_in("premise", "claim")
-    rows = pairs.withColumn("sim_pm", per_mille(cosine_of_slots(slots_of("claim"), slots_of("premise")))).withColumn("_n", n)
-    rows = rows.withColumn("entail_pm", per_mille(F.col("_n.entailment"))).withColumn("contra_pm", per_mille(F.col("_n.contradiction"))).drop("_n")
+    rows = pairs.withColumn("_p", content_words("premise")).withColumn("_h", content_words("claim"))
+    rows = rows.withColumn("sim_pm", per_mille(pair_cosine(F.transform("_h", lambda w: slot_of(w)), F.transform("_p", lambda w: slot_of(w))))).withColumn("_n", of_words(F.col("_p"), F.col("_h")))
+    rows = rows.withColumn("entail_pm", per_mille(F.col("_n.entailment"))).withColumn("contra_pm", per_mille(F.col("_n.contradiction"))).drop("_n", "_p", "_h")
     would = (F.col("entail_pm") < settings.support_pm) & (F.col("contra_pm") >= settings.contradict_pm) & (F.col("sim_pm") >= settings.contradict_similarity_pm) & (F.size(numbers("claim")) > 0)
     reverse = F.array_max(F.transform(reverse_hypotheses("premise"), lambda h: per_mille(stand_in(F.col("claim"), h)["contradiction"])))
     rows = rows.withColumn("reverse_pm", F.when(would, reverse))

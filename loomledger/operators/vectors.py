@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from loomledger.config import DEFAULT
@@ -35,6 +40,19 @@ def cosine_of_slots(a: Column, b: Column) -> Column:
     return F.when((aa > 0) & (bb > 0), dot_of_slots(a, b) / F.sqrt((aa * bb).cast("double"))).otherwise(F.lit(0.0))
 
 
+@F.pandas_udf(DoubleType())
+def pair_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``cosine_of_slots`` for many pairs at once: one pass over each pair instead of a nested scan."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        x, y = Counter(x.tolist() if x is not None else ()), Counter(y.tolist() if y is not None else ())
+        if len(y) < len(x):
+            x, y = y, x
+        norms = sum(n * n for n in x.values()) * sum(n * n for n in y.values())
+        out.append(sum(n * y[s] for s, n in x.items() if s in y) / math.sqrt(norms) if norms else 0.0)
+    return pd.Series(out, dtype="float64")
+
+
 def cosine(a: Column | str, b: Column | str) -> Column:
     """Cosine in double precision; 0 where a norm is zero or the lengths differ; null members count as zero."""
     a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
@@ -120,9 +138,15 @@ def _top_block(queries: DataFrame, corpus: DataFrame, k: int, floor_pm: int, slo
                     if g:
                         score[r, np.isin(groups.astype(str), list(map(str, g)))] = -9
                 order = s.column("ord").to_numpy()
-                pick = np.lexsort((np.broadcast_to(order, score.shape), -score), axis=1)[:, :k]
-                good = np.take_along_axis(score, pick, 1) > -5
-                rr, cc = np.nonzero(good)[0], pick[good]
+                # all that tie with the k-th stay, unless a row has very many ties: then their order decides here
+                n = score.shape[1]
+                least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -5.0)
+                mask = (score >= least[:, None]) & (score > -5)
+                for r in np.nonzero(mask.sum(1) > 8 * k)[0]:
+                    keep = np.lexsort((order, -score[r]))[:k]
+                    mask[r] = False
+                    mask[r, keep[score[r, keep] > -5]] = True
+                rr, cc = np.nonzero(mask)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[rr]), pa.array(s.column("id").to_numpy()[cc]), pa.array(pm[rr, cc]), pa.array(cos[rr, cc]), pa.array(order[cc])], names=["qid", "cid", "sim_pm", "cosine", "ord"])
 
     c = corpus.select(F.col("id").cast("bigint").alias("id"), F.col("ord").cast("bigint").alias("ord"), "vec", "grp")

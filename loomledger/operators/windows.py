@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomledger.config import DEFAULT, Settings
-from loomledger.functions.text import WS, byte_slice, sentence_pieces, trim_ws, word_count
+from loomledger.functions.text import WS, sentence_pieces, trim_ws
 
 
 def sentence_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -20,39 +23,63 @@ def sentence_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
     return placed.select(key, (F.row_number().over(w) - 1).alias("sent_ix"), "sentence", F.col("start").cast("bigint").alias("start"), (F.col("start") + F.octet_length("sentence")).cast("bigint").alias("stop"))
 
 
-def slice_places(n_words, size: int):
+def slice_places(n_words: int, size: int) -> list[int]:
     """From which words the slices of a sentence of ``n_words`` begin: every half slice, the last one pinned to the end."""
-    last = n_words - size
-    return F.array_distinct(F.concat(F.filter(F.sequence(F.lit(0), last, F.lit(size // 2)), lambda s: s < last), F.array(last)))
+    last = max(0, n_words - size)
+    return [*range(0, last, size // 2), last]
+
+
+_CLASS = re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", WS)
+_END = re.compile(rf"(?<=[.!?])(?={_CLASS}|\Z)")
+_WORD = re.compile(_CLASS.replace("[", "[^", 1) + "+")
+
+
+def premises(text: str, settings: Settings = DEFAULT) -> list[tuple[int, int, int, str, int, int, bool]]:
+    """(first sentence, number of sentences, slice, premise, start, stop, whole) of every window of a text; places in characters."""
+    sents, at = [], 0
+    for piece in _END.split(text):
+        words = [(m.start() + at, m.end() + at) for m in _WORD.finditer(piece)]
+        if words:
+            sents.append(words)
+        at += len(piece)
+    out = []
+    for i, own in enumerate(sents):
+        for n in range(1, settings.window_sentences + 1):
+            if i + n > len(sents):
+                break
+            words = own if n == 1 else [w for s in sents[i : i + n] for w in s]
+            if len(words) <= settings.window_words:
+                out.append((i, n, 0, text[words[0][0] : words[-1][1]], words[0][0], words[-1][1], True))
+            elif n == 1:
+                for k, s in enumerate(slice_places(len(words), settings.window_words)):
+                    a, z = words[s][0], words[s + settings.window_words - 1][1]
+                    out.append((i, n, k, text[a:z], a, z, False))
+    return out
 
 
 def windows(chunks: DataFrame, key: str = "chunk_id", text: str = "text", settings: Settings = DEFAULT) -> DataFrame:
-    """key, first (sentence), n_sents, slice, premise and its byte places in the chunk's text.
+    """key, first (sentence), n_sents, slice, premise, its byte places in the chunk's text, and whether it is whole (no slice).
 
-    Runs of up to ``window_sentences`` sentences of at most ``window_words`` words; a single longer sentence becomes slices of that
-    many words, each beginning half a slice after the one before.
+    Runs of up to ``window_sentences`` sentences of at most ``window_words`` words; a single longer sentence becomes slices of that many words,
+    each beginning half a slice after the one before. A window lies in one row, so one Arrow pass makes them without a shuffle.
+    Null and blank texts have no window.
     """
-    s = sentence_spans(chunks, key, text)
-    w = Window.partitionBy(key).orderBy("sent_ix")
-    runs = []
-    for n in range(1, settings.window_sentences + 1):
-        stop = F.lead("stop", n - 1).over(w) if n > 1 else F.col("stop")
-        runs.append(s.select(key, F.col("sent_ix").alias("first"), F.lit(n).alias("n_sents"), "start", stop.alias("stop")).where("stop is not null"))
-    all_runs = runs[0]
-    for r in runs[1:]:
-        all_runs = all_runs.unionByName(r)
-    cut = all_runs.join(chunks.select(key, F.col(text).alias("_t")), key).withColumn("premise", byte_slice("_t", F.col("start"), F.col("stop"))).withColumn("n_words", word_count("premise")).drop("_t")
-    short = cut.where(F.col("n_words") <= settings.window_words).select(key, "first", "n_sents", F.lit(0).alias("slice"), "premise", "start", "stop")
-    return short.unionByName(long_slices(cut.where((F.col("n_words") > settings.window_words) & (F.col("n_sents") == 1)), key, settings.window_words).select(key, "first", "n_sents", "slice", "premise", "start", "stop"))
-
-
-def long_slices(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """``rows`` (premise, start, n_words) as slices of ``size`` words with their own byte places."""
-    # words with the white space before them: their lengths add up to places
-    parts = F.regexp_extract_all("premise", F.lit(rf"{WS}*{WS.replace('[', '[^', 1)}+"), F.lit(0))
-    cut = rows.withColumn("_p", parts).select("*", F.posexplode(slice_places(F.col("n_words"), size)).alias("slice", "_from"))
-    before = F.aggregate(F.slice("_p", F.lit(1), F.col("_from")), F.lit(0), lambda a, x: a + F.octet_length(x))
-    own = F.array_join(F.slice("_p", F.col("_from") + 1, F.lit(size)), "")
-    body = F.regexp_replace(own, rf"\A{WS}+", "")
-    start = F.col("start") + before + F.octet_length(own) - F.octet_length(body)
-    return cut.select(key, "first", "n_sents", "slice", body.alias("premise"), start.cast("bigint").alias("start"), (start + F.octet_length(body)).cast("bigint").alias("stop"))
+    kind = chunks.schema[key].dataType.simpleString()
+    names = ["first", "n_sents", "slice", "premise", "start", "stop", "whole"]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
+
+    def run(batches):
+        for b in batches:
+            at, rows = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                if not t:
+                    continue
+                plain = t.isascii()
+                for first, n, s, premise, a, z, whole in premises(t, settings):
+                    a = a if plain else len(t[:a].encode())
+                    rows.append((first, n, s, premise, a, a + (len(premise) if plain else len(premise.encode())), whole))
+                    at.append(k)
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[key, *names])
+
+    return chunks.select(key, text).mapInArrow(run, f"`{key}` {kind}, first int, n_sents int, slice int, premise string, start bigint, stop bigint, whole boolean")

@@ -180,23 +180,13 @@ _ALL = f"""{_CW}, cut AS (SELECT k, first, n_sents, premise, {sql.words('premise
 
 @query(f"{_CW}, cut AS (SELECT k, first, n_sents, start, stop, {_PREMISE} AS premise FROM runs JOIN text_rows USING (k)) SELECT k AS chunk_id, first, n_sents, CAST(start AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop, sha256(premise) AS digest FROM cut WHERE len({sql.words('premise')}) <= 120")
 def sentence_windows(spark, root):
-    w = windows.windows(_chunks(spark, root))
-    return w.where(text.word_count("premise") <= DEFAULT.window_words).where("slice = 0").join(_short_only(spark, root, w), ["chunk_id", "first", "n_sents", "start", "stop"], "left_semi").select("chunk_id", "first", "n_sents", "start", "stop", F.sha2("premise", 256).alias("digest"))
-
-
-def _short_only(spark, root, w):
-    """Windows that are whole runs: they end where a sentence ends."""
-    s = windows.sentence_spans(_chunks(spark, root), "chunk_id")
-    o = Window.partitionBy("chunk_id").orderBy("sent_ix")
-    one = s.select("chunk_id", F.col("sent_ix").alias("first"), F.lit(1).alias("n_sents"), "start", "stop")
-    two = s.select("chunk_id", F.col("sent_ix").alias("first"), F.lit(2).alias("n_sents"), "start", F.lead("stop").over(o).alias("stop"))
-    return one.unionByName(two)
+    w = windows.windows(_chunks(spark, root)).where("whole")
+    return w.select("chunk_id", "first", "n_sents", "start", "stop", F.sha2("premise", 256).alias("digest"))
 
 
 @query()
 def long_sentence_slices(spark, root):
-    w = windows.windows(_chunks(spark, root))
-    return w.where(text.word_count("premise") == DEFAULT.window_words).select("chunk_id", "first", "slice", "start", "stop", "premise")
+    return windows.windows(_chunks(spark, root)).where("not whole").select("chunk_id", "first", "slice", "start", "stop", "premise")
 
 
 # claims and the ledger -----------------------------------------------------------------------------------------------
@@ -218,7 +208,7 @@ def corroborated_claims(spark, root):
 
 @query(f"SELECT {sql.content_id(sql.normalise('claim_text'))} AS claim_id, arg_min(claim_text, (doc_id, i)) AS text, count(*) AS n FROM {_STATED} GROUP BY 1")
 def claim_merge(spark, root):
-    keyed = _statements(spark, root).withColumn("claim_id", claims.claim_key("claim_text"))
+    keyed = claims.with_key(_statements(spark, root))
     return keyed.groupBy("claim_id").agg(F.min_by("claim_text", F.struct("doc_id", "draft_ix")).alias("text"), F.count("*").alias("n"))
 
 
