@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,6 +58,14 @@ def premises(text: str, settings: Settings = DEFAULT) -> list[tuple[int, int, in
     return out
 
 
+def _byte_places(text: str) -> np.ndarray:
+    """The byte at which each character begins, and the length, in UTF-8."""
+    if text.isascii():
+        return np.arange(len(text) + 1)
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.concatenate([[0], np.cumsum(1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))])
+
+
 def windows(chunks: DataFrame, key: str = "chunk_id", text: str = "text", settings: Settings = DEFAULT) -> DataFrame:
     """key, first (sentence), n_sents, slice, premise, its byte places in the chunk's text, and whether it is whole (no slice).
 
@@ -74,10 +83,9 @@ def windows(chunks: DataFrame, key: str = "chunk_id", text: str = "text", settin
             for k, t in enumerate(b.column(1).to_pylist()):
                 if not t:
                     continue
-                plain = t.isascii()
+                places = _byte_places(t)
                 for first, n, s, premise, a, z, whole in premises(t, settings):
-                    a = a if plain else len(t[:a].encode())
-                    rows.append((first, n, s, premise, a, a + (len(premise) if plain else len(premise.encode())), whole))
+                    rows.append((first, n, s, premise, int(places[a]), int(places[z]), whole))
                     at.append(k)
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[key, *names])

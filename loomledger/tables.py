@@ -10,10 +10,23 @@ from pyspark.sql import functions as F
 from loomledger.shipping import ship
 
 
-def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+def table(spark: SparkSession, root: str, name: str, spread: bool = True) -> DataFrame:
     """The table ``name`` of the folder ``root``; filters and columns reach the Parquet scan."""
     ship(spark)
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    df = spark.read.parquet(f"{root}/{name}.parquet")
+    return _spread(df) if spread else df
+
+
+#: A table above this size in fewer files than there are cores is spread over them after the scan.
+SPREAD_BYTES = 1 << 20
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A small table often is one row group, which one task would read and work on alone; tables of many files stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if len(df.inputFiles()) >= cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES:
+        return df
+    return df.repartition(cores)
 
 
 def latest(df: DataFrame, key: str | Sequence[str], order: str = "ingested_at", keep: Sequence[str] | None = None) -> DataFrame:
