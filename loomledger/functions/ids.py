@@ -25,7 +25,7 @@ def content_id(*parts: Column) -> Column:
 def per_mille(p: Column) -> Column:
     """A probability as an integer from 0 to 1000, rounded half away from zero; null stays null, NaN is 0."""
     x = F.when(F.isnan(p), F.lit(0.0)).otherwise(p)
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 1000).cast("int")
+    return F.when(p.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)) * 1000).cast("int"))
 
 
 _IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)

@@ -125,5 +125,5 @@ def bad_segments(segments: DataFrame, key: str = "clip_id", slack: float = 0.02)
 
     before = F.lag("stop").over(Window.partitionBy(key).orderBy("ix"))
     sound = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    bad = ~(sound("start") & sound("stop")) | (F.col("stop") < F.col("start")) | (F.col("start") < 0) | (F.col("stop") > F.col("length") + slack) | (before > F.col("start") + slack)
+    bad = ~(sound("start") & sound("stop")) | (F.col("stop") < F.col("start")) | (F.col("start") < 0) | (F.col("stop") > F.col("length") + slack) | F.coalesce(before > F.col("start") + slack, F.lit(False))
     return segments.withColumn("bad", F.coalesce(bad, F.lit(True))).where("bad").drop("bad")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
@@ -58,8 +59,6 @@ def fill(text: str | None, quotes: list[str] | None) -> tuple[str | None, str |
 
 def fill_quotes(text, quotes):
     """``fill`` as a column: struct<ok, error, argument, index>."""
-    import pandas as pd
-
     @F.pandas_udf(FILLED)  # type: ignore[call-overload]
     def run(t: pd.Series, q: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([fill(a, None if b is None else list(b)) for a, b in zip(t, q, strict=True)], columns=["ok", "error", "argument", "index"]).astype({"index": "Int32"})

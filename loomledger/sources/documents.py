@@ -28,7 +28,7 @@ def local_files(spark: SparkSession, root: str, group: str, label: str | None =
     # names are shipped as a table, not as a list in the plan
     names = spark.createDataFrame([(os.path.basename(p), i) for i, p in enumerate(inside)], "name string, ord bigint")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").option("pathGlobFilter", "*.{md,txt}").load(str(here)).where(F.col("length") <= limit)
-    rows = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("name", F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B")))).join(names, "name")
+    rows = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(names, "name")
     text = F.when(F.is_valid_utf8(F.col("content")), F.decode("content", "utf-8")).otherwise(F.raise_error(F.concat(F.lit("not valid UTF-8: "), F.col("path"))))
     rows = rows.withColumn("text", text)
     first = F.regexp_extract("text", rf"\A(?:{WS}*\n)?([^\n]*)", 1)
