@@ -98,6 +98,8 @@ def _long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
             heads, tails = [], []
             for ix, n, part in zip(*(b.column(c).to_pylist() for c in ("ix", "n", "part")), strict=True):
                 at = boundaries(part, ix == n - 1)
+                # not behind white space: a run of it is cut by what follows it, which a piece that ends there does not show
+                at = [x for x in at if x and not part[x - 1].isspace()]
                 heads.append([x for x in at if ix and x < overlap])
                 tails.append([x - step for x in at if ix < n - 1 and x >= step])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*b.schema.names, "head", "tail"])

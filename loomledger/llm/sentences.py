@@ -27,6 +27,8 @@ _OPEN, _CLOSE = "“«„「『（(‹", "”»“」』）)›"
 #: A run of terminators with the closing marks after it; French puts a space before them.
 _SPACED = re.compile(r"(?P<t>[.!?…‽]+|[。！？।॥]+)(?P<c>(?:[    ]?[»›]|[\"'”’“‘)\]」』）])*)(?=\s|$|(?<=[。！？।॥])|(?<=[。！？।॥][」』”’）]))")
 _WORD_BEFORE = re.compile(r"(?:[^\W_]|[.’'̀-ͯऀ-ःऺ-ॏ])+$")
+#: Gaps that one sentence can pass over.
+LOOK_BACK = 40
 _EAST = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _THAI = re.compile("[฀-๿]")
 _INDIC = re.compile("[ऀ-෿]")
@@ -130,7 +132,7 @@ def _spaced(par: str) -> list[int]:
         passed.append(passed[-1] + s)
     quotes = any(c in par for c in "“”«»„")
     for j in range(1, n + 1):
-        for i in range(j - 1, max(-1, j - 9), -1):
+        for i in range(j - 1, max(-1, j - LOOK_BACK - 1), -1):
             begin = gaps[i - 1][0] if i else 0
             g = gain[i] + gaps[j - 1][1] - (passed[j - 1] - passed[i])
             if quotes and g > gain[j]:
