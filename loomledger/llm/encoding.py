@@ -80,18 +80,23 @@ def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap:
 
 
 def _long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+    """Every row on its own (``uid``), so that a repeated or a null id changes nothing."""
+    from pyspark import TaskContext
+
     if chunk <= 2 * overlap:
         raise ValueError("a chunk must be longer than two overlaps")
     step = chunk - overlap
     key = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
+        uid = (TaskContext.get().partitionId() << 40) - 1
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for at, text in enumerate(b.column("text").to_pylist()):
+                uid += 1
                 n = max(1, -(-(len(text) - overlap) // step))
                 for ix in range(n):
                     part = text[ix * step : ix * step + chunk] if ix < n - 1 else text[ix * step :]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array([doc], b.schema.field("doc_id").type), "ix": pa.array([ix], pa.int32()), "n": pa.array([n], pa.int32()), "part": [part]})
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 1), pa.array([uid], pa.int64()), pa.array([ix], pa.int32()), pa.array([n], pa.int32()), pa.array([part])], names=["doc_id", "uid", "ix", "n", "part"])
 
     def pretokenise(batches):
         for b in batches:
@@ -104,23 +109,27 @@ def _long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
                 tails.append([x - step for x in at if ix < n - 1 and x >= step])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*b.schema.names, "head", "tail"])
 
-    schema = f"doc_id {key}, ix int, n int, part string"
+    schema = f"doc_id {key}, uid bigint, ix int, n int, part string"
     # chunks, not documents, are spread: one text can be larger than all others together
-    chunks = settle(docs.mapInArrow(cut, schema).repartition("doc_id", "ix").mapInArrow(pretokenise, f"{schema}, head array<int>, tail array<int>"), "p8-chunks")
-    left = chunks.select("doc_id", (F.col("ix") + 1).alias("ix"), "tail")
+    chunks = settle(docs.mapInArrow(cut, schema).repartition("uid", "ix").mapInArrow(pretokenise, f"{schema}, head array<int>, tail array<int>"), "p8-chunks")
+    left = chunks.select("uid", (F.col("ix") + 1).alias("ix"), "tail")
     # the first common boundary; relative to the start of chunk ix
-    joints = chunks.where("ix > 0").select("doc_id", "ix", "head").join(left, ["doc_id", "ix"]).select("doc_id", "ix", F.array_min(F.array_intersect("head", "tail")).alias("at"))
-    broken = joints.where(F.col("at").isNull()).select("doc_id").distinct()
-    begin = joints.select("doc_id", "ix", F.col("at").alias("begin"))
-    end = joints.select("doc_id", (F.col("ix") - 1).alias("ix"), (F.col("at") + step).alias("end"))
-    own = chunks.select("doc_id", "ix", "part").join(broken, "doc_id", "left_anti").join(begin, ["doc_id", "ix"], "left").join(end, ["doc_id", "ix"], "left")
+    joints = chunks.where("ix > 0").select("uid", "ix", "head").join(left, ["uid", "ix"]).select("uid", "ix", F.array_min(F.array_intersect("head", "tail")).alias("at"))
+    broken = joints.where(F.col("at").isNull()).select("uid").distinct()
+    begin = joints.select("uid", "ix", F.col("at").alias("begin"))
+    end = joints.select("uid", (F.col("ix") - 1).alias("ix"), (F.col("at") + step).alias("end"))
+    own = chunks.select("doc_id", "uid", "ix", "part").join(broken, "uid", "left_anti").join(begin, ["uid", "ix"], "left").join(end, ["uid", "ix"], "left")
 
     def run(batches):
         enc = encoder(path)
         for b in batches:
             ids = [enc.encode_ordinary(part[begin or 0 : end]) for part, begin, end in zip(*(b.column(c).to_pylist() for c in ("part", "begin", "end")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("ix"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ix", "ids"])
-
-    parts = own.mapInArrow(run, f"doc_id {key}, ix int, ids array<int>")
-    stitched = parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ix", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return stitched.unionByName(_encode_all(docs.join(broken, "doc_id", "left_semi"), path, None))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), b.column("ix"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "uid", "ix", "ids"])
+
+    parts = own.select("doc_id", "uid", "ix", "part", "begin", "end").mapInArrow(run, f"doc_id {key}, uid bigint, ix int, ids array<int>")
+    in_order = lambda c: F.array_sort(F.collect_list(F.struct("ix", c)))
+    stitched = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.flatten(F.transform(in_order("ids"), lambda x: x["ids"])).alias("ids")).select("doc_id", "ids")
+    # the chunks of a text that is encoded whole, without their overlaps
+    bare = F.when(F.col("ix") < F.col("n") - 1, F.substring("part", 1, step)).otherwise(F.col("part"))
+    whole = chunks.join(broken, "uid", "left_semi").select("doc_id", "uid", "ix", bare.alias("part")).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.array_join(F.transform(in_order("part"), lambda x: x["part"]), "").alias("text"))
+    return stitched.unionByName(_encode_all(whole, path, None))

@@ -86,7 +86,7 @@ def parts(pieces: DataFrame, turns: DataFrame, scripts: DataFrame, backends: Dat
     t = latest(turns.select("script_id", "turn", "ingested_at", "text"), ["script_id", "turn"]).drop("ingested_at")
     rooms = backends.groupBy("backend").agg(F.max("max_chunk_secs").alias("secs"))
     least = backends.agg(F.min("max_chunk_secs").alias("least"))
-    limit = scripts.join(rooms, "backend", "left").crossJoin(F.broadcast(least)).groupBy("script_id").agg(F.min(F.coalesce("secs", "least")).alias("secs"))  # one row against all
+    limit = scripts.select("script_id", "backend").join(rooms, "backend", "left").crossJoin(F.broadcast(least)).groupBy("script_id").agg(F.min(F.coalesce("secs", "least")).alias("secs"))  # one row against all
     room = limit.select("script_id", F.greatest(F.lit(1), F.floor(F.col("secs") * WORDS_A_MINUTE / 60)).cast("int").alias("room"))
     sliced = F.encode("text", "utf-8").substr(F.col("start").cast("int") + 1, (F.col("stop") - F.col("start")).cast("int"))
     rows = p.join(t, ["script_id", "turn"], "left").select("script_id", "piece_id", "turn", "beat", "start", "stop", sliced.alias("raw")).join(room, "script_id")

@@ -16,6 +16,7 @@ from loomledger.llm import packing as p3
 from loomledger.llm import residue as p10
 from loomledger.llm import sentences as p5
 from loomledger.llm import splitting as p7
+from loomledger.functions.text import WS
 from loomledger.tables import latest, table
 
 
@@ -140,7 +141,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p5_found, p5_document_sentences, p5_chunk_sentences, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found, p10_found, p10_unseen_hosts)}
 
 
+#: Three-word sequences of the texts of at least 400 characters, and the pairs that share enough of them.
+_PAIRS = f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{WS}+'), lambda x: x <> '') AS w FROM documents WHERE length(text) >= 400),
+ s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM d WHERE len(w) >= 3), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL) SELECT a AS doc_a, b AS doc_b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.6 * (x.n + y.n - c) - 1e-9"""
+
+_NEAREST = """WITH v AS (SELECT item_id, CAST(embedding AS DOUBLE[]) AS e FROM items WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ u AS (SELECT item_id, list_transform(e, lambda x: x / n) AS u FROM (SELECT item_id, e, sqrt(list_inner_product(e, e)) AS n FROM v)), r AS (SELECT a.item_id AS a, b.item_id AS b FROM u a JOIN u b ON a.item_id <> b.item_id QUALIFY row_number() OVER (PARTITION BY a.item_id ORDER BY round(list_inner_product(a.u, b.u), 9) DESC, b.item_id) <= 5)
+ SELECT DISTINCT least(a, b) AS item_a, greatest(a, b) AS item_b FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _PAIRS,
+        "p6_found": _NEAREST,
         "p7_found": "SELECT chunk_id FROM (SELECT chunk_id, arg_max(length(text), ingested_at) AS n FROM chunks GROUP BY chunk_id) WHERE n > 2400",
     }
