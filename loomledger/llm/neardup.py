@@ -50,31 +50,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Words(dict):
+    """Each word's 64-bit hash; forgets all when it has grown large."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        h = self[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
 class Shingler:
-    """Hashed shingle sets of many texts at once."""
+    """Hashed shingle sets of many texts."""
 
     def __init__(self, words: int):
-        self.words, self.known = words, {}
+        self.words, self.known = words, _Words()
+        # a word's place in the shingle turns its hash by an odd factor of its own
+        self.factors = [np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1) ** 3 | 1) & (2**64 - 1)) for j in range(words)]
 
     def hashes(self, tokens: list[str]) -> np.ndarray:
-        known = self.known
-        if len(known) > 2_000_000:
-            known.clear()
-        out = []
-        for w in tokens:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-            out.append(h)
-        return np.array(out, np.uint64)
+        return np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
 
     def shingles(self, h: np.ndarray) -> np.ndarray:
         """The different shingles, sorted, of 48 bits each: two of a thousand differing ones agree once in 10**11."""
-        k = self.words
-        x = np.zeros(len(h) - k + 1, np.uint64)
-        for j in range(k):
-            x = _mix(x * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j])
-        return np.unique(x >> np.uint64(16))
+        n = len(h) - self.words + 1
+        x = h[:n] * self.factors[0]
+        for j in range(1, self.words):
+            x += h[j : j + n] * self.factors[j]
+        x = np.sort(_mix(x) >> np.uint64(16))
+        return x[np.append(True, x[1:] != x[:-1])] if n > 1 else x
 
     def text(self, text: str | None, min_chars: int) -> np.ndarray | None:
         if text is None or len(text) < min_chars:
