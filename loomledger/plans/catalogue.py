@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from loomledger.config import DEFAULT
 from loomledger.functions import speech, text
 from loomledger.functions.ids import content_id
-from loomledger.operators import adjudicate, analyse, claims, cluster, ground, ledger, prepare, ranking, script, stances, vectors, windows
+from loomledger.operators import adjudicate, analyse, claims, cluster, ground, ledger, prepare, ranking, references, script, stances, vectors, windows
 from loomledger.operators.audio import plan, verify
 from loomledger.plans import sql
 from loomledger.tables import latest, table
@@ -151,7 +151,7 @@ def names_prefix(spark, root):
     return _chunks(spark, root).join(d, "doc_id", "left").select("chunk_id", text.names_prefix("title", "heading_path").alias("prefix"))
 
 
-@query(f"SELECT script_id, sum(len({sql.words('text')})) AS words, sum(len({sql.words('text')})) * 60.0 / 150 AS secs FROM {_TU} WHERE text IS NOT NULL GROUP BY script_id")
+@query(f"SELECT script_id, CAST(sum(len({sql.words('text')})) AS BIGINT) AS words, CAST(sum(len({sql.words('text')})) AS BIGINT) * 60.0 / 150 AS secs FROM {_TU} WHERE text IS NOT NULL GROUP BY script_id")
 def estimate_secs(spark, root):
     return _turns(spark, root).where("text is not null").groupBy("script_id").agg(F.sum(text.word_count("text")).alias("words")).withColumn("secs", F.col("words") * 60.0 / DEFAULT.words_per_minute)
 
@@ -421,8 +421,8 @@ def citation_counts(spark, root):
     return _turns(spark, root).select(F.explode("citations").alias("claim_id")).groupBy("claim_id").agg(F.count("*").alias("times"))
 
 
-@query(f"""WITH t AS (SELECT * FROM {_TU}), b AS (SELECT script_id, sum(len({sql.words("coalesce(text, '')")})) AS words, count(*) AS turns, sum(coalesce(len(quotes), 0)) AS quotes, sum(coalesce(len(citations), 0)) AS citations FROM t GROUP BY script_id), l AS (SELECT claim_id, status FROM {sql.LEDGER}),
- c AS (SELECT script_id, claim_id, count(*) AS times FROM (SELECT script_id, unnest(citations) AS claim_id FROM t) GROUP BY ALL), j AS (SELECT script_id, count(*) FILTER (WHERE status <> 'unsupported') AS distinct_cited, count(*) FILTER (WHERE status = 'unsupported') AS cited_unsupported, coalesce(sum(times) FILTER (WHERE status IS NULL), 0) AS unknown_citations, count(*) FILTER (WHERE status = 'contested') AS judged_cited FROM c LEFT JOIN l USING (claim_id) GROUP BY script_id), u AS (SELECT count(*) AS usable_claims FROM l WHERE status <> 'unsupported')
+@query(f"""WITH t AS (SELECT * FROM {_TU}), b AS (SELECT script_id, CAST(sum(len({sql.words("coalesce(text, '')")})) AS BIGINT) AS words, count(*) AS turns, CAST(sum(coalesce(len(quotes), 0)) AS BIGINT) AS quotes, CAST(sum(coalesce(len(citations), 0)) AS BIGINT) AS citations FROM t GROUP BY script_id), l AS (SELECT claim_id, status FROM {sql.LEDGER}),
+ c AS (SELECT script_id, claim_id, count(*) AS times FROM (SELECT script_id, unnest(citations) AS claim_id FROM t) GROUP BY ALL), j AS (SELECT script_id, count(*) FILTER (WHERE status <> 'unsupported') AS distinct_cited, count(*) FILTER (WHERE status = 'unsupported') AS cited_unsupported, CAST(coalesce(sum(times) FILTER (WHERE status IS NULL), 0) AS BIGINT) AS unknown_citations, count(*) FILTER (WHERE status = 'contested') AS judged_cited FROM c LEFT JOIN l USING (claim_id) GROUP BY script_id), u AS (SELECT count(*) AS usable_claims FROM l WHERE status <> 'unsupported')
  SELECT script_id, words, words / 1500.0 AS word_ratio, turns, quotes, citations, coalesce(distinct_cited, 0) AS distinct_cited, coalesce(cited_unsupported, 0) AS cited_unsupported, usable_claims, coalesce(distinct_cited, 0) / usable_claims AS coverage, coalesce(judged_cited, 0) AS judged_cited, coalesce(unknown_citations, 0) AS unknown_citations FROM b LEFT JOIN j USING (script_id) CROSS JOIN u""")
 def script_metrics(spark, root):
     return analyse.script_metrics(_turns(spark, root), ledger.classify(table(spark, root, "claims").select("claim_id", "evidence")))
@@ -489,6 +489,12 @@ def ledger_view(spark, root):
     return script.ledger_view(own, verdicts).select("claim_id", "status", "favours")
 
 
+@query(f"WITH text_rows AS (SELECT chunk_id AS k, text AS t FROM {_CH}), {sql.SPANS} SELECT k AS chunk_id, sent_ix AS sent_no, CAST(s.start + c.span.start AS BIGINT) AS start, CAST(s.stop + c.span.start AS BIGINT) AS stop FROM spans s JOIN {_CH} c ON c.chunk_id = k")
+def numbered_sources(spark, root):
+    c = _chunks(spark, root).select(F.col("chunk_id").alias("source_no"), "doc_id", F.col("span.start").alias("start"), "text")
+    return references.numbered(c).select(F.col("source_no").alias("chunk_id"), "sent_no", "span.start", "span.stop")
+
+
 # speech --------------------------------------------------------------------------------------------------------------
 
 
