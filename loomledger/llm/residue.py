@@ -16,9 +16,11 @@ import html
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 SAMPLE = 6000
 NEGATIVES = 16_000
@@ -220,6 +222,10 @@ def validate(docs: DataFrame, size: int = SAMPLE, fold: int = 5) -> DataFrame:
     """Trained on the hosts (``source``) outside one fold: documents of the other hosts by weak label and prediction."""
     host = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(fold)) == 0
     weights = train(sample(docs.where(~host), size))
-    label = F.udf(lambda t: bool(t) and any(weak(s) for s in segments(clean(t))), "boolean")
+
+    @F.pandas_udf(BooleanType())  # type: ignore[call-overload]
+    def label(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: bool(t) and any(weak(s) for s in segments(clean(t)))).astype(bool)
+
     unseen = docs.where(host)
     return scored(unseen, weights).join(unseen.select("doc_id", label("text").alias("label")), "doc_id").groupBy("label", (F.col("score") > 0).alias("predicted")).count()
