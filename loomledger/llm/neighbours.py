@@ -8,6 +8,11 @@ it on each curve; cosines are taken in double precision, and the lists of all cu
 Exactly equal vectors are one class: it travels once, with the six smallest ids of its members, however
 many it has. No list is cut: the nearest of a class come from its own members and those of other classes.
 
+Tight clusters (scaled or slightly noisy copies): below its first 60 bits a key goes on for 15 more bits an axis, so each curve
+orders the inside of a cell its own way; and the vectors of a cell that holds more than ``block`` of them are compared all with all.
+Each vector takes part in the fullest of its cells, so a cluster is compared once, on a curve that doesn't divide it.
+That work is quadratic in the cluster.
+
 Defined results: vectors that are null, not of ``dims`` members, not finite or all zero have no neighbours and are
 nobody's; with fewer than k + 1 usable vectors, the neighbours are all others. Rows with a null id are left out.
 A curve finds most neighbours, not all: ``curves`` and ``block`` are the price of recall (README has the measured one).
@@ -30,10 +35,13 @@ CURVES = 10
 BLOCK = 2048
 AXES = 12
 BITS = 5
+#: Bits an axis of a whole key, and vectors of a full cell that one task compares with as many others.
+FINE = 20
+DENSE = 8192
 
 
-def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
-    """The places on the Hilbert curve of points with integer coordinates below 2**bits (Skilling's transform)."""
+def _transposed(cells: np.ndarray, bits: int) -> np.ndarray:
+    """Skilling's transform: a row for each axis; the places' bits are theirs, taken in turn."""
     x = cells.astype(np.uint64).T.copy()
     n, one = len(x), np.uint64(1)
     q = one << np.uint64(bits - 1)
@@ -53,19 +61,31 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
         t ^= np.where((x[n - 1] & q) != 0, q - one, np.uint64(0))
         q >>= one
     x ^= t
-    key = np.zeros_like(t)
-    for j in range(bits - 1, -1, -1):
-        for i in range(n):
-            key = (key << one) | ((x[i] >> np.uint64(j)) & one)
+    return x
+
+
+def _woven(x: np.ndarray, high: int, low: int) -> np.ndarray:
+    """The bits from ``high`` (exclusive) down to ``low`` of all axes as one number."""
+    key = np.zeros_like(x[0])
+    for j in range(high - 1, low - 1, -1):
+        for row in x:
+            key = (key << np.uint64(1)) | ((row >> np.uint64(j)) & np.uint64(1))
     return key.astype(np.int64)
 
 
-def curve_keys(units: np.ndarray, curve: int, axes: int = AXES, bits: int = BITS) -> np.ndarray:
+def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
+    """The places on the Hilbert curve of points with integer coordinates below 2**bits."""
+    return _woven(_transposed(cells, bits), bits, 0)
+
+
+def curve_keys(units: np.ndarray, curve: int, axes: int = AXES, bits: int = BITS) -> list[np.ndarray]:
+    """The places on a curve, ``bits`` an axis in each member: the first is the cell, the others go on inside it."""
     rng = np.random.default_rng(7919 + curve)
     to = np.linalg.qr(rng.normal(size=(units.shape[1], min(axes, units.shape[1]))))[0]
     spread = 3.0 / np.sqrt(units.shape[1])  # a unit vector's coordinate rarely leaves three deviations
     y = (units @ to + spread) / (2 * spread) * 0.75 + rng.uniform(0, 0.25, size=to.shape[1])
-    return hilbert(np.clip(y * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
+    x = _transposed(np.clip(y * (1 << FINE), 0, (1 << FINE) - 1).astype(np.int64), FINE)
+    return [_woven(x, high, high - bits) for high in range(FINE, 0, -bits)]
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
@@ -112,15 +132,64 @@ def _nearest(score: np.ndarray, mine: np.ndarray, units: np.ndarray, others: np.
     exact[got < -1.5] = -9
     order = np.lexsort((ids[pick], -exact), axis=1)[:, :k]
     out, cos = np.take_along_axis(pick, order, 1), np.take_along_axis(exact, order, 1)
-    for r in np.nonzero(crowded)[0]:
-        all_ = np.round(others @ units[mine[r]], 9)
-        all_[score[r] < -1.5] = -9
-        best = np.lexsort((ids, -all_))[:k]
-        out[r], cos[r] = best, all_[best]
+    rows = np.nonzero(crowded)[0]
+    for a in range(0, len(rows), 256):
+        r = rows[a : a + 256]
+        out[r], cos[r] = _exact(units[mine[r]], others, ids, k, score[r] < -1.5)
     out = np.where(cos < -1.5, -1, out)
     return out, cos
 
 
+def _exact(units: np.ndarray, others: np.ndarray, ids: np.ndarray, k: int, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like _nearest with all cosines in double precision; pairs ``apart`` don't count."""
+    m = len(others)
+    place = np.empty(m)
+    place[np.argsort(ids)] = np.arange(m)
+    cos = units @ others.T
+    rank = place - np.rint(cos * 1e9) * m  # whole numbers below 2**53: the rounded cosine first, then the id
+    rank[apart] = np.inf
+    pick = np.argpartition(rank, k - 1, axis=1)[:, :k] if k < m else np.tile(np.arange(m), (len(units), 1))
+    got = np.take_along_axis(rank, pick, 1)
+    order = np.argsort(got, axis=1)
+    pick, got = np.take_along_axis(pick, order, 1), np.take_along_axis(got, order, 1)
+    return pick, np.where(np.isinf(got), -9, np.round(np.take_along_axis(cos, pick, 1), 9))
+
+
+def _lists(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    """Rows of cls and near."""
+    kind = pa.list_(pa.struct([("c", pa.float64()), ("n", pa.int64())]))
+    rows_cls, rows_near = [pa.array([], pa.int64())], [pa.array([], kind)]
+    for c, other, cos in lists:
+        good = cos > -1.5
+        offsets = np.concatenate([[0], np.cumsum(good.sum(1))]).astype(np.int32)
+        pairs = pa.StructArray.from_arrays([pa.array(-cos[good]), pa.array(other[good], pa.int64())], names=["c", "n"])
+        rows_cls.append(pa.array(c, pa.int64()))
+        rows_near.append(pa.ListArray.from_arrays(pa.array(offsets), pairs).cast(kind))
+    return pa.table({"cls": pa.concat_arrays(rows_cls), "near": pa.concat_arrays(rows_near)})
+
+
+def _all(dims: int, k: int):
+    """Compares two parts of a full cell, or one part with itself."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        right = table.column("right").to_numpy()
+        cls = table.column("cls").to_numpy()
+        u = _matrix(table.column("embedding"), dims)
+        u /= np.linalg.norm(u, axis=1)[:, None]
+        one = not right.any()
+        lists = []
+        for side in (0,) if one else (0, 1):
+            mine, their = np.nonzero(right == side)[0], np.nonzero(right == (0 if one else 1 - side))[0]
+            for a in range(0, len(mine) if len(their) else 0, 256):
+                q = mine[a : a + 256]
+                out, cos = _exact(u[q], u[their], cls[their], k, cls[q][:, None] == cls[their])
+                lists.append((cls[q], cls[their][out], cos))
+        return _lists(lists)
+
+    return run
+
+
 def _window(dims: int, k: int):
     """Compares a run with itself and with the next run."""
 
@@ -142,16 +211,7 @@ def _window(dims: int, k: int):
             if n < len(u):
                 out, cos = _nearest(np.ascontiguousarray(s[:, n:].T), np.arange(n, len(u)), u, u[:n], cls[:n], k)
                 lists.append((cls[n:], np.where(out < 0, -1, cls[:n][out]), cos))
-        if not lists:
-            return pa.table({"cls": pa.array([], pa.int64()), "near": pa.array([], pa.list_(pa.struct([("c", pa.float64()), ("n", pa.int64())])))})
-        rows_cls, rows_near = [], []
-        for c, other, cos in lists:
-            good = cos > -1.5
-            offsets = np.concatenate([[0], np.cumsum(good.sum(1))]).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array(-cos[good]), pa.array(other[good], pa.int64())], names=["c", "n"])
-            rows_cls.append(pa.array(c, pa.int64()))
-            rows_near.append(pa.ListArray.from_arrays(pa.array(offsets), pairs))
-        return pa.table({"cls": pa.concat_arrays(rows_cls), "near": pa.concat_arrays([x.cast(rows_near[0].type) for x in rows_near])})
+        return _lists(lists)
 
     return run
 
@@ -163,12 +223,14 @@ def nearest(items: DataFrame, k: int = K, dims: int = DIMS, curves: int = CURVES
     rows = usable(items.withColumn("item_id", F.col("item_id").cast("bigint")), dims)
     own = settle(classes(rows, k + 1), "p6-classes")
 
+    inside = ["key", *(f"key{i}" for i in range(1, FINE // BITS))]
+
     def place(batches):
         for b in batches:
             u = _matrix(b.column("embedding"), dims)
             u /= np.linalg.norm(u, axis=1)[:, None]
             for c in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), c, np.int32)), pa.array(curve_keys(u, c)), b.column("cls")], names=["curve", "key", "cls"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), c, np.int32)), *map(pa.array, curve_keys(u, c)), b.column("cls")], names=["curve", *inside, "cls"])
 
     def number(batches):
         seen: dict[int, int] = {}
@@ -180,18 +242,23 @@ def nearest(items: DataFrame, k: int = K, dims: int = DIMS, curves: int = CURVES
                 mine = curve == c
                 at[mine] = seen.get(int(c), 0) + np.arange(mine.sum())
                 seen[int(c)] = seen.get(int(c), 0) + int(mine.sum())
-            yield pa.RecordBatch.from_arrays([b.column("curve"), b.column("cls"), pa.array(np.full(len(curve), part, np.int32)), pa.array(at)], names=["curve", "cls", "part", "at"])
+            yield pa.RecordBatch.from_arrays([b.column("curve"), b.column("cls"), b.column("key"), pa.array(np.full(len(curve), part, np.int32)), pa.array(at)], names=["curve", "cls", "key", "part", "at"])
 
-    keys = own.select("cls", "embedding").mapInArrow(place, "curve int, key bigint, cls bigint")
-    ranged = keys.repartitionByRange("curve", "key", "cls").sortWithinPartitions("curve", "key", "cls")
-    placed = settle(ranged.mapInArrow(number, "curve int, cls bigint, part int, at bigint"), "p6-curves")
+    keys = own.select("cls", "embedding").mapInArrow(place, f"curve int, {', '.join(f'{c} bigint' for c in inside)}, cls bigint")
+    ranged = keys.repartitionByRange("curve", *inside, "cls").sortWithinPartitions("curve", *inside, "cls")
+    placed = settle(ranged.mapInArrow(number, "curve int, cls bigint, key bigint, part int, at bigint"), "p6-curves")
     # a row for each curve and partition, whatever the number of vectors
     sizes = placed.groupBy("curve", "part").count()
     before = sizes.withColumn("before", F.sum("count").over(Window.partitionBy("curve").orderBy("part")) - F.col("count")).select("curve", "part", "before")
     runs = placed.join(before, ["curve", "part"]).select("curve", "cls", F.floor((F.col("before") + F.col("at")) / block).cast("int").alias("run"))
     meets = runs.select("curve", "cls", F.explode(F.array(F.struct(F.col("run").alias("run"), F.lit(0).alias("right")), F.struct((F.col("run") - 1).alias("run"), F.lit(1).alias("right")))).alias("m")).select("curve", "cls", "m.run", "m.right").where("run >= 0")
     near = meets.join(own.select("cls", "embedding"), "cls").select("curve", "run", "right", "cls", "embedding").groupBy("curve", "run").applyInArrow(_window(dims, k), "cls bigint, near array<struct<c:double,n:bigint>>")
-    merged = near.groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
+    # a cell that no window covers is divided into parts, and each two of them meet
+    full = placed.groupBy("curve", "key").count().where(F.col("count") > block)
+    fullest = placed.join(full, ["curve", "key"]).groupBy("cls").agg(F.max(F.struct("count", "curve", "key")).alias("f")).select("cls", "f.*").withColumn("parts", F.ceil(F.col("count") / DENSE).cast("int")).withColumn("p", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    halves = fullest.select("cls", "curve", "key", "p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q")).select("cls", "curve", "key", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), (F.col("p") > F.col("q")).cast("int").alias("right"))
+    dense = halves.join(own.select("cls", "embedding"), "cls").groupBy("curve", "key", "x", "y").applyInArrow(_all(dims, k), "cls bigint, near array<struct<c:double,n:bigint>>")
+    merged = near.unionByName(dense).groupBy("cls").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     # other classes give up to k ids each; the best k of them
     other = merged.select("cls", F.explode("near").alias("x")).join(own.select(F.col("cls").alias("n"), F.col("ids").alias("nids")), F.col("x.n") == F.col("n")).select("cls", F.transform(F.slice("nids", 1, k), lambda i: F.struct(F.col("x.c").alias("c"), i.alias("i"))).alias("l"))
     best = other.groupBy("cls").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, k).alias("l"))

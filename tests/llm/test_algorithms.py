@@ -214,6 +214,25 @@ def test_recall_with_small_windows(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_tight_clusters_keep_their_neighbours(spark):
+    # a third of the rows are scaled copies of one vector or copies with noise below a cell; windows hold 96 of them
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(1500, 8))
+    v[rng.permutation(1500)[:500]] = v[0]
+    same = (v == v[0]).all(1)
+    v[same] *= rng.uniform(0.1, 9, size=(same.sum(), 1))
+    noisy = np.nonzero(same)[0][::2]
+    v[noisy] *= 1 + rng.normal(size=(len(noisy), 8)) * np.repeat([1e-6, 1e-4], [len(noisy) // 2, len(noisy) - len(noisy) // 2])[:, None]
+    v = v.astype(np.float32)
+    rows = [(i, [float(x) for x in v[i]]) for i in range(1500)]
+    got = {(r.item_id, r.neighbour) for r in neighbours.nearest(spark.createDataFrame(rows, "item_id long, embedding array<float>"), dims=8, block=32, curves=4).collect()}
+    u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1)[:, None]
+    cos = np.round(u @ u.T, 9)
+    np.fill_diagonal(cos, -9)
+    want = {(i, int(j)) for i in np.nonzero(same)[0] for j in np.lexsort((np.arange(1500), -cos[i]))[:5]}
+    assert len(got & want) / len(want) >= 0.99
+
+
 # encoding
 
 
