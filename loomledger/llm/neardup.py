@@ -12,7 +12,8 @@ occur in at least SURE of the others. Here:
 4. A partner's remaining shingles - the long lists - are probed by binary search in its sorted shingles, and T is checked.
 
 No list, partner or text is dropped, so the pairs are exact. Defined results: null texts, texts below ``min_chars`` and texts of fewer
-words than a shingle are in no pair; words are the parts between Unicode white space of the lower-cased text;
+words than a shingle are in no pair, but can be members (``short``): those of the same words are one class, and a text without words
+(null, empty, blank) is a class of its own; words are the parts between Unicode white space of the lower-cased text;
 rows with a null id are left out; an id given twice is a document twice with the same id, which pairs with others once.
 """
 
@@ -89,15 +90,29 @@ class Shingler:
 
 def class_of(h: np.ndarray) -> tuple[int, int]:
     """Two independent 63-bit names of a sequence of words."""
-    d = hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+    return _halves(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
+
+
+def wordless_class(doc: int) -> tuple[int, int]:
+    """The names of the class that a document without words is alone in."""
+    return _halves(hashlib.blake2b(str(doc).encode(), digest_size=16, person=b"wordless").digest())
+
+
+def _halves(d: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little") >> 1, int.from_bytes(d[8:], "little") >> 1
 
 
-def _texts(batches, shingler: Shingler, min_chars: int) -> Iterator[tuple[object, np.ndarray]]:
+def _rows(batches) -> Iterator[tuple[int, str | None]]:
     for b in batches:
         for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-            if doc is not None and (h := shingler.text(text, min_chars)) is not None:
-                yield doc, h
+            if doc is not None:
+                yield doc, text
+
+
+def _texts(batches, shingler: Shingler, min_chars: int) -> Iterator[tuple[object, np.ndarray]]:
+    for doc, text in _rows(batches):
+        if (h := shingler.text(text, min_chars)) is not None:
+            yield doc, h
 
 
 def _code(n: np.ndarray) -> np.ndarray:
@@ -112,27 +127,35 @@ def _decode(c: np.ndarray) -> np.ndarray:
     return np.where(c < 32768, c, np.exp2((c - 32768) / 1024 + 15))
 
 
-def _first_pass(docs: DataFrame, words: int, min_chars: int) -> DataFrame:
+def _first_pass(docs: DataFrame, words: int, min_chars: int, short: bool) -> DataFrame:
     def run(batches):
         s = Shingler(words)
         counts = np.zeros(CELLS, np.uint32)
         ids, sigs, checks, cells = [], [], [], []
 
         def add():
-            u, c = np.unique(np.concatenate(cells), return_counts=True)
-            counts[u] += c.astype(np.uint32)
-            cells.clear()
+            if cells:
+                u, c = np.unique(np.concatenate(cells), return_counts=True)
+                counts[u] += c.astype(np.uint32)
+                cells.clear()
             rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "sig": pa.array(sigs, pa.int64()), "chk": pa.array(checks, pa.int64()), "slice": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
             for x in (ids, sigs, checks):
                 x.clear()
             return rows
 
-        for doc, h in _texts(batches, s, min_chars):
-            a, b = class_of(h)
+        for doc, text in _rows(batches):
+            h = s.text(text, min_chars)
+            if h is not None:
+                cells.append((s.shingles(h) & np.uint64(CELLS - 1)).astype(np.int64))
+                a, b = class_of(h)
+            elif not short:
+                continue
+            else:
+                tokens = (text or "").lower().split()
+                a, b = class_of(s.hashes(tokens)) if tokens else wordless_class(doc)
             ids.append(doc)
             sigs.append(a)
             checks.append(b)
-            cells.append((s.shingles(h) & np.uint64(CELLS - 1)).astype(np.int64))
             if len(ids) >= 4096:
                 yield add()
         if ids:
@@ -395,15 +418,15 @@ def _verify(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFr
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, common int, either int")
 
 
-def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, min_chars: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): doc_id and cls of every eligible document, and the pairs of different classes with their shared and joint shingles.
+def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, min_chars: int = 0, short: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): doc_id and cls of every eligible document (with ``short`` of every document), and the pairs of different classes with their shared and joint shingles.
 
     A class is one sequence of words; it stands for all documents that have it.
     """
     if not 0 < similarity <= 1 or words < 1:
         raise ValueError("similarity must be in (0, 1] and words at least 1")
     spark = docs.sparkSession
-    first = settle(_first_pass(docs, words, min_chars), "p2-first")
+    first = settle(_first_pass(docs, words, min_chars, short), "p2-first")
     ids = first.where("slice is null")
     # two word sequences under one 63-bit name: about n**2 / 2**64 of n texts, and those take both their names
     twice = ids.groupBy("sig").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).where("x <> y").select("sig").collect()
@@ -427,7 +450,7 @@ def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def groups(members: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """doc_id, grp (the smallest doc_id reached over links) and n_links (linked classes) of every eligible document."""
+    """doc_id, grp (the smallest doc_id reached over links) and n_links (linked classes) of every member."""
     members, pairs = settle(members.distinct(), "p2-members"), settle(pairs, "p2-pairs")
     least = members.groupBy("cls").agg(F.min("doc_id").alias("label"))
     both = settle(pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "p2-both")

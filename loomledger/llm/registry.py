@@ -36,8 +36,8 @@ def p2_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, root: str) -> DataFrame:
-    """Every document with at least five words, its group of near-duplicates (five-word shingles, 0.8) and its number of links."""
-    return p2.groups(*p2.links(table(spark, root, "documents").select("doc_id", "text")))
+    """Every document, its group of near-duplicates (five-word shingles, 0.8; below five words exact copies) and its number of links."""
+    return p2.groups(*p2.links(table(spark, root, "documents").select("doc_id", "text"), short=True))
 
 
 def _packed(spark: SparkSession, root: str) -> DataFrame:

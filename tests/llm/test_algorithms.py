@@ -68,6 +68,16 @@ def test_groups(spark):
     assert neardup.document_pairs(*neardup.links(df.limit(0))).count() == 0
 
 
+def test_groups_have_every_document(spark):
+    spaceless = "请启用浏览器的脚本功能后再继续浏览。"
+    rows = [(i, spaceless + " " * (i % 2)) for i in range(1, 6)] + [(6, "One two"), (7, "one  TWO"), (8, "two one"), (9, None), (10, ""), (11, " \n"), (12, None), (13, "a b c d e f"), (14, "a b c d e f"), (None, "one two")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.grp, r.n_links) for r in neardup.groups(*neardup.links(df, short=True)).collect()}
+    assert got == {**{i: (1, 0) for i in range(1, 6)}, 6: (6, 0), 7: (6, 0), **{i: (i, 0) for i in range(8, 14)}, 14: (13, 0)}
+    only = df.where("doc_id < 13")  # no text has a shingle
+    assert neardup.groups(*neardup.links(only, short=True)).count() == 12 and neardup.groups(*neardup.links(only)).count() == 0
+
+
 def test_counts_in_16_bits_are_never_too_small():
     n = np.array([0, 1, 5, 32767, 32768, 40000, 10**6, 10**9])
     back = neardup._decode(neardup._code(n))
