@@ -17,6 +17,8 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from loomledger.llm import lexicon
+
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n| )[^\S\r\n]*(?:\r\n|\r|\n| )\s*")
 #: Abbreviations before a name, before a number, and those that go on in lower case, in the languages at hand.
 BEFORE_NAME = set("dr prof st mr mrs ms mm capt col gen sgt lt rev hon sr sra srta dra dña mme mlle mgr mons me fr hr frl dipl ing им гр тов акад проф св стр डॉ श्री प्रो".split()) | {"m", "d"}
@@ -38,8 +40,10 @@ JA_REPORT = ("という", "といった", "などと", "って", "とは", "と"
 ZH_SAY = ("问道", "说道", "喊道", "叫道", "答道", "写道", "回答", "说", "问", "喊", "叫", "道")
 TH_FINAL = ("ครับ", "ค่ะ", "คะ", "นะ", "แล้ว", "ไป", "มา", "ปลอดภัย", "เมตร", "คน", "ไหม")
 TH_OPEN = ("ใน", "เมื่อ", "แต่", "ไม่มี", "รายงาน", "ระดับ", "สะพาน", "สามวัน", "และ", "เขา", "เธอ", "บันทึก")
-_COMMON = ("的", "了", "在", "是", "他", "她", "我", "你", "们", "没有", "据", "三天", "之后", "は", "が", "を", "に", "で", "も", "の", "た", "だ", "です", "ます", "言った", "尋ねた", "した", "คน", "ที่", "ว่า", "มี", "ได้", "ให้", "ของ", "กับ", "จาก", "ริม", "ใต้", "เหนือ", "หลัง", "ใกล้")
-DICTIONARY = set(JA_REPORT) | set(ZH_SAY) | set(TH_FINAL) | set(TH_OPEN) | set(_COMMON)
+#: Particles after which a verb must say that something is reported; the others hold one, or begin no word.
+JA_NEEDS_VERB = ("と", "とは")
+_JA_VERB = re.compile("|".join(lexicon.JA_VERBS))
+DICTIONARY = {*JA_REPORT, *ZH_SAY, *TH_FINAL, *TH_OPEN, *lexicon.JA, *lexicon.JA_TO, *lexicon.ZH, *lexicon.ZH_NO_SAY, *lexicon.TH}
 _LONGEST = max(map(len, DICTIONARY))
 
 
@@ -158,14 +162,13 @@ def _east(par: str) -> list[int]:
         if not after.strip():
             continue
         if closed:
-            first = lattice_words(after[:8])[0]
-            if first in JA_REPORT:
+            if _reports(par[m.end() :]):
                 continue
             start = par[begin : begin + 3].lstrip()
             if start[:1] in "“「『‘" and par[begin : m.end()].count(start[0]) == 1:
                 clause = re.match(r"[^。！？”“\n]*", par[m.end() :])[0]  # type: ignore[index]
-                words = lattice_words(clause[-6:]) if clause else []
-                if words and words[-1] in ZH_SAY or (words and clause.rstrip("，：:,")[-1:] in "道说问喊叫"):
+                words = lattice_words(clause.rstrip("，：:,")[-6:])
+                if words and words[-1] in ZH_SAY:
                     continue
         elif _inside(par[begin : m.end()]):
             continue  # a quotation goes on
@@ -176,6 +179,15 @@ def _east(par: str) -> list[int]:
     return [*ends, len(par)]
 
 
+def _reports(after: str) -> bool:
+    """Whether a Japanese clause after a closed quotation reports it."""
+    first = lattice_words(after[:10])[0]
+    if first not in JA_REPORT:
+        return False
+    clause = re.match(r"[^。！？!?\n]*", after)[0][len(first) :]  # type: ignore[index]
+    return first not in JA_NEEDS_VERB or clause[:1] in ("、", "，") or bool(_JA_VERB.search(clause))
+
+
 def _inside(text: str) -> bool:
     return any(text.count(a) > text.count(b) for a, b in ("“”", "「」", "『』"))
 

@@ -98,6 +98,15 @@ def sents(t):
     return [t[a:b] for a, b in z.spans(t)]
 
 
+def test_words_that_begin_like_a_reporting_particle():
+    for w in ("とにかく雨は止んだ。", "とても寒い。", "ところが橋はなかった。", "とうとう彼は言った。", "とはいえ声は小さい。", "とんぼが飛んだ。"):
+        assert sents("「行こう。」" + w) == ["「行こう。」", w]
+    for w in ("と言った。", "ときっぱり言った。", "ともう一度尋ねた。", "ときかれて言った。", "と、彼は手を振った。", "という声がした。", "って彼女は笑った。", "とは誰も言わない。"):
+        assert sents("「行こう。」" + w) == ["「行こう。」" + w]
+    assert sents("“桥断了。”这件事谁也不知道。") == ["“桥断了。”", "这件事谁也不知道。"]
+    assert sents("“桥断了？”老人问道。") == ["“桥断了？”老人问道。"]
+
+
 def test_sentences():
     assert sents("Dr. A. B. Low met Mrs. C at St. Ann, cf. fig. 3, approx. 4 p.m. They left. 12 stayed!") == ["Dr. A. B. Low met Mrs. C at St. Ann, cf. fig. 3, approx. 4 p.m.", "They left.", "12 stayed!"]
     assert sents("“Was it thunder?” asked two boys. “Run!”\nwrote J. K. Low. It was... well, 7.5.") == ["“Was it thunder?” asked two boys.", "“Run!”\nwrote J. K. Low.", "It was... well, 7.5."]
