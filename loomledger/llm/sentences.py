@@ -29,8 +29,8 @@ _OPEN, _CLOSE = "“«„「『（(‹", "”»“」』）)›"
 #: A run of terminators with the closing marks after it; French puts a space before them.
 _SPACED = re.compile(r"(?P<t>[.!?…‽]+|[。！？।॥]+)(?P<c>(?:[    ]?[»›]|[\"'”’“‘)\]」』）])*)(?=\s|$|(?<=[。！？।॥])|(?<=[。！？।॥][」』”’）]))")
 _WORD_BEFORE = re.compile(r"(?:[^\W_]|[.’'̀-ͯऀ-ःऺ-ॏ])+$")
-#: Gaps that one sentence can pass over.
-LOOK_BACK = 40
+#: What the quotation marks of one sentence cost at most.
+UNBALANCED = 3.0
 _EAST = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _THAI = re.compile("[฀-๿]")
 _INDIC = re.compile("[ऀ-෿]")
@@ -124,7 +124,9 @@ def _spaced(par: str) -> list[int]:
     gaps = []
     for m in _SPACED.finditer(par):
         score = _spaced_gap(par[max(0, m.start() - 24) : m.start()], m["t"], m["c"], par[m.end() : m.end() + 40])
-        gaps.append((m.end(), score))
+        # a gap that costs more than passing it and balanced marks can save never ends a sentence
+        if score >= -UNBALANCED / 2 or m.end() == len(par):
+            gaps.append((m.end(), score))
     if not gaps or gaps[-1][0] < len(par):
         gaps.append((len(par), 50.0))
     n = len(gaps)
@@ -135,14 +137,18 @@ def _spaced(par: str) -> list[int]:
     for _, s in gaps:
         passed.append(passed[-1] + s)
     quotes = any(c in par for c in "“”«»„")
+    live = [0]  # where a sentence of the best path can begin; the rest lose by more than marks can save
     for j in range(1, n + 1):
-        for i in range(j - 1, max(-1, j - LOOK_BACK - 1), -1):
+        for i in reversed(live):
             begin = gaps[i - 1][0] if i else 0
             g = gain[i] + gaps[j - 1][1] - (passed[j - 1] - passed[i])
             if quotes and g > gain[j]:
-                g -= 1.5 * min(2, _balance(par[begin : gaps[j - 1][0]]))
+                g -= UNBALANCED / 2 * min(2, _balance(par[begin : gaps[j - 1][0]]))
             if g > gain[j]:
                 gain[j], back[j] = g, i
+        live.append(j)
+        least = max(gain[i] + passed[i] for i in live) - UNBALANCED
+        live = [i for i in live if gain[i] + passed[i] >= least]
     ends = []
     while n:
         ends.append(gaps[n - 1][0])

@@ -98,6 +98,12 @@ def sents(t):
     return [t[a:b] for a, b in z.spans(t)]
 
 
+def test_a_sentence_passes_over_any_number_of_gaps():
+    cited = "See " + ", ".join(f"p. {i}" for i in range(1, 200)) + " there."
+    assert sents(cited + " It was he.") == [cited, "It was he."]
+    assert sents("“" + cited + "” It was he.") == ["“" + cited + "”", "It was he."]
+
+
 def test_words_that_begin_like_a_reporting_particle():
     for w in ("とにかく雨は止んだ。", "とても寒い。", "ところが橋はなかった。", "とうとう彼は言った。", "とはいえ声は小さい。", "とんぼが飛んだ。"):
         assert sents("「行こう。」" + w) == ["「行こう。」", w]
