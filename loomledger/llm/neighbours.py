@@ -15,7 +15,8 @@ That work is quadratic in the cluster.
 
 Defined results: vectors that are null, not of ``dims`` members, not finite or all zero have no neighbours and are
 nobody's; with fewer than k + 1 usable vectors, the neighbours are all others. Rows with a null id are left out.
-A curve finds most neighbours, not all: ``curves`` and ``block`` are the price of recall (README has the measured one).
+A curve finds most neighbours, not all: ``curves`` and ``block`` are the price of recall (README has the measured one);
+unless it is given, ``block`` follows from the number of classes (``run_length``).
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ K = 5
 DIMS = 64
 CURVES = 10
 BLOCK = 2048
+#: So many vectors a run of BLOCK keys serves; from there runs grow with the square root of their number.
+SERVES = 25_000
 AXES = 12
 BITS = 5
 #: Bits an axis of a whole key, and vectors of a full cell that one task compares with as many others.
@@ -88,6 +91,11 @@ def curve_keys(units: np.ndarray, curve: int, axes: int = AXES, bits: int = BITS
     return [_woven(x, high, high - bits) for high in range(FINE, 0, -bits)]
 
 
+def run_length(n: int) -> int:
+    """Keys of a run for n vectors."""
+    return max(BLOCK, int(np.ceil(BLOCK * np.sqrt(n / SERVES))))
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray, dims: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -202,27 +210,28 @@ def _window(dims: int, k: int):
         order = np.concatenate([np.nonzero(left)[0], np.nonzero(~left)[0]])
         u, cls, n = u[order], cls[order], int(left.sum())
         lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if n:
-            f = u.astype(np.float32)
-            s = f[:n] @ f.T
-            s[np.arange(n), np.arange(n)] = -2
-            out, cos = _nearest(s, np.arange(n), u, u, cls, k)
-            lists.append((cls[:n], np.where(out < 0, -1, cls[out]), cos))
-            if n < len(u):
-                out, cos = _nearest(np.ascontiguousarray(s[:, n:].T), np.arange(n, len(u)), u, u[:n], cls[:n], k)
-                lists.append((cls[n:], np.where(out < 0, -1, cls[:n][out]), cos))
+        f = u.astype(np.float32)
+        for a in (*range(0, n, 512), *range(n, len(u) if n else 0, 512)):
+            rows = np.arange(a, min(a + 512, n if a < n else len(u)))
+            end = len(u) if a < n else n  # the next run meets this one only
+            s = f[rows] @ f[:end].T
+            if a < n:
+                s[np.arange(len(rows)), rows] = -2
+            out, cos = _nearest(s, rows, u, u[:end], cls[:end], k)
+            lists.append((cls[rows], np.where(out < 0, -1, cls[out]), cos))
         return _lists(lists)
 
     return run
 
 
-def nearest(items: DataFrame, k: int = K, dims: int = DIMS, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
+def nearest(items: DataFrame, k: int = K, dims: int = DIMS, curves: int = CURVES, block: int | None = None) -> DataFrame:
     """item_id, neighbour, cosine (rounded to 9 decimals) and rank (from 1) of the ``k`` nearest of each usable item."""
     from pyspark import TaskContext
 
     rows = usable(items.withColumn("item_id", F.col("item_id").cast("bigint")), dims)
     own = settle(classes(rows, k + 1), "p6-classes")
 
+    block = block or run_length(own.count())
     inside = ["key", *(f"key{i}" for i in range(1, FINE // BITS))]
 
     def place(batches):

@@ -224,6 +224,10 @@ def test_recall_with_small_windows(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
+def test_runs_grow_with_the_rows():
+    assert [neighbours.run_length(n) for n in (0, 10_000, 25_000, 100_000, 2_500_000)] == [2048, 2048, 2048, 4096, 20_480]
+
+
 def test_tight_clusters_keep_their_neighbours(spark):
     # a third of the rows are scaled copies of one vector or copies with noise below a cell; windows hold 96 of them
     rng = np.random.default_rng(3)
