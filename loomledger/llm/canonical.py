@@ -5,7 +5,7 @@ normalised, with the character before and the marks after as context, and splice
 
 Defined results: null stays null, empty stays empty, ASCII text is returned as it is. White space of
 U+0020, tabs and line ends, typographic quotes and dashes, East Asian punctuation beside East Asian
-text, Thai SARA AM, joiners in Indic clusters and emoji sequences are left alone.
+text, Thai SARA AM, joiners in Indic clusters and emoji sequences, variation selectors and fillers where their script has them are left alone.
 """
 
 from __future__ import annotations
@@ -37,6 +37,11 @@ LOOKALIKE_CYRILLIC = {
 LOOKALIKE_GREEK = {"o": "ο", "v": "ν", "p": "ρ", "i": "ι", "k": "κ", "x": "χ", "u": "υ", "a": "α"} | {b: a for a, b in LOOKALIKE_LATIN.items() if "Α" <= a <= "Χ"}
 
 
+#: Invisible characters of other categories or beyond the scan (default-ignorable code points); the variation selectors among them.
+IGNORABLE = {0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x2065, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0000, 0xE1000)}
+_VARIED = re.compile("[©®‼⁉™ℹ←-⯿\u1000-\u109f\ua840-\ua877\U0001f000-\U0001faff]")
+
+
 def _tables() -> tuple[dict[int, str], set[int], set[int]]:
     """From the character database: the map of single characters, the marks, and what may compose with the character before."""
     single: dict[int, str] = {}
@@ -68,6 +73,7 @@ def _tables() -> tuple[dict[int, str], set[int], set[int]]:
     for cp in (0x2028, 0x2029, 0x1680, 0xAD):
         single.setdefault(cp, "" if cp == 0xAD else " ")
     del single[0x2028], single[0x2029]
+    single |= dict.fromkeys(IGNORABLE, "")
     return single, marks, maybe
 
 
@@ -140,6 +146,8 @@ def _one(text: str, at: int) -> str:
     ch = text[at]
     if ch in "‌‍":  # joiners shape Indic clusters and emoji
         return ch if at and _INDIC_OR_EMOJI.match(text[at - 1]) and at + 1 < len(text) and _INDIC_OR_EMOJI.match(text[at + 1]) else ""
+    if ord(ch) in IGNORABLE:
+        return ch if _belongs(text, at) else ""
     if _FULL_PUNCT.match(ch):  # ordinary beside East Asian text
         before = next((c for c in reversed(text[max(0, at - 12) : at]) if c.isalnum() or EAST.match(c)), "")
         after = next((c for c in text[at + 1 : at + 13] if c.isalnum() or EAST.match(c)), "")
@@ -147,6 +155,22 @@ def _one(text: str, at: int) -> str:
     return SINGLE[ord(ch)]
 
 
+def _belongs(text: str, at: int) -> bool:
+    """Whether the script around an invisible character has it there."""
+    ch, before, after = text[at], text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+    if "\ufe00" <= ch <= "\ufe0f":
+        return bool(before and (_VARIED.match(before) or EAST.match(before))) or after == "\u20e3"
+    if "\U000e0100" <= ch <= "\U000e01ef":
+        return bool(before and EAST.match(before))
+    if "\U000e0020" <= ch <= "\U000e007f":  # flags of regions: a black flag and its tags
+        return text[max(0, at - 32) : at].rstrip("".join(map(chr, range(0xE0020, 0xE0080)))).endswith("\U0001f3f4")
+    if ch in "\u115f\u1160":
+        return any(x and re.match("[\u1100-\u115e\u1161-\u11ff\ua960-\ua97f\ud7b0-\ud7ff]", x) for x in (before, after))
+    if ch in "\u17b4\u17b5":
+        return "\u1780" <= before <= "\u17d3"
+    return "\u180b" <= ch <= "\u180f" and "\u1800" <= before <= "\u18af"
+
+
 def _word(m: re.Match[str]) -> str:
     w = m[0]
     if w.isascii() or not MIXED.search(w):

@@ -40,6 +40,13 @@ def test_canonical_is_stable_and_composed(t):
     assert (c.suspects([t])[0]) or once == t  # the quick check misses nothing
 
 
+def test_invisible_characters_of_all_planes():
+    for cp in (0x34F, 0x61C, 0x115F, 0x1160, 0x3164, 0x17B4, 0x17B5, 0x180B, 0xFE00, 0xFE0F, 0xFFA0, 0xE0001, 0xE0041, 0xE007F, 0xE0100, 0xE01EF):
+        assert c.canonical(f"pla{chr(cp)}ces") == "places", hex(cp)
+    for same in ("❤️ ✔︎ ©️", "1️⃣", "葛󠄀城", "🏴\U000e0067\U000e0062\U000e0065\U000e006e\U000e0067\U000e007f", "\u1820\u180b", "\u1100\u1160", "👩‍❤️‍👩"):
+        assert c.canonical(same) == same
+
+
 def test_canonical_frame(spark):
     df = spark.createDataFrame([(1, "a​b", 5), (2, None, 6), (3, "", 7), (4, "ok", 8)], "doc_id long, text string, canonical long")
     got = c.with_canonical(df).orderBy("doc_id").collect()
