@@ -16,6 +16,7 @@ import html
 import random
 import re
 from functools import lru_cache
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -418,10 +419,13 @@ _INLINE: tuple[tuple[str, re.Pattern[str], str], ...] = (
     ("](", re.compile(r"!?\[([^\[\]]*)\]\([^()\n]*\)"), r"\1"), ("[http", re.compile(r"\[https?://\S+ ([^\[\]]*)\]"), r"\1"), ("[^", re.compile(r"\[\^[\w-]+\]:?"), ""),
     ("''", re.compile(r"''+"), ""), ("**", re.compile(r"\*\*(?=\S)(.+?)(?<=\S)\*\*", re.S), r"\1"), ("__", re.compile(r"(?<![\w_])__(?=[^\s_])(.+?)(?<=[^\s_])__(?![\w_])"), r"\1"), ("~~", re.compile(r"~~(?=\S)([^~\n]+?)~~"), r"\1"),
     ("*", re.compile(r"(?<![\w*\\])\*(?=[^\s*])([^*\n]*[^\s*\\])\*(?![\w*])"), r"\1"), ("_", re.compile(r"(?<![\w_\\])_(?=[^\s_])([^_\n]*[^\s_\\])_(?![\w_])"), r"\1"),
-    ("\\", re.compile(r"\\(?:footnote|cite[pt]?|ref|eqref|label|pageref|index|autoref|bibitem|vspace|hspace|includegraphics)\*?(?:\[[^\]]*\])*\{[^{}]*\}"), ""),
-    ("\\", re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\{[^{}]*\})?"), ""), ("\\", re.compile(r"\\(?:href|url)\{[^{}]*\}\{([^{}]*)\}"), r"\1"), ("\\", re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}"), r"\1"), ("\\", re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}"), r"\1"),
+    ("{", re.compile(r"\\(?:footnote|cite[pt]?|ref|eqref|label|pageref|index|autoref|bibitem|vspace|hspace|includegraphics)\*?(?:\[[^\]]*\])*\{[^{}]*\}"), ""),
+    ("{", re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\{[^{}]*\})?"), ""), ("{", re.compile(r"\\(?:href|url)\{[^{}]*\}\{([^{}]*)\}"), r"\1"), ("{", re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}"), r"\1"),
     ("\\", re.compile(r"\\(?:item|par|noindent|maketitle|centering|hline|newline|textbackslash|LaTeX|TeX|quad|qquad|ldots|dots|tiny|small|large|bf|it|em)\b\s?"), ""), ("\\", re.compile(r"\\\\"), "\n"), ("\\", re.compile(r"\\([_#%&{}$~^*\[\]()|`!.+-])"), r"\1"),
 )
+#: Rules in the order they run, those in a row that need the same mark together; what nests is repeated, from the innermost out.
+_RULES = [(need, [(rx, to) for _, rx, to in group]) for need, group in groupby(_INLINE, key=lambda r: r[0])]
+_NESTS = ("{{", "{")
 _HELD = re.compile("\ue000(\\d+)\ue001")
 
 
@@ -444,10 +448,14 @@ def inline(text: str) -> tuple[str, int]:
         n += k
     if any(c in text for c in ("{", "__", "<", "[%", "%%", "@@")):
         text = _PLACEHOLDER.sub(lambda m: m[0] if _WIKI_BARE.match(m[0]) else hold(m[0]), text)
-    for need, rx, to in _INLINE:
-        if need in text:
-            text, k = rx.subn(to, text)
-            n += k
+    for need, rules in _RULES:
+        more = need in text
+        while more:
+            before = n
+            for rx, to in rules:
+                text, k = rx.subn(to, text)
+                n += k
+            more = need in _NESTS and n > before
     if "~" in text and n:
         text = re.sub(r"(?<=\S)~(?=\S)", " ", text)
     if "&" in text:

@@ -91,6 +91,12 @@ def test_markup_cases():
     assert "⟪" in clean("a $x_{3} \\approx 7$ b").text
 
 
+def test_nested_notation_goes_whole():
+    assert m.inline("So {{Infobox|name={{lang|fr|X}}|y={{a|{{b|c}}}}}}it is")[0] == "So it is"
+    assert m.inline("{{quote|He {{nowrap|x}}left}}")[0] == "He left"
+    assert m.inline(r"a \textbf{b \emph{c \underline{d \textit{e}}}} f")[0] == "a b c d e f"
+
+
 def test_clean_frame(spark):
     df = spark.createDataFrame([(1, "T<br>", "plain"), (2, None, None), (3, "", ""), (4, "t", "# a\n\nb"), (5, "t", "x" * 300_000 + "</p>")], "doc_id long, title string, text string")
     got = {x.doc_id: x for x in m.cleaned(df).collect()}
