@@ -1,5 +1,139 @@
-"""Words of Japanese, Chinese and Thai that the segmentation in ``sentences`` knows, written by hand: common ones, above all those that
-begin with a reporting particle or end in a verb of saying without being one. README has their number; they are no full dictionary."""
+"""Word lists of the scripts that are written without spaces, out of the dictionaries that Spark's own ICU library ships.
+
+Chinese and Japanese words come with a cost (the rarer the dearer), those of Thai, Lao, Khmer and Burmese without one. The file format is public: a header, eight numbers,
+and a trie of bytes or of UTF-16 units whose nodes are branches, runs and values. The words are read out once on the driver; nothing is copied into this repository. Beside them stand the few word classes
+that decide a gap, and words in と that the dictionary lacks, written by hand.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+import struct
+import zipfile
+from functools import lru_cache
+
+FOLDER = "com/ibm/icu/impl/data/icudata/brkitr/"
+#: By script: the dictionary's name.
+FILES = {"east": "cjdict", "thai": "thaidict", "lao": "laodict", "khmer": "khmerdict", "burmese": "burmesedict"}
+
+
+class _Layout:
+    """Fixed values of the two kinds of trie: where kinds of nodes and lengths of numbers begin."""
+
+    def __init__(self, run: int, value: int, value_steps: tuple[int, ...], delta_steps: tuple[int, ...], bits: int):
+        self.run, self.value, self.value_steps, self.delta_steps, self.bits = run, value, value_steps, delta_steps, bits
+
+
+#: The first lead of two, three, ... units; the last step is a lead that holds no part of the number itself.
+BYTES = _Layout(0x10, 0x20, (0x51, 0x6C, 0x7E, 0x7F), (0xC0, 0xF0, 0xFE, 0xFF), 8)
+UNITS = _Layout(0x30, 0x40, (0x4000, 0x7FFF), (0xFC00, 0xFFFF), 16)
+NODE_VALUE = (0x4040, 0x7FC0)
+
+
+class Trie:
+    def __init__(self, units, layout: _Layout):
+        self.u, self.layout, self.wide = units, layout, layout.bits == 16
+
+    def _number(self, lead: int, at: int, steps: tuple[int, ...], base: int = 0) -> tuple[int, int]:
+        """(number, place after it) of a number whose lead unit is taken."""
+        k = sum(lead >= s for s in steps)
+        if not k:
+            return lead - base, at
+        plain = len(steps) - (1 if self.wide else 2)
+        n = lead - steps[k - 1] if k <= plain else 0
+        for j in range(k):
+            n = n << self.layout.bits | self.u[at + j]
+        return n, at + k
+
+    def _value(self, node: int, at: int) -> tuple[int, int]:
+        """Of a final value, or of the distance in a branch's list."""
+        if self.wide:
+            return self._number(node & 0x7FFF, at, self.layout.value_steps)
+        return self._number(node >> 1, at, self.layout.value_steps, 0x10)
+
+    def _final(self, node: int) -> bool:
+        return bool(node & 0x8000) if self.wide else bool(node & 1)
+
+    def words(self):
+        """(units, value) of all words."""
+        stack = [(0, ())]
+        while stack:
+            at, prefix = stack.pop()
+            node = self.u[at]
+            at += 1
+            if node >= self.layout.value:
+                final = self._final(node)
+                if final or not self.wide:
+                    value, at = self._value(node, at)
+                else:
+                    lead = node & 0x7FC0
+                    if lead < NODE_VALUE[0]:
+                        value = (lead >> 6) - 1
+                    elif lead < NODE_VALUE[1]:
+                        value, at = (lead - NODE_VALUE[0]) << 10 | self.u[at], at + 1
+                    else:
+                        value, at = self.u[at] << 16 | self.u[at + 1], at + 2
+                yield prefix, value
+                if final:
+                    continue
+                if not self.wide:
+                    stack.append((at, prefix))
+                    continue
+                node &= 0x3F
+            if node >= self.layout.run:
+                n = node - self.layout.run + 1
+                stack.append((at + n, (*prefix, *self.u[at : at + n])))
+                continue
+            n = node
+            if not n:
+                n, at = self.u[at], at + 1
+            parts = [(at, n + 1)]
+            while parts:
+                at, n = parts.pop()
+                while n > 5:
+                    lead, at = self.u[at + 1], at + 2
+                    delta, at = self._number(lead, at, self.layout.delta_steps)
+                    parts.append((at + delta, n >> 1))
+                    n -= n >> 1
+                for last in range(n - 1, -1, -1):
+                    unit, at = self.u[at], at + 1
+                    if not last:
+                        stack.append((at, (*prefix, unit)))
+                        break
+                    node, at = self.u[at], at + 1
+                    value, at = self._value(node, at)
+                    if self._final(node):
+                        yield (*prefix, unit), value
+                    else:
+                        stack.append((at + value, (*prefix, unit)))
+
+
+def library() -> str:
+    """Spark's ICU library, beside the Python package or in SPARK_HOME."""
+    import pyspark
+
+    for home in (os.path.dirname(pyspark.__file__), os.environ.get("SPARK_HOME", "")):
+        found = glob.glob(os.path.join(home, "jars", "icu4j-*.jar"))
+        if found:
+            return found[0]
+    raise FileNotFoundError("no icu4j library in Spark's jars: give the path of one")
+
+
+@lru_cache(maxsize=8)
+def words(script: str, path: str | None = None) -> dict[str, int]:
+    """The words of a script with their costs (0 where the dictionary has none)."""
+    with zipfile.ZipFile(path or library()) as z:
+        raw = z.read(f"{FOLDER}{FILES[script]}.dict")
+    body = raw[struct.unpack(">H", raw[:2])[0] :]
+    numbers = struct.unpack(">8i", body[:32])
+    offset, kind, turn = numbers[0], numbers[4], numbers[5]
+    first = turn & 0x1FFFFF
+    data = body[offset:]
+    if kind & 7:
+        units = struct.unpack(f">{len(data) // 2}H", data[: len(data) // 2 * 2])
+        return {b"".join(u.to_bytes(2, "big") for u in w).decode("utf-16-be"): v for w, v in Trie(units, UNITS).words()}
+    return {"".join("‍" if b == 0xFF else "‌" if b == 0xFE else chr(first + b) for b in w): 0 for w, _ in Trie(data, BYTES).words()}
 
 #: Japanese words that begin with と and can begin a sentence.
 JA_TO = """とにかく とても ところが ところで ところどころ とうとう とはいえ とはいうものの とりあえず とりわけ ともかく ともあれ ともに ともども とんでもない とたんに とっくに とっさに とつぜん
@@ -7,21 +141,46 @@ JA_TO = """とにかく とても ところが ところで ところどころ 
 とくに とくべつ とくい とちゅう とちゅうで とどまる とどけ とびだす とりで とりに とりが ときどき ときおり ときには ときに ときたま とじこめ とうぜん とうじ とうだい とうげ とうさん とうちゃん とうふ とうめい とうてい
 とことん とめどなく とめて とろり とろとろ とぼとぼ とんとん とんと とんだ とわに とかく とかい とたん とだな とばり とげ とこや とこしえ とある
 とき とし とり とも とら とち""".split()
-JA = """は が を に で も の た だ です ます した して する します しました 言う 言い 言って 言った 言いました 尋ねる 尋ねて 尋ねた 尋ねました 聞く 聞いて 聞いた 答える 答えて 答えた 叫ぶ 叫んで 叫んだ 呼ぶ 呼んで 呼んだ
-話す 話して 話した 語る 語って 語った 思う 思って 思った 考えた 書いた つぶやいた ささやいた いう いって いった から まで より へ や か ね よ わ ぞ さ な など だけ ほど しか ばかり けれど けれども でも しかし そして それで それから
-それは そこで そこに そこへ また まだ もう もっと もし もちろん やがて やはり ようやく いつも いつか いま いまは きっと きっぱり きみ きのう こう この これ これは ここ ここで こっそり ころ ころころ そう その それ そっと すぐ すぐに すこし
-すると ずっと だから だれ だれか たぶん たしか ちょっと どう どこ どの どれ なぜ なに なにか はっきり ひと ひとり ふと ほんとう ほんとうに まず まるで みんな むかし めったに もう一度 ゆっくり よく わたし わたしは ぼく ぼくは あなた
-彼 彼は 彼が 彼女 彼女は 彼女が 私 私は 僕 僕は 母 父 母は 父は 兄 姉 弟 妹 男 女 男は 女は 子供 子供たち 人 人々 人は 先生 老人 少年 少女 友 友人 村人 医師 漁師 夜番 商人 羊飼い 渡し守 粉屋 女教師 二人 三人 誰 誰か 誰も
-声 声が 小さな 大きな 低い 高い 静かに 笑って 笑った 泣いて 泣いた 怒って 怒鳴った 続けた 返した 一言 口々に 雨 雨は 雪 風 海 山 川 町 村 家 朝 昼 夜 今日 明日 昨日 年 月 日 時 水 火 空 ない なかった ある あった いる いた なる なった
-きいた きいて きく きかれた きかれて いわれた いわれて おもう おもった おもって こたえた こたえて さけんだ さけんで ささやいて たずねた たずねて もらした もらして よんだ よんで つぶやいて""".split()
-#: Chinese words that end like a verb of saying and are none.
-ZH_NO_SAY = """知道 不知道 谁知道 味道 街道 轨道 管道 通道 隧道 频道 报道 渠道 铁道 河道 航道 车道 跑道 赛道 地道 霸道 公道 厚道 人道 难道 大道 小道 要道 王道 弯道 步道 人行道 栈道 水道 小说 传说 学说 据说 听说 虽说 再说 假说 邪说 演说 胡说
-学问 疑问 顾问 访问 慰问 审问 过问 反问句 自问 难问 提问箱 名叫 号叫 鸟叫 狗叫""".split()
-ZH = """的 了 在 是 他 她 它 我 你 们 他们 她们 我们 你们 没有 不 不是 也 都 就 还 又 再 很 太 最 更 这 那 这个 那个 这里 那里 这件事 那件事 谁 什么 怎么 为什么 哪里 因为 所以 但是 可是 然而 如果 虽然 而且 或者 于是 然后 后来 之后 之前 以前 以后 三天
-据 县志 记载 今天 明天 昨天 早上 晚上 当晚 时候 年 月 日 人 人们 孩子 老人 男人 女人 先生 医生 老师 教师 女教师 商人 渔民 船夫 牧人 母亲 父亲 朋友 村民 看见 听见 出现 相信 来 去 走 到 从 对 把 被 给 和 跟 与 着 过 得 地 上 下 里 外 中 大 小 多 少 好
-笑着 大声 低声 轻声 高声 一边 已经 还是 只是 可以 能够 应该 必须 需要 想 要 会 能""".split()
-TH = """คน ที่ ว่า มี ได้ ให้ ของ กับ จาก ริม ใต้ เหนือ หลัง ใกล้ เป็น อยู่ คือ ไม่ ไม่ได้ จะ ก็ แต่ และ หรือ ถ้า เพราะ เมื่อ ใน บน ถึง โดย เพื่อ ต้อง ควร อาจ เคย กำลัง นี้ นั้น นี่ นั่น อะไร ใคร ทำไม อย่างไร เท่าไร วัน คืน ปี เดือน เช้า เย็น น้ำ ไฟ บ้าน เมือง หมู่บ้าน แม่น้ำ
-ทะเล ภูเขา ถนน ตลาด เด็ก ผู้ชาย ผู้หญิง ครู หมอ ชาวบ้าน พูด ถาม ตอบ บอก เห็น ได้ยิน รู้ คิด กิน นอน เดิน วิ่ง กลับ ออก เข้า ขึ้น ลง มาก น้อย ใหญ่ เล็ก ดี ใหม่ เก่า""".split()
-#: Stems of verbs of saying and thinking in the clause that reports a quotation.
-JA_VERBS = """言 云 尋 訊 聞 問 答 叫 呼 話 語 述 伝 告 呟 囁 思 考 書 記 頼 命じ 説明 報告 怒鳴 笑 返 続け 主張 指摘 声 繰り返 願 誓 約束 感じ 信じ 教え 注意 警告 促 誘 勧 励ま 慰 諭 叱 嘆 泣 唸 唱 読 挨拶 宣言 発表 提案 質問 断 認め 加え 申 仰
+#: Particles that report what was quoted before them, by whether a verb of saying must follow; stems of such verbs.
+JA_REPORT = {"という": False, "といった": False, "などと": False, "って": False, "とは": True, "と": True}
+JA_SAY = """言 云 尋 訊 聞 問 答 叫 呼 話 語 述 伝 告 呟 囁 思 考 書 記 頼 命 説明 報告 怒鳴 笑 返 続け 主張 指摘 声 繰 願 誓 約束 感 信 教え 注意 警告 促 誘 勧 励 慰 諭 叱 嘆 泣 唸 唱 読 挨拶 宣言 発表 提案 質問 断 認 加え 申 仰
 いう いった いって いい つぶや ささや どな きい たずね こたえ さけ おっしゃ おも うなず""".split()
+#: Forms of verbs of saying in kana, which the dictionary has only in part.
+JA_KANA = "きいた きいて きく きかれた きかれて いわれた いわれて おもう おもった おもって こたえた こたえて さけんだ さけんで ささやいて ささやいた たずねた たずねて もらした もらして よんだ よんで つぶやいて つぶやいた いった いって".split()
+ZH_SAY = {"问道", "说道", "喊道", "叫道", "答道", "写道", "回答", "说", "问", "喊", "叫", "道", "問道", "說道", "寫道", "說", "問"}
+#: Words that end a sentence by themselves, and words that open one.
+FINAL = {"east": {"です", "ます", "た", "だ", "か", "ね", "よ", "わ", "ない", "了", "吗", "呢", "吧", "啊", "嗎"}, "thai": {"ครับ", "ค่ะ", "คะ", "นะ", "แล้ว", "ไป", "มา", "ไหม", "เลย", "ด้วย", "จ้ะ", "จ้า"}, "lao": {"ແລ້ວ", "ໄປ", "ມາ", "ບໍ່", "ເດີ"}, "khmer": {"ហើយ", "ទេ", "ណាស់"}, "burmese": {"တယ်", "သည်", "ပါ", "ဘူး", "မယ်", "လား"}}
+OPENING = {"east": {"しかし", "そして", "だから", "また", "でも", "それ", "この", "その", "但是", "然而", "所以", "因为", "后来", "据"}, "thai": {"ใน", "เมื่อ", "แต่", "และ", "เขา", "เธอ", "ถ้า", "เพราะ", "จาก", "ไม่", "ไม่มี"}, "lao": {"ໃນ", "ແຕ່", "ແລະ", "ລາວ", "ຖ້າ"}, "khmer": {"នៅ", "ប៉ុន្តែ", "និង", "គាត់"}, "burmese": {"သို့သော်", "သူ", "ဤ"}}
+
+
+class Lattice:
+    """The cheapest way through the words that a text can be made of. A character of no word costs more than any word."""
+
+    UNKNOWN, PLAIN = 260, 60
+
+    def __init__(self, script: str, listed: dict[str, int]):
+        own = {*FINAL[script], *OPENING[script], *((*JA_TO, *JA_KANA, *JA_REPORT, *ZH_SAY) if script == "east" else ())} if listed else set()
+        self.script = script
+        self.costs = {**dict.fromkeys(own, self.PLAIN), **{w: c or self.PLAIN for w, c in listed.items() if len(w) <= 16}}
+        self.longest = max(map(len, self.costs), default=1)
+
+    def cut(self, text: str) -> list[tuple[str, bool]]:
+        """The words, and whether each is known."""
+        n, get = len(text), self.costs.get
+        best: list[float] = [0.0] + [float("inf")] * n
+        back = [0] * (n + 1)
+        for i in range(n):
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                c = get(text[i:j])
+                if c is None:
+                    if j > i + 1:
+                        continue
+                    c = self.UNKNOWN
+                if best[i] + c < best[j]:
+                    best[j], back[j] = best[i] + c, i
+        out = []
+        while n:
+            out.append((text[back[n] : n], text[back[n] : n] in self.costs))
+            n = back[n]
+        return out[::-1]
+

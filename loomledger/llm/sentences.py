@@ -1,9 +1,12 @@
 """Problem 5: the sentences of documents in spaced and spaceless scripts, with their places.
 
-A paragraph (blank lines end it) is cut at gaps. In spaced scripts every terminator opens a gap, and a lattice of sentences
-between gaps is searched for the cheapest path: a gap costs by what stands before it (abbreviations, initials, ordinals)
-and after it (case, digits, reporting clauses), a sentence by quotation marks it leaves open. In spaceless scripts the text around a gap is
-first segmented by a lattice of dictionary words; final words before the gap and opening words after it then decide.
+A paragraph (blank lines end it) is cut at gaps, and every gap is scored. In spaced scripts a terminator opens a gap; what stands before it (abbreviations, acronyms,
+initials, ordinals) and after it (case, digits, opening words, reporting clauses) speaks for or against an end. In spaceless scripts the text on both sides of a gap - a
+terminator, and in Thai and Lao a space - is segmented by a lattice of dictionary words (``lexicon``); known words, final and opening words speak for an end, text that no
+word covers against it, and after a quotation a reporting particle with a verb of saying, or a clause that ends in one, joins the quotation with its clause.
+
+The gaps of a paragraph form a lattice: the path of the best total is taken, where a pair of quotation marks that is cut apart costs ``UNBALANCED`` once. Marks without
+a partner cost nothing, so an unclosed one does not hold its paragraph together. Every step is linear in the text.
 
 Places are code points of the text as it is, from 0, without white space at either end. Defined results: null, empty and blank texts have no sentences;
 a text without any terminator is one sentence a paragraph; nothing is cut by length, however long the text.
@@ -13,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,52 +25,75 @@ from loomledger.llm import lexicon
 
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n| )[^\S\r\n]*(?:\r\n|\r|\n| )\s*")
 #: Abbreviations before a name, before a number, and those that go on in lower case, in the languages at hand.
-BEFORE_NAME = set("dr prof st mr mrs ms mm capt col gen sgt lt rev hon sr sra srta dra dña mme mlle mgr mons me fr hr frl dipl ing им гр тов акад проф св стр डॉ श्री प्रो".split()) | {"m", "d"}
+BEFORE_NAME = set("dr prof st mt ft mr mrs ms mm capt col gov sen rep pres gen sgt lt rev hon sr sra srta dra dña mme mlle mgr mons me fr hr frl dipl ing им гр тов акад проф св стр डॉ श्री प्रो".split()) | {"m", "d"}
 BEFORE_NUMBER = set("p pp pg pág págs no nos nr nro núm num vol vols fig figs ch chap sec art abs cf ca approx aprox env ver vers v c jan feb febr mar apr aug sept sep oct nov dec okt dez bd kap s ст стр рис гл т c. № vgl cca ungef ex".split())
 NEVER = set("vs bzw usw etc e.g i.e z d.h u p.ex p.ej resp inkl evtl ggf viz et al jr cie тыс руб млн млрд напр".split()) - {"usw", "etc", "al", "jr"}
 MONTHS = set("januar jänner februar märz april mai juni juli august september oktober november dezember".split())
-_OPEN, _CLOSE = "“«„「『（(‹", "”»“」』）)›"
+#: Abbreviations that can end a sentence: only an opening word behind them tells; acronyms such as U.S. go with them.
+EITHER = set("corp inc ltd co bros dept univ assn".split())
+_ACRONYM = re.compile(r"(?:[^\W\d_]\.)+[^\W\d_]")
+OPENERS = set("the a an he she it they we i you in on at by to from this that these those there here but and or yet so however when while after before since for as if his her its their our my your no not one two three many some all most who what why how where then now".split())
 #: A run of terminators with the closing marks after it; French puts a space before them.
-_SPACED = re.compile(r"(?P<t>[.!?…‽]+|[。！？।॥]+)(?P<c>(?:[    ]?[»›]|[\"'”’“‘)\]」』）])*)(?=\s|$|(?<=[。！？।॥])|(?<=[。！？।॥][」』”’）]))")
-_WORD_BEFORE = re.compile(r"(?:[^\W_]|[.’'̀-ͯऀ-ःऺ-ॏ])+$")
-#: What the quotation marks of one sentence cost at most.
+_SPACED = re.compile(r"(?P<t>[.!?…‽]+|[。！？।॥]+)(?P<c>(?:[\u00a0\u202f\u2009 ]?[»›]|[\"'”’“‘)\]」』])*)(?=\s|$|(?<=[。！？।॥])|(?<=[。！？।॥][」』”’）]))")
+_WORD_BEFORE = re.compile(r"(?:[^\W_]|[.’'\u0300-\u036f\u0900-\u0903\u093a-\u094f])+$")
+#: What it costs to cut a pair of quotation marks apart.
 UNBALANCED = 3.0
-_EAST = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
-_THAI = re.compile("[฀-๿]")
-_INDIC = re.compile("[ऀ-෿]")
-
-#: Words of the dictionaries of the spaceless scripts that decide a gap, and common ones that keep the lattice in step.
-JA_REPORT = ("という", "といった", "などと", "って", "とは", "と")
-ZH_SAY = ("问道", "说道", "喊道", "叫道", "答道", "写道", "回答", "说", "问", "喊", "叫", "道")
-TH_FINAL = ("ครับ", "ค่ะ", "คะ", "นะ", "แล้ว", "ไป", "มา", "ปลอดภัย", "เมตร", "คน", "ไหม")
-TH_OPEN = ("ใน", "เมื่อ", "แต่", "ไม่มี", "รายงาน", "ระดับ", "สะพาน", "สามวัน", "และ", "เขา", "เธอ", "บันทึก")
-#: Particles after which a verb must say that something is reported; the others hold one, or begin no word.
-JA_NEEDS_VERB = ("と", "とは")
-_JA_VERB = re.compile("|".join(lexicon.JA_VERBS))
-DICTIONARY = {*JA_REPORT, *ZH_SAY, *TH_FINAL, *TH_OPEN, *lexicon.JA, *lexicon.JA_TO, *lexicon.ZH, *lexicon.ZH_NO_SAY, *lexicon.TH}
-_LONGEST = max(map(len, DICTIONARY))
-
-
-def lattice_words(text: str) -> list[str]:
-    """The cheapest path through the lattice of dictionary words; a character of no word costs more than any word."""
-    n = len(text)
-    best, back = [0.0] + [1e9] * n, [0] * (n + 1)
-    for i in range(n):
-        for j in range(i + 1, min(n, i + _LONGEST) + 1):
-            w = text[i:j]
-            cost = best[i] + (1.0 if w in DICTIONARY else 1.6 if j == i + 1 else 1e9)
-            if cost < best[j]:
-                best[j], back[j] = cost, i
-    out = []
-    while n:
-        out.append(text[back[n] : n])
-        n = back[n]
-    return out[::-1]
+#: Characters of each side of a gap that the lattice reads.
+SIDE = 16
+_EAST = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]")
+_SOUTH = {"thai": re.compile("[\u0e00-\u0e7f]"), "lao": re.compile("[\u0e80-\u0eff]"), "khmer": re.compile("[\u1780-\u17ff]"), "burmese": re.compile("[\u1000-\u109f]")}
+_INDIC = re.compile("[\u0900-\u0dff]")
+#: Opening marks and what closes them.
+_PAIRS = {"“": "”", "«": "»", "„": "“”", "「": "」", "『": "』"}
+_CLOSERS = set("”»“」』")
+
+
+def quoted(par: str) -> list[tuple[int, int]]:
+    """The outermost pairs of quotation marks; marks without a partner are none."""
+    open_: list[int] = []
+    found: list[tuple[int, int]] = []
+    for m in re.finditer("[“”«»„「」『』]", par):
+        ch = m[0]
+        if ch in _CLOSERS:
+            k = next((k for k in range(len(open_) - 1, max(-1, len(open_) - 4), -1) if ch in _PAIRS[par[open_[k]]]), None)
+            if k is not None:
+                begin = open_[k]
+                del open_[k:]
+                while found and found[-1][0] > begin:
+                    found.pop()
+                found.append((begin, m.start()))
+                continue
+        if ch in _PAIRS:
+            open_.append(m.start())
+    return found
+
+
+def best_path(gaps: list[tuple[int, float]], pairs: list[tuple[int, int]]) -> list[int]:
+    """The gaps (place, score) where sentences end: a passed gap costs its score, and the gaps inside a pair are taken only where they are worth more than ``UNBALANCED``."""
+    ends: list[int] = []
+    k = 0
+    for begin, stop in [*pairs, (1 << 62, 1 << 62)]:
+        while k < len(gaps) and gaps[k][0] <= begin:
+            if gaps[k][1] > 0:
+                ends.append(gaps[k][0])
+            k += 1
+        inside = []
+        while k < len(gaps) and gaps[k][0] <= stop:
+            inside.append(gaps[k])
+            k += 1
+        good = [g for g in inside if g[1] > 0]
+        if 2 * sum(s for _, s in good) > UNBALANCED + 2 * WITHIN * len(good):
+            ends += [at for at, s in good if s > WITHIN]
+    return ends
+
+
+#: What speaks against an end inside a quotation, at each gap.
+WITHIN = 5.0
 
 
 def _next_word(after: str) -> str:
     """The first character that tells, past opening marks and dashes."""
-    return after.lstrip(" \t\r\n   —–-―\"'“«„‹(¿¡‘[")[:1]
+    return after.lstrip(" \t\r\n\u00a0\u202f\u2009—–-―\"'“«„‹(¿¡‘[")[:1]
 
 
 def _spaced_gap(before: str, marks: str, closers: str, after: str) -> float:
@@ -94,6 +121,8 @@ def _spaced_gap(before: str, marks: str, closers: str, after: str) -> float:
             return -8.0
         if word in BEFORE_NAME or word in NEVER:
             return -8.0
+        if word in EITHER or _ACRONYM.fullmatch(word) and w and w[0].strip(".’'").isupper():  # U.S., not p.m.
+            return 4.0 if re.match(r"[^\W\d_]*", rest)[0].lower() in OPENERS or not first.isalpha() else -5.0  # type: ignore[index]
         if len(word) == 1 and word.isalpha() and w and w[0][0].isupper():
             return -6.0  # an initial
         if len(word) == 1 and word.isalpha() and word not in "aiyàмhчмгйв" and first.isupper():
@@ -105,124 +134,129 @@ def _spaced_gap(before: str, marks: str, closers: str, after: str) -> float:
     return 6.0
 
 
-def _balance(text: str) -> int:
-    """Quotation marks that a span leaves open or closes without opening them."""
-    depth = bad = 0
-    german = "„" in text
-    for ch in text:
-        if ch in "“«„「『" and not (ch == "“" and german and depth > 0):
-            depth += 1
-        elif ch in "”»」』" or ch == "“":
-            depth -= 1
-            if depth < 0:
-                bad, depth = bad + 1, 0
-    return bad + depth
+def _spaced(par: str, _words: lexicon.Lattice | None) -> list[int]:
+    """Where the sentences of a paragraph in a spaced script end."""
+    gaps = [(m.end(), _spaced_gap(par[max(0, m.start() - 24) : m.start()], m["t"], m["c"], par[m.end() : m.end() + 40])) for m in _SPACED.finditer(par)]
+    pairs = quoted(par) if any(c in par for c in "“”«»„") else []
+    return best_path(gaps, pairs)
 
 
-def _spaced(par: str) -> list[int]:
-    """Where the sentences of a paragraph in a spaced script end: the cheapest path through the lattice of terminators."""
-    gaps = []
-    for m in _SPACED.finditer(par):
-        score = _spaced_gap(par[max(0, m.start() - 24) : m.start()], m["t"], m["c"], par[m.end() : m.end() + 40])
-        # a gap that costs more than passing it and balanced marks can save never ends a sentence
-        if score >= -UNBALANCED / 2 or m.end() == len(par):
-            gaps.append((m.end(), score))
-    if not gaps or gaps[-1][0] < len(par):
-        gaps.append((len(par), 50.0))
-    n = len(gaps)
-    gain = [-1e18] * (n + 1)
-    back = [0] * (n + 1)
-    gain[0] = 0.0
-    passed = [0.0]
-    for _, s in gaps:
-        passed.append(passed[-1] + s)
-    quotes = any(c in par for c in "“”«»„")
-    live = [0]  # where a sentence of the best path can begin; the rest lose by more than marks can save
-    for j in range(1, n + 1):
-        for i in reversed(live):
-            begin = gaps[i - 1][0] if i else 0
-            g = gain[i] + gaps[j - 1][1] - (passed[j - 1] - passed[i])
-            if quotes and g > gain[j]:
-                g -= UNBALANCED / 2 * min(2, _balance(par[begin : gaps[j - 1][0]]))
-            if g > gain[j]:
-                gain[j], back[j] = g, i
-        live.append(j)
-        least = max(gain[i] + passed[i] for i in live) - UNBALANCED
-        live = [i for i in live if gain[i] + passed[i] >= least]
-    ends = []
-    while n:
-        ends.append(gaps[n - 1][0])
-        n = back[n]
-    return ends[::-1]
+def _sides(before: str, after: str, words: lexicon.Lattice) -> float:
+    """What the words on both sides of a gap say: for an end where they are known, final or opening ones, against it where no word covers the text."""
+    left, right = words.cut(before[-SIDE:]), words.cut(after[:SIDE])
+    score = 0.0
+    for side, at, told in ((left, -1, lexicon.FINAL), (right, 0, lexicon.OPENING)):
+        own = [(w, k) for w, k in side if any(c.isalpha() for c in w)]
+        if own:
+            covered = sum(len(w) for w, k in own if k) / sum(len(w) for w, _ in own)
+            score += (1.0 if covered >= 0.5 else -1.5) + (1.0 if own[at][0] in told[words.script] else 0.0)
+        elif side:
+            score += 1.0  # digits or marks alone
+    return score
 
 
 _EAST_END = re.compile(r"[。！？!?…]+[」』”’）)\]]*")
 
 
-def _east(par: str) -> list[int]:
+def _east(par: str, words: lexicon.Lattice) -> list[int]:
     """Ends in Chinese and Japanese."""
-    ends, begin = [], 0
+    pairs = quoted(par)
+    gaps = []
+    begin = k = 0
     for m in _EAST_END.finditer(par):
-        after = par[m.end() : m.end() + 24]
-        closed = m[0][-1] in "」』”’"
+        after = par[m.end() : m.end() + 2 * SIDE]
         if not after.strip():
             continue
-        if closed:
-            if _reports(par[m.end() :]):
-                continue
-            start = par[begin : begin + 3].lstrip()
-            if start[:1] in "“「『‘" and par[begin : m.end()].count(start[0]) == 1:
-                clause = re.match(r"[^。！？”“\n]*", par[m.end() :])[0]  # type: ignore[index]
-                words = lattice_words(clause.rstrip("，：:,")[-6:])
-                if words and words[-1] in ZH_SAY:
-                    continue
-        elif _inside(par[begin : m.end()]):
-            continue  # a quotation goes on
-        elif m[0][0] in "!?…" and not _EAST.match(after.lstrip()[:1] or "。"):
-            continue
-        ends.append(m.end())
-        begin = m.end()
-    return [*ends, len(par)]
+        while k < len(pairs) and pairs[k][1] < m.start():
+            k += 1
+        within = k < len(pairs) and pairs[k][0] < m.end() <= pairs[k][1]
+        score = 4.0 if any(c in "。！？" for c in m[0]) else 2.0
+        if not within:
+            score += _sides(par[max(begin, m.start() - SIDE) : m.start()], after.lstrip(), words)
+            if m[0][-1] in "」』”’" and (_reports(par, m.end(), words) or _says(par, begin, m.end(), words)):
+                score -= 12.0
+            elif m[0][0] in "!?…" and not _EAST.match(after.lstrip()[0]):
+                score -= 6.0
+        gaps.append((m.end(), score))
+        if score > 0 and not within:
+            begin = m.end()
+    return best_path(gaps, pairs)
+
+
+_CLAUSE = re.compile(r"[^。！？!?”“\n]*")
+
+
+def _reports(par: str, at: int, words: lexicon.Lattice) -> bool:
+    """Whether a Japanese clause after a closed quotation reports it: a particle, and where it needs one a verb of saying."""
+    clause = words.cut(_CLAUSE.match(par, at, at + 4 * SIDE)[0])  # type: ignore[index]
+    if not clause or not clause[0][1] or clause[0][0] not in lexicon.JA_REPORT:
+        return False
+    if not lexicon.JA_REPORT[clause[0][0]] or len(clause) > 1 and clause[1][0] in "、，":
+        return True
+    return any(known and w.startswith(tuple(lexicon.JA_SAY)) for w, known in clause[1:])
 
 
-def _reports(after: str) -> bool:
-    """Whether a Japanese clause after a closed quotation reports it."""
-    first = lattice_words(after[:10])[0]
-    if first not in JA_REPORT:
+def _says(par: str, begin: int, at: int, words: lexicon.Lattice) -> bool:
+    """Whether a Chinese clause after a quotation that begins its sentence ends in a verb of saying."""
+    start = par[begin : begin + 3].lstrip()
+    if start[:1] not in set("“「『‘"):
         return False
-    clause = re.match(r"[^。！？!?\n]*", after)[0][len(first) :]  # type: ignore[index]
-    return first not in JA_NEEDS_VERB or clause[:1] in ("、", "，") or bool(_JA_VERB.search(clause))
+    clause = _CLAUSE.match(par, at)[0].rstrip("，：:,")[-SIDE:]  # type: ignore[index]
+    last = words.cut(clause)[-1:] if clause else []
+    return bool(last and last[0][1] and last[0][0] in lexicon.ZH_SAY)
 
 
-def _inside(text: str) -> bool:
-    return any(text.count(a) > text.count(b) for a, b in ("“”", "「」", "『』"))
+_SOUTH_END = re.compile(r"[។៕៚။!?…]+[\"'”’)\]]*|\s+")
 
 
-def _thai(par: str) -> list[int]:
-    """Ends in Thai: a space ends a sentence, unless a word or a number in another script goes on across it or a repetition sign stands before it."""
-    ends = []
-    for m in re.finditer(r"\s+", par):
-        before, after = par[: m.start()], par[m.end() :]
-        if not before or not after:
+def _south(par: str, words: lexicon.Lattice) -> list[int]:
+    """Ends in Thai and Lao, where a space is one unless a word of another script or a sign goes on across it, and in Khmer and Burmese, which have end marks."""
+    gaps = []
+    spaces = words.script in ("thai", "lao")
+    for m in _SOUTH_END.finditer(par):
+        before, after = par[max(0, m.start() - SIDE) : m.start()], par[m.end() : m.end() + SIDE]
+        mark = not m[0].isspace()
+        if not before or not after or not mark and not spaces or mark and spaces:
             continue
-        words = lattice_words(before[-12:])
-        nexts = lattice_words(after[:12])
-        foreign = before[-1].isascii() and before[-1].isalpha() and after[0].isascii() and after[0].isalpha()
-        sure = words[-1] in TH_FINAL or nexts[0] in TH_OPEN
-        if sure or not (foreign or before[-1] in "ฯ,:;(" or after[0] in "ๆฯ,;:)"):
-            ends.append(m.start())
-    return [*ends, len(par)]
+        score = (4.0 if mark else 1.0) + _sides(before, after.lstrip(), words)
+        if not mark:
+            foreign = before[-1].isascii() and before[-1].isalpha() and after[0].isascii() and after[0].isalpha()
+            if foreign or before[-1] in "ฯ,:;(" or after[0] in "ๆฯ,;:)":
+                score -= 4.0
+        gaps.append((m.end() if mark else m.start(), score))
+    return best_path(gaps, [])
 
 
 def _kind(par: str) -> str:
     if par.isascii():
         return "spaced"
-    if len(_THAI.findall(par)) * 3 > len(par):
-        return "thai"
+    for name, rx in _SOUTH.items():
+        if len(rx.findall(par)) * 3 > len(par):
+            return name
     return "east" if len(_EAST.findall(par)) * 4 > len(par) else "spaced"
 
 
-def spans(text: str | None) -> list[tuple[int, int]]:
+class Lattices(dict):
+    """The lattice of each script, made when a text first needs it."""
+
+    def __init__(self, listed):
+        self.listed = listed
+
+    def __missing__(self, script: str) -> lexicon.Lattice:
+        self[script] = lexicon.Lattice(script, self.listed(script))
+        return self[script]
+
+
+@lru_cache(maxsize=1)
+def known() -> Lattices:
+    return Lattices(lexicon.words)
+
+
+#: Of this worker, by the dictionary's path: tasks one after another share the lattices.
+_OPEN: dict[str | None, Lattices] = {}
+
+
+def spans(text: str | None, words: Lattices | None = None) -> list[tuple[int, int]]:
     """Start and stop of every sentence."""
     if not text:
         return []
@@ -232,8 +266,11 @@ def spans(text: str | None) -> list[tuple[int, int]]:
         par = text[begin:stop]
         if par.strip():
             kind = _kind(par)
+            if kind != "spaced" and words is None:
+                words = known()
             at = 0
-            for end in (_thai if kind == "thai" else _east if kind == "east" else _spaced)(par):
+            how = _spaced if kind == "spaced" else _east if kind == "east" else _south
+            for end in [*how(par, words[kind] if kind != "spaced" else None), len(par)]:
                 piece = par[at:end]
                 own = piece.strip()
                 if own and any(unicodedata.category(c)[0] in "LNS" for c in own):
@@ -246,15 +283,20 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
-def sentences(rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, sent_ix, sent_start, sent_stop and sentence of every row; one Arrow pass without a shuffle."""
+def sentences(rows: DataFrame, key: str = "doc_id", text: str = "text", dictionary: str | None = None) -> DataFrame:
+    """key, sent_ix, sent_start, sent_stop and sentence of every row; one Arrow pass without a shuffle.
+
+    The word lists, of fixed size (some 500,000 words, 8 MB), are read once on the driver from ``dictionary`` (Spark's own ICU library if it is not given) and broadcast.
+    """
     kind = rows.schema[key].dataType.simpleString()
+    shipped = rows.sparkSession.sparkContext.broadcast({s: lexicon.words(s, dictionary) for s in lexicon.FILES})
 
     def run(batches):
+        words = _OPEN.setdefault(dictionary, Lattices(lambda s: shipped.value[s]))
         for b in batches:
             at, ix, start, stop, own = [], [], [], [], []
             for k, t in enumerate(b.column(1).to_pylist()):
-                for i, (x, y) in enumerate(spans(t)):
+                for i, (x, y) in enumerate(spans(t, words)):
                     at.append(k)
                     ix.append(i)
                     start.append(x)

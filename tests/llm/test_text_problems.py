@@ -144,19 +144,60 @@ def test_sentences():
 
 def test_lattice_is_the_cheapest_path():
     r_ = random.Random(3)
-    alphabet = "".join(sorted({ch for w in z.DICTIONARY for ch in w}))
+    lattice = z.known()["east"]
+    listed = r_.sample(sorted(w for w in lattice.costs if 2 <= len(w) <= 3), 200)
+    alphabet = "".join(sorted({ch for w in listed[:12] for ch in w}))
+    price = lambda w: lattice.costs.get(w, lattice.UNKNOWN if len(w) == 1 else 1e9)
 
     def cost(t, memo):
-        if not t:
-            return 0.0
-        if t not in memo:
-            memo[t] = min((1.0 if t[:i] in z.DICTIONARY else 1.6 if i == 1 else 1e9) + cost(t[i:], memo) for i in range(1, len(t) + 1))
-        return memo[t]
-
-    for _ in range(60):
-        t = "".join(r_.choices(alphabet, k=7))
-        words = z.lattice_words(t)
-        assert "".join(words) == t and abs(sum(1.0 if w in z.DICTIONARY else 1.6 for w in words) - cost(t, {})) < 1e-9
+        if t and t not in memo:
+            memo[t] = min(price(t[:i]) + cost(t[i:], memo) for i in range(1, len(t) + 1))
+        return memo[t] if t else 0
+
+    for t in [*("".join(r_.choices(alphabet, k=8)) for _ in range(60)), *("".join(r_.choices(listed, k=3)) for _ in range(60))]:
+        words = lattice.cut(t)
+        assert "".join(w for w, _ in words) == t and sum(price(w) for w, _ in words) == cost(t, {})
+
+
+def test_dictionaries_of_all_scripts():
+    assert {s: len(z.lexicon.words(s)) > n for s, n in (("east", 300_000), ("thai", 20_000), ("lao", 20_000), ("khmer", 50_000), ("burmese", 30_000))} == dict.fromkeys(z.lexicon.FILES, True)
+    assert z.known()["east"].cut("知道了") == [("知道", True), ("了", True)]
+    assert [w for w, _ in z.known()["thai"].cut("ระดับน้ำสูง")] == ["ระดับน้ำ", "สูง"] or [w for w, _ in z.known()["thai"].cut("ระดับน้ำสูง")] == ["ระดับ", "น้ำ", "สูง"]
+    assert sents("ខ្ញុំទៅផ្សារ។ គាត់នៅផ្ទះ។") == ["ខ្ញុំទៅផ្សារ។", "គាត់នៅផ្ទះ។"]
+    assert sents("သူ သွားသည်။ ငါ နေသည်။") == ["သူ သွားသည်။", "ငါ နေသည်။"]
+
+
+def test_without_a_dictionary_other_sentences_come_out():
+    none = z.Lattices(lambda script: {})
+    for t in ("「雷ですか。」と彼は尋ねた。", "“桥断了？”老人问道。", "ไม่มีใครเชื่อเรื่องนี้ ระดับน้ำสูงขึ้น"):
+        assert z.spans(t, none) != z.spans(t)
+
+
+def test_acronyms_titles_and_unclosed_quotations():
+    assert sents("The U.S. Senate met. He left the U.S. The town slept at 9 p.m. Nobody saw Mt. Low.") == ["The U.S. Senate met.", "He left the U.S.", "The town slept at 9 p.m.", "Nobody saw Mt. Low."]
+    assert sents("「未完の文。次の文。終わり。") == ["「未完の文。", "次の文。", "終わり。"]
+    assert sents("“It rained. He left. Then it was over.") == ["“It rained.", "He left.", "Then it was over."]
+    assert sents("»Er kam.« Sie ging.") == ["»Er kam.« Sie ging."] or sents("»Er kam.« Sie ging.") == ["»Er kam.«", "Sie ging."]
+
+
+def test_the_path_weighs_gaps_against_quotation_marks():
+    gaps = [(3, 6.0), (6, 6.0), (9, 6.0)]
+    assert z.best_path(gaps, []) == [3, 6, 9] and z.best_path([(3, -1.0), (9, 6.0)], []) == [9]
+    assert z.best_path([(3, 6.0), (9, 6.0)], [(1, 5)]) == [9]  # one end inside a pair is not worth it
+    assert z.quoted("„a“ b “c” „d «e» f“ g”") == [(0, 2), (6, 8), (10, 18)]
+
+
+def test_time_is_linear():
+    import time
+
+    def took(t):
+        began = time.perf_counter()
+        z.spans(t)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "「" + "雨が降った。" * n, lambda n: "“It rained. He left. " * n, lambda n: "ระดับน้ำสูงขึ้น " * n):
+        took(make(100))
+        assert took(make(8000)) < 12 * took(make(2000)) + 0.2
 
 
 def test_sentence_frame(spark):
