@@ -123,8 +123,8 @@ def p9_leaks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, root: str) -> DataFrame:
-    """Those of the leaks in which at least ten words in a row are the item's."""
-    return p9_leaks(spark, root).where(f"run >= {p9.LEAST}").select("doc_id", "item_id").distinct()
+    """Those of the leaks that hold a passage of the item without an edit: ten of its words in a row."""
+    return p9_leaks(spark, root).where("distance = 0").select("doc_id", "item_id")
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 
 pytest.importorskip("loomledger.llm")
 import numpy as np  # noqa: E402
+import pyarrow as pa  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 from loomledger.llm import encoding, leakage, neardup, neighbours, packing, splitting  # noqa: E402
@@ -272,28 +273,83 @@ def test_encoding_equals_the_library(spark):
 # leaks
 
 
-def test_myers_prefixes_against_the_table():
+def test_myers_against_the_table():
     r = random.Random(9)
-    for _ in range(300):
-        p, t = r.choices(range(3), k=r.randint(0, 8)), r.choices(range(3), k=r.randint(0, 9))
-        d = [[0] * (len(t) + 1) for _ in range(len(p) + 1)]
-        for i in range(len(p) + 1):
-            for j in range(len(t) + 1):
-                d[i][j] = max(i, j) if not i or not j else min(d[i - 1][j - 1] + (p[i - 1] != t[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
-        assert leakage.myers_prefixes(p, t) == [min(row) for row in d]
-
-
-def test_leaks(spark):
-    item = "The keeper of the old harbour log wrote that a narrow water wheel drifted past the flooded meadow in 1875"
-    w = item.split()
+    for m, n in ((0, 4), (1, 0), (3, 5), (7, 8), (8, 3)):
+        ps, ts = [[r.randint(2, 4) for _ in range(m)] for _ in range(100)], [[r.randint(2, 4) for _ in range(n)] for _ in range(100)]
+        got = leakage.myers(np.array(ps, np.uint64).reshape(100, m), np.array(ts, np.uint64).reshape(100, n))
+        for p, t, own in zip(ps, ts, got.tolist(), strict=True):
+            d = [[0] * (len(t) + 1) for _ in range(len(p) + 1)]
+            for i in range(len(p) + 1):
+                for j in range(len(t) + 1):
+                    d[i][j] = max(i, j) if not i or not j else min(d[i - 1][j - 1] + (p[i - 1] != t[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+            assert own == [min(row) for row in d]
+
+
+ITEM = "The keeper of the old harbour log wrote that a narrow water wheel drifted past the flooded meadow in 1875"
+
+
+def leak_rows(spark):
+    w = ITEM.split()
     docs = [
-        (1, "x y " + item), (2, "<p>The <b>keeper</b> of&nbsp;the OLD\nharbоur log, wrote <!-- q --> that a [narrow](/x) water!</p>"), (3, " ".join(w[:9])), (4, " ".join(w[3:8] + ["[3]"] + w[8:13])),
-        (5, " ".join(w[2:7] + ["zz"] + w[8:13])), (6, None), (7, ""), (8, "q " * 40), (9, " ".join(w[5:15])),
+        (1, "x y " + ITEM), (2, "<p>The <b>keeper</b> of&nbsp;the OLD\nharbоur log, wrote <!-- q --> that a [narrow](/x) water!</p>"), (3, " ".join(w[:9])), (4, " ".join(w[3:8] + ["[3]"] + w[8:13])),
+        (5, " ".join(w[2:7] + ["zz"] + w[8:13])), (6, None), (7, ""), (8, "q " * 40), (9, " ".join(w[5:15])), (9, " ".join(w[5:15])), (None, ITEM),
     ]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    items = spark.createDataFrame([(7, item), (8, item), (9, None), (10, "too short")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.distance, r.run) for r in leakage.leaks(df, items).collect()}
-    assert {k for k, (_, run) in got.items() if run >= 10} == {(d, i) for d in (1, 2, 9) for i in (7, 8)}
-    assert got[4, 7][0] == 1 and got[5, 7][0] == 1 and (3, 7) in got and got[3, 7] == (1, 9) and not any(k[0] in (6, 7, 8) for k in got)
-    assert leakage.leaks(df, items.limit(0)).count() == 0 and leakage.leaks(df.limit(0), items).count() == 0
-    assert F is not None
+    items = [(7, ITEM), (8, ITEM), (9, None), (10, "too short"), (None, ITEM)]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+
+@pytest.mark.parametrize("shipped", [leakage.SHIPPED, 0])
+def test_leaks(spark, shipped):
+    df, items = leak_rows(spark)
+    got = {(r.doc_id, r.item_id): r.distance for r in leakage.leaks(df, items, shipped=shipped).collect()}
+    assert {k for k, d in got.items() if d == 0} == {(d, i) for d in (1, 2, 9) for i in (7, 8)}
+    assert {k for k, d in got.items() if d == 1} == {(d, i) for d in (3, 4, 5) for i in (7, 8)}
+    assert leakage.leaks(df, items.limit(0), shipped=shipped).count() == 0 and leakage.leaks(df.limit(0), items, shipped=shipped).count() == 0
+
+
+def test_leaks_against_brute_force(spark):
+    r = random.Random(12)
+    pool = [f"w{i}" for i in range(12)]
+    items = [(i, " ".join(r.choices(pool, k=r.randint(8, 30)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        w = items[i % 12][1].split()
+        a = r.randrange(len(w))
+        part = w[a : a + r.randint(9, 14)]
+        for _ in range(r.randint(0, 2)):
+            at = r.randrange(len(part))
+            part[at : at + 1] = r.choice(([], ["zz"], [part[at], "zz"]))
+        docs.append((i, " ".join([*r.choices(pool, k=r.randint(0, 6)), *part, *r.choices(pool, k=r.randint(0, 6))])))
+
+    def nearest(p, t):  # of a passage to any stretch of the text
+        row = [0] * (len(t) + 1)
+        for i, x in enumerate(p, 1):
+            new = [i]
+            for j, y in enumerate(t, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            w = x.split()
+            best = min((nearest(w[k : k + 10], t.split()) for k in range(len(w) - 9)), default=9)
+            if best <= 1:
+                want[d, i] = best
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x.doc_id, x.item_id): x.distance for x in got.collect()} == want and len(want) >= 12
+
+
+def test_without_myers_nothing_leaks(spark, monkeypatch):
+    df, items = leak_rows(spark)
+    shape = leakage.Shape(10, 1)
+    known = leakage._Hashes()
+    h = leakage.hashed([ITEM], known)
+    grid = np.arange(0, len(h[0]) - 2, 3)
+    own = leakage.Pieces(leakage.keys_of(h[0], 3)[grid], pa.array([7] * len(grid)), shape.of_items(h[0], grid))
+    assert set(own.find(h, shape)[2].tolist()) == {0}
+    monkeypatch.setattr(leakage, "myers", lambda p, t: np.full((len(p), p.shape[1] + 1), 99))
+    assert not len(own.find(h, shape)[2])
+    assert F is not None and df is not None and items is not None
