@@ -1,31 +1,29 @@
 """Problem 8: token ids of the whole corpus by a public byte-level BPE.
 
-A text is taken in overlapping chunks. Each chunk is pre-tokenised on its own; two neighbours are
+Every text is taken in overlapping chunks of ``CHUNK`` characters. Each chunk is pre-tokenised on its own; two neighbours are
 stitched at the first pre-token boundary of their overlap on which both agree, from where on their
-boundaries are the same, and every chunk encodes the pieces between its two stitches. A text of at most
-``CHUNK`` characters is a single chunk. A text of which two chunks agree on no boundary (one pre-token
-longer than the overlap) is encoded as one chunk. Decoding concatenates the tokens' bytes.
+boundaries are the same, and the text between two stitches is encoded as a piece. Two chunks that agree on no boundary (a pre-token
+longer than the overlap) become one, and as long as that goes on each union is twice as long, so the work stays linear. The chunks of all texts of a batch
+are one list; texts are read once and nothing is shuffled. Decoding concatenates the tokens' bytes.
 
-Defined results: null and empty texts give an empty list; strings that look like special tokens are ordinary text.
+Defined results: null and empty texts give an empty list; strings that look like special tokens are ordinary text; a repeated or null id changes nothing.
 """
 
 from __future__ import annotations
 
 import base64
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from loomledger.tables import settle
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the pre-token pattern of this vocabulary, as its public description gives it.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK = 1 << 17
-OVERLAP = 1 << 11
+CHUNK = 1 << 10
+OVERLAP = 1 << 7
 
 
 @lru_cache(maxsize=4)
@@ -52,84 +50,58 @@ def _pattern():
 
 
 def boundaries(chunk: str, last: bool) -> list[int]:
-    """Where the pre-tokens of a chunk begin, as far as the text after the chunk cannot change them."""
-    at = [m.start() for m in _pattern().finditer(chunk)]
-    return at if last else at[:-1]
+    """Where pre-tokens begin inside a chunk, as far as the text after it cannot change them.
 
+    None right behind white space: a run of it is cut by what follows it, which a piece that ends there does not show.
+    """
+    at = [m.start() for m in _pattern().finditer(chunk)]
+    return [x for x in (at if last else at[:-1]) if x and not chunk[x - 1].isspace()]
 
-def _encode_all(df: DataFrame, path: str, longest: int | None) -> DataFrame:
-    key = df.schema["doc_id"].dataType.simpleString()
 
-    def run(batches):
-        enc = encoder(path)
-        for b in batches:
-            ids = [[] if not t else enc.encode_ordinary(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    rows = df.select("doc_id", "text")
-    if longest is not None:
-        rows = rows.where(F.coalesce(F.char_length("text") <= longest, F.lit(True)))
-    return rows.mapInArrow(run, f"doc_id {key}, ids array<int>")
+def chunk_places(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, stop) of the chunks of a text; each but the first begins ``overlap`` before the end of the one before."""
+    step = chunk - overlap
+    return [(a, min(n, a + chunk)) for a in range(0, max(1, n - overlap), step)]
+
+
+def stitches(text: str, places: list[tuple[int, int]]) -> Iterator[int]:
+    """Where the pieces of a text end: a boundary for each two neighbours that agree on one, and the end of the text."""
+    n = len(text)
+    own = boundaries(text[slice(*places[0])], places[0][1] == n) if len(places) > 1 else []
+    (begin, stop), k, more = places[0], 1, 1
+    while k < len(places):
+        a, z = places[k]
+        following = boundaries(text[a:z], z == n)
+        heads = {x + a for x in following}
+        at = next((x + begin for x in own if x + begin > a and x + begin in heads), None)
+        if at is not None:
+            yield at
+            (begin, stop), own, k, more = (a, z), following, k + 1, 1
+        else:
+            k = min(len(places), k + more)
+            more *= 2
+            stop = places[k - 1][1]
+            own = boundaries(text[begin:stop], stop == n)
+    yield n
 
 
 def encode(docs: DataFrame, path: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """doc_id and ids of every row of ``docs`` (doc_id, text)."""
-    short = _encode_all(docs, path, chunk)
-    long = docs.select("doc_id", "text").where(F.char_length("text") > chunk)
-    return short.unionByName(_long(long, path, chunk, overlap))
-
-
-def _long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
-    """Every row on its own (``uid``), so that a repeated or a null id changes nothing."""
-    from pyspark import TaskContext
-
-    if chunk <= 2 * overlap:
+    if chunk <= 2 * overlap or overlap < 1:
         raise ValueError("a chunk must be longer than two overlaps")
-    step = chunk - overlap
     key = docs.schema["doc_id"].dataType.simpleString()
 
-    def cut(batches):
-        uid = (TaskContext.get().partitionId() << 40) - 1
-        for b in batches:
-            for at, text in enumerate(b.column("text").to_pylist()):
-                uid += 1
-                n = max(1, -(-(len(text) - overlap) // step))
-                for ix in range(n):
-                    part = text[ix * step : ix * step + chunk] if ix < n - 1 else text[ix * step :]
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(at, 1), pa.array([uid], pa.int64()), pa.array([ix], pa.int32()), pa.array([n], pa.int32()), pa.array([part])], names=["doc_id", "uid", "ix", "n", "part"])
-
-    def pretokenise(batches):
-        for b in batches:
-            heads, tails = [], []
-            for ix, n, part in zip(*(b.column(c).to_pylist() for c in ("ix", "n", "part")), strict=True):
-                at = boundaries(part, ix == n - 1)
-                # not behind white space: a run of it is cut by what follows it, which a piece that ends there does not show
-                at = [x for x in at if x and not part[x - 1].isspace()]
-                heads.append([x for x in at if ix and x < overlap])
-                tails.append([x - step for x in at if ix < n - 1 and x >= step])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(heads, pa.list_(pa.int32())), pa.array(tails, pa.list_(pa.int32()))], names=[*b.schema.names, "head", "tail"])
-
-    schema = f"doc_id {key}, uid bigint, ix int, n int, part string"
-    # chunks, not documents, are spread: one text can be larger than all others together
-    chunks = settle(docs.mapInArrow(cut, schema).repartition("uid", "ix").mapInArrow(pretokenise, f"{schema}, head array<int>, tail array<int>"), "p8-chunks")
-    left = chunks.select("uid", (F.col("ix") + 1).alias("ix"), "tail")
-    # the first common boundary; relative to the start of chunk ix
-    joints = chunks.where("ix > 0").select("uid", "ix", "head").join(left, ["uid", "ix"]).select("uid", "ix", F.array_min(F.array_intersect("head", "tail")).alias("at"))
-    broken = joints.where(F.col("at").isNull()).select("uid").distinct()
-    begin = joints.select("uid", "ix", F.col("at").alias("begin"))
-    end = joints.select("uid", (F.col("ix") - 1).alias("ix"), (F.col("at") + step).alias("end"))
-    own = chunks.select("doc_id", "uid", "ix", "part").join(broken, "uid", "left_anti").join(begin, ["uid", "ix"], "left").join(end, ["uid", "ix"], "left")
-
     def run(batches):
-        enc = encoder(path)
+        encode_piece = encoder(path).encode_ordinary
         for b in batches:
-            ids = [enc.encode_ordinary(part[begin or 0 : end]) for part, begin, end in zip(*(b.column(c).to_pylist() for c in ("part", "begin", "end")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("uid"), b.column("ix"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "uid", "ix", "ids"])
-
-    parts = own.select("doc_id", "uid", "ix", "part", "begin", "end").mapInArrow(run, f"doc_id {key}, uid bigint, ix int, ids array<int>")
-    in_order = lambda c: F.array_sort(F.collect_list(F.struct("ix", c)))
-    stitched = parts.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.flatten(F.transform(in_order("ids"), lambda x: x["ids"])).alias("ids")).select("doc_id", "ids")
-    # the chunks of a text that is encoded whole, without their overlaps
-    bare = F.when(F.col("ix") < F.col("n") - 1, F.substring("part", 1, step)).otherwise(F.col("part"))
-    whole = chunks.join(broken, "uid", "left_semi").select("doc_id", "uid", "ix", bare.alias("part")).groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.array_join(F.transform(in_order("part"), lambda x: x["part"]), "").alias("text"))
-    return stitched.unionByName(_encode_all(whole, path, None))
+            ids = []
+            for text in b.column("text").to_pylist():
+                own: list[int] = []
+                begin = 0
+                for end in stitches(text, chunk_places(len(text), chunk, overlap)) if text else ():
+                    own += encode_piece(text[begin:end])
+                    begin = end
+                ids.append(own)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {key}, ids array<int>")

@@ -261,7 +261,7 @@ def test_encoding_equals_the_library(spark):
     texts = ["", None, "<|endoftext|> don't we'll I'd", "  a\n\n b \t", "漢字かな交じり文", "naïve café 🌊 ก็ 12345", "x" * 5000, " " * 3000 + "y", "".join(r.choices("ab c'd\n\t 1é漢<|>", k=20_000)), ("word " * 3000) + "z" * 9000 + (" end" * 2000)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = {i: t.encode(x, add_special_tokens=False).ids if x else [] for i, x in enumerate(texts)}
-    for chunk, overlap in ((1 << 17, 1 << 11), (700, 120), (64, 16)):
+    for chunk, overlap in ((encoding.CHUNK, encoding.OVERLAP), (1 << 17, 1 << 11), (700, 120), (64, 16)):
         got = {x.doc_id: x.ids for x in encoding.encode(df, chunk=chunk, overlap=overlap).collect()}
         assert got == want, (chunk, overlap)
     twice = spark.createDataFrame([(1, texts[8]), (1, texts[8]), (None, texts[9])], "doc_id long, text string")
@@ -270,6 +270,21 @@ def test_encoding_equals_the_library(spark):
     assert all(encoding.decode(want[i]) == (x or "") for i, x in enumerate(texts))
 
 
+def test_chunks_are_stitched_and_do_decide(monkeypatch):
+    t = " ".join(f"word{i} don't" for i in range(400))
+    ends = list(encoding.stitches(t, encoding.chunk_places(len(t), 1024, 128)))
+    assert len(ends) == len(encoding.chunk_places(len(t), 1024, 128)) > 5 and ends[-1] == len(t)
+    whole = encoding.boundaries(t, True)
+    assert set(ends[:-1]) <= set(whole)
+    # a pre-token longer than any overlap joins its chunks
+    long = "ab " * 100 + "x" * 5000 + " cd" * 500
+    ends = list(encoding.stitches(long, encoding.chunk_places(len(long), 200, 20)))
+    assert ends[-1] == len(long) and not any(300 < e < 5300 for e in ends) and len(ends) > 5
+    # without agreement on boundaries every text of several chunks would be one piece
+    monkeypatch.setattr(encoding, "boundaries", lambda chunk, last: [])
+    assert list(encoding.stitches(t, encoding.chunk_places(len(t), 1024, 128))) == [len(t)]
+
+
 # leaks
 
 
