@@ -1,13 +1,14 @@
 """Problem 1: clean text with its structure from pages in HTML, Markdown, wiki or LaTeX notation.
 
 A page becomes a sequence of leaf blocks: the text between block tags with its ancestors, and within it the lines that a light notation
-sets apart. A linear-chain conditional random field labels the blocks - heading, list, code, formula, table, quote, text, drop - from
-ancestors, line marks and text features; it is trained on pages that ``labelled_pages`` renders in all four notations with their labels, and decoded by Viterbi.
-The label decides what becomes of a block, and whether an ambiguous line mark (a dash, a number, a bar) is notation at all.
-
-A document counts as marked up when the conversion took notation away from its text or title. Placeholders, ``<|...|>`` and lone symbols are text.
-In the clean text, headings are paragraphs of their own, items begin with a bullet, code is indented by four spaces, formulas stand between ⟪ and ⟫.
-Defined results: null stays null, empty stays empty; broken or unclosed notation is taken away as far as it is recognised, and nothing raises.
+sets apart. A linear-chain conditional random field labels the blocks - heading, list, code, formula, table, quote, drop, marked (running text with notation in it), text
+(no notation) - from ancestors, line marks, the notation that inline rules see, and text features. It is trained on pages that ``labelled_pages`` renders in all four
+notations with their labels, and decoded by Viterbi over the labels that a block can have at all.
+
+The label decides: a block labelled text stays as it is, whatever marks stand in it, and a document counts as marked up when a block of its text or its title has another
+label. Placeholders, ``<|...|>`` and lone symbols are text. In the clean text, headings are paragraphs of their own, items begin with a bullet, code is indented by four spaces,
+formulas stand between ⟪ and ⟫. Defined results: null stays null, empty stays empty; broken or unclosed notation is taken away as far as it is recognised, and nothing raises,
+whatever characters a text holds.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-LABELS = ("text", "heading", "list", "code", "formula", "table", "quote", "drop")
+LABELS = ("text", "heading", "list", "code", "formula", "table", "quote", "drop", "marked")
 PAGES = 300
+TITLES = 200
 EPOCHS = 50
 
 _BLOCK = set("address article aside blockquote body caption center dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li link main meta nav noscript ol p pre script section style summary syntaxhighlight table tbody tfoot thead title tr ul math gallery poem source".split())
@@ -192,19 +194,40 @@ def parse(text: str) -> tuple[list[Block], bool]:
     return out, escaped
 
 
-def features(block: Block, first: bool) -> list[str]:
+class Seen(NamedTuple):
+    """A block with what the inline rules make of it: the text without notation, how much they took away, and which of them."""
+
+    block: Block
+    plain: str
+    taken: int
+    rules: frozenset[str]
+
+
+#: Kinds of blocks whose inside is no running text.
+_OPAQUE = {"fence", "verbatim", "equation", "tabular", "wtable", "bar", "preamble", "category", "infobox", "envmark", "hr"}
+_CODE_TAGS = {"pre", "code", "math", "syntaxhighlight", "source", "script", "style"}
+
+
+def seen(block: Block) -> Seen:
+    if block.kind in _OPAQUE or _CODE_TAGS & set(block.path) or not block.raw:
+        return Seen(block, block.raw, 0, frozenset())
+    return Seen(block, *inline(block.raw))
+
+
+def features(own: Seen, first: bool) -> list[str]:
+    block = own.block
     raw = block.raw.strip()
     n = len(raw)
-    f = ["bias", "k:" + block.kind, *{"a:" + t for t in block.path}]
+    f = ["bias", "k:" + block.kind, *{"a:" + t for t in block.path}, *{"i:" + r for r in own.rules}]
+    f.append("taken:" + str(min(3, own.taken)) + ("+tags" if block.marks else ""))
     if block.path:
         f.append("leaf:" + block.path[-1])
     f.append("len:" + str(min(9, n.bit_length())))
     end = raw[-1:] or " "
     f.append("end:" + ("stop" if end in ".!?…。！？।" else "colon" if end in ":：" else "word" if end.isalnum() else "mark"))
-    letters = sum(map(str.isalpha, raw[:200]))
-    odd = sum(not c.isalnum() and not c.isspace() for c in raw[:200])
-    f.append("odd:" + str(min(5, odd * 10 // max(1, min(n, 200)))))
-    f.append("alpha:" + str(letters * 5 // max(1, min(n, 200))))
+    letters, signs = sum(map(str.isalpha, raw)), len("".join(raw.split())) - sum(map(str.isalnum, raw))
+    f.append("odd:" + str(min(5, signs * 10 // max(1, n))))
+    f.append("alpha:" + str(letters * 5 // max(1, n)))
     f.append("lines:" + str(min(4, raw.count("\n"))))
     for name, hit in (("tex", "\\" in raw), ("eq", "=" in raw), ("paren", "(" in raw and ")" in raw), ("bars", raw.count("|") > 1), ("idx", "[" in raw and "]" in raw), ("num", raw[:1].isdigit()), ("first", first), ("empty", not raw)):
         if hit:
@@ -212,6 +235,26 @@ def features(block: Block, first: bool) -> list[str]:
     return f
 
 
+_OF_TAG = {**dict.fromkeys(("h1", "h2", "h3", "h4", "h5", "h6"), "heading"), **dict.fromkeys(("li", "dd", "dt"), "list"), **dict.fromkeys(("pre", "code", "syntaxhighlight", "source"), "code"), "math": "formula", **dict.fromkeys(("table", "tr", "td", "th"), "table"), "blockquote": "quote", **dict.fromkeys(("head", "title", "script", "style"), "drop")}
+_OF_KIND = {**dict.fromkeys(("atx", "shead", "whead", "thead"), "heading"), **dict.fromkeys(("item", "number"), "list"), **dict.fromkeys(("fence", "verbatim"), "code"), **dict.fromkeys(("equation", "display"), "formula"), **dict.fromkeys(("bar", "wtable", "tabular"), "table"), **dict.fromkeys(("mark", "equote"), "quote"), **dict.fromkeys(("preamble", "category", "infobox", "envmark", "hr"), "drop")}
+
+
+@lru_cache(maxsize=1024)
+def _bar(found: frozenset[str]) -> np.ndarray:
+    return np.array([0.0 if x in found else -1e9 for x in LABELS])
+
+
+def possible(own: Seen) -> frozenset[str]:
+    """The labels that a block can have: what its tags and its line mark stand for, and always text and marked. Only what has no text can be dropped without a tag or mark for it."""
+    block = own.block
+    found = {"text", "marked", _OF_KIND.get(block.kind, "text"), *(_OF_TAG.get(t, "text") for t in block.path)}
+    if not block.raw.strip():
+        found.add("drop")
+    elif block.kind == "para" and _MATH.fullmatch(block.raw.strip()):
+        found.add("formula")
+    return frozenset(found)
+
+
 class Crf:
     """A linear-chain conditional random field; scores are log-potentials."""
 
@@ -229,9 +272,12 @@ class Crf:
         e = np.add.reduceat(self.emit[np.array(flat, np.int64)], np.array(starts, np.int64)) if starts else np.zeros((0, len(LABELS)))
         return np.split(e, np.cumsum([len(p) for p in pages])[:-1])
 
-    def decode(self, pages: list[list[list[str]]]) -> list[np.ndarray]:
-        """The most probable labels of each page; pages of like length go together."""
+    def decode(self, pages: list[list[list[str]]], bars: list[list[np.ndarray]] | None = None) -> list[np.ndarray]:
+        """The most probable labels of each page; ``bars`` are added to the scores of each block. Pages of like length go together."""
         scores = self.emissions(pages)
+        for e, rows in zip(scores, bars or (), strict=False):
+            if rows:
+                e += np.array(rows)
         out: list[np.ndarray] = [np.zeros(0, int)] * len(pages)
         order = sorted(range(len(pages)), key=lambda i: -len(pages[i]))
         for a in range(0, len(order), 256):
@@ -333,32 +379,70 @@ def _sentence(r: random.Random, lo: int = 5, hi: int = 18) -> str:
     return " ".join(w) + r.choice(("", ".", ".", ".", ".", "!", "?", "。"))
 
 
-def labelled_pages(n: int = PAGES, seed: int = 5) -> tuple[list[list[list[str]]], list[list[int]]]:
-    """Features and labels of pages that are rendered from a known structure in a notation, at times in two or none."""
+#: Notation inside running text by where it is used, and what looks like notation and is none; {} is a word.
+_SPANS = {
+    "html": ("<b>{}</b>", "<i>{}</i>", '<a href="/p/7">{}</a>', "{} &amp; {}", "{}&nbsp;{}", "&quot;{}&quot;", "<!-- {} -->", "{}<br />", "{}<sup>2</sup>", "<em>{} {}</em>", "&#8212; {}", "<span class=\"m\">{}</span>", "<code>{}</code>"),
+    "md": ("**{}**", "*{}*", "_{}_", "[{}](/p/7)", "![{}](a.png)", "`{}`", "~~{}~~", "__{}__", "{}[^1]", "[{} {}](https://example.org/x)", "\\*{}"),
+    "wiki": ("'''{}'''", "''{}''", "[[{}]]", "[[{}|{}]]", "{{{{cite book|title={}|year=1880}}}}", "<ref>{}</ref>", "[https://example.org {}]", "{{{{lang|fr|{}}}}}"),
+    "tex": ("\\emph{{{}}}", "\\textbf{{{}}}", "{}~\\cite{{{}}}", "$x_{{3}} = 7$", "{}\\footnote{{{}}}", "5\\% {}", "\\ref{{{}}}", "{} \\& {}"),
+}
+_DECOYS = ("5 * 3 * 2", "#7", "[sic]", "{}_notes_31", "$5 and $7", "<|endoftext|>", "{{{{{}.{}}}}}", "${{{}}}", "<%= {} %>", "__TITLE__", "3 < 4", "9 > 7", "{} & {}", "{} -- {}", "* {}", "[Your {} here]", "C:\\{}", "{}/{}", "(see {})", "~40", "{}: {}", "`{}", "a|b", "^{}")
+
+
+def _sprinkled(r: random.Random, text: str, spans: tuple[str, ...], share: float) -> str:
+    """A text with some of ``spans`` beside its words, each with as many words as it takes."""
+    words = text.split(" ")
+    for _ in range(r.choice((1, 1, 2, 4)) if r.random() < share else 0):
+        shape = r.choice(spans)
+        words.insert(r.randint(0, len(words)), shape.format(*(r.choice(_POOL) for _ in range(4))))
+    return " ".join(words)
+
+
+def _gold(own: Seen, label: str) -> str:
+    """The label of a block of a rendered piece: that of the piece where the block can have it; running text is marked where tags, a mark or a rule took something away."""
+    can = possible(own)
+    if own.block.raw.strip() and label in can and label not in ("text", "marked", "drop"):
+        return label
+    if "drop" in can and (not own.block.raw.strip() or label == "drop"):
+        return "drop"
+    return "marked" if own.taken or own.block.marks else "text"
+
+
+def labelled_pages(n: int = PAGES, titles: int = TITLES, seed: int = 5) -> tuple[list[list[list[str]]], list[list[int]], list[list[np.ndarray]]]:
+    """Features, labels and bars of pages and titles that are rendered from a known structure in a notation, at times in two or none."""
     r = random.Random(seed)
-    pages, labels = [], []
+    rendered: list[list[tuple[Seen, str]]] = []
     for _ in range(n):
         plan = []
         for _ in range(r.randint(2, 14)):
             plan.append(r.choices(LABELS[:7], (7, 3, 3, 1, 1.2, 1, 1))[0])
-        blocks: list[tuple[Block, int]] = []
-        notations = [r.choice(("html", "md", "wiki", "tex", "plain"))]
+        notations = [r.choice(("html", "md", "wiki", "tex", "plain", "plain", "plain"))]
         if r.random() < 0.25:
             notations.append(r.choice(("html", "md", "wiki", "tex")))
+        page, traces = [], r.choice(("", *_SPANS))
         for notation in notations:
             for piece, label in _render(r, notation, plan[:: len(notations)]):
-                got, _e = parse(piece)
-                for b in got:
-                    blocks.append((b, LABELS.index(label if b.raw.strip() and b.kind != "envmark" else "drop")))
-        if blocks:
-            pages.append([features(b, i == 0) for i, (b, _l) in enumerate(blocks)])
-            labels.append([y for _b, y in blocks])
-    return pages, labels
+                # a page without a notation of its own can hold traces of one
+                piece = _sprinkled(r, piece, _SPANS[traces], 0.35) if notation == "plain" and traces else piece
+                page += [(own, _gold(own, label)) for own in map(seen, parse(piece)[0])]
+        if page:
+            rendered.append(page)
+    for _ in range(titles):
+        t = _sprinkled(r, _sentence(r, 2, 7).rstrip(".。!?"), _DECOYS, 0.3)
+        notation = r.choice(("plain", "plain", *_SPANS))
+        if notation != "plain":
+            t = r.choice(({"html": "<b>{}</b>", "md": "# {}", "wiki": "== {} ==", "tex": "\\section{{{}}}"}[notation].format(t), _sprinkled(r, t, _SPANS[notation], 1.0)))
+        own = _title(t)
+        rendered.append([(own, _gold(own, "text"))])
+    return [[features(own, i == 0) for i, (own, _) in enumerate(p)] for p in rendered], [[LABELS.index(y) for _, y in p] for p in rendered], [[_bar(possible(own)) for own, _ in p] for p in rendered]
 
 
 def _render(r: random.Random, notation: str, plan: list[str]) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
-    text = lambda: " ".join(_sentence(r) for _ in range(r.randint(1, 4)))
+    def text() -> str:
+        t = _sprinkled(r, " ".join(_sentence(r) for _ in range(r.randint(1, 4))), _DECOYS, 0.25)
+        return _sprinkled(r, t, _SPANS[notation], 0.4) if notation != "plain" else t
+
     head = lambda: _sentence(r, 2, 7).rstrip(".。!?")
     if notation == "html" and r.random() < 0.7:
         out += [(f"<html><head><title>{head()}</title></head></html>", "drop"), (f"<script>var q={r.randint(1, 99)};</script>", "drop"), ("<style>.m{margin:0}</style>", "drop")]
@@ -395,7 +479,7 @@ def _render(r: random.Random, notation: str, plan: list[str]) -> list[tuple[str,
                 "formula": r.choice((f"\\begin{{equation}}\n{formula}\n\\end{{equation}}", f"${formula}$")), "table": "\\begin{tabular}{lrr}\n" + " \\\\\n".join(" & ".join(row) for row in cells) + "\n\\end{tabular}", "quote": f"\\begin{{quote}}{text()}\\end{{quote}}",
             }[what]
         else:
-            piece, what = (head(), "heading") if what == "heading" else (text(), "text")
+            piece, what = head() if what == "heading" else text(), "text"
         out.append((piece, what))
     if notation == "tex" and r.random() < 0.6:
         out.append(("\\end{document}", "drop"))
@@ -406,10 +490,11 @@ def _render(r: random.Random, notation: str, plan: list[str]) -> list[tuple[str,
 
 @lru_cache(maxsize=1)
 def model() -> Crf:
-    return fit(*labelled_pages())
+    pages, labels, _ = labelled_pages()
+    return fit(pages, labels)
 
 
-_MATH = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|\$\$(.+?)\$\$|(?<![\\\w$])\$(?=[^$\n]*[\\^_{=])([^$\n]{1,200}?)(?<!\s)\$(?![\d{])", re.S)
+_MATH = re.compile(r"\\\((.+?)\\\)|\\\[(.+?)\\\]|\$\$(.+?)\$\$|(?<![\\\w$])\$(?=[^$\n]*[\\^_{=])([^$\n]+?)(?<!\s)\$(?![\d{])", re.S)
 _CODE_SPAN = re.compile(r"(`{1,2})(?!`)([^`\n]+?)\1(?!`)")
 _PLACEHOLDER = re.compile(r"\{\{\s?=?[\w.:-]+(?: [\w.:-]+){0,2}\s?\}\}|\$\{[^{}\n]*\}|#\{[^{}\n]*\}|<%.*?%>|<<[\w. ]+>>|__[A-Z][A-Z_ ]*__|\[%.*?%\]|%%[A-Z_.]+%%|@@[\w.]+@@|<\|[^|\n]*\|>|(?<![\\\w}{\]$#^_*])\{[\w. :-]{1,30}\}")
 _WIKI_BARE = re.compile(r"\{\{\s?(?:reflist|references|stub|clear|toc|citation needed|cn|fact)\s?\}\}", re.I)
@@ -426,26 +511,51 @@ _INLINE: tuple[tuple[str, re.Pattern[str], str], ...] = (
 #: Rules in the order they run, those in a row that need the same mark together; what nests is repeated, from the innermost out.
 _RULES = [(need, [(rx, to) for _, rx, to in group]) for need, group in groupby(_INLINE, key=lambda r: r[0])]
 _NESTS = ("{{", "{")
-_HELD = re.compile("\ue000(\\d+)\ue001")
 
 
-def inline(text: str) -> tuple[str, int]:
-    """A block's text without notation inside, and how much was taken away. Formulas, code spans and placeholders are held back meanwhile."""
+@lru_cache(maxsize=16)
+def _held(pair: str) -> re.Pattern[str]:
+    return re.compile(f"{pair[0]}(\\d+){pair[1]}")
+
+
+def _unused(text: str) -> str:
+    """Two characters for private use that the text has not."""
+    free = (chr(c) for block in (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE)) for c in block)
+    out = ""
+    for ch in free:
+        if ch not in text:
+            out += ch
+            if len(out) == 2:
+                return out
+    raise AssertionError("no text holds them all")
+
+
+def inline(text: str) -> tuple[str, int, frozenset[str]]:
+    """A block's text without notation inside, how much was taken away, and by which rules. Formulas, code spans and placeholders are held back meanwhile."""
     if not TRIGGER.search(text):
-        return text, 0
+        return text, 0, frozenset()
     n = 0
+    hits: set[str] = set()
     held: list[str] = []
+    pair = _unused(text)
+    restore = lambda t: _held(pair).sub(lambda m: held[int(m[1])], t) if held else t
 
     def hold(s: str) -> str:
-        held.append(s)
-        return f"\ue000{len(held) - 1}\ue001"
+        held.append(restore(s))  # what is held never holds another place
+        return f"{pair[0]}{len(held) - 1}{pair[1]}"
+
+    def count(rule: str, k: int) -> None:
+        nonlocal n
+        if k:
+            n += k
+            hits.add(rule)
 
     if "$" in text or "\\" in text:
         text, k = _MATH.subn(lambda m: hold("⟪" + next(g for g in m.groups() if g is not None).strip() + "⟫"), text)
-        n += k
+        count("math", k)
     if "`" in text:
         text, k = _CODE_SPAN.subn(lambda m: hold(m[2]), text)
-        n += k
+        count("code", k)
     if any(c in text for c in ("{", "__", "<", "[%", "%%", "@@")):
         text = _PLACEHOLDER.sub(lambda m: m[0] if _WIKI_BARE.match(m[0]) else hold(m[0]), text)
     for need, rules in _RULES:
@@ -454,59 +564,45 @@ def inline(text: str) -> tuple[str, int]:
             before = n
             for rx, to in rules:
                 text, k = rx.subn(to, text)
-                n += k
+                count(need, k)
             more = need in _NESTS and n > before
     if "~" in text and n:
         text = re.sub(r"(?<=\S)~(?=\S)", " ", text)
     if "&" in text:
         entities = len(_ENTITY.findall(text))
         if entities:
-            text, n = html.unescape(text), n + entities
-    while held and _HELD.search(text):
-        text = _HELD.sub(lambda m: held[int(m[1])], text)
-    return text, n
+            text = html.unescape(text)
+            count("entity", entities)
+    return restore(text), n, frozenset(hits)
 
 
 _STRIP = {
     "atx": re.compile(r"^#{1,6} +|\s+#+\s*$"), "whead": re.compile(r"^=+\s*|\s*=+\s*$"), "thead": re.compile(r"^\\\w+\*?\{|\}\s*$"), "shead": re.compile(r"\n[=-]{3,}\s*$"), "item": re.compile(r"^\s*(?:\\item\b|[-+*•]+)\s*"), "number": re.compile(r"^\s*\d{1,3}[.)]\s+"),
     "mark": re.compile(r"^\s{0,3}>\s?", re.M), "fence": re.compile(r"\A.*\n?|^\s*(?:```|~~~)\s*\Z", re.M), "verbatim": re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\[[^\]]*\])?\n?"), "equation": re.compile(r"\\(?:begin|end)\{[^{}]*\}\n?"), "tabular": re.compile(r"\\(?:begin|end)\{[^{}]*\}(?:\{[^{}]*\})?\n?"), "display": re.compile(r"^\s*(?:\$\$?|\\\[)|(?:\$\$?|\\\])\s*$"),
 }
-#: Line marks that only the label makes notation, and what it must be.
-_AMBIGUOUS = {"item": "list", "number": "list", "mark": "quote", "bar": "table", "hr": "drop", "display": "formula"}
-_CERTAIN = {"atx", "shead", "whead", "thead", "preamble", "category", "infobox", "wtable", "fence", "envmark", "verbatim", "equation", "tabular", "equote"}
-
-
-def render(block: Block, label: str) -> tuple[str, int]:
-    """What a labelled block becomes, and how much notation that took away."""
-    raw, kind, n = block.raw, block.kind, block.marks
-    if kind in _CERTAIN or (kind in _AMBIGUOUS and _AMBIGUOUS[kind] == label):
-        n += 1
-    elif kind in _AMBIGUOUS and "\\item" in raw:
-        n += 1
-    if label in ("code", "formula") and kind in ("para", "item", "number", "mark", "bar", "equote") and not {"pre", "code", "math", "syntaxhighlight"} & set(block.path):
-        label = "text"  # running text beside a formula is text
-    if label == "table" and kind not in ("bar", "wtable", "tabular") and not {"tr", "table"} & set(block.path):
-        label = "text"
-    if label == "drop" and kind in ("para", "item", "number", "mark", "bar", "raw") and raw.strip() and not {"head", "title", "script", "style"} & set(block.path):
-        label = "text"  # only what no reader sees is dropped
-    if label == "drop" or kind in ("preamble", "category", "infobox", "envmark"):
-        return "", n
-    if kind in _STRIP and (kind in _CERTAIN or _AMBIGUOUS.get(kind) == label):
+
+
+def render(own: Seen, label: str) -> str:
+    """What a labelled block becomes."""
+    block = own.block
+    raw, kind = block.raw, block.kind
+    if label == "text":
+        return raw.strip()
+    if label == "drop":
+        return ""
+    if label == "marked":
+        return own.plain.strip()
+    if kind in _STRIP and _OF_KIND.get(kind) == label:
         raw = _STRIP[kind].sub("", raw)
     if label == "code":
-        code = html.unescape(raw) if "&" in raw else raw
-        return "\n".join("    " + x for x in code.strip("\n").split("\n")), n + (code != raw)
+        return "\n".join("    " + x for x in (html.unescape(raw) if "&" in raw else raw).strip("\n").split("\n"))
     if label == "formula":
-        body = re.sub(r"^\s*\\[(\[]|\\[)\]]\s*$", "", raw.strip())
-        return "⟪" + html.unescape(body).strip() + "⟫", n + (body != raw.strip())
+        return "⟪" + html.unescape(re.sub(r"^\s*(?:\\[(\[]|\$\$?)|(?:\\[)\]]|\$\$?)\s*$", "", raw.strip())).strip() + "⟫"
     if label == "table":
         rows = re.sub(r"(?m)^\s*(?:\{\|.*|\|\}|\|-+)\s*$\n?|^\s*[|!]\s?|\s*\|\s*$", "", raw)
-        rows = re.sub(r"\s*(?:\|\||!!|(?<!\\)&(?!\w+;|#)|\|)\s*", " | ", re.sub(r"\\\\\s*", "", rows))
-        text, k = inline(rows.strip())
-        return text, n + k
-    text, k = inline(raw)
-    text = text.strip()
-    return ("• " + text if label == "list" and text else text), n + k
+        return inline(re.sub(r"\s*(?:\|\||!!|(?<!\\)&(?!\w+;|#)|\|)\s*", " | ", re.sub(r"\\\\\s*", "", rows)).strip())[0]
+    text = (own.plain if raw is block.raw else inline(raw)[0]).strip()
+    return "• " + text if label == "list" and text else text
 
 
 class Converted(NamedTuple):
@@ -515,18 +611,22 @@ class Converted(NamedTuple):
     blocks: list[tuple[str, str]]
 
 
-def convert(texts: list[str], crf: Crf) -> list[Converted]:
-    """The clean text of many pages at once."""
-    parsed = [parse(t) if TRIGGER.search(t) else ([Block((), "para", p, 0) for p in re.split(r"\n\s*\n", t) if p.strip()], False) for t in texts]
-    labels = crf.decode([[features(b, i == 0) for i, b in enumerate(blocks)] for blocks, _ in parsed])
+def convert(texts: list[str], crf: Crf, titles: bool = False) -> list[Converted]:
+    """The clean text of many pages, or of their titles, at once; ``removed`` is the number of blocks that are no plain text."""
+    if titles:
+        pages = [[_title(t)] for t in texts]
+    else:
+        pages = [list(map(seen, parse(t)[0])) if TRIGGER.search(t) else [Seen(Block((), "para", p, 0), p, 0, frozenset()) for p in re.split(r"\n\s*\n", t) if p.strip()] for t in texts]
+    labels = crf.decode([[features(x, i == 0) for i, x in enumerate(page)] for page in pages], [[_bar(possible(x)) for x in page] for page in pages])
     out = []
-    for (blocks, escaped), ys in zip(parsed, labels, strict=True):
-        done, removed = [], int(escaped)
-        for b, y in zip(blocks, ys, strict=True):
-            text, n = render(b, LABELS[y])
-            removed += n
+    for page, ys in zip(pages, labels, strict=True):
+        done, removed = [], 0
+        for x, y in zip(page, ys, strict=True):
+            label = LABELS[y]
+            removed += label != "text"
+            text = render(x, label)
             if text.strip():
-                done.append((LABELS[y], text))
+                done.append(("text" if label == "marked" else label, text))
         parts = []
         for i, (kind, text) in enumerate(done):
             if i:
@@ -536,8 +636,18 @@ def convert(texts: list[str], crf: Crf) -> list[Converted]:
     return out
 
 
+_TITLE_MARKS = re.compile(r"^#{1,6} +|^=+ | =+$|^\\\w+\*?\{(?=[^{}]*\}$)|</?[A-Za-z][^<>]*>|<!--.*?-->")
+
+
+def _title(title: str) -> Seen:
+    """A title as a block of its own kind: what marks it as one, and the rules of running text."""
+    bare = _TITLE_MARKS.sub("", html.unescape(title) if _ESCAPED_TAG.search(title) else title)
+    plain, taken, rules = inline(bare)
+    return Seen(Block((), "name", title, int(bare != title)), plain, taken, rules)
+
+
 def cleaned(docs: DataFrame) -> DataFrame:
-    """doc_id, clean_text, clean_title, removed (notation taken away from either) and blocks (kind, text) of every document; one pass, no shuffle."""
+    """doc_id, clean_text, clean_title, removed (blocks of either that hold notation) and blocks (kind, text) of every document; one pass, no shuffle."""
     key = docs.schema["doc_id"].dataType.simpleString()
     crf = docs.sparkSession.sparkContext.broadcast(model())
     kind = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
@@ -548,41 +658,30 @@ def cleaned(docs: DataFrame) -> DataFrame:
             for a in range(0, b.num_rows, 500):
                 s = b.slice(a, 500)
                 texts, titles = s.column("text").to_pylist(), s.column("title").to_pylist()
-                t = convert([x or "" for x in texts], m)
-                h = [inline(_title(x)) if x else (x, 0) for x in titles]
+                t, h = convert([x or "" for x in texts], m), convert([x or "" for x in titles], m, titles=True)
                 yield pa.RecordBatch.from_arrays(
-                    [s.column("doc_id"), pa.array([None if x is None else c.text if x else x for x, c in zip(texts, t, strict=True)], pa.string()), pa.array([None if x is None else c.strip() for x, (c, _) in zip(titles, h, strict=True)], pa.string()), pa.array([c.removed + n + _title_marks(x) for c, (_, n), x in zip(t, h, titles, strict=True)], pa.int32()), pa.array([[{"kind": k, "text": v} for k, v in c.blocks] for c in t], kind)],
+                    [s.column("doc_id"), pa.array([None if x is None else c.text if x else x for x, c in zip(texts, t, strict=True)], pa.string()), pa.array([None if x is None else c.text for x, c in zip(titles, h, strict=True)], pa.string()), pa.array([c.removed + d.removed for c, d in zip(t, h, strict=True)], pa.int32()), pa.array([[{"kind": k, "text": v} for k, v in c.blocks] for c in t], kind)],
                     names=["doc_id", "clean_text", "clean_title", "removed", "blocks"],
                 )
 
     return docs.select("doc_id", "title", "text").mapInArrow(run, f"doc_id {key}, clean_text string, clean_title string, removed int, blocks array<struct<kind:string,text:string>>")
 
 
-def marked_up(docs: DataFrame) -> DataFrame:
-    """The ids of the documents from whose text or title the conversion takes notation away; only those with a character that notation needs are converted."""
+def marked_up(docs: DataFrame, crf: Crf | None = None) -> DataFrame:
+    """The ids of the documents in whose text or title the random field finds notation; only those with a character that notation needs are labelled."""
     key = docs.schema["doc_id"].dataType.simpleString()
-    crf = docs.sparkSession.sparkContext.broadcast(model())
+    shipped = docs.sparkSession.sparkContext.broadcast(crf or model())
 
     def run(batches):
-        m = crf.value
+        m = shipped.value
         for b in batches:
             for a in range(0, b.num_rows, 500):
                 s = b.slice(a, 500)
-                texts, titles = s.column("text").to_pylist(), s.column("title").to_pylist()
-                at = [i for i, t in enumerate(texts) if t and TRIGGER.search(t)]
-                hit = {i for i, c in zip(at, convert([texts[i] for i in at], m), strict=True) if c.removed}
-                hit |= {i for i, x in enumerate(titles) if x and TRIGGER.search(x) and (_title_marks(x) or inline(_title(x))[1])}
+                hit: set[int] = set()
+                for column, titles in (("text", False), ("title", True)):
+                    texts = s.column(column).to_pylist()
+                    at = [i for i, t in enumerate(texts) if t and i not in hit and TRIGGER.search(t)]
+                    hit |= {i for i, c in zip(at, convert([texts[i] for i in at], m, titles), strict=True) if c.removed}
                 yield pa.RecordBatch.from_arrays([s.column("doc_id").take(pa.array(sorted(hit), pa.int64()))], names=["doc_id"])
 
     return docs.select("doc_id", "title", "text").mapInArrow(run, f"doc_id {key}").distinct()
-
-
-_TITLE_MARKS = re.compile(r"^#{1,6} +|^=+ | =+$|^\\\w+\*?\{(?=[^{}]*\}$)|</?[A-Za-z][^<>]*>|<!--.*?-->")
-
-
-def _title(title: str) -> str:
-    return _TITLE_MARKS.sub("", html.unescape(title) if _ESCAPED_TAG.search(title) else title)
-
-
-def _title_marks(title: str | None) -> int:
-    return 0 if not title else int(_title(title) != title)

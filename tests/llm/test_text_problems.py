@@ -59,10 +59,32 @@ def test_canonical_frame(spark):
 
 
 def test_crf_on_held_out_pages():
-    pages, labels = m.labelled_pages(150, seed=4242)
-    found = m.model().decode(pages)
+    pages, labels, bars = m.labelled_pages(150, 100, seed=4242)
+    found = m.model().decode(pages, bars)
     right = sum(int((np.array(a) == b).sum()) for a, b in zip(labels, found, strict=True))
-    assert right / sum(map(len, labels)) > 0.97
+    assert right / sum(map(len, labels)) > 0.98
+
+
+def test_the_field_decides():
+    # with weights of zero every block is text: nothing is found and nothing is taken away
+    zero = m.Crf(m.model().index, m.model().emit * 0, m.model().move * 0)
+    for t in ("# Head\n\nText *is* here.", "<h1>Fire</h1><p>The <b>mill</b> burned.</p>", "a &quot;b&quot;"):
+        assert m.convert([t], m.model())[0].removed and not m.convert([t], zero)[0].removed
+    assert m.convert(["== x =="], m.model(), titles=True)[0].removed and not m.convert(["== x =="], zero, titles=True)[0].removed
+
+
+def test_any_character_comes_through():
+    for t in ("`\ue0000\ue001` and *x*", "\ue0005\ue001 beside `code` and **b**", "`a` \ue000 $x_1$ \ue001 `b`", "".join(map(chr, range(0xE000, 0xF900))) + " `c` *d*"):
+        plain, n, _ = m.inline(t)
+        assert n and sum(map(plain.count, map(chr, range(0xE000, 0xF900)))) == sum(map(t.count, map(chr, range(0xE000, 0xF900))))
+    assert m.inline("`a $x_1$ {{b.c}} d`")[0] == "a ⟪x_1⟫ {{b.c}} d"
+
+
+def test_long_formulas_and_long_blocks():
+    body = "x_{1} + " * 60 + "y"
+    assert m.inline(f"so ${body}$ holds")[0] == f"so ⟪{body}⟫ holds"
+    far = m.features(m.seen(m.Block((), "para", "a" * 300 + "#%&" * 500, 0)), True)
+    assert "odd:5" in far or "odd:8" in far or any(f.startswith("odd:") and f != "odd:0" for f in far)
 
 
 def test_viterbi_is_the_best_path():
@@ -71,9 +93,11 @@ def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     k = len(m.LABELS)
     crf = m.Crf({"\0": 0, "a": 1, "b": 2}, rng.normal(size=(3, k)), rng.normal(size=(k, k)))
+    barred = [np.where(np.arange(k) < 3, 0.0, -1e9)] * 3
     page = [["a"], ["b"], ["a"]]
     best = max(itertools.product(range(k), repeat=3), key=lambda y: sum(crf.emit[crf.index[f[0]], s] for f, s in zip(page, y, strict=True)) + sum(crf.move[a, b] for a, b in zip(y, y[1:], strict=False)))
     assert tuple(crf.decode([page, []])[0]) == best
+    assert max(crf.decode([page], [barred])[0]) < 3
 
 
 def clean(t):
