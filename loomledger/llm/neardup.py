@@ -7,7 +7,8 @@ occur in at least SURE of the others. Here:
 
 1. One pass gives every text a class (texts of the same words are one class: it is indexed once) and counts the
    shingles in a sketch of fixed size, which never counts too few, so its order of the lists is good and its bound on a list's length holds.
-2. The short lists come from a shuffle by shingle; a list longer than ``LIST`` is split into cells of two blocks each.
+2. The short lists come from a shuffle by shingle. Where the sketch cannot tell that a list is at most ``LIST`` long, its true length is counted; a longer one
+   is split into cells of two blocks each, one of a single member is left out. So the work an entry costs does not grow with how full the sketch is.
 3. The lists of each class are merged by a heap; partners that occur at least SURE times stay.
 4. A partner's remaining shingles - the long lists - are probed by binary search in its sorted shingles, and T is checked.
 
@@ -31,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomledger.llm import bits
 from loomledger.tables import settle
 
 WORDS = 5
@@ -40,7 +42,11 @@ SURE = 4
 #: Cells of the sketch and members of a list that one task compares at once.
 CELLS = 1 << 24
 LIST = 4096
-SLICE = 1 << 16
+SLICE = bits.SLICE
+#: Pairs that a task holds before it passes them on.
+HELD = 2_000_000
+#: Documents of one class that a task pairs with as many others.
+SIDE = 2048
 #: Bits of the filter that keeps texts without a candidate out of the verification's shuffle.
 BITMAP = 1 << 24
 
@@ -128,8 +134,10 @@ def _decode(c: np.ndarray) -> np.ndarray:
 
 
 def _first_pass(docs: DataFrame, words: int, min_chars: int, short: bool) -> DataFrame:
+    from pyspark import TaskContext
+
     def run(batches):
-        s = Shingler(words)
+        s, part = Shingler(words), TaskContext.get().partitionId() % bits.PARTS
         counts = np.zeros(CELLS, np.uint32)
         ids, sigs, checks, cells = [], [], [], []
 
@@ -138,7 +146,7 @@ def _first_pass(docs: DataFrame, words: int, min_chars: int, short: bool) -> Dat
                 u, c = np.unique(np.concatenate(cells), return_counts=True)
                 counts[u] += c.astype(np.uint32)
                 cells.clear()
-            rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "sig": pa.array(sigs, pa.int64()), "chk": pa.array(checks, pa.int64()), "slice": pa.nulls(len(ids), pa.int32()), "counts": pa.nulls(len(ids), pa.binary())})
+            rows = pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "sig": pa.array(sigs, pa.int64()), "chk": pa.array(checks, pa.int64()), "slice": pa.nulls(len(ids), pa.int32()), "part": pa.nulls(len(ids), pa.int32()), "data": pa.nulls(len(ids), pa.binary())})
             for x in (ids, sigs, checks):
                 x.clear()
             return rows
@@ -161,42 +169,25 @@ def _first_pass(docs: DataFrame, words: int, min_chars: int, short: bool) -> Dat
         if ids:
             yield add()
         for k in range(CELLS // SLICE):
-            part = counts[k * SLICE : (k + 1) * SLICE]
-            if part.any():
-                packed = zlib.compress(_code(part).tobytes(), 1)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "sig": pa.nulls(1, pa.int64()), "chk": pa.nulls(1, pa.int64()), "slice": pa.array([k], pa.int32()), "counts": pa.array([packed], pa.binary())})
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, sig bigint, chk bigint, slice int, counts binary")
-
+            own = counts[k * SLICE : (k + 1) * SLICE]
+            if own.any():
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.nulls(1, pa.int64()), "sig": pa.nulls(1, pa.int64()), "chk": pa.nulls(1, pa.int64()), "slice": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "data": pa.array([_pack(own)], pa.binary())})
 
-def _merge_slices(slices: DataFrame) -> DataFrame:
-    def run(t: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE)
-        for c in t.column("counts").to_pylist():
-            total += _decode(np.frombuffer(zlib.decompress(c), np.uint16))
-        return pa.table({"slice": t.column("slice")[:1], "counts": pa.array([zlib.compress(_code(total).tobytes(), 1)], pa.binary())})
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, sig bigint, chk bigint, slice int, part int, data binary")
 
-    return slices.select("slice", "counts").groupBy("slice").applyInArrow(run, "slice int, counts binary")
 
-
-def _sketch(spark: SparkSession, first: DataFrame):
-    """The sketch as a broadcast of at most 2 * CELLS bytes, whatever the number of texts."""
-    rows = _merge_slices(first.where("slice is not null")).collect()
-    return spark.sparkContext.broadcast({r["slice"]: bytes(r["counts"]) for r in rows})
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(_code(counts).tobytes(), 1)
 
 
-_OPEN: dict = {}
+def _codes(c: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(c), np.uint16)
 
 
-def _open(sketch) -> np.ndarray:
-    key = id(sketch)
-    if key not in _OPEN:
-        _OPEN.clear()
-        table = np.zeros(CELLS, np.uint16)
-        for k, c in sketch.value.items():
-            table[k * SLICE : (k + 1) * SLICE] = np.frombuffer(zlib.decompress(c), np.uint16)
-        _OPEN[key] = table
-    return _OPEN[key]
+def _sketch(spark: SparkSession, first: DataFrame) -> bits.Shared:
+    """The sketch as a broadcast of at most 2 * CELLS bytes, whatever the number of texts."""
+    add = lambda total, c: _decode(_codes(c)) + (0 if total is None else total)
+    return bits.share(spark, bits.merged(first.where("slice is not null").select("slice", "part", "data"), add, _pack))
 
 
 def _name(h: np.ndarray, double: frozenset[int]) -> int:
@@ -204,11 +195,11 @@ def _name(h: np.ndarray, double: frozenset[int]) -> int:
     return a ^ b if a in double else a
 
 
-def _postings(docs: DataFrame, words: int, min_chars: int, similarity: float, sketch, double: frozenset[int]) -> DataFrame:
-    """A row for each short list that a class is on; lists that have surely one member are left out."""
+def _postings(docs: DataFrame, words: int, min_chars: int, similarity: float, sketch: bits.Shared, double: frozenset[int]) -> DataFrame:
+    """A row for each short list that a class is on; lists that have surely one member are left out. ``open``: the sketch cannot tell that the list is no longer than LIST."""
 
     def run(batches):
-        s, table, seen = Shingler(words), _open(sketch), set()
+        s, table, seen = Shingler(words), bits.opened(sketch, CELLS, np.uint16, _codes), set()
         out: list[tuple[np.ndarray, ...]] = []
         size = 0
         for _, h in _texts(batches, s, min_chars):
@@ -222,20 +213,9 @@ def _postings(docs: DataFrame, words: int, min_chars: int, similarity: float, sk
             order = np.lexsort((x, code))
             order = order[: n - math.ceil(similarity * n - 1e-9) + SURE]
             at = np.nonzero(code[order] > 1)[0].astype(np.int32)
-            tok, most = x[order][at].astype(np.int64), _decode(code[order][at])
-            blocks = np.ceil(most / LIST).astype(np.int64)
-            row = np.zeros(len(tok), np.int64)
-            one = blocks <= 1
-            cell = np.zeros(len(tok), np.int64)
-            parts = [(tok[one], cell[one], row[one] + 2, at[one])]
-            for t, k, p in zip(tok[~one], blocks[~one], at[~one], strict=True):
-                own, j = int(cls % k), np.arange(k)
-                side = np.where(j == own, 2, np.where(own < j, 0, 1))
-                parts.append((np.full(k, t), np.minimum(own, j) * k + np.maximum(own, j) + 1, side, np.full(k, p, np.int32)))
-            for tok_, cell_, side_, at_ in parts:
-                if len(tok_):
-                    out.append((tok_, cell_, side_, np.full(len(tok_), cls), np.full(len(tok_), n, np.int32), at_))
-                    size += len(tok_)
+            if len(at):
+                out.append((x[order][at].astype(np.int64), np.full(len(at), cls), np.full(len(at), n, np.int32), at, _decode(code[order][at]) > LIST))
+                size += len(at)
             if size > 60_000:
                 yield batch(out)
                 out, size = [], 0
@@ -243,10 +223,20 @@ def _postings(docs: DataFrame, words: int, min_chars: int, similarity: float, sk
             yield batch(out)
 
     def batch(out):
-        c = [np.concatenate(x) for x in zip(*out, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(c[0]), pa.array(c[1]), pa.array(c[2].astype(np.int32)), pa.array(c[3]), pa.array(c[4]), pa.array(c[5].astype(np.int32))], names=["tok", "cell", "side", "cls", "n", "at"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["tok", "cls", "n", "at", "open"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "tok bigint, cls bigint, n int, at int, open boolean")
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "tok bigint, cell bigint, side int, cls bigint, n int, at int")
+
+def _cells(postings: DataFrame) -> DataFrame:
+    """``postings`` with cell and side. A short list is one cell, in which all meet (side 2); the k blocks of a long one meet two by two, those of different sides (0 and 1) only."""
+    short = postings.where("not open").select("tok", F.lit(0).cast("bigint").alias("cell"), F.lit(2).alias("side"), "cls", "n", "at")
+    length = postings.where("open").groupBy("tok").agg(F.count("*").alias("_n")).where("_n > 1").select("tok", F.ceil(F.col("_n") / LIST).alias("k"))
+    own = postings.where("open").join(length, "tok").withColumn("own", F.pmod("cls", "k"))
+    j, mine = F.col("j"), F.col("own")
+    split = own.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+    cell = F.when(F.col("k") == 1, F.lit(0)).otherwise(F.least(mine, j) * F.col("k") + F.greatest(mine, j) + 1)
+    return short.unionByName(split.select("tok", cell.cast("bigint").alias("cell"), F.when(j == mine, 2).when(mine < j, 0).otherwise(1).alias("side"), "cls", "n", "at"))
 
 
 def _need(similarity: float, total: np.ndarray) -> np.ndarray:
@@ -285,7 +275,7 @@ def _lists(postings: DataFrame, similarity: float) -> DataFrame:
         stop = np.append(np.nonzero(new)[0][1:], len(tok))[group]
         # the longer partners end where n exceeds n / similarity
         reach = int((stop - np.arange(len(tok))).max()) if len(tok) else 0
-        left_all, right_all = [], []
+        left_all, right_all, held = [], [], 0
         alive = np.arange(len(tok))
         for d in range(1, reach):
             alive = alive[alive + d < stop[alive]]
@@ -297,9 +287,15 @@ def _lists(postings: DataFrame, similarity: float) -> DataFrame:
             good &= (side[i] == 2) | (side[i] != side[j])
             left_all.append(i[good])
             right_all.append(j[good])
-        if not left_all:
-            return
-        left, right = np.concatenate(left_all), np.concatenate(right_all)
+            held += len(left_all[-1])
+            if held > HELD:
+                yield from lists(left_all, right_all, cls, n)
+                left_all, right_all, held = [], [], 0
+        yield from lists(left_all, right_all, cls, n)
+
+    def lists(left_all, right_all, cls, n):
+        """A row for each class and the partners of it that are held; a class can have several of a list."""
+        left, right = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left_all, right_all))
         if not len(left):
             return
         order = np.lexsort((cls[right], left))
@@ -307,8 +303,8 @@ def _lists(postings: DataFrame, similarity: float) -> DataFrame:
         head = np.append(np.nonzero(np.diff(left, prepend=-1))[0], len(left)).astype(np.int32)
         for a in range(0, len(head) - 1, 20_000):
             cut = head[a : a + 20_001]
-            lists = pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(cls[right[cut[0] : cut[-1]]]))
-            yield pa.RecordBatch.from_arrays([pa.array(cls[left[cut[:-1]]]), pa.array(n[left[cut[:-1]]]), lists], names=["cls", "n", "list"])
+            own = pa.ListArray.from_arrays(pa.array(cut - cut[0]), pa.array(cls[right[cut[0] : cut[-1]]]))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[left[cut[:-1]]]), pa.array(n[left[cut[:-1]]]), own], names=["cls", "n", "list"])
 
     ordered = postings.repartition("tok", "cell").sortWithinPartitions("tok", "cell")
     return ordered.mapInArrow(run, "cls bigint, n int, list array<bigint>")
@@ -341,37 +337,15 @@ def _candidates(lists: DataFrame, similarity: float) -> DataFrame:
     return lists.repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "a bigint, b bigint")
 
 
-def _bitmap(spark: SparkSession, classes: DataFrame):
-    """Which classes occur in ``classes``, in BITMAP bits: some others pass too, none is missed."""
-    def run(batches):
-        bits = np.zeros(BITMAP, bool)
-        for b in batches:
-            bits[b.column("cls").to_numpy() % BITMAP] = True
-        for k in range(0, BITMAP, SLICE):
-            if bits[k : k + SLICE].any():
-                yield pa.RecordBatch.from_pydict({"slice": pa.array([k // SLICE], pa.int32()), "bits": pa.array([np.packbits(bits[k : k + SLICE]).tobytes()], pa.binary())})
-
-    def both(t: pa.Table) -> pa.Table:
-        x = np.bitwise_or.reduce([np.frombuffer(c, np.uint8) for c in t.column("bits").to_pylist()])
-        return pa.table({"slice": t.column("slice")[:1], "bits": pa.array([x.tobytes()], pa.binary())})
-
-    rows = classes.mapInArrow(run, "slice int, bits binary").groupBy("slice").applyInArrow(both, "slice int, bits binary").collect()
-    return spark.sparkContext.broadcast({r["slice"]: bytes(r["bits"]) for r in rows})
-
-
 def _sets(docs: DataFrame, words: int, min_chars: int, double: frozenset[int], wanted) -> DataFrame:
     """The sorted shingles, six bytes each, of the classes that may be in a candidate."""
 
     def run(batches):
         s, seen = Shingler(words), set()
-        bits = np.zeros(BITMAP // 8, np.uint8)
-        for k, c in wanted.value.items():
-            bits[k * SLICE // 8 : (k + 1) * SLICE // 8] = np.frombuffer(c, np.uint8)
         ids, sets = [], []
         for _, h in _texts(batches, s, min_chars):
             cls = _name(h, double)
-            at = cls % BITMAP
-            if cls in seen or not bits[at >> 3] & (128 >> (at & 7)):
+            if cls in seen or not bits.has(wanted, BITMAP, np.array([cls]))[0]:
                 continue
             seen.add(cls)
             ids.append(cls)
@@ -432,24 +406,37 @@ def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, m
     twice = ids.groupBy("sig").agg(F.min("chk").alias("x"), F.max("chk").alias("y")).where("x <> y").select("sig").collect()
     double = frozenset(r["sig"] for r in twice)
     sketch = _sketch(spark, first)
-    candidates = settle(_candidates(_lists(_postings(docs, words, min_chars, similarity, sketch, double), similarity), similarity), "p2-candidates")
-    wanted = _bitmap(spark, candidates.select(F.col("a").alias("cls")).union(candidates.select(F.col("b").alias("cls"))))
+    postings = settle(_postings(docs, words, min_chars, similarity, sketch, double), "p2-postings")
+    candidates = settle(_candidates(_lists(_cells(postings), similarity), similarity), "p2-candidates")
+    wanted = bits.bitmap(candidates.select(F.col("a").alias("cls")).union(candidates.select(F.col("b").alias("cls"))), "cls", BITMAP)
     pairs = _verify(candidates, _sets(docs, words, min_chars, double, wanted), similarity)
     cls = F.when(F.col("sig").isin(*double), F.col("sig").bitwiseXOR(F.col("chk"))).otherwise(F.col("sig")) if double else F.col("sig")
     return ids.select("doc_id", cls.alias("cls")), pairs
 
 
 def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_a < doc_b: the documents of linked classes, and those of one class. Only classes in a pair or of several documents are joined."""
-    m = members.distinct()
-    across = pairs.join(m.select(F.col("cls").alias("a"), F.col("doc_id").alias("x")), "a").join(m.select(F.col("cls").alias("b"), F.col("doc_id").alias("y")), "b").select("x", "y")
-    shared = m.groupBy("cls").count().where("count > 1").select("cls")
-    many = m.join(shared, "cls")
-    within = many.select("cls", F.col("doc_id").alias("x")).join(many.select("cls", F.col("doc_id").alias("y")), "cls").where("x < y").select("x", "y")
-    return across.unionByName(within).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+    """doc_a < doc_b: the documents of linked classes, and those of one class. Only classes in a pair or of several documents are joined.
 
-
-def groups(members: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
+    Both sides of a join are cut into parts of about ``SIDE`` documents a class, so that classes of any size meet in parts.
+    """
+    m = settle(members.distinct(), "p2-members")
+    size = m.groupBy("cls").agg(F.count("*").alias("size"))
+    parts = F.ceil(F.col("size") / SIDE).cast("int")
+    own = m.join(size.where("size > 1"), "cls").select("cls", "doc_id", parts.alias("k"), F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
+    # each two parts of a class, and each part with itself
+    within = own.select("cls", F.col("doc_id").alias("x"), "part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("other"))
+    facing = own.select("cls", F.col("doc_id").alias("y"), F.col("part").alias("other"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"))
+    inside = within.join(facing, ["cls", "part", "other"]).where("x < y").select("x", "y")
+    sized = pairs.select("a", "b").join(size.select(F.col("cls").alias("a"), parts.alias("ka")), "a").join(size.select(F.col("cls").alias("b"), parts.alias("kb")), "b")
+    cut = sized.withColumn("pa", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)))
+    placed = m.join(size, "cls").select("cls", "doc_id", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part"))
+    left = placed.select(F.col("cls").alias("a"), F.col("part").alias("pa"), F.col("doc_id").alias("x"))
+    right = placed.select(F.col("cls").alias("b"), F.col("part").alias("pb"), F.col("doc_id").alias("y"))
+    across = cut.join(left, ["a", "pa"]).join(right, ["b", "pb"]).select("x", "y")
+    return across.unionByName(inside).where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b")).distinct()
+
+
+def groups(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, grp (the smallest doc_id reached over links) and n_links (linked classes) of every member."""
     members, pairs = settle(members.distinct(), "p2-members"), settle(pairs, "p2-pairs")
     least = members.groupBy("cls").agg(F.min("doc_id").alias("label"))
@@ -457,7 +444,7 @@ def groups(members: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
     labels = settle(least, "p2-labels")
     linked = both.select(F.col("a").alias("cls")).distinct()
     moving = settle(labels.join(linked, "cls", "left_semi"), "p2-moving")
-    for _ in range(rounds):
+    while True:  # until no label moves; each round at least doubles how far a label has got along a chain
         heard = both.join(moving.select(F.col("cls").alias("b"), "label"), "b").groupBy(F.col("a").alias("cls")).agg(F.min("label").alias("heard"))
         step = moving.join(heard, "cls", "left").select("cls", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("changed"))
         # a label that is itself a class's smallest document is followed to where that class has got
@@ -468,8 +455,6 @@ def groups(members: DataFrame, pairs: DataFrame, rounds: int = 40) -> DataFrame:
         if not moving.where("changed").limit(1).count():
             break
         moving = moving.select("cls", "label")
-    else:
-        raise RuntimeError("a chain of links is longer than the rounds allow")
     n = both.groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("n_links"))
     out = members.join(labels, "cls").join(moving.select("cls", F.col("label").alias("reached")), "cls", "left").join(n, "cls", "left")
     return out.select("doc_id", F.coalesce("reached", "label").alias("grp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

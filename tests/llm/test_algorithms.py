@@ -225,11 +225,33 @@ def test_recall_with_small_windows(spark):
     assert len(got & want) / len(want) >= 0.9
 
 
-def test_runs_grow_with_the_rows():
-    assert [neighbours.run_length(n) for n in (0, 10_000, 25_000, 100_000, 2_500_000)] == [2048, 2048, 2048, 4096, 20_480]
+def test_best_columns_and_ranges():
+    rng = np.random.default_rng(4)
+    for m in (3, 50, 401, 1000):
+        s = rng.normal(size=(30, m)).astype(np.float32)
+        got = neighbours.best_columns(s, 6)
+        assert [set(x) for x in got.tolist()] == [set(x) for x in np.argsort(-s, axis=1)[:, :6].tolist()]
+    keys = rng.integers(0, 3, size=(200, 4))
+    begins = np.array(sorted(map(tuple, rng.integers(0, 3, size=(7, 4)).tolist())))
+    assert neighbours.part_of(keys, begins).tolist() == [sum(tuple(b) <= tuple(x) for b in begins.tolist()) for x in keys.tolist()]
+
+
+def test_refinement_makes_up_for_small_windows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "RANGE", 400)  # several ranges a curve
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(80, 16))
+    v = (centres[rng.integers(0, 80, 2400)] + 0.4 * rng.normal(size=(2400, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(2400)], "item_id long, embedding array<float>")
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -9)
+    want = {(i, int(j)) for i in range(2400) for j in np.argsort(-s[i])[:5]}
+    recall = [len({(r.item_id, r.neighbour) for r in neighbours.nearest(df, dims=16, block=16, curves=4, rounds=n).collect()} & want) / len(want) for n in (1, 2)]
+    assert recall[1] > recall[0] and recall[1] > 0.9
 
 
-def test_tight_clusters_keep_their_neighbours(spark):
+def test_tight_clusters_keep_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "DENSE_FROM", 32)
     # a third of the rows are scaled copies of one vector or copies with noise below a cell; windows hold 96 of them
     rng = np.random.default_rng(3)
     v = rng.normal(size=(1500, 8))
