@@ -10,7 +10,7 @@ from loomledger.functions.text import byte_slice, quotations, word_count, words_
 
 
 def quote_findings(turns: DataFrame, docs: DataFrame) -> DataFrame:
-    """turn_id, check_ix, severity and message of the quotes that do not hold.
+    """turn_id, kind, check_ix, severity and message of the quotes that do not hold; kind is quote or quotation.
 
     A quote of an unknown document, else one that differs from the source at its place, else one its turn does not speak is an error, and so is
     every quotation in a turn that no quote covers. ``turns``: turn_id, text, quotes; ``docs``: doc_id, text.
@@ -24,10 +24,10 @@ def quote_findings(turns: DataFrame, docs: DataFrame) -> DataFrame:
         .when(~F.coalesce(sliced == F.col("q.text"), F.lit(False)), F.concat(F.lit("quote does not match the source: "), F.coalesce("q.text", F.lit(""))))
         .when(~F.coalesce(F.contains("turn_text", F.col("q.text")), F.lit(False)), F.concat(F.lit("turn does not speak the quote: "), F.col("q.text")))
     )
-    bad = j.select("turn_id", "check_ix", message.alias("message")).where("message is not null")
+    bad = j.select("turn_id", F.lit("quote").alias("kind"), "check_ix", message.alias("message")).where("message is not null")
     spans = turns.select("turn_id", F.coalesce("quotes", F.array().cast(turns.schema["quotes"].dataType)).alias("quotes"), F.posexplode(quotations("text")).alias("check_ix", "quoted"))
     loose = spans.where(~F.exists("quotes", lambda x: F.coalesce(F.contains(x["text"], F.col("quoted")), F.lit(False))))
-    return bad.unionByName(loose.select("turn_id", (F.col("check_ix") + 1000).alias("check_ix"), F.concat(F.lit("turn quotes words no quote covers: "), F.col("quoted")).alias("message"))).select("turn_id", "check_ix", F.lit("error").alias("severity"), "message")
+    return bad.unionByName(loose.select("turn_id", F.lit("quotation").alias("kind"), "check_ix", F.concat(F.lit("turn quotes words no quote covers: "), F.col("quoted")).alias("message"))).select("turn_id", "kind", "check_ix", F.lit("error").alias("severity"), "message")
 
 
 def outside_quotes(text: Column | str, quotes: Column | str) -> Column:

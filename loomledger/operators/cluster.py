@@ -42,11 +42,11 @@ def equivalent(pairs: DataFrame, veto: bool = True, settings: Settings = DEFAULT
     return pairs.select("a", "b", both.alias("mutual_pm")).where(F.col("mutual_pm") >= settings.merge_entailment_pm)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and comp (its least node) of every node on an edge (a, b), by labels that jump to their label's label."""
     both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
-    for _ in range(rounds):
+    while True:  # until no label moves; a label at least doubles its reach in a round
         heard = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("h")), "b").groupBy(F.col("a").alias("node")).agg(F.min("h").alias("h"))
         step = labels.join(heard, "node").select("node", F.least("comp", "h").alias("c"), F.col("comp").alias("old"))
         jump = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
@@ -54,7 +54,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not labels.where("moved").limit(1).count():
             return labels.select("node", "comp")
         labels = labels.select("node", "comp")
-    raise RuntimeError("a chain of edges is longer than the rounds allow")
 
 
 def greedy(members: list[str], edges: set[tuple[str, str]]) -> dict[str, str]:

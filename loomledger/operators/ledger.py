@@ -37,7 +37,9 @@ def tampered(ledger: DataFrame) -> DataFrame:
     return ledger.select("claim_id", F.col("status").alias("stored")).join(again.select("claim_id", "status"), "claim_id").where(~F.col("stored").eqNullSafe(F.col("status")))
 
 
-def first_appearance(claims: DataFrame, chunks: DataFrame) -> DataFrame:
-    """claim_id and position: the least order of the chunks (chunk_id, ord) of its evidence, after all others where there is none."""
+def first_appearance(claims: DataFrame, chunks: DataFrame, *order: str) -> DataFrame:
+    """claim_id and the columns of ``order`` of the first of the chunks of its evidence, by all of them; null where no chunk is known, which comes after all others."""
     e = claims.select("claim_id", F.explode_outer("evidence.chunk").alias("chunk_id"))
-    return e.join(chunks.select("chunk_id", "ord"), "chunk_id", "left").groupBy("claim_id").agg(F.coalesce(F.min("ord"), F.lit(2**63 - 1)).alias("position"))
+    place = F.when(F.col("_known"), F.struct(*order))
+    found = e.join(chunks.select("chunk_id", *order, F.lit(True).alias("_known")), "chunk_id", "left").groupBy("claim_id").agg(F.min(place).alias("_p"))
+    return found.select("claim_id", *[F.col(f"_p.{c}").alias(c) for c in order])

@@ -7,21 +7,31 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomledger.config import DEFAULT, Settings
-from loomledger.functions.text import WS, sentence_pieces, trim_ws
+from loomledger.functions.text import WS
 
 
 def sentence_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """key, sent_ix, sentence and its byte places (start, stop) in the text."""
-    pieces = rows.select(key, F.posexplode(sentence_pieces(text)).alias("piece_ix", "piece"))
-    w = Window.partitionBy(key).orderBy("piece_ix")
-    lead = F.octet_length("piece") - F.octet_length(F.regexp_replace("piece", rf"\A{WS}+", ""))
-    own = trim_ws("piece")
-    placed = pieces.select(key, "piece_ix", own.alias("sentence"), (F.sum(F.octet_length("piece")).over(w) - F.octet_length("piece") + lead).alias("start")).where("sentence <> ''")
-    return placed.select(key, (F.row_number().over(w) - 1).alias("sent_ix"), "sentence", F.col("start").cast("bigint").alias("start"), (F.col("start") + F.octet_length("sentence")).cast("bigint").alias("stop"))
+    """key, sent_ix, sentence and its byte places (start, stop) in the text; one Arrow pass without a shuffle. Null and blank texts have none."""
+    kind = rows.schema[key].dataType.simpleString()
+    types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        for b in batches:
+            at, out = [], []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                if not t:
+                    continue
+                places = _byte_places(t)
+                for i, words in enumerate(sentence_words(t)):
+                    a, z = words[0][0], words[-1][1]
+                    at.append(k)
+                    out.append((i, t[a:z], int(places[a]), int(places[z])))
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in types]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, ty) for c, ty in zip(cols, types, strict=True)]], names=[key, "sent_ix", "sentence", "start", "stop"])
+
+    return rows.select(key, text).mapInArrow(run, f"`{key}` {kind}, sent_ix int, sentence string, start bigint, stop bigint")
 
 
 def slice_places(n_words: int, size: int) -> list[int]:
@@ -35,14 +45,20 @@ _END = re.compile(rf"(?<=[.!?])(?={_CLASS}|\Z)")
 _WORD = re.compile(_CLASS.replace("[", "[^", 1) + "+")
 
 
-def premises(text: str, settings: Settings = DEFAULT) -> list[tuple[int, int, int, str, int, int, bool]]:
-    """(first sentence, number of sentences, slice, premise, start, stop, whole) of every window of a text; places in characters."""
+def sentence_words(text: str) -> list[list[tuple[int, int]]]:
+    """The places of the words of each sentence that has any."""
     sents, at = [], 0
     for piece in _END.split(text):
         words = [(m.start() + at, m.end() + at) for m in _WORD.finditer(piece)]
         if words:
             sents.append(words)
         at += len(piece)
+    return sents
+
+
+def premises(text: str, settings: Settings = DEFAULT) -> list[tuple[int, int, int, str, int, int, bool]]:
+    """(first sentence, number of sentences, slice, premise, start, stop, whole) of every window of a text; places in characters."""
+    sents = sentence_words(text)
     out = []
     for i, own in enumerate(sents):
         for n in range(1, settings.window_sentences + 1):

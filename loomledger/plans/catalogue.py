@@ -229,10 +229,9 @@ def evidence_sets(spark, root):
     return table(spark, root, "claims").select("claim_id", bar(F.array_sort(F.array_distinct(one))).alias("evidence"))
 
 
-@query(f"SELECT claim_id, coalesce(min(o), 9223372036854775807) AS position FROM (SELECT claim_id, unnest(CASE WHEN len(evidence) > 0 THEN list_transform(evidence, lambda e: e.chunk) ELSE [NULL] END) AS chunk_id FROM claims) LEFT JOIN (SELECT chunk_id, doc_id * 100000 + chunk_ix AS o FROM {_CH}) USING (chunk_id) GROUP BY claim_id")
+@query(f"SELECT claim_id, arg_min(doc_id, (doc_id, chunk_ix)) AS doc_id, arg_min(chunk_ix, (doc_id, chunk_ix)) AS chunk_ix FROM (SELECT claim_id, unnest(CASE WHEN len(evidence) > 0 THEN list_transform(evidence, lambda e: e.chunk) ELSE [NULL] END) AS chunk_id FROM claims) LEFT JOIN {_CH} USING (chunk_id) GROUP BY claim_id")
 def first_appearance(spark, root):
-    c = _chunks(spark, root).select("chunk_id", (F.col("doc_id") * 100000 + F.col("chunk_ix")).alias("ord"))
-    return ledger.first_appearance(table(spark, root, "claims"), c)
+    return ledger.first_appearance(table(spark, root, "claims"), _chunks(spark, root), "doc_id", "chunk_ix")
 
 
 @query(f"SELECT l.claim_id, generate_subscripts(l.evidence, 1) - 1 AS ev_ix, unnest(l.evidence).stance AS stance, unnest(l.evidence).chunk AS chunk FROM {sql.LEDGER} l WHERE status = 'contested'")
@@ -387,7 +386,7 @@ def claim_clusters(spark, root):
  j AS (SELECT turn_id, check_ix, CASE WHEN d.doc_id IS NULL THEN 'unknown' WHEN NOT coalesce(q.q.span.stop <= octet_length(encode(d.text)) AND hex(encode(d.text)[q.q.span.start + 1:q.q.span.stop]) = hex(encode(q.q.text)), false) THEN 'differs' WHEN NOT coalesce(contains(q.text, q.q.text), false) THEN 'unspoken' END AS problem FROM q LEFT JOIN documents d ON d.doc_id = q.q.document)
  SELECT problem, count(*) AS n FROM j WHERE problem IS NOT NULL GROUP BY problem""")
 def quote_problems(spark, root):
-    f = analyse.quote_findings(_turns(spark, root), table(spark, root, "documents").select("doc_id", "text")).where("check_ix < 1000")
+    f = analyse.quote_findings(_turns(spark, root), table(spark, root, "documents").select("doc_id", "text")).where("kind = 'quote'")
     m = F.col("message")
     kind = F.when(m.startswith("quote cites unknown"), "unknown").when(m.startswith("quote does not match"), "differs").otherwise("unspoken")
     return f.groupBy(kind.alias("problem")).agg(F.count("*").alias("n"))
@@ -395,7 +394,7 @@ def quote_problems(spark, root):
 
 @query(f"SELECT turn_id, q AS quoted FROM (SELECT turn_id, quotes, unnest({_QUOTES}) AS q FROM {_TU} WHERE text IS NOT NULL) WHERE NOT coalesce(list_bool_or(list_transform(quotes, lambda x: contains(x.text, q))), false)")
 def uncovered_quotations(spark, root):
-    f = analyse.quote_findings(_turns(spark, root), table(spark, root, "documents").select("doc_id", "text")).where("check_ix >= 1000")
+    f = analyse.quote_findings(_turns(spark, root), table(spark, root, "documents").select("doc_id", "text")).where("kind = 'quotation'")
     return f.select("turn_id", F.regexp_replace("message", r"\Aturn quotes words no quote covers: ", "").alias("quoted"))
 
 

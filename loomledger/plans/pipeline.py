@@ -132,13 +132,13 @@ def scored(claim_rows: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFra
 def write_script(ledger_rows: DataFrame, chunks: DataFrame, docs: DataFrame, topic: str) -> DataFrame:
     """The stand-in writer: an opening that quotes the first sentence of the first source, a turn for each usable claim in the order of the sources, a sign-off."""
     order = docs.select(F.col("id").alias("doc_id"), F.col("ord").alias("doc_ord"))
-    placed = chunks.join(order, "doc_id").select("chunk_id", "doc_id", "span", "text", (F.col("doc_ord") * (1 << 20) + F.col("chunk_ix")).alias("ord"))
-    first = placed.orderBy("ord").limit(1).select(F.get(text.sentences("text"), F.lit(0)).alias("q"), "doc_id", "span", "text")
+    placed = chunks.join(order, "doc_id").select("chunk_id", "doc_id", "span", "text", "doc_ord", "chunk_ix")
+    first = placed.orderBy("doc_ord", "chunk_ix").limit(1).select(F.get(text.sentences("text"), F.lit(0)).alias("q"), "doc_id", "span", "text")
     span = F.struct(F.col("span.start").alias("start"), (F.col("span.start") + F.octet_length("q")).alias("stop"))
     opening = first.select(F.lit(0).alias("turn"), F.lit("host").alias("speaker"), F.concat(F.lit(f"Today: {topic}. A source says: “"), "q", F.lit("”")).alias("text"), F.array().cast("array<string>").alias("citations"), F.array(F.struct(F.col("doc_id").alias("document"), span.alias("span"), F.col("q").alias("text"))).alias("quotes"))
     lead = F.create_map(*[F.lit(x) for x in ("corroborated", "Independent sources agree", "single_source", "One source reports", "contested", "The sources disagree here")])
-    usable = ledger_rows.where("status <> 'unsupported'").join(ledger.first_appearance(ledger_rows, placed), "claim_id")
-    ix = F.row_number().over(Window.orderBy("position", "claim_id"))  # a ledger's usable claims are one script
+    usable = ledger_rows.where("status <> 'unsupported'").join(ledger.first_appearance(ledger_rows, placed, "doc_ord", "chunk_ix"), "claim_id")
+    ix = F.row_number().over(Window.orderBy(F.col("doc_ord").asc_nulls_last(), "chunk_ix", "claim_id"))  # a ledger's usable claims are one script
     told = usable.select((ix).alias("turn"), F.when((ix - 1) % 2 == 0, "guest").otherwise("host").alias("speaker"), F.concat(lead[F.col("status")], F.lit(": "), text.strip_marks("text")).alias("text"), F.array("claim_id").alias("citations"), F.array().cast(opening.schema["quotes"].dataType).alias("quotes"))
     end = usable.agg((F.count("*") + 1).cast("int").alias("turn")).select("turn", F.lit("host").alias("speaker"), F.lit("That is what the sources say.").alias("text"), F.array().cast("array<string>").alias("citations"), F.array().cast(opening.schema["quotes"].dataType).alias("quotes"))
     return opening.unionByName(told).unionByName(end)

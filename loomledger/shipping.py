@@ -12,13 +12,14 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends the package's compiled modules once to each application."""
+    """Sends the package's sources once to each application; nothing is written beside them, so a read-only installation will do."""
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
     here = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="loomledger-")) / "loomledger.zip"
-    with zipfile.PyZipFile(target, "w", optimize=0) as z:
-        z.writepy(str(here))
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, Path(here.name) / p.relative_to(here))
     spark.sparkContext.addPyFile(str(target))
     _sent.add(app)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +37,18 @@ def latest(df: DataFrame, key: str | Sequence[str], order: str = "ingested_at",
 
     Null orders lose against any other; rows that tie on ``order`` are settled by the greatest
     remaining columns, so the result does not depend on file order. Rows whose key is null form one group.
-    An aggregate with map-side combine: a key that holds a third of all rows is reduced before the shuffle.
+    Keys are settled first: only they are shuffled to find those that came more than once, and the rows of all others stay where they are. Those that came again go through
+    an aggregate with map-side combine, so a key that holds a third of all rows is reduced before the shuffle.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in (keep or df.columns) if c not in keys]
+    rows = df.select(*keys, *rest)
+    again = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    once = rows.join(again, same, "left_anti")
     best = F.max(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in rest])).alias("_b")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+    settled = rows.join(again, same, "left_semi").groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+    return once.unionByName(settled)
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -51,16 +60,34 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="loomledger-")
+        folder = tempfile.mkdtemp(prefix="loomledger-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        base = f"file://{folder}"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders of settled tables, by application.
+_SETTLED: dict[str, list[str]] = {}
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives the loss of executors."""
-    path = shared_dir(df.sparkSession, name)
+    """Write ``df`` to the shared folder and read it again: cuts the lineage and survives the loss of executors. ``sweep`` takes the folder away."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _SETTLED.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes what this application has settled, on whatever file system; call it when results are written. Gives the number of folders."""
+    jvm = spark._jvm
+    paths = _SETTLED.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
 
 
 def is_true(c: Column) -> Column:

@@ -25,8 +25,8 @@ def test_classify(spark):
 
 def test_first_appearance(spark):
     c = spark.createDataFrame([("a", "", [("k2", "g", "supports"), ("k1", "g", "supports")]), ("b", "", [("zz", "g", "supports")]), ("c", "", None)], SCHEMA)
-    k = spark.createDataFrame([("k1", 5), ("k2", 9)], "chunk_id string, ord long")
-    assert {r.claim_id: r.position for r in ledger.first_appearance(c, k).collect()} == {"a": 5, "b": 2**63 - 1, "c": 2**63 - 1}
+    k = spark.createDataFrame([("k1", 5, 200_000), ("k2", 6, 0)], "chunk_id string, doc_id long, chunk_ix int")
+    assert {r.claim_id: (r.doc_id, r.chunk_ix) for r in ledger.first_appearance(c, k, "doc_id", "chunk_ix").collect()} == {"a": (5, 200_000), "b": (None, None), "c": (None, None)}
 
 
 def test_merge_is_order_independent(spark):
