@@ -10,7 +10,7 @@ from loomledger.config import DEFAULT, Settings
 from loomledger.functions.ids import per_mille
 from loomledger.functions.text import content_words, is_number
 from loomledger.operators.nli import of_words
-from loomledger.operators.vectors import slots_of, top_k
+from loomledger.operators.vectors import similar, slots_of
 from loomledger.tables import settle
 
 
@@ -22,7 +22,7 @@ def nominated(claims: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     # ids are hex digests: their first 60 bits keep their order, without numbering all rows in one task
     place = F.conv(F.substring("claim_id", 1, 15), 16, 10).cast("bigint")
     rows = settle(claims.select("claim_id", "text", F.xxhash64("claim_id").alias("id"), place.alias("ord"), slots_of("text").alias("vec")), "claims")
-    best = top_k(rows.select("id", "vec", F.array().cast("array<string>").alias("grp")), rows.select("id", "ord", "vec", F.lit(None).cast("string").alias("grp")), settings.merge_partners, settings.merge_similarity_pm)
+    best = similar(rows, settings.merge_partners, settings.merge_similarity_pm)
     pairs = best.select(F.least("qid", "cid").alias("x"), F.greatest("qid", "cid").alias("y")).distinct()
     named = rows.select("id", "claim_id", "text")
     a = named.select(F.col("id").alias("x"), F.col("claim_id").alias("a"), F.col("text").alias("text_a"))

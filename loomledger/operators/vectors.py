@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -40,17 +37,27 @@ def cosine_of_slots(a: Column, b: Column) -> Column:
     return F.when((aa > 0) & (bb > 0), dot_of_slots(a, b) / F.sqrt((aa * bb).cast("double"))).otherwise(F.lit(0.0))
 
 
+def _dense(flat: np.ndarray, sizes: np.ndarray, slots: int) -> np.ndarray:
+    """Counts of slots, a row for each array."""
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    return np.bincount(rows * slots + flat, minlength=len(sizes) * slots).reshape(len(sizes), slots).astype(np.float64)
+
+
+def _of_series(s: pd.Series, slots: int) -> np.ndarray:
+    sizes = np.array([0 if x is None else len(x) for x in s], np.int64)
+    flat = np.concatenate([x for x in s if x is not None and len(x)] or [np.zeros(0, np.int64)]).astype(np.int64)
+    return _dense(flat, sizes, slots)
+
+
 @F.pandas_udf(DoubleType())
 def pair_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    """``cosine_of_slots`` for many pairs at once: one pass over each pair instead of a nested scan."""
-    out = []
-    for x, y in zip(a, b, strict=True):
-        x, y = Counter(x.tolist() if x is not None else ()), Counter(y.tolist() if y is not None else ())
-        if len(y) < len(x):
-            x, y = y, x
-        norms = sum(n * n for n in x.values()) * sum(n * n for n in y.values())
-        out.append(sum(n * y[s] for s, n in x.items() if s in y) / math.sqrt(norms) if norms else 0.0)
-    return pd.Series(out, dtype="float64")
+    """``cosine_of_slots`` for many pairs at once, as count matrices."""
+    parts = [np.zeros(0)]
+    for i in range(0, len(a), 4096):
+        x, y = _of_series(a[i : i + 4096], SLOTS), _of_series(b[i : i + 4096], SLOTS)
+        norms = (x * x).sum(1) * (y * y).sum(1)
+        parts.append(np.where(norms > 0, (x * y).sum(1) / np.sqrt(np.where(norms > 0, norms, 1)), 0.0))
+    return pd.Series(np.concatenate(parts), dtype="float64")
 
 
 def cosine(a: Column | str, b: Column | str) -> Column:
@@ -70,87 +77,181 @@ def usable(v: Column | str) -> Column:
     return F.coalesce((F.size(v) > 0) & sound, F.lit(False))
 
 
-def _dense(flat: np.ndarray, offsets: np.ndarray, slots: int) -> np.ndarray:
-    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    m = np.zeros((len(offsets) - 1, slots))
-    np.add.at(m, (rows, flat), 1)
-    return m
-
-
 def _matrix(column: pa.Array, dims: int | None) -> np.ndarray:
     """Slot arrays become counts; vectors stay as they are."""
     flat = column.flatten().to_numpy(zero_copy_only=False)
     if dims is None:
         return flat.astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
     sizes = np.array(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), np.int64)
-    return _dense(flat.astype(np.int64), np.append(0, np.cumsum(sizes)), dims)
+    return _dense(flat.astype(np.int64), sizes, dims)
+
 
+_FOUND = "qid bigint, cid bigint, sim_pm int, cosine double, ord bigint"
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, floor_pm: int = 0, slots: int | None = SLOTS, on_pm: bool = True, block: int = DEFAULT.query_block) -> DataFrame:
+
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, floor_pm: int = 0, slots: int | None = SLOTS, on_pm: bool = True, block: int = DEFAULT.query_block, corpus_block: int = 1 << 16) -> DataFrame:
     """qid, cid, sim_pm, cosine and rank (from 1) of the ``k`` most similar rows of ``corpus`` for each row of ``queries``.
 
     Both sides have ``id`` (long), ``ord`` (order for ties), ``vec`` (slot arrays, or vectors of one length with ``slots=None``) and ``grp``
-    (array of groups on the query side, one group on the corpus side; a query meets no row of its own groups, null groups exclude nothing) .
-    Exact: every query meets every row. Queries go to the tasks in blocks of ``block`` rows, so what a task holds does not grow with the data;
-    each task reduces its rows to k a query before the shuffle. Rows whose cosine, in per mille, is below ``floor_pm`` are left out.
+    (array of groups on the query side, one group on the corpus side; a query meets no row of its own groups, null groups exclude nothing).
+    Exact: every query meets every row. Up to ``block`` queries are broadcast, so what a task holds does not grow with the data. More of them, and the corpus, are cut into blocks, and
+    each two blocks meet in one task of a single job. A task reduces its rows to k a query before the shuffle. Rows whose cosine, in per mille, is below ``floor_pm`` are left out.
+    Where the floor is high and a collection is compared with itself, ``similar`` finds the same without comparing all.
     """
-    numbered = queries.select("id", "vec", "grp")
-    n = numbered.count()
-    blocks = max(1, -(-n // block))
-    parts = []
-    for i in range(blocks):
-        mine = numbered.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i) if blocks > 1 else numbered
-        parts.append(_top_block(mine, corpus, k, floor_pm, slots, on_pm))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    q = queries.select(F.col("id").cast("bigint").alias("id"), "vec", "grp")
+    c = corpus.select(F.col("id").cast("bigint").alias("id"), F.col("ord").cast("bigint").alias("ord"), "vec", "grp")
+    n = q.count()
+    if n <= block:
+        rows = q.toArrow().combine_chunks()  # within ``block`` rows
+        shipped = corpus.sparkSession.sparkContext.broadcast(_side(rows, slots) if rows.num_rows else None)
+
+        def run(batches):
+            own = shipped.value
+            for b in batches if own is not None else ():
+                for a in range(0, b.num_rows, 2048):
+                    yield _compared(own, pa.Table.from_batches([b.slice(a, 2048)]), k, floor_pm, slots, on_pm)
+
+        out = c.mapInArrow(run, _FOUND)
+    else:
+        qn, cn = -(-n // block), max(1, -(-c.count() // corpus_block))
+        cell = lambda df, own, parts, other, others: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        left = cell(q, "qb", qn, "cb", cn)
+        right = cell(c, "cb", cn, "qb", qn)
+
+        def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+            if not x.num_rows or not y.num_rows:
+                return pa.Table.from_batches([], schema=pa.schema([("qid", pa.int64()), ("cid", pa.int64()), ("sim_pm", pa.int32()), ("cosine", pa.float64()), ("ord", pa.int64())]))
+            own = _side(x.combine_chunks(), slots)
+            return pa.Table.from_batches([_compared(own, y.slice(a, 2048), k, floor_pm, slots, on_pm) for a in range(0, y.num_rows, 2048)])
+
+        out = left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(meet, _FOUND)
     by = [F.desc("sim_pm")] if on_pm else [F.desc("cosine")]
     w = Window.partitionBy("qid").orderBy(*by, "ord")
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "cid", "sim_pm", "cosine", "rank")
 
 
-def _top_block(queries: DataFrame, corpus: DataFrame, k: int, floor_pm: int, slots: int | None, on_pm: bool) -> DataFrame:
-    rows = queries.toArrow().combine_chunks()
-    if not rows.num_rows:
-        return corpus.sparkSession.createDataFrame([], "qid bigint, cid bigint, sim_pm int, cosine double, ord bigint")
-    shipped = corpus.sparkSession.sparkContext.broadcast(rows)
-
-    def run(batches):
-        q = shipped.value
-        qm = _matrix(q.column("vec").combine_chunks() if isinstance(q.column("vec"), pa.ChunkedArray) else q.column("vec"), slots)
-        qn = (qm * qm).sum(1)
-        qid = q.column("id").to_numpy()
-        qg = [set(g or ()) for g in q.column("grp").to_pylist()]
+def _side(t: pa.Table, slots: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
+    """ids, vectors, their squared lengths and groups of the queries."""
+    t = t.combine_chunks()
+    m = _matrix(t.column("vec").combine_chunks() if isinstance(t.column("vec"), pa.ChunkedArray) else t.column("vec"), slots)
+    return t.column("id").to_numpy(), m, (m * m).sum(1), [set(g or ()) for g in t.column("grp").to_pylist()]
+
+
+def _compared(own, part: pa.Table, k: int, floor_pm: int, slots: int | None, on_pm: bool) -> pa.RecordBatch:
+    """The best rows of a part of the corpus for each query."""
+    qid, qm, qn, groups = own
+    part = part.combine_chunks()
+    cid, order = part.column("id").to_numpy(), part.column("ord").to_numpy()
+    cm = _matrix(part.column("vec").combine_chunks(), slots)
+    norm = np.sqrt(np.outer(qn, (cm * cm).sum(1)))
+    cos = np.where(norm > 0, (qm @ cm.T) / np.where(norm > 0, norm, 1), 0.0)
+    pm = np.floor(np.clip(cos, 0, 1) * 1000 + 0.5).astype(np.int32)
+    score = pm.astype(np.float64) if on_pm else cos.copy()
+    score[pm < floor_pm] = -9
+    score[qid[:, None] == cid[None, :]] = -9
+    if any(groups):
+        names = part.column("grp").to_pylist()
+        code = {g: i for i, g in enumerate(dict.fromkeys(x for x in names if x is not None))}
+        backed = np.zeros((len(qid), len(code) + 1), bool)
+        for r, g in enumerate(groups):
+            backed[r, [code[x] for x in g if x in code]] = True
+        score[backed[:, [len(code) if x is None else code[x] for x in names]]] = -9
+    # all that tie with the k-th stay, unless a row has very many ties: then their order decides here
+    n = score.shape[1]
+    least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -5.0)
+    mask = (score >= least[:, None]) & (score > -5)
+    for r in np.nonzero(mask.sum(1) > 8 * k)[0]:
+        keep = np.lexsort((order, -score[r]))[:k]
+        mask[r] = False
+        mask[r, keep[score[r, keep] > -5]] = True
+    rr, cc = np.nonzero(mask)
+    return pa.RecordBatch.from_arrays([pa.array(qid[rr]), pa.array(cid[cc]), pa.array(pm[rr, cc]), pa.array(cos[rr, cc]), pa.array(order[cc])], names=["qid", "cid", "sim_pm", "cosine", "ord"])
+
+
+def prefix_keys(slots: np.ndarray, counts: np.ndarray, floor: float) -> list[int]:
+    """What another vector must share one of to have a cosine of ``floor``: the first three slots that both have, in one order of all slots.
+
+    Where a, b and c are the first they share, the cosine is at most the length of what is left of either from c on with a and b; so only triples whose remainder is that long count.
+    Vectors that share fewer are found by pairs and single slots that are that long themselves.
+    """
+    w = counts.astype(float) ** 2
+    w /= w.sum()
+    rest = np.cumsum(w[::-1])[::-1]
+    least = floor * floor - 1e-9
+    n, code = len(slots), (slots + 1).tolist()
+    out = []
+    for i in range(n):
+        if rest[i] < least:
+            break
+        if w[i] >= least:
+            out.append(code[i] << 18)
+        for j in range(i + 1, n):
+            if w[i] + rest[j] < least:
+                break
+            if w[i] + w[j] >= least:
+                out.append(code[i] << 18 | code[j] << 9)
+            for k in range(j + 1, n):
+                if w[i] + w[j] + rest[k] < least:
+                    break
+                out.append(code[i] << 18 | code[j] << 9 | code[k])
+    return out
+
+
+def similar(rows: DataFrame, k: int, floor_pm: int) -> DataFrame:
+    """qid, cid, sim_pm and rank: the same as ``top_k`` of ``rows`` (id, ord, vec of slots) with themselves above a floor, without comparing all with all.
+
+    Rows of equal vectors are one class with its k + 1 first members. Classes meet where they share one of their ``prefix_keys`` in an inverted index, and a pair counts at the key of
+    the first slots it shares, so it is taken once. Rows without slots are similar to none.
+    """
+    if floor_pm < 1:
+        raise ValueError("an index needs a floor")
+    own = rows.select(F.col("id").cast("bigint").alias("id"), F.col("ord").cast("bigint").alias("ord"), F.array_sort("vec").alias("vec")).where(F.size("vec") > 0)
+    w = Window.partitionBy("vec").orderBy("ord", "id")
+    first = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)  # a group limit before the shuffle
+    classes = first.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("members")).withColumn("cls", F.col("members")[0]["id"])
+    # how often each slot occurs: a row for each of them, whatever the number of rows
+    often = np.zeros(SLOTS)
+    for r in classes.select(F.explode("vec").alias("s")).groupBy("s").count().collect():
+        often[r["s"]] = r["count"]
+    rank = np.argsort(np.argsort(often, kind="stable"), kind="stable")  # rare slots first
+    floor = (floor_pm - 0.5) / 1000
+
+    def keys(batches):
+        for b in batches:
+            at, out = [], []
+            for i, v in enumerate(b.column(1).to_pylist()):
+                slots, counts = np.unique(rank[np.array(v)], return_counts=True)
+                found = prefix_keys(slots, counts, floor)
+                at += [i] * len(found)
+                out += found
+            at_ = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), b.column(0).take(at_), b.column(1).take(at_)], names=["key", "cls", "vec"])
+
+    def verify(batches):
+        place = np.argsort(rank)
         for b in batches:
-            for a in range(0, b.num_rows, 2048):
-                s = b.slice(a, 2048)
-                cm = _matrix(s.column("vec"), slots)
-                cn = (cm * cm).sum(1)
-                dot = qm @ cm.T
-                norm = np.sqrt(np.outer(qn, cn))
-                cos = np.where(norm > 0, dot / np.where(norm > 0, norm, 1), 0.0)
+            for a in range(0, b.num_rows, 4096):
+                s = b.slice(a, 4096)
+                x, y = _matrix(s.column("vx"), SLOTS)[:, place], _matrix(s.column("vy"), SLOTS)[:, place]
+                both = (x > 0) & (y > 0)
+                nth = np.cumsum(both, 1)
+                code = [np.where(nth[:, -1] >= i, (both & (nth == i)).argmax(1) + 1, 0) for i in (1, 2, 3)]
+                cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
                 pm = np.floor(np.clip(cos, 0, 1) * 1000 + 0.5).astype(np.int32)
-                score = (pm.astype(np.float64) if on_pm else cos.copy())
-                score[pm < floor_pm] = -9
-                score[qid[:, None] == s.column("id").to_numpy()[None, :]] = -9
-                groups = np.array(s.column("grp").to_pylist(), object)
-                for r, g in enumerate(qg):
-                    if g:
-                        score[r, np.isin(groups.astype(str), list(map(str, g)))] = -9
-                order = s.column("ord").to_numpy()
-                # all that tie with the k-th stay, unless a row has very many ties: then their order decides here
-                n = score.shape[1]
-                least = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(score), -5.0)
-                mask = (score >= least[:, None]) & (score > -5)
-                for r in np.nonzero(mask.sum(1) > 8 * k)[0]:
-                    keep = np.lexsort((order, -score[r]))[:k]
-                    mask[r] = False
-                    mask[r, keep[score[r, keep] > -5]] = True
-                rr, cc = np.nonzero(mask)
-                yield pa.RecordBatch.from_arrays([pa.array(qid[rr]), pa.array(s.column("id").to_numpy()[cc]), pa.array(pm[rr, cc]), pa.array(cos[rr, cc]), pa.array(order[cc])], names=["qid", "cid", "sim_pm", "cosine", "ord"])
-
-    c = corpus.select(F.col("id").cast("bigint").alias("id"), F.col("ord").cast("bigint").alias("ord"), "vec", "grp")
-    return c.mapInArrow(run, "qid bigint, cid bigint, sim_pm int, cosine double, ord bigint")
+                good = (pm >= floor_pm) & ((code[0] << 18 | code[1] << 9 | code[2]) == s.column("key").to_numpy())
+                yield pa.RecordBatch.from_arrays([s.column("x"), s.column("y"), pa.array(pm)], names=["x", "y", "pm"]).filter(pa.array(good))
+
+    index = classes.select("cls", "vec").mapInArrow(keys, "key int, cls bigint, vec array<int>")
+    left = index.select("key", F.col("cls").alias("x"), F.col("vec").alias("vx"))
+    right = index.select("key", F.col("cls").alias("y"), F.col("vec").alias("vy"))
+    pairs = left.join(right, "key").where("x < y").mapInArrow(verify, "x bigint, y bigint, pm int")
+    both = pairs.select("x", "y", "pm").union(pairs.select(F.col("y"), F.col("x"), "pm"))
+    others = both.join(classes.select(F.col("cls").alias("y"), "members"), "y").select(F.col("x").alias("cls"), F.transform("members", lambda m: F.struct((-F.col("pm")).alias("pm"), m["ord"].alias("ord"), m["id"].alias("id"))).alias("l"))
+    mine = classes.select("cls", F.transform("members", lambda m: F.struct(F.lit(-1000).alias("pm"), m["ord"].alias("ord"), m["id"].alias("id"))).alias("l"))
+    best = others.union(mine).groupBy("cls").agg(F.slice(F.array_sort(F.flatten(F.collect_list("l"))), 1, k + 1).alias("l"))
+    listed = classes.select("vec", "cls").join(best, "cls").select("vec", "l")
+    without = F.slice(F.filter("l", lambda m: m["id"] != F.col("id")), 1, k)
+    return own.join(listed, "vec").select(F.col("id").alias("qid"), F.posexplode(without).alias("rank", "m")).select("qid", F.col("m.id").alias("cid"), (-F.col("m.pm")).alias("sim_pm"), (F.col("rank") + 1).alias("rank"))
 
 
 def cosine_pm(a: Column | str, b: Column | str) -> Column:

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -26,12 +28,28 @@ def test_top_k_against_brute_force_in_blocks(spark):
     corpus = spark.createDataFrame(rows, "id long, vec array<double>, grp string").withColumn("ord", F.col("id"))
     queries = spark.createDataFrame([(i, vec, [g]) for i, vec, g in rows[:25]], "id long, vec array<double>, grp array<string>")
     want = brute([(i, v[i], [f"g{i % 3}"]) for i in range(25)], [(i, v[i], f"g{i % 3}") for i in range(60)], 4, 100)
-    for block in (4096, 7):
-        got = vectors.top_k(queries, corpus, 4, 100, slots=None, block=block).collect()
+    for block, rows_ in ((4096, 1 << 16), (7, 1 << 16), (7, 13)):
+        got = vectors.top_k(queries, corpus, 4, 100, slots=None, block=block, corpus_block=rows_).collect()
         assert {(r.qid, r.cid, r["rank"]) for r in got} == want
     assert vectors.top_k(queries.limit(0), corpus, 4, slots=None).count() == 0
 
 
+def test_similar_equals_top_k(spark):
+    r = random.Random(5)
+    rows = [(i, (i * 7) % 300, [r.choice((3, 8, 9, 20, 21, 22, 40, 41, 90, 91, 200, 255)) for _ in range(r.choice((1, 2, 3, 5, 8)))]) for i in range(300)]
+    rows += [(300 + i, 400 + i % 5, [1, 2, 2, 5]) for i in range(60)] + [(500, 0, []), (501, 0, None)]  # many of one vector, with ties
+    df = spark.createDataFrame(rows, "id long, ord long, vec array<int>").repartition(3)
+    for floor in (300, 800, 950):
+        got = {(x.qid, x["rank"], x.sim_pm) for x in vectors.similar(df, 8, floor).collect()}
+        every = vectors.top_k(df.select("id", "vec", F.array().cast("array<string>").alias("grp")), df.withColumn("grp", F.lit(None).cast("string")), 8, floor)
+        assert got == {(x.qid, x["rank"], x.sim_pm) for x in every.collect()} and len(got) > 400
+    unique = df.withColumn("ord", F.col("id"))
+    got = {(x.qid, x.cid, x["rank"]) for x in vectors.similar(unique, 8, 800).collect()}
+    every = vectors.top_k(unique.select("id", "vec", F.array().cast("array<string>").alias("grp")), unique.withColumn("grp", F.lit(None).cast("string")), 8, 800)
+    assert got == {(x.qid, x.cid, x["rank"]) for x in every.collect()}
+    assert vectors.similar(df.limit(0), 8, 800).count() == 0
+
+
 def test_slots_and_cosines(spark):
     df = spark.createDataFrame([("river mill fire", "mill river"), ("river", "tower"), ("", "x"), (None, "mill")], "a string, b string")
     rows = df.select(vectors.cosine_of_slots(vectors.slots_of("a"), vectors.slots_of("b")).alias("x"), vectors.pair_cosine(vectors.slots_of("a"), vectors.slots_of("b")).alias("y")).collect()
