@@ -337,25 +337,35 @@ def _candidates(lists: DataFrame, similarity: float) -> DataFrame:
     return lists.repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "a bigint, b bigint")
 
 
-def _sets(docs: DataFrame, words: int, min_chars: int, double: frozenset[int], wanted) -> DataFrame:
-    """The sorted shingles, six bytes each, of the classes that may be in a candidate."""
+def _sets(docs: DataFrame, ids: DataFrame, candidates: DataFrame, words: int, min_chars: int, double: frozenset[int]) -> DataFrame:
+    """The sorted shingles, six bytes each, of the classes that may be in a candidate. Two bitmaps - of the classes, then of their documents - keep all other texts from being read into words again."""
+    wanted = bits.bitmap(candidates.select(F.col("a").alias("cls")).union(candidates.select(F.col("b").alias("cls"))), "cls", BITMAP)
+    number = F.xxhash64("doc_id").alias("number")
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(1).filter(pa.array(bits.has(wanted, BITMAP, b.column(0).to_numpy())))], names=["number"])
+
+    readers = bits.bitmap(ids.select("cls", number).mapInArrow(held, "number bigint"), "number", BITMAP)
 
     def run(batches):
         s, seen = Shingler(words), set()
-        ids, sets = [], []
-        for _, h in _texts(batches, s, min_chars):
-            cls = _name(h, double)
-            if cls in seen or not bits.has(wanted, BITMAP, np.array([cls]))[0]:
-                continue
-            seen.add(cls)
-            ids.append(cls)
-            sets.append(np.ascontiguousarray(s.shingles(h).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-            if len(ids) >= 1000:
-                yield pa.RecordBatch.from_pydict({"cls": pa.array(ids, pa.int64()), "set": pa.array(sets, pa.binary())})
-                ids, sets = [], []
-        yield pa.RecordBatch.from_pydict({"cls": pa.array(ids, pa.int64()), "set": pa.array(sets, pa.binary())})
-
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "cls bigint, set binary")
+        names, sets = [], []
+        for b in batches:
+            some = b.filter(pa.array(bits.has(readers, BITMAP, b.column("number").to_numpy())))
+            for _, h in _texts([some], s, min_chars):
+                cls = _name(h, double)
+                if cls in seen:
+                    continue
+                seen.add(cls)
+                names.append(cls)
+                sets.append(np.ascontiguousarray(s.shingles(h).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+            if len(names) >= 1000:
+                yield pa.RecordBatch.from_pydict({"cls": pa.array(names, pa.int64()), "set": pa.array(sets, pa.binary())})
+                names, sets = [], []
+        yield pa.RecordBatch.from_pydict({"cls": pa.array(names, pa.int64()), "set": pa.array(sets, pa.binary())})
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").select("doc_id", "text", number).mapInArrow(run, "cls bigint, set binary")
     return rows.dropDuplicates(["cls"])
 
 
@@ -408,10 +418,9 @@ def links(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, m
     sketch = _sketch(spark, first)
     postings = settle(_postings(docs, words, min_chars, similarity, sketch, double), "p2-postings")
     candidates = settle(_candidates(_lists(_cells(postings), similarity), similarity), "p2-candidates")
-    wanted = bits.bitmap(candidates.select(F.col("a").alias("cls")).union(candidates.select(F.col("b").alias("cls"))), "cls", BITMAP)
-    pairs = _verify(candidates, _sets(docs, words, min_chars, double, wanted), similarity)
     cls = F.when(F.col("sig").isin(*double), F.col("sig").bitwiseXOR(F.col("chk"))).otherwise(F.col("sig")) if double else F.col("sig")
-    return ids.select("doc_id", cls.alias("cls")), pairs
+    members = ids.select("doc_id", cls.alias("cls"))
+    return members, _verify(candidates, _sets(docs, members, candidates, words, min_chars, double), similarity)
 
 
 def document_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
