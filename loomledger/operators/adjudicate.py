@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomledger.functions.text import byte_slice
+from loomledger.operators.models import asked
+from loomledger.sources.providers import Llm
 
 FALLBACK = "No verdict could be reached on the evidence."
 
@@ -33,6 +38,37 @@ def fallback(contested: DataFrame) -> DataFrame:
     return contested.select("claim_id", F.lit("unresolved").alias("favours"), F.lit(FALLBACK).alias("explanation"), F.array_compact(F.array(first("supports"), first("contradicts"))).alias("cites"))
 
 
+def verdicts(contested: DataFrame, chunks: DataFrame, docs: DataFrame, llm: Llm | None = None) -> DataFrame:
+    """A verdict on each contested claim: the model's where it has one that holds, else the fallback. ``cites`` are chunks."""
+    if llm is None:
+        return fallback(contested)
+    seen = passages(contested, chunks, docs).groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("ev_ix", "stance", "title", "passage"))).alias("p"))
+    rows = contested.select("claim_id", "text", "evidence").join(seen, "claim_id")
+
+    def parse(d: dict) -> tuple:
+        if not isinstance(d, dict) or not isinstance(d.get("favours"), str) or not isinstance(d.get("explanation"), str) or not all(isinstance(i, int) and not isinstance(i, bool) for i in d.get("cites", [None])):
+            raise ValueError("not a verdict")
+        return d["favours"], d["explanation"], d["cites"]
+
+    ask = asked(llm, "adjudicate", parse)
+
+    @F.pandas_udf("struct<favours:string,explanation:string,cites:array<int>>")  # type: ignore[call-overload]
+    def run(claim: pd.Series, about: pd.Series) -> pd.DataFrame:
+        out = []
+        for c, a in zip(claim, about, strict=True):
+            try:
+                out.append(ask({"claim": c, "evidence": json.loads(a)}))
+            except ValueError:
+                out.append((None, None, None))
+        return pd.DataFrame(out, columns=["favours", "explanation", "cites"])
+
+    said = rows.select("claim_id", "evidence", run(F.col("text"), F.to_json("p")).alias("v")).select("claim_id", "evidence", "v.*")
+    given = said.where("favours is not null")
+    good = given.join(invalid_verdicts(given.drop("evidence"), contested).select("claim_id"), "claim_id", "left_anti")
+    own = good.select("claim_id", "favours", "explanation", F.transform("cites", lambda i: F.get("evidence", i)["chunk"]).alias("cites"))
+    return own.unionByName(fallback(contested.join(own.select("claim_id"), "claim_id", "left_anti")))
+
+
 def invalid_verdicts(verdicts: DataFrame, claims: DataFrame) -> DataFrame:
     """claim_id and the first problem of every verdict that does not hold.
 

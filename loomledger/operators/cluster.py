@@ -8,21 +8,24 @@ from pyspark.sql import functions as F
 
 from loomledger.config import DEFAULT, Settings
 from loomledger.functions.ids import per_mille
-from loomledger.functions.text import content_words, is_number
-from loomledger.operators.nli import of_words
-from loomledger.operators.vectors import similar, slots_of
+from loomledger.functions.text import numbers
+from loomledger.operators.models import Models
+from loomledger.operators.vectors import similar, top_k
 from loomledger.tables import settle
 
 
-def nominated(claims: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def nominated(claims: DataFrame, settings: Settings = DEFAULT, models: Models = Models()) -> DataFrame:
     """a < b: the pairs of claims of which one is among the ``merge_partners`` most similar of the other, in the order of claim_id.
 
     The cut comes before any veto, so vetoed partners use up places.
     """
     # ids are hex digests: their first 60 bits keep their order, without numbering all rows in one task
     place = F.conv(F.substring("claim_id", 1, 15), 16, 10).cast("bigint")
-    rows = settle(claims.select("claim_id", "text", F.xxhash64("claim_id").alias("id"), place.alias("ord"), slots_of("text").alias("vec")), "claims")
-    best = similar(rows, settings.merge_partners, settings.merge_similarity_pm)
+    rows = settle(models.with_vector(claims.select("claim_id", "text", F.xxhash64("claim_id").alias("id"), place.alias("ord")), "text"), "claims")
+    if models.slots:
+        best = similar(rows, settings.merge_partners, settings.merge_similarity_pm)
+    else:
+        best = top_k(rows.select("id", "vec", F.array().cast("array<string>").alias("grp")), rows.select("id", "ord", "vec", F.lit(None).cast("string").alias("grp")), settings.merge_partners, settings.merge_similarity_pm, slots=None)
     pairs = best.select(F.least("qid", "cid").alias("x"), F.greatest("qid", "cid").alias("y")).distinct()
     named = rows.select("id", "claim_id", "text")
     a = named.select(F.col("id").alias("x"), F.col("claim_id").alias("a"), F.col("text").alias("text_a"))
@@ -33,13 +36,12 @@ def nominated(claims: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return rows.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("text_a", "text_b").alias("text_a"), pick("text_b", "text_a").alias("text_b"))
 
 
-def equivalent(pairs: DataFrame, veto: bool = True, settings: Settings = DEFAULT) -> DataFrame:
+def equivalent(pairs: DataFrame, veto: bool = True, settings: Settings = DEFAULT, models: Models = Models()) -> DataFrame:
     """a, b and mutual_pm of the pairs that entail each other both ways; with the veto, only where the numbers are the same."""
-    pairs = pairs.withColumn("_a", content_words("text_a")).withColumn("_b", content_words("text_b"))
     if veto:
-        pairs = pairs.where(F.filter("_a", is_number) == F.filter("_b", is_number))
-    both = F.least(per_mille(of_words(F.col("_a"), F.col("_b"))["entailment"]), per_mille(of_words(F.col("_b"), F.col("_a"))["entailment"]))
-    return pairs.select("a", "b", both.alias("mutual_pm")).where(F.col("mutual_pm") >= settings.merge_entailment_pm)
+        pairs = pairs.where(numbers("text_a") == numbers("text_b"))
+    pairs = models.with_scores(models.with_scores(pairs, "text_a", "text_b", "_f"), "text_b", "text_a", "_g")
+    return pairs.select("a", "b", F.least(per_mille(F.col("_f.entailment")), per_mille(F.col("_g.entailment"))).alias("mutual_pm")).where(F.col("mutual_pm") >= settings.merge_entailment_pm)
 
 
 def components(edges: DataFrame) -> DataFrame:

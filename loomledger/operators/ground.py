@@ -8,25 +8,22 @@ from pyspark.sql.window import Window
 
 from loomledger.config import DEFAULT, Settings
 from loomledger.functions.ids import per_mille
-from loomledger.functions.text import content_words
-from loomledger.operators.nli import of_words
-from loomledger.operators.vectors import pair_cosine, slot_of
+from loomledger.operators.models import Models
 
 
-def judge(evidence: DataFrame, windows: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def judge(evidence: DataFrame, windows: DataFrame, settings: Settings = DEFAULT, models: Models = Models()) -> DataFrame:
     """claim_id, chunk_id, text, entail_pm and premise of the best window of each piece of evidence.
 
     ``evidence``: claim_id, chunk_id, text; ``windows``: chunk_id, first, n_sents, slice, premise. The ``ground_k`` windows of the
     chunk with the highest cosine are judged; the highest entailment decides, ties go to the more similar. Without a window both are null.
     """
     ev = evidence.distinct()
-    # words are taken once a text, before the pairs are made
-    w = windows.withColumn("_p", content_words("premise")).withColumn("_wv", F.transform("_p", lambda w: slot_of(w)))
-    h = ev.withColumn("_h", content_words("text")).withColumn("_cv", F.transform("_h", lambda w: slot_of(w)))
-    pairs = h.join(w, "chunk_id").withColumn("cos", pair_cosine("_cv", "_wv")).drop("_cv", "_wv")
+    # vectors are taken once a text, before the pairs are made
+    w, h = models.with_vector(windows, "premise", "_wv"), models.with_vector(ev, "text", "_cv")
+    pairs = h.join(w, "chunk_id").withColumn("cos", models.similarity("_cv", "_wv")).drop("_cv", "_wv")
     rank = F.row_number().over(Window.partitionBy("claim_id", "chunk_id").orderBy(F.desc("cos"), "first", "n_sents", "slice"))
     top = pairs.withColumn("rank", rank).where(F.col("rank") <= settings.ground_k)
-    scored = top.withColumn("entail_pm", per_mille(of_words(F.col("_p"), F.col("_h"))["entailment"]))
+    scored = models.with_scores(top, "premise", "text", "_s").withColumn("entail_pm", per_mille(F.col("_s.entailment")))
     best = scored.groupBy("claim_id", "chunk_id").agg(F.max_by(F.struct("entail_pm", "premise"), F.struct(F.col("entail_pm"), -F.col("rank"))).alias("b"))
     return ev.join(best, ["claim_id", "chunk_id"], "left").select("claim_id", "chunk_id", "text", F.col("b.entail_pm").alias("entail_pm"), F.col("b.premise").alias("premise"))
 

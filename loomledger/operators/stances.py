@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from loomledger.config import DEFAULT, Settings
 from loomledger.functions.ids import per_mille
-from loomledger.functions.text import content_words, numbers, sentences
-from loomledger.operators.nli import of_words, stand_in
-from loomledger.operators.vectors import pair_cosine, slot_of
+from loomledger.functions.text import numbers, sentences
+from loomledger.operators.models import Models
+from loomledger.operators.nli import stand_in
 
 
 def reverse_hypotheses(premise: Column | str) -> Column:
@@ -32,17 +32,23 @@ def decide(claim, premise, sim_pm: Column, entail_pm: Column, contra_pm: Column,
     return F.when(entail_pm >= settings.support_pm, F.lit("supports")).when(against, F.lit("contradicts"))
 
 
-def score(pairs: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def score(pairs: DataFrame, settings: Settings = DEFAULT, models: Models = Models()) -> DataFrame:
     """``pairs`` (claim, premise) with sim_pm, entail_pm, contra_pm, reverse_pm and stance.
 
     The reverse scores are only taken of pairs that would contradict with the best of them.
     """
-    rows = pairs.withColumn("_p", content_words("premise")).withColumn("_h", content_words("claim"))
-    rows = rows.withColumn("sim_pm", per_mille(pair_cosine(F.transform("_h", lambda w: slot_of(w)), F.transform("_p", lambda w: slot_of(w))))).withColumn("_n", of_words(F.col("_p"), F.col("_h")))
-    rows = rows.withColumn("entail_pm", per_mille(F.col("_n.entailment"))).withColumn("contra_pm", per_mille(F.col("_n.contradiction"))).drop("_n", "_p", "_h")
+    rows = models.with_vector(models.with_vector(pairs, "premise", "_p"), "claim", "_h")
+    rows = models.with_scores(rows.withColumn("sim_pm", per_mille(models.similarity("_h", "_p"))).drop("_p", "_h"), "premise", "claim", "_n")
+    rows = rows.withColumn("entail_pm", per_mille(F.col("_n.entailment"))).withColumn("contra_pm", per_mille(F.col("_n.contradiction"))).drop("_n")
     would = (F.col("entail_pm") < settings.support_pm) & (F.col("contra_pm") >= settings.contradict_pm) & (F.col("sim_pm") >= settings.contradict_similarity_pm) & (F.size(numbers("claim")) > 0)
-    reverse = F.array_max(F.transform(reverse_hypotheses("premise"), lambda h: per_mille(stand_in(F.col("claim"), h)["contradiction"])))
-    rows = rows.withColumn("reverse_pm", F.when(would, reverse))
+    if models.scorer is None:
+        reverse = F.array_max(F.transform(reverse_hypotheses("premise"), lambda h: per_mille(stand_in(F.col("claim"), h)["contradiction"])))
+        rows = rows.withColumn("reverse_pm", F.when(would, reverse))
+    else:
+        rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_hyp", F.explode_outer(F.when(would, reverse_hypotheses("premise"))))
+        keep = [c for c in rows.columns if c != "_hyp"]
+        asked = models.with_scores(rows.where("_hyp is not null"), "claim", "_hyp", "_r").groupBy(*keep).agg(F.max(per_mille(F.col("_r.contradiction"))).alias("reverse_pm"))
+        rows = asked.unionByName(rows.where("_hyp is null").drop("_hyp").withColumn("reverse_pm", F.lit(None).cast("int"))).drop("_row")
     return rows.withColumn("stance", decide("claim", "premise", F.col("sim_pm"), F.col("entail_pm"), F.col("contra_pm"), F.col("reverse_pm"), settings))
 
 

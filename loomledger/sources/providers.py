@@ -1,6 +1,7 @@
 """What stands behind a model: interfaces, their deterministic stand-ins, and the policy of calls over HTTP.
 
-Real providers need a network or weights; they are built only when named, and everything else runs on the stand-ins.
+A part of a run that names a real provider is answered by it (``operators.models`` puts it into the plans); a part of kind ``fake`` by its stand-in, which is column expressions and no
+provider at all. Real providers need a network or weights. They are made on the executors, one a task, from a factory that is shipped; a provider must survive pickling or be made there.
 """
 
 from __future__ import annotations
@@ -10,14 +11,12 @@ import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
+from pathlib import Path
 from typing import Protocol
 from urllib.parse import urlsplit
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 TIMEOUT_S = 120
 MOST_BYTES = 4 * 1024 * 1024
 RETRIES = 2
@@ -32,6 +31,24 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
 
+class PairScorer(Protocol):
+    """Entailment, neutrality and contradiction of (premise, hypothesis) pairs; three numbers a pair that sum to one."""
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[tuple[float, float, float]]: ...
+
+
+class Speaker(Protocol):
+    """Speech of a chunk: samples, their rate, and a span of seconds for each turn."""
+
+    def synthesize(self, request: dict) -> tuple[list[float], int, list[tuple[float, float]]]: ...
+
+
+class Recogniser(Protocol):
+    """Segments (text, start, stop) of what is heard in samples."""
+
+    def transcribe(self, samples: list[float], rate: int) -> list[tuple[str, float, float]]: ...
+
+
 def is_local(url: str) -> bool:
     """Whether a URL names this machine or a private network by its literal address; names other than localhost do not count."""
     host = urlsplit(url).hostname or ""
@@ -129,20 +146,6 @@ def check_vectors(texts: list[str], vectors: list[list[float]]) -> None:
         raise ValueError("vectors of no or different lengths, or not finite")
 
 
-def embed_column(df: DataFrame, column: str, make: Callable[[], Embedder], into: str = "embedding") -> DataFrame:
-    """``df`` with a provider's vectors; one provider a task, batches as Arrow sends them."""
-    import pandas as pd
-    from pyspark.sql.types import ArrayType, FloatType
-
-    @F.pandas_udf(ArrayType(FloatType()))  # type: ignore[call-overload]
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        provider = make()
-        for s in batches:
-            yield pd.Series(provider.embed(s.fillna("").tolist()))
-
-    return df.withColumn(into, run(F.col(column)))
-
-
 def validated(ask: Callable[[list[str]], str], parse: Callable[[str], object], attempts: int = 2) -> object:
     """The first reply that parses; every attempt sees the reasons against all before. A cut-off reply counts as rejected."""
     reasons: list[str] = []
@@ -154,15 +157,81 @@ def validated(ask: Callable[[list[str]], str], parse: Callable[[str], object], a
     raise ValueError("; ".join(reasons))
 
 
-#: Providers by kind: what a run file may name, and what is made of it.
+PAIR_TOKENS, PAIR_BATCH = 512, 16
+
+
+@dataclass
+class OnnxPairScorer:
+    """A cross-encoder from a folder of model.onnx, tokenizer.json and config.json; pairs in batches of 16, cut to 512 tokens, labels by the names in the config."""
+
+    folder: str
+
+    def __post_init__(self):
+        self._open = None
+
+    def _load(self):
+        import onnxruntime
+        from tokenizers import Tokenizer
+
+        names = json.loads((Path(self.folder) / "config.json").read_text())["id2label"]
+        place = {str(v).lower(): int(k) for k, v in names.items()}
+        if missing := {"entailment", "neutral", "contradiction"} - set(place):
+            raise ValueError(f"the model has no label {', '.join(sorted(missing))}")
+        words = Tokenizer.from_file(str(Path(self.folder) / "tokenizer.json"))
+        words.enable_truncation(PAIR_TOKENS)
+        words.enable_padding()
+        return onnxruntime.InferenceSession(str(Path(self.folder) / "model.onnx")), words, [place[x] for x in ("entailment", "neutral", "contradiction")]
+
+    def score(self, pairs: list[tuple[str, str]]) -> list[tuple[float, float, float]]:
+        import numpy as np
+
+        self._open = self._open or self._load()
+        session, words, order = self._open
+        wanted = {i.name for i in session.get_inputs()}
+        out = []
+        for a in range(0, len(pairs), PAIR_BATCH):
+            e = words.encode_batch(pairs[a : a + PAIR_BATCH])
+            given = {"input_ids": [x.ids for x in e], "attention_mask": [x.attention_mask for x in e], "token_type_ids": [x.type_ids for x in e]}
+            logits = session.run(None, {k: np.array(v, np.int64) for k, v in given.items() if k in wanted})[0].astype(float)
+            p = np.exp(logits - logits.max(1, keepdims=True))
+            out += [tuple(r) for r in (p / p.sum(1, keepdims=True))[:, order].tolist()]
+        check_scores(pairs, out)
+        return out
+
+
+def check_scores(pairs: list, scores: list) -> None:
+    """Three finite numbers from 0 to 1 a pair."""
+    import math
+
+    if len(pairs) != len(scores) or any(len(s) != 3 or not all(math.isfinite(x) and -1e-6 <= x <= 1 + 1e-6 for x in s) for s in scores):
+        raise ValueError("not three scores a pair")
+
+
+def check_spans(turns: list, spans: list[tuple[float, float]], secs: float, slack: float = 0.02) -> None:
+    """Of a speech reply: one span a turn, finite, in order, none over another, within the sound."""
+    import math
+
+    if len(turns) != len(spans):
+        raise ValueError(f"{len(spans)} spans for {len(turns)} turns")
+    at = 0.0
+    for a, z in spans:
+        if not (math.isfinite(a) and math.isfinite(z)) or a < at - 1e-9 or z < a or z > secs + slack:
+            raise ValueError("spans that are not finite, out of order, over one another or beyond the sound")
+        at = z
+
+
+#: Providers by kind: what a run file may name, and what is made of it. A fake is None: the stand-in needs no provider.
 FACTORIES: dict[str, dict[str, Callable[..., object]]] = {
-    "llm": {"fake": lambda **_: None, "openai_compatible": lambda **k: HttpLlm(**k)}, "embedding": {"fake": lambda **_: None, "openai_compatible": lambda **k: HttpEmbedder(**k)}, "nli": {"fake": lambda **_: None}, "tts": {"fake": lambda **_: None}, "asr": {"fake": lambda **_: None},
+    "llm": {"fake": lambda: None, "openai_compatible": HttpLlm}, "embedding": {"fake": lambda: None, "openai_compatible": HttpEmbedder}, "nli": {"fake": lambda: None, "cross_encoder": OnnxPairScorer},
 }
 
 
 def make(part: str, kind: str, **options):
-    """The provider of a part; an unknown kind is an error that names the known ones."""
+    """The provider of a part; an unknown kind is an error that names the known ones, and so is an option that the kind has not."""
     known = FACTORIES.get(part, {})
     if kind not in known:
         raise ValueError(f"{part} has no kind {kind!r}; it has {', '.join(sorted(known)) or 'none'}")
-    return known[kind](**options)
+    try:
+        return known[kind](**options)
+    except TypeError as e:
+        raise ValueError(f"{part} of kind {kind}: {e}") from None

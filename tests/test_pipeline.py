@@ -1,8 +1,16 @@
+import json
+import sys
+
 import pytest
+from pyspark import cloudpickle
 
+from loomledger.operators import adjudicate
+from loomledger.operators.models import _list, asked
 from loomledger.plans import pipeline
 from loomledger.streaming.ledger import LedgerTable, arrivals, batch_status, flatten, follow
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the models below travel to the tasks
+
 RUN = """title = "T"
 topic = "the flood"
 [[sources]]
@@ -45,8 +53,60 @@ def test_contradiction(spark, tmp_path):
     assert {x.status for x in r.frames["ledger"].collect()} == {"contested"} and r.frames["verdicts"].count() == 2
 
 
+class Writer:
+    """A model that answers every stage; the first script it writes has a reference to no source."""
+
+    def __init__(self):
+        self.tries = 0
+
+    def complete(self, task, request):
+        if "passage" in request:
+            return json.dumps({"claims": [s.strip() + "." for s in request["passage"].split(".") if s.strip()]})
+        if "evidence" in request:
+            return json.dumps({"favours": "unresolved", "explanation": "Both stand.", "cites": [0, 1] if "1908" in json.dumps(request) else []})
+        source = 0 if "rejected_because" in request else 99
+        return json.dumps({"turns": [{"speaker": "host", "text": "A source says {{quote:0}}", "refs": [{"source": source, "sentence": 0}], "citations": [request["ledger"][0]["claim_id"]]}]})
+
+
+class Vectors:
+    def embed(self, texts):
+        return [[1.0, len(t) % 7, t.count("explosion")] for t in texts]
+
+
+class Scorer:
+    def score(self, pairs):
+        return [(0.0, 0.0, 1.0) if ("1907" in p) != ("1907" in h) else (1.0, 0.0, 0.0) for p, h in pairs]
+
+
+def test_a_named_model_answers(spark, tmp_path, monkeypatch):
+    spec = episode(tmp_path, "The great explosion happened in June 1908.\n", "The great explosion happened in June 1907.\n", '[llm]\nkind = "openai_compatible"\nurl = "http://localhost:1"\nmodel = "m"\n[embedding]\nkind = "openai_compatible"\nurl = "http://localhost:1"\nmodel = "e"\n[nli]\nkind = "cross_encoder"\nfolder = "/nowhere"\n')
+    assert [p[:2] for p in spec.providers] == [("llm", "openai_compatible"), ("embedding", "openai_compatible"), ("nli", "cross_encoder")]
+    m = spec.models()
+    assert m.llm.model == "m" and m.embedder.model == "e" and m.scorer.folder == "/nowhere"
+    monkeypatch.setattr(pipeline.Spec, "models", lambda self: pipeline.Models(Writer(), Vectors(), Scorer()))
+    r = pipeline.run(spark, spec, str(tmp_path / "cache"))
+    assert {x.status for x in r.frames["ledger"].collect()} == {"contested"}
+    assert {x.explanation for x in r.frames["verdicts"].collect()} == {"Both stand."}
+    (turn,) = r.frames["script"].collect()
+    assert turn.text == "A source says “The great explosion happened in June 1908.”" and len(turn.quotes) == 1 and not r.failed and r.counts == {"errors": 0}
+    assert all(x.basis.kind == "nli" for c in r.frames["claims"].collect() for x in c.evidence if x.stance == "contradicts")
+
+
+def test_a_reply_that_never_holds(spark):
+    class Bad:
+        def complete(self, task, request):
+            return "{}"
+
+    with pytest.raises(ValueError, match="claims"):
+        asked(Bad(), "extract", lambda d: _list(d, "claims"))({})
+    contested = spark.createDataFrame([("c", "t", [("k", "supports")])], "claim_id string, text string, evidence array<struct<chunk:string,stance:string>>")
+    chunks = spark.createDataFrame([("k", 1, "text")], "chunk_id string, doc_id long, text string")
+    docs = spark.createDataFrame([(1, "T", "text")], "doc_id long, title string, text string")
+    assert [(v.favours, v.cites) for v in adjudicate.verdicts(contested, chunks, docs, Bad()).collect()] == [("unresolved", ["k"])]
+
+
 def test_spec_errors(tmp_path):
-    for bad in ("x = 1", '[nli]\nkind = "fake"', '[[analysers]]\nkind = "odd"', '[llm]\nkind = "odd"'):
+    for bad in ("x = 1", '[nli]\nkind = "fake"', '[llm]\nkind = "openai_compatible"\nurls = "x"', '[[analysers]]\nkind = "odd"', '[llm]\nkind = "odd"'):
         (tmp_path / "run.toml").write_text((bad + "\n" + RUN) if bad == "x = 1" else RUN + bad)
         with pytest.raises(ValueError):
             pipeline.read_spec(str(tmp_path / "run.toml"))
