@@ -81,6 +81,12 @@ def stray_mark(t: Column | str) -> Column:
     return F.regexp_replace(c(t), r'"[^"]*"|“[^”]*”', "").rlike('["“”]')
 
 
+def stray_mark_place(t: Column | str) -> Column:
+    """The byte place of the first double quotation mark that no other closes or opens; null where there is none."""
+    whole = F.regexp_extract(c(t), r'\A(?:[^"“”]++|"[^"]*+"|“[^”]*+”)*+', 0)
+    return F.when(F.char_length(whole) < F.char_length(c(t)), F.octet_length(whole))
+
+
 def normalise_claim(t: Column | str) -> Column:
     """What makes two wordings the same claim: white space collapsed, lower case."""
     return F.lower(trim_ws(F.regexp_replace(c(t), f"{WS}+", " ")))

@@ -79,3 +79,8 @@ def citation_overlap(cites: DataFrame, key: str) -> DataFrame:
     j = pairs.join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     union = F.col("na") + F.col("nb") - F.col("shared")
     return j.select("a", "b", "shared", (F.col("na") - F.col("shared")).alias("only_a"), (F.col("nb") - F.col("shared")).alias("only_b"), F.when(union > 0, F.col("shared") / union).otherwise(1.0).alias("jaccard"))
+
+
+def by_severity(findings: DataFrame) -> DataFrame:
+    """How many findings there are of each severity; a run with errors has failed."""
+    return findings.groupBy("severity").agg(F.count("*").alias("n"))

@@ -55,6 +55,10 @@ def cut(samples: np.ndarray, rate: int, spans: Sequence[tuple[float, float]]) ->
     return [samples[max(0, int(a * rate)) : max(0, int(z * rate))] for a, z in spans]
 
 
+#: Fixed value: a stretch of speech shorter than this says too little about a voice.
+LEAST_SECS = 1.0
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """The cosine of two voices' vectors; 0 where one is zero."""
     n = float(np.linalg.norm(a) * np.linalg.norm(b))

@@ -12,8 +12,8 @@ from loomledger.operators.ranking import best_take
 
 
 def seed(chunk_id: Column, take: Column) -> Column:
-    """The first 52 bits of the id of chunk and take."""
-    return F.conv(F.substring(content_id(chunk_id, take), 1, 13), 16, 10).cast("bigint")
+    """The first 64 bits of the id of chunk and take, as an unsigned number."""
+    return F.conv(F.substring(content_id(chunk_id, take), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
 def said(text: Column, before: Column, after: Column) -> Column:

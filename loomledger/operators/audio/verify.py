@@ -12,7 +12,7 @@ from pyspark.sql.types import IntegerType
 
 
 def edit_distance(a: Sequence[str], b: Sequence[str]) -> int:
-    """Insertions, deletions and substitutions of words from ``a`` to ``b``; one row of the table at a time, as vectors."""
+    """Insertions, deletions and substitutions of words from ``a`` to ``b``; only one row of the table is held."""
     codes: dict[str, int] = {}
     x = np.array([codes.setdefault(w, len(codes)) for w in a])
     y = np.array([codes.setdefault(w, len(codes)) for w in b])
@@ -49,14 +49,25 @@ def missed_quotes(heard: Column, quotes: Column) -> Column:
     return F.size(F.filter(quotes, lambda q: ~contains_words(heard, q)))
 
 
+def _steps(reference: Sequence[str], heard: Sequence[str]) -> np.ndarray:
+    """All edit distances of the beginnings of both, a row at a time as vectors."""
+    codes: dict[str, int] = {}
+    x = np.array([codes.setdefault(w, len(codes)) for w in reference], np.int64)
+    y = np.array([codes.setdefault(w, len(codes)) for w in heard], np.int64)
+    places = np.arange(len(y) + 1)
+    d = np.empty((len(x) + 1, len(y) + 1), np.int32)
+    d[0] = places
+    for i, w in enumerate(x, 1):
+        d[i, 0] = i
+        np.minimum(d[i - 1, :-1] + (y != w), d[i - 1, 1:] + 1, out=d[i, 1:])
+        d[i] = np.minimum.accumulate(d[i] - places) + places  # insertions run along the row
+    return d
+
+
 def align(reference: Sequence[str], heard: Sequence[str]) -> list[tuple[int | None, int | None]]:
     """Places of the words that stand for each other; one side is None where a word is missing or added. Substitutions are preferred going back."""
+    d = _steps(reference, heard)
     n, m = len(reference), len(heard)
-    d = np.zeros((n + 1, m + 1), int)
-    d[:, 0], d[0] = np.arange(n + 1), np.arange(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i, j] = min(d[i - 1, j - 1] + (reference[i - 1] != heard[j - 1]), d[i - 1, j] + 1, d[i, j - 1] + 1)
     out: list[tuple[int | None, int | None]] = []
     while n or m:
         if n and m and d[n, m] == d[n - 1, m - 1] + (reference[n - 1] != heard[m - 1]):

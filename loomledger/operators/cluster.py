@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +45,37 @@ def equivalent(pairs: DataFrame, veto: bool = True, settings: Settings = DEFAULT
     return pairs.select("a", "b", F.least(per_mille(F.col("_f.entailment")), per_mille(F.col("_g.entailment"))).alias("mutual_pm")).where(F.col("mutual_pm") >= settings.merge_entailment_pm)
 
 
+def _stars(edges: DataFrame) -> DataFrame:
+    """Edges of the same components, from each node to the least one that its partition's edges join it with; few edges lie in one partition, which then has whole components."""
+
+    def run(batches):
+        root: dict[str, str] = {}
+
+        def find(x: str) -> str:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+                root[max(x, y)] = min(x, y)
+        nodes = list(root)
+        yield pa.RecordBatch.from_arrays([pa.array([find(n) for n in nodes], pa.string()), pa.array(nodes, pa.string())], names=["a", "b"])
+
+    return edges.select(F.col("a").cast("string"), F.col("b").cast("string")).where("a is not null and b is not null").repartition("a").mapInArrow(run, "a string, b string")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node and comp (its least node) of every node on an edge (a, b), by labels that jump to their label's label."""
-    both = settle(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
-    while True:  # until no label moves; a label at least doubles its reach in a round
+    """node and comp (its least node) of every node on an edge (a, b).
+
+    Partitions contract their own edges to stars first; labels then go from node to node and jump to their label's label, until none moves.
+    """
+    stars = _stars(edges)
+    both = settle(stars.union(stars.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp"))
+    while True:  # a label at least doubles its reach in a round
         heard = both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("h")), "b").groupBy(F.col("a").alias("node")).agg(F.min("h").alias("h"))
         step = labels.join(heard, "node").select("node", F.least("comp", "h").alias("c"), F.col("comp").alias("old"))
         jump = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
@@ -83,6 +110,7 @@ def clusters(edges: DataFrame) -> DataFrame:
 
     One task takes one connected component of the equivalence graph; its edges are at most eight a claim.
     """
+    edges = settle(edges.select("a", "b"), "equivalent")
     comp = components(edges)
     with_comp = edges.join(comp.select(F.col("node").alias("a"), "comp"), "a").select("comp", "a", "b")
 

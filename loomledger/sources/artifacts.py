@@ -88,6 +88,7 @@ class StageCache:
                 pass
         part = path.with_name(f".{key}.{uuid.uuid4().hex}")
         run().write.parquet(str(part))
+        (part / "_STAGE").write_text(stage)
         shutil.rmtree(path, ignore_errors=True)
         part.rename(path)
         self.records.append((stage, key, False, perf_counter() - began))
@@ -101,9 +102,16 @@ class StageCache:
                 out.append((p.name, sum(f.stat().st_size for f in p.rglob("*") if f.is_file())))
         return sorted(out)
 
-    def stats(self) -> dict[str, int]:
-        e = self.entries()
-        return {"entries": len(e), "bytes": sum(n for _, n in e)}
+    def stats(self) -> dict[str, object]:
+        """Entries and bytes, of all and by kind: stages by their name, and blobs kept under the same root."""
+        kinds: dict[str, list[int]] = {}
+        for key, n in self.entries():
+            note = self.path(key) / "_STAGE"
+            kinds.setdefault(note.read_text() if note.exists() else "stage", []).append(n)
+        for p in Path(self.root).glob("??/*.bin"):
+            kinds.setdefault("blob", []).append(p.stat().st_size)
+        by = {k: {"entries": len(v), "bytes": sum(v)} for k, v in sorted(kinds.items())}
+        return {"entries": sum(v["entries"] for v in by.values()), "bytes": sum(v["bytes"] for v in by.values()), "kinds": by}
 
     def clear(self) -> int:
         """Deletes only what is shaped like an entry; other files stay."""
@@ -142,6 +150,17 @@ class BlobStore:
         return data if hashlib.sha256(data).hexdigest() == key else None
 
 
+def weights_digest(paths: list[str]) -> str:
+    """SHA-256 over the sorted names, the sizes and the bytes of a model's weights, read piece by piece."""
+    h = hashlib.sha256()
+    for p in sorted(paths, key=os.path.basename):
+        h.update(f"{os.path.basename(p)}\0{os.path.getsize(p)}\0".encode())
+        with open(p, "rb") as f:
+            while piece := f.read(1 << 20):
+                h.update(piece)
+    return h.hexdigest()
+
+
 def file_fingerprint(paths: list[str]) -> str:
     """Of model files: each file's name, size and digest, then all of them."""
     rows = []
