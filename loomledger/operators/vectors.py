@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from loomledger.config import DEFAULT
 from loomledger.functions.ids import per_mille
 from loomledger.functions.text import content_words
+from loomledger.tables import settle
 
 SLOTS = 256
 
@@ -197,6 +198,15 @@ def prefix_keys(slots: np.ndarray, counts: np.ndarray, floor: float) -> list[int
     return out
 
 
+def _ranked_counts(column: pa.Array, rank: np.ndarray) -> np.ndarray:
+    """Counts of slots in the order of their ranks, a row for each array."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = rank[column.flatten().to_numpy(zero_copy_only=False)]
+    out = np.zeros((len(sizes), SLOTS), np.int32)
+    np.add.at(out.ravel(), np.repeat(np.arange(len(sizes)) * SLOTS, sizes) + flat, 1)
+    return out
+
+
 def similar(rows: DataFrame, k: int, floor_pm: int) -> DataFrame:
     """qid, cid, sim_pm and rank: the same as ``top_k`` of ``rows`` (id, ord, vec of slots) with themselves above a floor, without comparing all with all.
 
@@ -208,7 +218,7 @@ def similar(rows: DataFrame, k: int, floor_pm: int) -> DataFrame:
     own = rows.select(F.col("id").cast("bigint").alias("id"), F.col("ord").cast("bigint").alias("ord"), F.array_sort("vec").alias("vec")).where(F.size("vec") > 0)
     w = Window.partitionBy("vec").orderBy("ord", "id")
     first = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)  # a group limit before the shuffle
-    classes = first.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("members")).withColumn("cls", F.col("members")[0]["id"])
+    classes = settle(first.groupBy("vec").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("members")).withColumn("cls", F.col("members")[0]["id"]), "vectors")
     # how often each slot occurs: a row for each of them, whatever the number of rows
     often = np.zeros(SLOTS)
     for r in classes.select(F.explode("vec").alias("s")).groupBy("s").count().collect():
@@ -228,20 +238,19 @@ def similar(rows: DataFrame, k: int, floor_pm: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.int32()), b.column(0).take(at_), b.column(1).take(at_)], names=["key", "cls", "vec"])
 
     def verify(batches):
-        place = np.argsort(rank)
         for b in batches:
-            for a in range(0, b.num_rows, 4096):
-                s = b.slice(a, 4096)
-                x, y = _matrix(s.column("vx"), SLOTS)[:, place], _matrix(s.column("vy"), SLOTS)[:, place]
+            for a in range(0, b.num_rows, 2048):
+                s = b.slice(a, 2048)
+                x, y = _ranked_counts(s.column("vx"), rank), _ranked_counts(s.column("vy"), rank)
                 both = (x > 0) & (y > 0)
-                nth = np.cumsum(both, 1)
-                code = [np.where(nth[:, -1] >= i, (both & (nth == i)).argmax(1) + 1, 0) for i in (1, 2, 3)]
-                cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-                pm = np.floor(np.clip(cos, 0, 1) * 1000 + 0.5).astype(np.int32)
+                nth = np.cumsum(both, 1, dtype=np.int16)
+                code = [np.where(nth[:, -1] >= i, (nth >= i).argmax(1) + 1, 0) for i in (1, 2, 3)]
+                dot, xx, yy = (np.einsum("ij,ij->i", u, v, dtype=np.int64).astype(float) for u, v in ((x, y), (x, x), (y, y)))
+                pm = np.floor(np.clip(dot / np.sqrt(xx * yy), 0, 1) * 1000 + 0.5).astype(np.int32)
                 good = (pm >= floor_pm) & ((code[0] << 18 | code[1] << 9 | code[2]) == s.column("key").to_numpy())
                 yield pa.RecordBatch.from_arrays([s.column("x"), s.column("y"), pa.array(pm)], names=["x", "y", "pm"]).filter(pa.array(good))
 
-    index = classes.select("cls", "vec").mapInArrow(keys, "key int, cls bigint, vec array<int>")
+    index = settle(classes.select("cls", "vec").mapInArrow(keys, "key int, cls bigint, vec array<int>"), "index")
     left = index.select("key", F.col("cls").alias("x"), F.col("vec").alias("vx"))
     right = index.select("key", F.col("cls").alias("y"), F.col("vec").alias("vy"))
     pairs = left.join(right, "key").where("x < y").mapInArrow(verify, "x bigint, y bigint, pm int")
