@@ -14,13 +14,16 @@ import re
 import sys
 import unicodedata
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Letters of other alphabets and the Latin letters of the same look.
+from loomledger.llm import lexicon
+
+#: Letters of other alphabets and the Latin letters of the same look, beside those of the consortium's table (``looks``): small letters that only resemble each other.
 LOOKALIKE_LATIN = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ԝ": "w", "х": "x", "у": "y",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "Ԛ": "Q", "Ԝ": "W",
@@ -37,6 +40,48 @@ LOOKALIKE_CYRILLIC = {
 LOOKALIKE_GREEK = {"o": "ο", "v": "ν", "p": "ρ", "i": "ι", "k": "κ", "x": "χ", "u": "υ", "a": "α"} | {b: a for a, b in LOOKALIKE_LATIN.items() if "Α" <= a <= "Χ"}
 
 
+class Looks(NamedTuple):
+    """By alphabet: letters of others that look like one of its own."""
+
+    latin: dict[str, str]
+    cyrillic: dict[str, str]
+    greek: dict[str, str]
+
+
+#: First and last letters of the alphabets, with the code of each in CLASS.
+ALPHABETS = (("latin", 8, ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF))), ("greek", 16, ((0x370, 0x3FF),)), ("cyrillic", 24, ((0x400, 0x52F),)), ("armenian", 32, ((0x531, 0x587),)), ("cherokee", 40, ((0x13A0, 0x13FD), (0xAB70, 0xABBF))), ("lisu", 48, ((0xA4D0, 0xA4F7),)), ("coptic", 56, ((0x2C80, 0x2CE3),)))
+_LOOKS: Looks | None = None
+
+
+def _derived() -> Looks:
+    """From the consortium's table: two letters look alike where it gives both the same form; capitals stand for capitals."""
+    form = lexicon.confusables()
+    shape = lambda ch: (form.get(ch, ch), unicodedata.category(ch) != "Ll")
+    letters = {name: [chr(cp) for a, b in ranges for cp in range(a, b + 1) if unicodedata.category(chr(cp))[0] == "L"] for name, _, ranges in ALPHABETS}
+    found = []
+    for own, fixed in (("latin", LOOKALIKE_LATIN), ("cyrillic", LOOKALIKE_CYRILLIC), ("greek", LOOKALIKE_GREEK)):
+        # plain letters only: what is accented is told apart by its accent
+        plain = [c for c in letters[own] if not unicodedata.decomposition(c) and (c.isascii() or own != "latin")]
+        mine = {shape(c): c for c in reversed(plain)}
+        others = [c for name in letters if name != own for c in letters[name] if not unicodedata.decomposition(c)]
+        found.append({c: mine[shape(c)] for c in others if shape(c) in mine} | fixed)
+    return Looks(*found)
+
+
+def looks() -> Looks:
+    """The tables of this process: as the driver sent them, else derived."""
+    global _LOOKS
+    if _LOOKS is None:
+        _LOOKS = _derived()
+    return _LOOKS
+
+
+def use(tables: Looks) -> None:
+    """Take the driver's tables, which a task gets by broadcast, so that no executor needs the library's file."""
+    global _LOOKS
+    _LOOKS = tables
+
+
 #: Invisible characters of other categories or beyond the scan (default-ignorable code points); the variation selectors among them.
 IGNORABLE = {0x34F, 0x61C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180F, 0x2065, 0x3164, 0xFFA0, *range(0xFE00, 0xFE10), *range(0xE0000, 0xE1000)}
 _VARIED = re.compile("[©®‼⁉™ℹ←-⯿\u1000-\u109f\ua840-\ua877\U0001f000-\U0001faff]")
@@ -93,9 +138,9 @@ SINGLE, MARKS, MAYBE = _tables()
 #: A segment: the character before as context, the unstable ones, and marks after.
 SEGMENT = re.compile(f"(?s:.)?[{_ranges(set(SINGLE) | MAYBE)}]+[{_ranges(MARKS)}]*")
 UNSTABLE = re.compile(f"[{_ranges(set(SINGLE) | MAYBE)}]")
-_LATIN, _OTHER = "A-Za-zÀ-ÖØ-öø-ɏḀ-ỿ", "Ͱ-ϿЀ-ԯԱ-և"
-MIXED = re.compile(f"[{_LATIN}][{_OTHER}]|[{_OTHER}][{_LATIN}]|[Ͱ-Ͽ][Ѐ-ԯ]|[Ѐ-ԯ][Ͱ-Ͽ]")
-WORD = re.compile(f"[{_LATIN}{_OTHER}]+")
+_RANGE = {name: "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges) for name, _, ranges in ALPHABETS}
+WORD = re.compile("[" + "".join(_RANGE.values()) + "]+")
+MIXED = re.compile("|".join(f"[{own}](?=[{''.join(r for r in _RANGE.values() if r != own)}])" for own in _RANGE.values()))
 EAST = re.compile("[⺀-ヿ㄀-鿿가-힯ｦ-ﾝ！-／：-＠［-｀｛-･\U00020000-\U0003ffff]")
 _FULL_PUNCT = re.compile("[　！-／：-＠［-｀｛-･￠-￦]")
 _INDIC_OR_EMOJI = re.compile("[ऀ-෿က-႟ក-៿←-⯿️\U0001f000-\U0001faff]")
@@ -109,9 +154,9 @@ def _classes() -> np.ndarray:
         t[[cp for cp in (*range(0x2E80, 0x3130), *range(0x3000, 0x4000), *range(0xFF00, 0xFFF0)) if rx.match(chr(cp))]] |= bit
     for a, b in ((0x3400, 0xA000), (0xAC00, 0xD7A4), (0x20000, 0x40000)):
         t[a:b] |= 2
-    for kind, first, last in ((8, 0x41, 0x5A), (8, 0x61, 0x7A), (8, 0xC0, 0x24F), (8, 0x1E00, 0x1EFF), (16, 0x370, 0x3FF), (24, 0x400, 0x52F), (32, 0x531, 0x586)):
-        t[first : last + 1] |= kind
-    t[[0xD7, 0xF7]] &= 7
+    for _, kind, ranges in ALPHABETS:
+        for a, b in ranges:
+            t[a : b + 1] |= kind
     return t
 
 
@@ -137,8 +182,11 @@ def suspects(texts: list[str]) -> np.ndarray:
     return flags
 
 
+_SCRIPT = {code: name for name, code, _ in ALPHABETS}
+
+
 def script_of(ch: str) -> str:
-    return "greek" if "Ͱ" <= ch <= "Ͽ" else "cyrillic" if "Ѐ" <= ch <= "ԯ" else "armenian" if "Ա" <= ch <= "և" else "latin"
+    return _SCRIPT.get(int(CLASS[ord(ch)]) & 0xF8, "latin")
 
 
 def _one(text: str, at: int) -> str:
@@ -177,9 +225,10 @@ def _word(m: re.Match[str]) -> str:
         return w
     n = Counter(map(script_of, w))
     # the word's own alphabet is the one whose letters no other offers, else the most frequent
-    own = {s: sum(script_of(c) == s and not _swap(c, LOOKALIKE_CYRILLIC if s == "latin" else LOOKALIKE_LATIN) for c in w) for s in n}
+    tables = looks()
+    own = {s: sum(script_of(c) == s and not _swap(c, tables.cyrillic if s == "latin" else tables.latin) for c in w) for s in n}
     main = max(n, key=lambda s: (own[s], n[s], s == "latin"))
-    to = {"latin": LOOKALIKE_LATIN, "cyrillic": LOOKALIKE_CYRILLIC, "greek": LOOKALIKE_GREEK}.get(main, {})
+    to = tables._asdict().get(main, {})
     return "".join(c if script_of(c) == main else _swap(c, to) or c for c in w)
 
 
@@ -196,10 +245,13 @@ def canonical(text: str | None) -> str | None:
     if UNSTABLE.search(text):
         out, at = [], 0
         for m in SEGMENT.finditer(text):
-            seg = "".join(_one(text, i) if ord(text[i]) in SINGLE else text[i] for i in range(m.start(), m.end()))
-            if seg == m[0] and unicodedata.is_normalized("NFC", seg):
+            first = m.start()
+            while first > at and unicodedata.combining(text[first]):  # back to what the marks stand on
+                first -= 1
+            seg = "".join(_one(text, i) if ord(text[i]) in SINGLE else text[i] for i in range(first, m.end()))
+            if seg == text[first : m.end()] and unicodedata.is_normalized("NFC", seg):
                 continue
-            out += [text[at : m.start()], unicodedata.normalize("NFC", seg)]
+            out += [text[at:first], unicodedata.normalize("NFC", seg)]
             at = m.end()
         if out:
             spliced = "".join([*out, text[at:]])
@@ -218,8 +270,11 @@ def with_canonical(df: DataFrame, column: str = "text", into: str = "canonical")
     from pyspark.sql import functions as F
     from pyspark.sql.types import StringType
 
+    shipped = df.sparkSession.sparkContext.broadcast(looks())
+
     @F.pandas_udf(StringType())  # type: ignore[call-overload]
     def one(s):
+        use(shipped.value)
         flags = suspects(s.fillna("").tolist())
         return pd.Series([canonical(t) if f else t for f, t in zip(flags, s, strict=True)], dtype=object)
 
@@ -229,8 +284,10 @@ def with_canonical(df: DataFrame, column: str = "text", into: str = "canonical")
 def changed(df: DataFrame, key: str, column: str = "text") -> DataFrame:
     """The keys of the rows whose ``column`` is not in canonical form (null and empty texts are)."""
     at = df.schema[key].dataType.simpleString()
+    shipped = df.sparkSession.sparkContext.broadcast(looks())
 
     def run(batches):
+        use(shipped.value)
         for b in batches:
             keys, texts = b.column(0), b.column(1).to_pylist()
             flags = suspects([t or "" for t in texts])

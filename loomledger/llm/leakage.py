@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from loomledger.llm import bits
-from loomledger.llm.canonical import canonical, suspects
+from loomledger.llm.canonical import canonical, looks, suspects, use
 from loomledger.tables import settle
 
 LEAST = 10
@@ -155,8 +155,10 @@ class Shape:
 def _cut_items(items: DataFrame, shape: Shape) -> DataFrame:
     """item_id, hash and the words around it of each piece of the grid of each item."""
     kind = items.schema["item_id"].dataType
+    tables = items.sparkSession.sparkContext.broadcast(looks())
 
     def run(batches):
+        use(tables.value)
         known = _Hashes()
         for b in batches:
             at, keys, rows = [], [], []
@@ -217,6 +219,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, budget: int = B
     key, kind = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType
     rows = docs.select("doc_id", "text").where("text is not null and doc_id is not null")
     width = shape.g + 2 * shape.reach
+    tables = docs.sparkSession.sparkContext.broadcast(looks())
     if pieces.count() * width <= shipped:
         t = pieces.toArrow().combine_chunks()  # within ``shipped`` words
         item_type = to_arrow_type(kind)
@@ -224,6 +227,7 @@ def leaks(docs: DataFrame, items: DataFrame, least: int = LEAST, budget: int = B
         own = docs.sparkSession.sparkContext.broadcast(Pieces(t.column("key").to_numpy().view(np.uint64) if t.num_rows else np.zeros(0, np.uint64), all_items, _table(t.column("own"), width) if t.num_rows else np.zeros((0, width), np.uint64)))
 
         def run(batches):
+            use(tables.value)
             known, index = _Hashes(), own.value
             for b in batches:
                 for a in range(0, b.num_rows, 500):
@@ -243,8 +247,10 @@ def _joined(rows: DataFrame, pieces: DataFrame, shape: Shape, key: str, kind: st
     A bitmap of the hashes, of ``BITMAP`` bits whatever the test set, keeps most words of the documents out of the shuffle.
     """
     wanted = bits.bitmap(pieces, "key", BITMAP)
+    tables = rows.sparkSession.sparkContext.broadcast(looks())
 
     def cut(batches):
+        use(tables.value)
         known, salt = _Hashes(), 0
         for b in batches:
             for a in range(0, b.num_rows, 200):

@@ -135,6 +135,23 @@ def words(script: str, path: str | None = None) -> dict[str, int]:
         return {b"".join(u.to_bytes(2, "big") for u in w).decode("utf-16-be"): v for w, v in Trie(units, UNITS).words()}
     return {"".join("‍" if b == 0xFF else "‌" if b == 0xFE else chr(first + b) for b in w): 0 for w, _ in Trie(data, BYTES).words()}
 
+@lru_cache(maxsize=2)
+def confusables(path: str | None = None) -> dict[str, str]:
+    """Characters and what they look like, by the Unicode consortium's table in the same library: keys of code point and length, then places in a table of strings."""
+    with zipfile.ZipFile(path or library()) as z:
+        raw = z.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
+    body = raw[struct.unpack(">H", raw[:2])[0] :]
+    _, _, _, keys, n, places, _, strings, m = struct.unpack(">9I", body[:36])
+    table = body[strings : strings + 2 * m].decode("utf-16-be", "surrogatepass")
+    out = {}
+    for i in range(n):
+        (key,) = struct.unpack_from(">I", body, keys + 4 * i)
+        (at,) = struct.unpack_from(">H", body, places + 2 * i)
+        length = (key >> 24) + 1
+        out[chr(key & 0xFFFFFF)] = chr(at) if length == 1 else table[at : at + length]
+    return out
+
+
 #: Japanese words that begin with と and can begin a sentence.
 JA_TO = """とにかく とても ところが ところで ところどころ とうとう とはいえ とはいうものの とりあえず とりわけ ともかく ともあれ ともに ともども とんでもない とたんに とっくに とっさに とつぜん
 とっても とびきり とびら とびらが とまどい とまり とまれ となり となりの となると とすると とすれば としたら としても として としょかん としより とけい ところ とおく とおい とおり とおりに ともだち とんぼ とんび とかげ

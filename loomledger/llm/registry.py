@@ -57,6 +57,16 @@ def p3_unused(spark: SparkSession, root: str) -> DataFrame:
     return c.select("script_id", "n_chunks", F.ceil(F.col("words") / F.col("room")).alias("fewest"), (F.col("n_chunks") * F.col("room") - F.col("words")).alias("unused"))
 
 
+def p3_check(spark: SparkSession, root: str) -> DataFrame:
+    """Of each script with pieces: how many of them are in its chunks, and whether each is there once and no chunk is over its room."""
+    from pyspark.sql import functions as F
+
+    a = _packed(spark, root)
+    once = a.groupBy("script_id", "piece_id", "part").agg(F.count("*").alias("n")).groupBy("script_id").agg(F.count_distinct("piece_id").alias("n_pieces"), F.bool_and(F.col("n") == 1).alias("once"))
+    room = p3.chunks(a).groupBy("script_id").agg(F.bool_and(F.col("words") <= F.col("room")).alias("within"))
+    return once.join(room, "script_id").select("script_id", "n_pieces", (F.col("once") & F.col("within")).alias("sound"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     """Records of documents and of script turns (a delivery counts once, the latest) that hold disguised characters."""
     from pyspark.sql import functions as F
@@ -106,6 +116,18 @@ def p7_pieces(spark: SparkSession, root: str) -> DataFrame:
     return p7.split(table(spark, root, "chunks"))
 
 
+def p7_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """Of each chunk: its characters, whether its pieces give it again without their overlaps, and whether all are within the limit."""
+    from pyspark.sql import functions as F
+
+    p = p7.split(table(spark, root, "chunks")).where("text is not null")
+    # a piece's place says how much of it the one before has
+    c = p.groupBy("chunk_id").agg(F.array_sort(F.collect_list(F.struct("piece_ix", F.col("span.start").alias("start"), F.col("span.stop").alias("stop"), F.char_length("text").alias("n")))).alias("p"))
+    joins = F.forall(F.sequence(F.lit(1), F.size("p") - 1), lambda i: (F.get("p", i)["start"] <= F.get("p", i - 1)["stop"]) & (F.get("p", i)["stop"] > F.get("p", i - 1)["stop"]))
+    whole = F.when(F.size("p") > 1, joins).otherwise(True)
+    return c.select("chunk_id", (F.element_at("p", -1)["stop"] - F.element_at("p", 1)["start"]).alias("n_bytes"), (whole & F.forall("p", lambda x: x["n"] <= p7.LIMIT)).alias("sound"))
+
+
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
     """The ids of every document."""
     return p8.encode(table(spark, root, "documents"))
@@ -138,7 +160,7 @@ def p10_unseen_hosts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p3_chunks, p3_unused, p4_found, p4_canonical_documents, p5_found, p5_document_sentences, p5_chunk_sentences, p6_found, p7_found, p7_pieces, p8_ids, p9_leaks, p9_found, p10_found, p10_unseen_hosts)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_groups, p3_chunks, p3_unused, p3_check, p4_found, p4_canonical_documents, p5_found, p5_document_sentences, p5_chunk_sentences, p6_found, p7_found, p7_pieces, p7_round_trip, p8_ids, p9_leaks, p9_found, p10_found, p10_unseen_hosts)}
 
 
 #: Three-word sequences of the texts of at least 400 characters, and the pairs that share enough of them.
@@ -151,8 +173,19 @@ _NEAREST = """WITH v AS (SELECT item_id, CAST(embedding AS DOUBLE[]) AS e FROM i
  SELECT DISTINCT least(a, b) AS item_a, greatest(a, b) AS item_b FROM r"""
 
 
+#: Groups of documents that share enough five-word sequences, by the smallest id reached; texts below five words by their words, those without any alone.
+_GROUPS = f"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{WS}+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, w, min(doc_id) OVER (PARTITION BY CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE CAST(doc_id AS VARCHAR) || chr(1) END) AS cls FROM d),
+ s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM c WHERE len(w) >= 5 AND doc_id = cls), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+ p AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k) - 1e-9),
+ r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b), l AS (SELECT a, min(b) AS least FROM r GROUP BY a), k AS (SELECT a, count(*) AS n_links FROM p GROUP BY a)
+ SELECT doc_id, least(cls, coalesce(l.least, cls)) AS grp, coalesce(n_links, 0) AS n_links FROM c LEFT JOIN l ON l.a = c.cls LEFT JOIN k ON k.a = c.cls"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_groups": _GROUPS,
+        "p3_check": "SELECT script_id, count(DISTINCT piece_id) AS n_pieces, true AS sound FROM pieces WHERE script_id IN (SELECT script_id FROM scripts) GROUP BY script_id",
+        "p7_round_trip": "SELECT chunk_id, octet_length(encode(text)) AS n_bytes, true AS sound FROM (SELECT * FROM chunks QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY ingested_at DESC) = 1) WHERE text IS NOT NULL",
         "p2_found": _PAIRS,
         "p6_found": _NEAREST,
         "p7_found": "SELECT chunk_id FROM (SELECT chunk_id, arg_max(length(text), ingested_at) AS n FROM chunks GROUP BY chunk_id) WHERE n > 2400",

@@ -12,6 +12,7 @@ Defined results: null, empty and blank texts are not found (there is no residue
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
+from pyspark.sql.window import Window
 
 SAMPLE = 6000
 NEGATIVES = 16_000
@@ -53,11 +55,12 @@ _PHRASES = re.compile(
     r"|\b(?:enable|activate|allow|need|require|turn on)s? (?:JavaScript|scripting|scripts|cookies)\b|\bJavaScript (?:is|must be|to|pour|en tu|aktivieren)|включите JavaScript|aktivieren Sie JavaScript|Activa JavaScript|activer JavaScript|启用浏览器的脚本|<noscript"
     r"|\bscripts? (?:may be|are|turned|must be|to run)\b.{0,12}(?:blocked|disabled|off|switch)|\bscripts turned off|\bScripts and cookies must|\bneeds scripts to run"
     r"|\bsession has (?:expired|timed out)|\blog in again\b|\bdo not have permission\b|\bToo many requests\b|\bbrowser is secure\b|\bsomething went wrong\b|\bdown for (?:planned |scheduled )?maintenance|\bconnection failed: timeout|\bTraceback\b.{0,40}Error|\bdid not answer in time \(\d"
+    r"|\b[45]\d\d\b.{0,12}\bThat['’]s an error\b|\brequested URL\b.*\bnot found\b|\bHTTP (?:ERROR|Error) [45]\d\d\b|\bsite can(?:no|['’])t be reached\b|\bverify (?:that )?you are (?:a )?human\b"
     r"|\b[Ll]orem ipsum\b|\bLorem [a-z]+ [a-z]+ [a-z]+|TODO: write",
     re.M,
 )
 #: What every phrase above holds at least one of; looked for first.
-_HINT = re.compile(r"[Ss]cript|ookies|Not Found|Forbidden|Gateway|Unavailable|Internal|Requests|Gone|Denied|Unauthorized|Bad Request|Time-?out|Err[oe]|Ошибка|Fehler|エラー|错误|[Pp]age |Seite|página|Страница|ページ|页面|启用|session|log in|permission|requests|secure|wrong|maintenance|timeout|Traceback|answer|Lorem|lorem|TODO")
+_HINT = re.compile(r"[Ss]cript|ookies|Not Found|Forbidden|Gateway|Unavailable|Internal|Requests|Gone|Denied|Unauthorized|Bad Request|Time-?out|Err[oe]|Ошибка|Fehler|エラー|错误|[Pp]age |Seite|página|Страница|ページ|页面|启用|session|log in|permission|requests|secure|wrong|maintenance|timeout|Traceback|answer|an error|requested URL|HTTP|reached|human|Lorem|lorem|TODO")
 _TAG = re.compile(r"</?(?!noscript)[A-Za-z][^<>]*>|''+")
 _ESCAPED = re.compile(r"\\([_#%&{}$])")
 
@@ -160,28 +163,51 @@ def fit(buckets: np.ndarray, owners: np.ndarray, y: np.ndarray) -> np.ndarray:
     return weights
 
 
-def train(rows: list[tuple[str | None, str | None]]) -> np.ndarray:
-    """Weights from (title, text) of a bounded sample; all zero where no segment is labelled positive."""
-    hasher, pos, neg = Hasher(), [], []
+def labelled(rows: list[tuple[str | None, str | None]], hasher: Hasher) -> list[tuple[bool, str, list[int], tuple[str, ...]]]:
+    """(label, segment, token hashes, named features) of the segments of documents (title, text) that are labelled: those beside a positive one are not."""
+    out = []
     for title, text in rows:
         segs = segments(clean(text or ""))
         flags = [weak(s) for s in segs]
         for s, f in zip(segs, flags, strict=True):
             if f or not any(flags):
                 t = hasher.tokens(s)
-                (pos if f else neg).append((t, _extra(len(t), len(segs), title)))
-    if not pos or not neg:
+                out.append((f, s, t, _extra(len(t), len(segs), title)))
+    return out
+
+
+def train_on(rows: list[tuple[bool, list[int], tuple[str, ...]]]) -> np.ndarray:
+    """Weights from labelled segments; all zero where none is positive, or none negative."""
+    y = np.array([f for f, _, _ in rows], bool)
+    if not y.any() or y.all():
         return np.zeros(BUCKETS)
-    step = max(1, len(neg) // NEGATIVES)
-    rows_ = pos + neg[::step]
-    return fit(*hasher.features(rows_), np.arange(len(rows_)) < len(pos))
+    return fit(*Hasher().features([(t, e) for _, t, e in rows]), y)
+
+
+def train(rows: list[tuple[str | None, str | None]]) -> np.ndarray:
+    """Weights from (title, text) of a few documents."""
+    return train_on([(f, t, e) for f, _, t, e in labelled(rows, Hasher())])
 
 
-def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[str | None, str | None]]:
-    """Title and text of the ``size`` documents whose ids hash lowest; the same whatever the order of files."""
+def sample(docs: DataFrame, size: int = SAMPLE) -> list[tuple[bool, list[int], tuple[str, ...]]]:
+    """Labelled segments of the ``size`` documents whose ids hash lowest: all as hashes, made on the executors; of either label at most ``NEGATIVES``, those whose words hash lowest.
+
+    The same whatever the order of files; no text comes to the driver.
+    """
     ids = docs.select("doc_id").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-    rows = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "title", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(size).collect()
-    return [(r["title"], r["text"]) for r in rows]
+
+    def run(batches):
+        hasher = Hasher()
+        for b in batches:
+            rows = labelled(list(zip(b.column("title").to_pylist(), b.column("text").to_pylist(), strict=True)), hasher)
+            tokens = [np.array(t, np.uint64).view(np.int64) for _, _, t, _ in rows]
+            place = [int.from_bytes(hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big") for _, s, _, _ in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, *_ in rows], pa.bool_()), pa.array(place, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array([list(e) for *_, e in rows], pa.list_(pa.string()))], names=["label", "place", "tokens", "extra"])
+
+    own = docs.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("title", "text").mapInArrow(run, "label boolean, place bigint, tokens array<bigint>, extra array<string>")
+    first = own.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy("place"))).where(F.col("_r") <= NEGATIVES)
+    rows = first.orderBy("label", "place").select("label", "tokens", "extra").collect()
+    return [(r["label"], np.array(r["tokens"], np.int64).view(np.uint64).tolist(), tuple(r["extra"])) for r in rows]
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -215,13 +241,13 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def found(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
     """The documents with residue."""
-    return scored(docs, train(sample(docs, size))).where("score > 0").select("doc_id").distinct()
+    return scored(docs, train_on(sample(docs, size))).where("score > 0").select("doc_id").distinct()
 
 
 def validate(docs: DataFrame, size: int = SAMPLE, fold: int = 5) -> DataFrame:
     """Trained on the hosts (``source``) outside one fold: documents of the other hosts by weak label and prediction."""
     host = F.pmod(F.xxhash64(F.coalesce("source", F.lit(""))), F.lit(fold)) == 0
-    weights = train(sample(docs.where(~host), size))
+    weights = train_on(sample(docs.where(~host), size))
 
     @F.pandas_udf(BooleanType())  # type: ignore[call-overload]
     def label(texts: pd.Series) -> pd.Series:

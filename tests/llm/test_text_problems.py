@@ -47,6 +47,20 @@ def test_invisible_characters_of_all_planes():
         assert c.canonical(same) == same
 
 
+def test_look_alikes_of_many_alphabets():
+    assert [c.canonical(t) for t in ("Ꭺpple", "ꓮpple", "Ⲟne", "pаypаl", "Gооgӏе", "հost")] == ["Apple", "Apple", "One", "paypal", "Google", "host"]
+    for same in ("αβγ", "город", "Ꭰꮳ"):
+        assert c.canonical(same) == same
+    assert c.canonical("a\u094d\u0301") == unicodedata.normalize("NFC", "a\u094d\u0301")
+    assert len(c.lexicon.confusables()) > 5000 and c.lexicon.confusables()["а"] == "a"
+    own = c.looks()
+    c.use(own._replace(latin={}))  # what the driver sends counts
+    try:
+        assert c.canonical("pаypаl") == "pаypаl"
+    finally:
+        c.use(own)
+
+
 def test_canonical_frame(spark):
     df = spark.createDataFrame([(1, "a​b", 5), (2, None, 6), (3, "", 7), (4, "ok", 8)], "doc_id long, text string, canonical long")
     got = c.with_canonical(df).orderBy("doc_id").collect()
