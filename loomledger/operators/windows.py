@@ -23,7 +23,7 @@ def sentence_spans(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
             for k, t in enumerate(b.column(1).to_pylist()):
                 if not t:
                     continue
-                places = _byte_places(t)
+                places = byte_places(t)
                 for i, words in enumerate(sentence_words(t)):
                     a, z = words[0][0], words[-1][1]
                     at.append(k)
@@ -74,7 +74,7 @@ def premises(text: str, settings: Settings = DEFAULT) -> list[tuple[int, int, in
     return out
 
 
-def _byte_places(text: str) -> np.ndarray:
+def byte_places(text: str) -> np.ndarray:
     """The byte at which each character begins, and the length, in UTF-8."""
     if text.isascii():
         return np.arange(len(text) + 1)
@@ -99,7 +99,7 @@ def windows(chunks: DataFrame, key: str = "chunk_id", text: str = "text", settin
             for k, t in enumerate(b.column(1).to_pylist()):
                 if not t:
                     continue
-                places = _byte_places(t)
+                places = byte_places(t)
                 for first, n, s, premise, a, z, whole in premises(t, settings):
                     rows.append((first, n, s, premise, int(places[a]), int(places[z]), whole))
                     at.append(k)
