@@ -92,21 +92,21 @@ def parts(pieces: DataFrame, turns: DataFrame, scripts: DataFrame, backends: Dat
     rows = p.join(t, ["script_id", "turn"], "left").select("script_id", "piece_id", "turn", "beat", "start", "stop", sliced.alias("raw")).join(room, "script_id")
 
     def run(batches):
-        names = ["script_id", "piece_id", "part", "turn", "beat", "start", "stop", "words", "room"]
         for b in batches:
-            out = {n: [] for n in names}
-            for r in b.to_pylist():
-                w = word_ends(r["raw"]) if r["raw"] else []
-                room = r["room"]
+            at, part, first, last, size = [], [], [], [], []
+            for row, (raw, start, stop, room) in enumerate(zip(*(b.column(c).to_pylist() for c in ("raw", "start", "stop", "room")), strict=True)):
+                w = word_ends(raw) if raw else []
                 n = max(1, -(-len(w) // room))
                 for k in range(n):
                     own = w[k * room : (k + 1) * room]
-                    first = r["start"] if k == 0 else r["start"] + own[0][0]
-                    last = r["stop"] if k == n - 1 else r["start"] + w[(k + 1) * room][0]
-                    for name, v in zip(names, (r["script_id"], r["piece_id"], k, r["turn"], r["beat"], first, last, max(1, len(own)), room), strict=True):
-                        out[name].append(v)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], ty) for n, ty in zip(names, types, strict=True)], names=names)
+                    at.append(row)
+                    part.append(k)
+                    first.append(start if k == 0 else start + own[0][0])
+                    last.append(stop if k == n - 1 else start + w[(k + 1) * room][0])
+                    size.append(max(1, len(own)))
+            rows_ = pa.array(at, pa.int64())
+            same = {c: b.column(c).take(rows_) for c in ("script_id", "piece_id", "turn", "beat", "room")}
+            yield pa.RecordBatch.from_arrays([same["script_id"], same["piece_id"], pa.array(part, pa.int32()), same["turn"], same["beat"], pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(size, pa.int32()), same["room"]], names=["script_id", "piece_id", "part", "turn", "beat", "start", "stop", "words", "room"])
 
     return rows.mapInArrow(run, "script_id bigint, piece_id bigint, part int, turn int, beat int, start bigint, stop bigint, words int, room int")
 

@@ -15,9 +15,11 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomledger.operators.windows import byte_places
 from loomledger.tables import latest
 
 LIMIT = 2400
@@ -87,18 +89,23 @@ def split_rows(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
 
     def run(batches):
         for b in batches:
-            rows = {k: [] for k in ("chunk_id", "piece_ix", "n_pieces", "heading_path", "span", "text", "overlap")}
-            for r in b.to_pylist():
-                text, at = r["text"], (r["span"] or {}).get("start")
+            at, ix, many, first, last, own, over = [], [], [], [], [], [], []
+            for row, text in enumerate(b.column("text").to_pylist()):
                 cut = pieces(text, limit, overlap) if text else [(0, 0, 0)]
-                for k, (a, z, o) in enumerate(cut):
-                    own = text[a:z] if text else text
-                    first = None if at is None else at + len(text[:a].encode()) if a else at
-                    span = None if first is None else {"start": first, "stop": first + len((own or "").encode())}
-                    for c, v in (("chunk_id", r["chunk_id"]), ("piece_ix", k), ("n_pieces", len(cut)), ("heading_path", r["heading_path"]), ("span", span), ("text", own), ("overlap", o)):
-                        rows[c].append(v)
-            types = (pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.struct([("start", pa.int64()), ("stop", pa.int64())]), pa.string(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), types, strict=True)], names=list(rows))
+                places = byte_places(text) if text else [0]
+                for k, (x, y, o) in enumerate(cut):
+                    at.append(row)
+                    ix.append(k)
+                    many.append(len(cut))
+                    first.append(int(places[x]))
+                    last.append(int(places[y]))
+                    own.append(text[x:y] if text else text)
+                    over.append(o)
+            rows = pa.array(at, pa.int64())
+            begin = pa.compute.struct_field(b.column("span"), "start").take(rows)
+            start, stop = (pa.compute.add(begin, pa.array(x, pa.int64())) for x in (first, last))
+            span = pa.StructArray.from_arrays([start, stop], names=["start", "stop"], mask=begin.is_null())
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(rows), pa.array(ix, pa.int32()), pa.array(many, pa.int32()), b.column("heading_path").take(rows), span, pa.array(own, pa.string()), pa.array(over, pa.int32())], names=["chunk_id", "piece_ix", "n_pieces", "heading_path", "span", "text", "overlap"])
 
     return chunks.select("chunk_id", "heading_path", "span", "text").mapInArrow(run, _OUT)
 
