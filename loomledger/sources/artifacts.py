@@ -6,7 +6,6 @@ import hashlib
 import json
 import os
 import re
-import shutil
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomledger.config import SCHEMA_VERSION
+from loomledger.sources.files import files_of
 
 _KEY = re.compile(r"[0-9a-f]{64}")
 
@@ -70,46 +70,58 @@ class StageCache:
         r = df.select(row.alias("a"), other.alias("b")).agg(F.count("*"), F.bit_xor("a"), F.sum(F.col("a") % 1_000_003), F.sum("b")).first()
         return hashlib.sha256((df.schema.json() + repr(tuple(r))).encode()).hexdigest()
 
+    @property
+    def files(self):
+        return files_of(self.root)
+
+    def at(self, key: str) -> str:
+        return f"{self.root.rstrip('/')}/{key[:2]}/{key}"
+
     def path(self, key: str) -> Path:
-        return Path(self.root) / key[:2] / key
+        """An entry's folder on a mounted file system."""
+        return Path(self.at(key).removeprefix("file://"))
 
     def cached(self, stage: str, version: int, inputs: list[DataFrame], run: Callable[[], DataFrame], config: object = None, reusable: Callable[[DataFrame], bool] | None = None) -> DataFrame:
         began = perf_counter()
         key = self.key(stage, version, [self.fingerprint(d) for d in inputs], config)
-        path = self.path(key)
-        spark = inputs[0].sparkSession
-        if (path / "_SUCCESS").exists():
+        at, spark, files = self.at(key), inputs[0].sparkSession, self.files
+        if files.exists(f"{at}/_SUCCESS"):
             try:
-                df = spark.read.parquet(str(path))
+                df = spark.read.parquet(at)
                 if reusable is None or reusable(df):
                     self.records.append((stage, key, True, perf_counter() - began))
                     return df
             except Exception:  # noqa: BLE001 - whatever cannot be read is a miss
                 pass
-        part = path.with_name(f".{key}.{uuid.uuid4().hex}")
-        run().write.parquet(str(part))
-        (part / "_STAGE").write_text(stage)
-        shutil.rmtree(path, ignore_errors=True)
-        part.rename(path)
+        part = f"{self.root.rstrip('/')}/{key[:2]}/.{key}.{uuid.uuid4().hex}"
+        run().write.parquet(part)
+        files.write_text(f"{part}/_STAGE", stage)
+        if files.exists(at):
+            files.delete(at)
+        files.rename(part, at)
         self.records.append((stage, key, False, perf_counter() - began))
-        return spark.read.parquet(str(path))
+        return spark.read.parquet(at)
 
     def entries(self) -> list[tuple[str, int]]:
         """(key, bytes) of everything shaped like an entry."""
         out = []
-        for p in Path(self.root).glob("??/*"):
-            if _KEY.fullmatch(p.name) and p.parent.name == p.name[:2]:
-                out.append((p.name, sum(f.stat().st_size for f in p.rglob("*") if f.is_file())))
+        for short in self.files.children(self.root):
+            if len(short) == 2:
+                for name in self.files.children(f"{self.root}/{short}"):
+                    if _KEY.fullmatch(name) and name[:2] == short:
+                        out.append((name, self.files.size(f"{self.root}/{short}/{name}")))
         return sorted(out)
 
     def stats(self) -> dict[str, object]:
         """Entries and bytes, of all and by kind: stages by their name, and blobs kept under the same root."""
         kinds: dict[str, list[int]] = {}
         for key, n in self.entries():
-            note = self.path(key) / "_STAGE"
-            kinds.setdefault(note.read_text() if note.exists() else "stage", []).append(n)
-        for p in Path(self.root).glob("??/*.bin"):
-            kinds.setdefault("blob", []).append(p.stat().st_size)
+            note = f"{self.at(key)}/_STAGE"
+            kinds.setdefault(self.files.read_text(note) if self.files.exists(note) else "stage", []).append(n)
+        for short in self.files.children(self.root):
+            for name in self.files.children(f"{self.root}/{short}") if len(short) == 2 else ():
+                if name.endswith(".bin"):
+                    kinds.setdefault("blob", []).append(self.files.size(f"{self.root}/{short}/{name}"))
         by = {k: {"entries": len(v), "bytes": sum(v)} for k, v in sorted(kinds.items())}
         return {"entries": sum(v["entries"] for v in by.values()), "bytes": sum(v["bytes"] for v in by.values()), "kinds": by}
 
@@ -117,7 +129,7 @@ class StageCache:
         """Deletes only what is shaped like an entry; other files stay."""
         e = self.entries()
         for key, _ in e:
-            shutil.rmtree(self.path(key))
+            self.files.delete(self.at(key))
         return len(e)
 
 

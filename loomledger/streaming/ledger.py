@@ -1,54 +1,66 @@
 """A ledger that grows with a stream of evidence: late and repeated rows change nothing but what they must.
 
 Evidence rows (claim_id, chunk, independence_group, stance, at) arrive in any order, some twice and some weeks late. Each batch's different rows are merged into a table of
-distinct evidence, bucketed by claim; only the claims of the batch are classified again. Merging a set is idempotent, so a batch that is delivered again after a
+distinct evidence, bucketed by claim; only the buckets of the batch's claims are written again. Merging a set is idempotent, so a batch that is delivered again after a
 failure leaves the same table.
 """
 
 from __future__ import annotations
 
-import shutil
-from pathlib import Path
+import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomledger.functions.text import fold_group
 from loomledger.operators.ledger import classify
+from loomledger.sources.files import files_of
 
-KEY = ["claim_id", "chunk", "independence_group", "stance"]
+_EVIDENCE = "claim_id string, chunk string, independence_group string, stance string"
 
 
 class LedgerTable:
-    """Distinct evidence by bucket of claim id, as Parquet folders that are replaced bucket by bucket."""
+    """Distinct evidence by bucket of claim id. A merge writes the buckets it touches in one job, and a manifest then says which folder holds each bucket.
+
+    Whoever reads while a batch is merged reads the tables of the manifest before it. The number of buckets is chosen when the table is made, for its expected size: a bucket is what one
+    task rewrites (a few hundred MB).
+    """
 
     def __init__(self, root: str, buckets: int = 64):
-        self.root, self.buckets = Path(root), buckets
+        self.root, self.files = str(root).rstrip("/"), files_of(str(root))
+        known = self._manifest()
+        self.buckets = known["buckets"] if known else buckets
+
+    def _manifest(self) -> dict:
+        at = f"{self.root}/manifest.json"
+        return json.loads(self.files.read_text(at)) if self.files.exists(at) else {}
+
+    def _folders(self, buckets: set[int] | None = None) -> list[str]:
+        held = self._manifest().get("held", {})
+        return [f"{self.root}/{v}/bucket={b}" for b, v in sorted(held.items()) if buckets is None or int(b) in buckets]
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        parts = [str(p) for p in sorted(self.root.glob("bucket=*/v=*"))]
-        if not parts:
-            return spark.createDataFrame([], "claim_id string, chunk string, independence_group string, stance string")
-        return spark.read.parquet(*parts)
+    def read(self, spark: SparkSession, buckets: set[int] | None = None) -> DataFrame:
+        parts = self._folders(buckets)
+        return spark.read.schema(_EVIDENCE).parquet(*parts) if parts else spark.createDataFrame([], _EVIDENCE)
 
     def merge(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.select("claim_id", "chunk", fold_group("independence_group").alias("independence_group"), "stance").where("claim_id is not null and stance in ('supports', 'contradicts')").distinct()
-        new = new.withColumn("bucket", F.pmod(F.xxhash64("claim_id"), F.lit(self.buckets))).persist()
+        number = F.pmod(F.xxhash64("claim_id"), F.lit(self.buckets)).cast("int").alias("bucket")
+        new = new.select("*", number).persist()
         try:
-            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most ``buckets`` rows
-            for b in touched:
-                old = sorted(self.root.glob(f"bucket={b}/v=*"))
-                own = new.where(F.col("bucket") == b).drop("bucket")
-                whole = own if not old else own.unionByName(spark.read.parquet(*map(str, old))).distinct()
-                target = self.root / f"bucket={b}" / f"v={epoch}"
-                part = self.root / f"bucket={b}" / f".v={epoch}"
-                whole.write.mode("overwrite").parquet(str(part))
-                shutil.rmtree(target, ignore_errors=True)
-                part.rename(target)
-                for o in old:
-                    if o != target:
-                        shutil.rmtree(o)
+            touched = {r["bucket"] for r in new.select("bucket").distinct().collect()}  # at most ``buckets`` rows
+            if not touched:
+                return
+            whole = new.unionByName(self.read(spark, touched).select("*", number)).distinct()
+            version = f"v-{epoch}-{uuid.uuid4().hex[:12]}"
+            whole.repartition("bucket").write.partitionBy("bucket").parquet(f"{self.root}/{version}")
+            before = self._folders(touched)
+            held = self._manifest().get("held", {}) | {str(b): version for b in touched}
+            self.files.write_text(f"{self.root}/manifest.json", json.dumps({"buckets": self.buckets, "held": held}))
+            for folder in before:
+                self.files.delete(folder)
         finally:
             new.unpersist()
 

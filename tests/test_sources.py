@@ -4,7 +4,7 @@ import urllib.error
 
 import pytest
 
-from loomledger.sources import artifacts, documents, providers
+from loomledger.sources import artifacts, documents, files, providers
 
 
 def test_local_files(spark, tmp_path):
@@ -44,7 +44,7 @@ def test_cache(spark, tmp_path):
     assert len(calls) == 1 and [h for _, _, h, _ in cache.records] == [False, True, True]
     cache.cached("s", 2, [df], run)
     cache.cached("s", 1, [df.limit(1)], run)
-    assert len(calls) == 3 and cache.stats()["entries"] == 3
+    assert len(calls) == 3 and cache.stats()["entries"] == 3 and cache.stats()["kinds"]["s"]["entries"] == 3
     (tmp_path / "c" / "keep.txt").write_text("x")
     key = cache.records[0][1]
     (cache.path(key) / "_SUCCESS").unlink()
@@ -52,6 +52,25 @@ def test_cache(spark, tmp_path):
     assert len(calls) == 4 and cache.clear() == 3 and (tmp_path / "c" / "keep.txt").exists()
 
 
+def test_files_by_scheme(spark, tmp_path):
+    for f, root in ((files.Local(), str(tmp_path / "a")), (files.Hadoop(), f"file://{tmp_path}/b")):
+        assert not f.exists(f"{root}/x/y.txt")
+        f.write_text(f"{root}/x/y.txt", "größer")
+        f.write_text(f"{root}/x/y.txt", "größer!")
+        f.rename(f"{root}/x/y.txt", f"{root}/z/w.txt")
+        assert f.read_text(f"{root}/z/w.txt") == "größer!" and f.children(f"{root}/z") in (["w.txt"], [".w.txt.crc", "w.txt"]) and f.size(f"{root}/z") >= 9 and f.children(f"{root}/none") == []
+        f.delete(f"{root}/z")
+        assert not f.exists(f"{root}/z")
+    assert isinstance(files.files_of("s3a://b/c"), files.Hadoop) and isinstance(files.files_of("/x"), files.Local) and isinstance(files.files_of("file:///x"), files.Local)
+
+
+def test_settled_tables_are_swept(spark):
+    from loomledger import tables
+
+    df = tables.settle(spark.range(5).toDF("k"), "swept")
+    assert df.count() == 5 and tables.sweep(spark) >= 1 and tables.sweep(spark) == 0
+
+
 def test_blobs_and_artifacts(spark, tmp_path):
     store = artifacts.BlobStore(str(tmp_path))
     key = store.put(b"abc")
