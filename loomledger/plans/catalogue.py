@@ -48,9 +48,23 @@ def shared_document_ids(spark, root):
     return prepare.shared_ids(table(spark, root, "documents").select(F.floor(F.col("doc_id") / 2).alias("doc_id"), "source_ref"))
 
 
-@query()
+#: Lines with their byte places, the state of the fence behind each, and what each is to a chunk: 0 blank, 1 text, 2 heading; then one fold for the chunks.
+_LINES = rf"""WITH l0 AS (SELECT doc_id, i, ls[i] AS line, CAST(coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: octet_length(encode(x)) + 1)), 0) AS BIGINT) AS at_ FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
+ l1 AS (SELECT *, regexp_replace(line, '{text.WS}+$', '') AS body FROM l0), l2 AS (SELECT *, regexp_replace(body, '^{text.WS}+', '') AS bare FROM l1),
+ f AS (SELECT doc_id, list_reduce(list_transform(list(left(bare, 3) ORDER BY i), lambda m: [m]), lambda acc, x: list_append(acc, CASE WHEN x[1] NOT IN ('```', '~~~') THEN acc[-1] WHEN acc[-1] = '' THEN x[1] WHEN acc[-1] = x[1] THEN '' ELSE acc[-1] END), ['']) AS fence FROM l2 GROUP BY doc_id),
+ l3 AS (SELECT l2.*, CASE WHEN f.fence[i + 1] = '' AND regexp_matches(body, '^#{{1,6}} ') THEN 2 WHEN bare = '' THEN 0 ELSE 1 END AS k FROM l2 JOIN f USING (doc_id)),
+ l4 AS (SELECT doc_id, i, k, body, at_ + octet_length(encode(body)) - octet_length(encode(bare)) AS a, at_ + octet_length(encode(body)) AS z, CAST(len({sql.words('body')}) AS BIGINT) AS w FROM l3),
+ h AS (SELECT doc_id, list({{i: i, level: length(regexp_extract(body, '^(#+) ', 1)), title: {sql.trim("regexp_replace(body, '^#+ ', '')")}}} ORDER BY i) AS hs FROM l4 WHERE k = 2 GROUP BY doc_id),
+ c AS (SELECT doc_id, list_reduce(list({{k: k, a: a, z: z, w: w, f: i, done: CAST([] AS STRUCT(a BIGINT, z BIGINT, f BIGINT)[])}} ORDER BY i), lambda s, x: CASE WHEN x.k <> 1 AND s.a >= 0 AND (x.k = 2 OR s.w >= 800) THEN {{k: 0, a: CAST(-1 AS BIGINT), z: CAST(0 AS BIGINT), w: CAST(0 AS BIGINT), f: CAST(0 AS BIGINT), done: list_append(s.done, {{a: s.a, z: s.z, f: s.f}})}}
+  WHEN x.k = 1 THEN {{k: 0, a: CASE WHEN s.a < 0 THEN x.a ELSE s.a END, z: x.z, w: s.w + x.w, f: CASE WHEN s.a < 0 THEN x.f ELSE s.f END, done: s.done}} ELSE s END, {{k: 0, a: CAST(-1 AS BIGINT), z: CAST(0 AS BIGINT), w: CAST(0 AS BIGINT), f: CAST(0 AS BIGINT), done: CAST([] AS STRUCT(a BIGINT, z BIGINT, f BIGINT)[])}}) AS s FROM l4 GROUP BY doc_id),
+ o AS (SELECT doc_id, CASE WHEN s.a >= 0 THEN list_append(s.done, {{a: s.a, z: s.z, f: s.f}}) ELSE s.done END AS cs FROM c)"""
+
+
+@query(f"""{_LINES} SELECT u.doc_id, CAST(ix AS INTEGER) AS chunk_ix, p.a AS start, p.z AS stop, coalesce(array_to_string(list_transform(list_sort(list_transform(list_filter(hs, lambda x: x.i < p.f AND len(list_filter(hs, lambda y: y.i > x.i AND y.i < p.f AND y.level <= x.level)) = 0), lambda x: {{l: x.level, t: x.title}})), lambda x: x.t), '|'), '') AS path, sha256(decode(encode(d.text)[p.a + 1:p.z])) AS digest
+ FROM (SELECT doc_id, generate_subscripts(cs, 1) - 1 AS ix, unnest(cs) AS p FROM o) u JOIN documents d USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def chunk_documents(spark, root):
-    return prepare.chunk_documents(table(spark, root, "documents")).withColumn("chunk_id", prepare.chunk_id("doc_id", F.col("span.start"), F.col("span.stop")))
+    c = prepare.chunk_documents(table(spark, root, "documents"))
+    return c.select("doc_id", "chunk_ix", "span.start", "span.stop", bar("heading_path").alias("path"), F.sha2("text", 256).alias("digest"))
 
 
 @query(f"SELECT c.doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE decode(encode(d.text)[c.span.start + 1:c.span.stop]) = c.text) AS n_exact FROM {_CH} c JOIN documents d USING (doc_id) WHERE d.text IS NOT NULL GROUP BY c.doc_id")
@@ -347,16 +361,23 @@ def _equivalent(spark, root):
     return cluster.equivalent(cluster.nominated(table(spark, root, "claims").select("claim_id", "text")))
 
 
-@query(f"""WITH c AS (SELECT claim_id, text, {sql.content_words('text')} AS w FROM claims), sl AS (SELECT claim_id, unnest({sql.slots('w')}) AS s FROM c), sc AS (SELECT claim_id, s, count(*) AS n FROM sl GROUP BY ALL), q2 AS (SELECT claim_id, sum(n * n) AS q FROM sc GROUP BY ALL),
+_EQUIVALENT = f"""WITH RECURSIVE c AS (SELECT claim_id, text, {sql.content_words('text')} AS w FROM claims), sl AS (SELECT claim_id, unnest({sql.slots('w')}) AS s FROM c), sc AS (SELECT claim_id, s, count(*) AS n FROM sl GROUP BY ALL), q2 AS (SELECT claim_id, sum(n * n) AS q FROM sc GROUP BY ALL),
  dots AS (SELECT x.claim_id AS a, y.claim_id AS b, sum(x.n * y.n) AS dot FROM sc x JOIN sc y USING (s) WHERE x.claim_id <> y.claim_id GROUP BY ALL), sims AS (SELECT a, b, {sql.per_mille('dot / sqrt(CAST(p.q * r.q AS DOUBLE))')} AS sim_pm FROM dots JOIN q2 p ON p.claim_id = a JOIN q2 r ON r.claim_id = b),
  top AS (SELECT a, b FROM sims WHERE sim_pm >= 800 QUALIFY row_number() OVER (PARTITION BY a ORDER BY sim_pm DESC, b) <= 8), pairs AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b FROM top), both_ AS (SELECT a, b, x.w AS xw, y.w AS yw FROM pairs JOIN c x ON x.claim_id = a JOIN c y ON y.claim_id = b WHERE list_filter(x.w, lambda n_: regexp_matches(n_, '[0-9]')) = list_filter(y.w, lambda n_: regexp_matches(n_, '[0-9]'))),
- f AS (SELECT a, b, {sql.per_mille('entailment')} AS f FROM (SELECT a, b, {sql.nli('p', 'h')} FROM (SELECT a, b, xw AS p_, yw AS h_ FROM both_))), g AS (SELECT a, b, {sql.per_mille('entailment')} AS g FROM (SELECT a, b, {sql.nli('p', 'h')} FROM (SELECT a, b, yw AS p_, xw AS h_ FROM both_)))
- SELECT a, b, least(f, g) AS mutual_pm FROM f JOIN g USING (a, b) WHERE least(f, g) >= 800""")
+ f AS (SELECT a, b, {sql.per_mille('entailment')} AS f FROM (SELECT a, b, {sql.nli('p', 'h')} FROM (SELECT a, b, xw AS p_, yw AS h_ FROM both_))), g AS (SELECT a, b, {sql.per_mille('entailment')} AS g FROM (SELECT a, b, {sql.nli('p', 'h')} FROM (SELECT a, b, yw AS p_, xw AS h_ FROM both_))),
+ eq AS (SELECT a, b, least(f, g) AS mutual_pm FROM f JOIN g USING (a, b) WHERE least(f, g) >= 800)"""
+
+
+@query(f"{_EQUIVALENT} SELECT * FROM eq")
 def equivalent_claims(spark, root):
     return _equivalent(spark, root)
 
 
-@query()
+#: Claims in order; each that is free leads, and takes in those behind it that have an edge to all it has.
+@query(f"""{_EQUIVALENT}, nb AS (SELECT n, list(m ORDER BY m) AS near FROM (SELECT a AS n, b AS m FROM eq UNION ALL SELECT b, a FROM eq) GROUP BY n), all_ AS (SELECT map(list(n), list(near)) AS m FROM nb), od AS (SELECT n, near, row_number() OVER (ORDER BY n) AS i FROM nb),
+ st(i, taken, led) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) UNION ALL SELECT i, CASE WHEN free THEN list_concat(taken, grp) ELSE taken END, CASE WHEN free THEN list_concat(led, list_transform(grp, lambda x: n)) ELSE led END FROM (SELECT od.i, od.n, st.taken, st.led, NOT list_contains(st.taken, od.n) AS free,
+  list_reduce(list_transform(list_filter(od.near, lambda x: x > od.n AND NOT list_contains(st.taken, x)), lambda x: [x]), lambda acc, x: CASE WHEN list_has_all(all_.m[x[1]], acc) THEN list_concat(acc, x) ELSE acc END, [od.n]) AS grp FROM st JOIN od ON od.i = st.i + 1 CROSS JOIN all_))
+ SELECT unnest(taken) AS claim_id, unnest(led) AS lead FROM st WHERE i = (SELECT max(i) FROM st)""")
 def claim_clusters(spark, root):
     return cluster.clusters(_equivalent(spark, root))
 
