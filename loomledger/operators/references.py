@@ -16,9 +16,10 @@ def numbered(chunks: DataFrame) -> DataFrame:
 
     ``chunks``: source_no (the place of the chunk in the request), doc_id, start (its byte in the document), text.
     """
-    spans = sentence_spans(chunks, "source_no").join(chunks.select("source_no", "doc_id", F.col("start").alias("_at")), "source_no")
-    place = F.struct((F.col("_at") + F.col("start")).alias("start"), (F.col("_at") + F.col("stop")).alias("stop"))
-    return spans.select("source_no", F.col("sent_ix").alias("sent_no"), "doc_id", "sentence", place.alias("span"), quotations("sentence").alias("quoted"))
+    # what a sentence needs of its chunk travels with it, so nothing is joined
+    spans = sentence_spans(chunks.select(F.struct("source_no", "doc_id", F.col("start").alias("at")).alias("_k"), "text"), "_k")
+    place = F.struct((F.col("_k.at") + F.col("start")).alias("start"), (F.col("_k.at") + F.col("stop")).alias("stop"))
+    return spans.select("_k.source_no", F.col("sent_ix").alias("sent_no"), "_k.doc_id", "sentence", place.alias("span"), quotations("sentence").alias("quoted"))
 
 
 def resolve(refs: DataFrame, sources: DataFrame) -> DataFrame:

@@ -20,14 +20,16 @@ def table(spark: SparkSession, root: str, name: str, spread: bool = True) -> Dat
     return _spread(df) if spread else df
 
 
-#: A table above this size in fewer files than there are cores is spread over them after the scan.
+#: A table from this size on, in fewer files than there are cores, is spread over them after the scan, unless its files are larger than a row group: those are read in parts.
 SPREAD_BYTES = 1 << 20
+ROW_GROUP = 1 << 27
 
 
 def _spread(df: DataFrame) -> DataFrame:
     """A small table often is one row group, which one task would read and work on alone; tables of many files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD_BYTES:
+    files, size = len(df.inputFiles()), int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if files >= cores or size < SPREAD_BYTES or size > files * ROW_GROUP:
         return df
     return df.repartition(cores)
 
