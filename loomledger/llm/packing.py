@@ -24,7 +24,8 @@ from pyspark.sql.window import Window
 from loomledger.tables import latest, settle
 
 WORDS_A_MINUTE = 150
-SALTS = 32
+#: Parts that the pieces of one length of a script are ranked in: so many at least, and one for each so many rows.
+SALTS, SALT_ROWS = 32, 500_000
 _WORD = re.compile(rb"[^\s]+")
 
 
@@ -127,7 +128,9 @@ def _plan(table: pa.Table) -> pa.Table:
 
 def assign(rows: DataFrame) -> DataFrame:
     """``rows`` (as of ``parts``) with chunk_no."""
-    rows = settle(rows.withColumn("salt", F.pmod(F.hash("piece_id", "part"), F.lit(SALTS))), "p3-parts")
+    rows = settle(rows, "p3-parts")
+    salts = max(SALTS, -(-rows.count() // SALT_ROWS))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("piece_id", "part"), F.lit(salts)))
     counts = rows.groupBy("script_id", "room", "words", "salt").agg(F.count("*").alias("n"))
     plan = counts.groupBy("script_id", "room", "words").agg(F.sum("n").alias("n")).groupBy("script_id").applyInArrow(_plan, "script_id bigint, words int, first bigint, take int, times bigint, chunk bigint")
     kinds = plan.groupBy("script_id", "words").agg(F.collect_list(F.struct("first", "take", "times", "chunk")).alias("kinds"))
