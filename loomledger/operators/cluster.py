@@ -105,18 +105,55 @@ def greedy(members: list[str], edges: set[tuple[str, str]]) -> dict[str, str]:
     return lead
 
 
-def clusters(edges: DataFrame) -> DataFrame:
+#: Edges of a component up to which one task takes it.
+COMPONENT = 1_000_000
+
+
+def clusters(edges: DataFrame, most: int = COMPONENT) -> DataFrame:
     """claim_id and lead of every claim on an edge: complete linkage, so A and C are apart where only B is near both.
 
-    One task takes one connected component of the equivalence graph; its edges are at most eight a claim.
+    A connected component of up to ``most`` edges is one task's; larger ones are taken apart lead by lead (``in_rounds``), with the same result.
     """
     edges = settle(edges.select("a", "b"), "equivalent")
     comp = components(edges)
     with_comp = edges.join(comp.select(F.col("node").alias("a"), "comp"), "a").select("comp", "a", "b")
+    large = settle(with_comp.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > most).select("comp"), "large")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pairs = set(zip(pdf.a, pdf.b, strict=True))
         lead = greedy(sorted({*pdf.a, *pdf.b}), pairs)
         return pd.DataFrame({"claim_id": list(lead), "lead": list(lead.values())})
 
-    return with_comp.groupBy("comp").applyInPandas(run, "claim_id string, lead string")
+    out = with_comp.join(large, "comp", "left_anti").groupBy("comp").applyInPandas(run, "claim_id string, lead string")
+    return out.unionByName(in_rounds(with_comp.join(large, "comp", "left_semi").select("a", "b"))) if large.limit(1).count() else out
+
+
+def in_rounds(edges: DataFrame) -> DataFrame:
+    """The same for a component of any size. A claim that is the least of all within two steps leads now: no lesser one can take it or any of its neighbours.
+
+    All such claims take their clusters in one round, a task for each claim and its neighbours; what they took goes, and claims left without a neighbour lead themselves.
+    """
+    both = settle(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "round")
+    done = None
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["lead"].iloc[0]
+        among = pdf[pdf["m"].notna()]
+        pairs = {(first, n) for n in pdf["n"]} | {(min(n, m), max(n, m)) for n, m in zip(among["n"], among["m"], strict=True)}
+        own = [n for n, lead in greedy(sorted({first, *pdf["n"]}), pairs).items() if lead == first]
+        return pd.DataFrame({"claim_id": own, "lead": first})
+
+    while both.limit(1).count():
+        near = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        far = both.join(near.select(F.col("a").alias("b"), "m"), "b").groupBy("a").agg(F.min("m").alias("far"))
+        leads = near.join(far, "a").where(F.col("a") == F.least("m", "far")).select("a")
+        star = settle(both.join(leads, "a").select(F.col("a").alias("lead"), F.col("b").alias("n")), "star")
+        inner = star.join(both.select(F.col("a").alias("n"), F.col("b").alias("m")), "n").join(star.select("lead", F.col("n").alias("m")), ["lead", "m"])
+        rows = star.select("lead", "n", F.lit(None).cast("string").alias("m")).unionByName(inner.select("lead", "n", "m"))
+        got = settle(rows.groupBy("lead").applyInPandas(run, "claim_id string, lead string"), "got")
+        taken = got.select("claim_id")
+        left = settle(both.join(taken.withColumnRenamed("claim_id", "a"), "a", "left_anti").join(taken.withColumnRenamed("claim_id", "b"), "b", "left_anti").select("a", "b"), "round")
+        alone = both.select("a").distinct().join(taken.withColumnRenamed("claim_id", "a"), "a", "left_anti").join(left.select("a").distinct(), "a", "left_anti").select(F.col("a").alias("claim_id"), F.col("a").alias("lead"))
+        now = got.unionByName(alone)
+        done, both = now if done is None else done.unionByName(now), left
+    return done if done is not None else edges.select(F.col("a").alias("claim_id"), F.col("a").alias("lead")).limit(0)

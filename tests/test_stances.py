@@ -69,6 +69,13 @@ def test_clusters(spark):
     edges = cluster.equivalent(pairs)
     assert [(r.a, r.b, r.mutual_pm) for r in edges.collect()] == [("a1", "b2", 1000)]
     assert {(r.claim_id, r.lead) for r in cluster.clusters(edges).collect()} == {("a1", "a1"), ("b2", "a1")}
+    r = random.Random(8)
+    for n, share in ((14, 0.3), (20, 0.15)):
+        pairs = {(f"m{i:02}", f"m{j:02}") for i in range(n) for j in range(i + 1, n) if r.random() < share}
+        tangle = spark.createDataFrame(sorted(pairs), "a string, b string")
+        want = set(cluster.greedy(sorted({x for p in pairs for x in p}), pairs).items())
+        assert {(x.claim_id, x.lead) for x in cluster.clusters(tangle).collect()} == want == {(x.claim_id, x.lead) for x in cluster.clusters(tangle, most=0).collect()}
+    assert cluster.in_rounds(tangle.limit(0)).count() == 0
     chain = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(20)], "a string, b string")
     assert {r.comp for r in cluster.components(chain).collect()} == {"n00"}
 
