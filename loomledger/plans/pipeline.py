@@ -234,6 +234,8 @@ def run(spark: SparkSession, spec: Spec, cache_root: str) -> Run:
     book = c("ledger", 1, [final], lambda: ledger.classify(final, fold=False))
     verdicts = c("adjudicate", 1, [book], lambda: adjudicate.verdicts(book.where("status = 'contested'"), chunks, docs.withColumnRenamed("id", "doc_id"), models.llm), by("llm"))
     turns = c("script", 1, [book, chunks, docs], lambda: drafted(book, chunks, docs, verdicts, spec.topic, models.llm) if models.llm else write_script(book, chunks, docs, spec.topic), [spec.topic, *by("llm")])
+    if models.llm is not None and hasattr(models.llm, "unload"):
+        models.llm.unload()
     findings = c("analyse", 1, [turns, docs], lambda: analysed(turns, docs, spec.analysers), spec.analysers)
     errors = findings.where("severity = 'error'").count()
     return Run({"documents": docs, "chunks": chunks, "claims": final, "ledger": book, "verdicts": verdicts, "script": turns, "analysis": findings}, cache, bool(errors), {"errors": errors})

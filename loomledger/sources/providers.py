@@ -101,6 +101,8 @@ class HttpLlm:
     hosted: bool = False
     temperature: float | None = None
     max_tokens: int | None = None
+    #: Where a local server is asked to free the model when a run no longer needs it.
+    unload_root: str | None = None
 
     def complete(self, task: str, request: dict, stage_cap: int | None = None) -> str:
         cap = min((c for c in (self.max_tokens, stage_cap) if c is not None), default=None)
@@ -114,8 +116,9 @@ class HttpLlm:
             raise RuntimeError("the reply was cut off")
         return choice["message"]["content"]
 
-    def unload(self, root: str) -> None:
-        post_json(f"{root}/api/generate", {"model": self.model, "keep_alive": 0}, self.key, self.hosted)
+    def unload(self) -> None:
+        if self.unload_root:
+            post_json(f"{self.unload_root}/api/generate", {"model": self.model, "keep_alive": 0}, self.key, self.hosted)
 
 
 @dataclass

@@ -28,29 +28,46 @@ ROW_GROUP = 1 << 27
 def _spread(df: DataFrame) -> DataFrame:
     """A small table often is one row group, which one task would read and work on alone; tables of many files stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    files, size = len(df.inputFiles()), int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files, size = len(df.inputFiles()), size_of(df)
     if files >= cores or size < SPREAD_BYTES or size > files * ROW_GROUP:
         return df
     return df.repartition(cores)
 
 
+#: Bytes of files up to which all rows go through one aggregate, and most bytes of keys that came again which are broadcast.
+ONE_PASS = 1 << 26
+AGAIN = 1 << 24
+
+
 def latest(df: DataFrame, key: str | Sequence[str], order: str = "ingested_at", keep: Sequence[str] | None = None) -> DataFrame:
     """One row a key: the delivery with the greatest ``order``.
 
     Null orders lose against any other; rows that tie on ``order`` are settled by the greatest
     remaining columns, so the result does not depend on file order. Rows whose key is null form one group.
-    Keys are settled first: only they are shuffled to find those that came more than once, and the rows of all others stay where they are. Those that came again go through
-    an aggregate with map-side combine, so a key that holds a third of all rows is reduced before the shuffle.
+    An aggregate with map-side combine, so that a key that holds a third of all rows is reduced before the shuffle. From ``ONE_PASS`` bytes on keys come first: they alone are
+    shuffled to find those that came more than once, and while those are few enough to be broadcast, the rows of all other keys stay where they are. The rows are the same either way.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in (keep or df.columns) if c not in keys]
     rows = df.select(*keys, *rest)
-    again = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+
+    def settled(some: DataFrame) -> DataFrame:
+        best = F.max(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in rest])).alias("_b")
+        return some.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
+
+    if size_of(df) < ONE_PASS:
+        return settled(rows)
+    again = settle(df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "again")
+    if size_of(again) > AGAIN:
+        return settled(rows)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    once = rows.join(again, same, "left_anti")
-    best = F.max(F.struct(F.col(order).alias("_o"), *[F.col(c) for c in rest])).alias("_b")
-    settled = rows.join(again, same, "left_semi").groupBy(*keys).agg(best).select(*keys, *[F.col(f"_b.{c}").alias(c) for c in rest])
-    return once.unionByName(settled)
+    few = F.broadcast(again)  # within ``AGAIN`` bytes
+    return rows.join(few, same, "left_anti").unionByName(settled(rows.join(few, same, "left_semi")))
+
+
+def size_of(df: DataFrame) -> int:
+    """What Spark takes the size of ``df`` to be, in bytes: that of its files, for a table."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

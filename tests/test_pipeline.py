@@ -68,6 +68,13 @@ class Writer:
         return json.dumps({"turns": [{"speaker": "host", "text": "A source says {{quote:0}}", "refs": [{"source": source, "sentence": 0}], "citations": [request["ledger"][0]["claim_id"]]}]})
 
 
+    def unload(self):
+        UNLOADED.append(self.tries)
+
+
+UNLOADED: list[int] = []
+
+
 class Vectors:
     def embed(self, texts):
         return [[1.0, len(t) % 7, t.count("explosion")] for t in texts]
@@ -89,6 +96,7 @@ def test_a_named_model_answers(spark, tmp_path, monkeypatch):
     assert {x.explanation for x in r.frames["verdicts"].collect()} == {"Both stand."}
     (turn,) = r.frames["script"].collect()
     assert turn.text == "A source says “The great explosion happened in June 1908.”" and len(turn.quotes) == 1 and not r.failed and r.counts == {"errors": 0}
+    assert UNLOADED
     assert all(x.basis.kind == "nli" for c in r.frames["claims"].collect() for x in c.evidence if x.stance == "contradicts")
 
 

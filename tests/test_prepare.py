@@ -55,3 +55,16 @@ def test_windows(spark):
     assert all(raw[r.start : r.stop].decode() == r.premise for r in b)
     spans = windows.sentence_spans(df.where("text is not null"), "chunk_id").where("chunk_id = 'a'").orderBy("sent_ix").collect()
     assert [(r.sentence, r.start, r.stop) for r in spans] == [("Öne two.", 0, 9), ("Three!", 10, 16), ("Four", 18, 22)]
+
+
+def test_latest_either_way(spark, monkeypatch):
+    from loomledger import tables
+
+    rows = [("a", 1, "x"), ("a", 2, "y"), ("a", None, "z"), ("b", 1, None), ("c", 5, "p"), ("c", 5, "q"), ("c", 5, "q"), (None, 1, "n"), (None, 3, "m")]
+    df = spark.createDataFrame(rows, "k string, ingested_at int, t string").repartition(3)
+    want = {("a", 2, "y"), ("b", 1, None), ("c", 5, "q"), (None, 3, "m")}
+    for one_pass, again in ((1 << 40, 1 << 24), (0, 1 << 40), (0, 0)):
+        monkeypatch.setattr(tables, "ONE_PASS", one_pass)
+        monkeypatch.setattr(tables, "AGAIN", again)
+        got = [(r.k, r.ingested_at, r.t) for r in tables.latest(df, "k").collect()]
+        assert set(got) == want and len(got) == 4
