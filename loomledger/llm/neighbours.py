@@ -34,7 +34,7 @@ from loomledger.tables import settle
 K = 5
 DIMS = 64
 CURVES = 12
-BLOCK = 1024
+BLOCK = 2048
 ROUNDS = 1
 #: Candidates kept of each vector, and those it is sent to for a round.
 KEEP = 10
