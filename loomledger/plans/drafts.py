@@ -156,3 +156,21 @@ def usable_claims(spark, root):
 @query(f"SELECT chunk_id, count(*) AS n FROM (WITH text_rows AS (SELECT chunk_id AS k, text AS t FROM {_CH}), {sql.SPANS} SELECT k AS chunk_id FROM spans) GROUP BY chunk_id")
 def sentences_of_chunks(spark, root):
     return windows.sentence_spans(chunks_of(spark, root), "chunk_id").groupBy("chunk_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH r AS (SELECT script_id, turn, quotes, row_number() OVER (PARTITION BY script_id ORDER BY turn) AS r, count(*) OVER (PARTITION BY script_id) AS n, min(turn) OVER (PARTITION BY script_id) AS first_ FROM {_TU})
+ SELECT script_id, turn, CASE WHEN r = n THEN 'transition' WHEN r = 1 THEN CASE WHEN len(quotes) > 0 THEN 'quote_reading' ELSE 'narration' END WHEN r = 2 THEN 'banter' END AS mark, CASE WHEN r = n THEN 'long_pause' WHEN r = 2 THEN 'quick' ELSE 'normal' END AS pace, CAST(CASE WHEN r = 2 AND n > 2 THEN 1 ELSE 0 END AS INTEGER) AS n_sounds, CASE WHEN r = n THEN first_ END AS callback_to FROM r""")
+def directed_scripts(spark, root):
+    """The directions of the stand-in writer for every script."""
+    d = script.directed(turns_of(spark, root).select("script_id", "turn", "quotes"))
+    return d.select("script_id", "turn", "mark", "pace", F.size("sounds").alias("n_sounds"), "callback_to")
+
+
+@query(f"""WITH t AS (SELECT p.script_id, p.chunk_no, list_distinct(list_transform(p.pieces, lambda x: x.turn)) AS turns FROM planned_chunks p), c AS (SELECT script_id, chunk_no, turns, lag(list_max(turns)) OVER (PARTITION BY script_id ORDER BY chunk_no) AS previous FROM t),
+ b AS (SELECT c.script_id, c.chunk_no, list(DISTINCT u.callback_to) AS called FROM (SELECT script_id, chunk_no, unnest(turns) AS turn FROM c) c JOIN {_TU} u USING (script_id, turn) WHERE u.callback_to IS NOT NULL GROUP BY ALL)
+ SELECT c.script_id, c.chunk_no, coalesce(array_to_string(list_sort(list_filter(b.called, lambda x: NOT list_contains(c.turns, x) AND x IS DISTINCT FROM c.previous)), '|'), '') AS called FROM c LEFT JOIN b USING (script_id, chunk_no)""")
+def called_back(spark, root):
+    """The turns that a planned chunk calls back to and has not just heard."""
+    c = table(spark, root, "planned_chunks").select("script_id", "chunk_no", F.array_distinct("pieces.turn").alias("turns"))
+    out = script.context(c, turns_of(spark, root).select("script_id", "turn", "callback_to"))
+    return out.select("script_id", "chunk_no", F.array_join(F.transform("called", lambda x: x.cast("string")), "|").alias("called"))
