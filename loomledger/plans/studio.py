@@ -257,3 +257,56 @@ def voice_similarity(spark, root):
     out = frames.voice_similarity(segments, e.where("vec_id < 7").select(F.col("vec_id").alias("speaker"), "vec"))
     return out.select("speaker", "n", F.round("similarity", 6).alias("similarity"))
 
+
+
+#: Names for the lexicon's queries: what is said for each, and how a recogniser hears some of them.
+_SAY = {"harbour": "HAR-bur", "council": "KOWN-sil", "lighthouse": "LITE-house", "the surveyor": "the sur-VAY-er"}
+_HEARD_AS = {"Lockkeeper": ["the lock keeper"], "Lastly": ["as", "even so"]}
+_ANY = r"\b(?:the surveyor|lighthouse|council|harbour)\b"
+
+
+@query(f"SELECT doc_id, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), '|') AS names FROM (SELECT doc_id, regexp_extract_all(text, '{_ANY}') AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL) WHERE len(n) > 0")
+def names_in_texts(spark, root):
+    """Names in English documents, each once, by their first place."""
+    d = table(spark, root, "documents").where("lang = 'en' and text is not null")
+    return d.select("doc_id", bar(speech.names_in("text", list(_SAY))).alias("names")).where("names <> ''")
+
+
+def _said_in_sql() -> str:
+    out = "text"
+    for name, say in sorted(_SAY.items(), key=lambda p: -len(p[0])):
+        out = rf"regexp_replace({out}, '\b{name}\b', '{say}', 'g')"
+    return out
+
+
+@query(f"SELECT turn_id, sha256({_said_in_sql()}) AS digest FROM {_TU} WHERE regexp_matches(text, '{_ANY}')")
+def respelled_turns(spark, root):
+    return turns_of(spark, root).select("turn_id", speech.respell("text", _SAY).alias("said")).where("said is not null").select("turn_id", F.sha2("said", 256).alias("digest"))
+
+
+_ONCE = r"replace(replace(replace({0}, '|the|lock|keeper|', '|lockkeeper|'), '|even|so|', '|lastly|'), '|as|', '|lastly|')"
+
+
+@query(f"SELECT turn_id, trim({_ONCE.format(_ONCE.format('h'))}, '|') AS heard FROM (SELECT turn_id, '|' || array_to_string({sql.spoken_tokens('text')}, '|') || '|' AS h FROM {_TU} WHERE text IS NOT NULL)")
+def heard_variants(spark, root):
+    """Turns as they are misheard, with the names put back."""
+    t = turns_of(spark, root).where("text is not null")
+    return t.select("turn_id", bar(speech.hear(speech.spoken_tokens("text"), _HEARD_AS)).alias("heard"))
+
+
+@query("SELECT script_id, array_to_string(list_sort(list_transform(map_entries(map_concat(MAP {'a': 'base', 'b': coalesce(backend, '')}, MAP {'b': 'over', 'c' || script_id % 3: 'own'})), lambda e: e.key || ':' || e.value)), '|') AS lexicon FROM scripts")
+def merged_lexicons(spark, root):
+    """A lexicon of all scripts under one of each."""
+    base = F.create_map(F.lit("a"), F.lit("base"), F.lit("b"), F.coalesce("backend", F.lit("")))
+    over = F.create_map(F.lit("b"), F.lit("over"), F.concat(F.lit("c"), (F.col("script_id") % 3).cast("string")), F.lit("own"))
+    m = table(spark, root, "scripts").select("script_id", speech.merge_lexicons(base, over).alias("m"))
+    return m.select("script_id", bar(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit(":"), e["value"])))).alias("lexicon"))
+
+
+@query("SELECT event_id, least(CASE WHEN event_id % 3 > 0 THEN event_id % 50 END, CASE WHEN event_id % 4 > 0 THEN event_id % 70 END) AS cap FROM events")
+def output_caps(spark, root):
+    """The lower of a run's and a stage's cap; one that is missing does not bind."""
+    from loomledger.operators import script
+
+    i = F.col("event_id")
+    return table(spark, root, "events").select("event_id", script.output_cap(F.when(i % 3 > 0, i % 50), F.when(i % 4 > 0, i % 70)).alias("cap"))
