@@ -265,7 +265,7 @@ _HEARD_AS = {"Lockkeeper": ["the lock keeper"], "Lastly": ["as", "even so"]}
 _ANY = r"\b(?:the surveyor|lighthouse|council|harbour)\b"
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), '|') AS names FROM (SELECT doc_id, regexp_extract_all(text, '{_ANY}') AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL) WHERE len(n) > 0")
+@query(f"SELECT doc_id, array_to_string(list_filter(n, lambda x, i: list_position(n, x) = i), '|') AS names FROM (SELECT doc_id, regexp_extract_all(replace(text, '_', ' '), '{_ANY}') AS n FROM documents WHERE lang = 'en' AND text IS NOT NULL) WHERE len(n) > 0")
 def names_in_texts(spark, root):
     """Names in English documents, each once, by their first place."""
     d = table(spark, root, "documents").where("lang = 'en' and text is not null")
