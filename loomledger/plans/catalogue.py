@@ -483,13 +483,30 @@ def chunk_context(spark, root):
     return out.join(c, ["script_id", "chunk_no"]).select("script_id", "chunk_no", F.array_max("turns").alias("last_turn"), "previous")
 
 
-@query()
-def plan_chunks(spark, root):
+def _to_plan(spark, root):
     t = _turns(spark, root).where("text is not null").select("script_id", "turn", "speaker", "text", F.col("quotes.text").alias("quotes"))
     beat = _pieces(spark, root).groupBy("script_id", "turn").agg(F.min("beat").alias("beat"))
     s = table(spark, root, "scripts").select("script_id", "backend").join(table(spark, root, "backends"), "backend")
-    rows = t.join(beat, ["script_id", "turn"], "left").withColumn("beat", F.coalesce("beat", "turn")).join(s, "script_id").withColumn("max_speakers", F.lit(2))
-    return plan.plan_chunks(rows)
+    return t.join(beat, ["script_id", "turn"], "left").withColumn("beat", F.coalesce("beat", "turn")).join(s, "script_id").withColumn("max_speakers", F.lit(2))
+
+
+@query()
+def plan_chunks(spark, root):
+    return plan.plan_chunks(_to_plan(spark, root))
+
+
+@query(f"SELECT script_id, count(*) AS n_turns, true AS whole, true AS within FROM {_TU} JOIN scripts USING (script_id) JOIN backends USING (backend) WHERE text IS NOT NULL GROUP BY script_id")
+def plans_hold(spark, root):
+    """Of each script's plan: whether its pieces give every turn again, in order, and whether each chunk is one piece or within the seconds and voices of its backend."""
+    rows = _to_plan(spark, root)
+    p = plan.plan_chunks(rows).select("script_id", "chunk_no", F.posexplode("pieces").alias("ix", "p")).select("script_id", "chunk_no", "ix", "p.turn", "p.start", "p.stop")
+    j = p.join(rows.select("script_id", "turn", "speaker", "text", "max_chunk_secs", "max_speakers"), ["script_id", "turn"]).withColumn("own", F.expr("substring(text, start + 1, stop - start)"))
+    bare = lambda c: F.regexp_replace(c, f"{text.WS}+", "")
+    again = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "ix", bare("own").alias("t")))), lambda x: x["t"]), "")
+    turns = j.groupBy("script_id", "turn").agg((again == bare(F.first("text"))).alias("ok")).groupBy("script_id").agg(F.count("*").alias("n_turns"), F.bool_and("ok").alias("whole"))
+    fits = (F.count("*") == 1) | ((F.sum(text.word_count("own")) * 60.0 / DEFAULT.words_per_minute <= F.max("max_chunk_secs") + 1e-9) & (F.count_distinct("speaker") <= F.max("max_speakers")))
+    chunks = j.groupBy("script_id", "chunk_no").agg(fits.alias("ok")).groupBy("script_id").agg(F.bool_and("ok").alias("within"))
+    return turns.join(chunks, "script_id").select("script_id", "n_turns", "whole", "within")
 
 
 @query(f"SELECT l.claim_id, l.status, CASE WHEN l.status = 'contested' THEN 'unresolved' END AS favours FROM {sql.LEDGER} l")
