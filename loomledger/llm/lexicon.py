@@ -1,7 +1,7 @@
 """Word lists of the scripts that are written without spaces, out of the dictionaries that Spark's own ICU library ships.
 
 Chinese and Japanese words come with a cost (the rarer the dearer), those of Thai, Lao, Khmer and Burmese without one. The file format is public: a header, eight numbers,
-and a trie of bytes or of UTF-16 units whose nodes are branches, runs and values. The words are read out once on the driver; nothing is copied into this repository. Beside them stand the few word classes
+and a trie of bytes or of UTF-16 units whose nodes are branches, runs and values. The driver sends the tries as they are, 3 MB, and a lattice walks them; nothing is copied into this repository. Beside them stand the few word classes
 that decide a gap, and words in と that the dictionary lacks, written by hand.
 """
 
@@ -55,6 +55,55 @@ class Trie:
     def _final(self, node: int) -> bool:
         return bool(node & 0x8000) if self.wide else bool(node & 1)
 
+    def step(self, at: int, left: int, unit: int) -> tuple[int, int, int | None] | None:
+        """From a place with so many units of a run left, on by one unit: (place, units left, value if a word ends here); place -1 where no word goes on. None where no word has it."""
+        u = self.u
+        if not left:
+            node = u[at]
+            at += 1
+            if node >= self.layout.value:  # a word ends here and others go on
+                if not self.wide:
+                    _, at = self._value(node, at)
+                    node = u[at]
+                    at += 1
+                else:
+                    lead = node & 0x7FC0
+                    at += 0 if lead < NODE_VALUE[0] else 1 if lead < NODE_VALUE[1] else 2
+                    node &= 0x3F
+            if node >= self.layout.run:
+                left = node - self.layout.run + 1
+            else:
+                n = node
+                if not n:
+                    n, at = u[at], at + 1
+                n += 1
+                while n > 5:
+                    less = unit < u[at]
+                    delta, after = self._number(u[at + 1], at + 2, self.layout.delta_steps)
+                    at, n = (after + delta, n >> 1) if less else (after, n - (n >> 1))
+                for last in range(n - 1, -1, -1):
+                    key, at = u[at], at + 1
+                    if not last:
+                        return self._here(at, 0) if key == unit else None
+                    node, at = u[at], at + 1
+                    value, at = self._value(node, at)
+                    if key == unit:
+                        return (-1, 0, value) if self._final(node) else self._here(at + value, 0)
+        return self._here(at + 1, left - 1) if u[at] == unit else None
+
+    def _here(self, at: int, left: int) -> tuple[int, int, int | None]:
+        if left or self.u[at] < self.layout.value:
+            return at, left, None
+        node = self.u[at]
+        if self._final(node):
+            return -1, 0, self._value(node, at + 1)[0]
+        if not self.wide:
+            return at, 0, self._value(node, at + 1)[0]
+        lead = node & 0x7FC0
+        if lead < NODE_VALUE[0]:
+            return at, 0, (lead >> 6) - 1
+        return at, 0, (lead - NODE_VALUE[0]) << 10 | self.u[at + 1] if lead < NODE_VALUE[1] else self.u[at + 1] << 16 | self.u[at + 2]
+
     def words(self):
         """(units, value) of all words."""
         stack = [(0, ())]
@@ -121,19 +170,66 @@ def library() -> str:
 
 
 @lru_cache(maxsize=8)
-def words(script: str, path: str | None = None) -> dict[str, int]:
-    """The words of a script with their costs (0 where the dictionary has none)."""
+def raw(script: str, path: str | None = None) -> bytes:
+    """A script's dictionary as it is in the library."""
     with zipfile.ZipFile(path or library()) as z:
-        raw = z.read(f"{FOLDER}{FILES[script]}.dict")
-    body = raw[struct.unpack(">H", raw[:2])[0] :]
-    numbers = struct.unpack(">8i", body[:32])
-    offset, kind, turn = numbers[0], numbers[4], numbers[5]
-    first = turn & 0x1FFFFF
-    data = body[offset:]
-    if kind & 7:
-        units = struct.unpack(f">{len(data) // 2}H", data[: len(data) // 2 * 2])
-        return {b"".join(u.to_bytes(2, "big") for u in w).decode("utf-16-be"): v for w, v in Trie(units, UNITS).words()}
-    return {"".join("‍" if b == 0xFF else "‌" if b == 0xFE else chr(first + b) for b in w): 0 for w, _ in Trie(data, BYTES).words()}
+        return z.read(f"{FOLDER}{FILES[script]}.dict")
+
+
+class Dictionary:
+    """The words of a script with their costs (0 where the dictionary has none)."""
+
+    def __init__(self, data: bytes):
+        body = data[struct.unpack(">H", data[:2])[0] :]
+        numbers = struct.unpack(">8i", body[:32])
+        trie = body[numbers[0] :]
+        self.first = numbers[5] & 0x1FFFFF
+        self.wide = bool(numbers[4] & 7)
+        self.steps: dict = {}
+        self.trie = Trie(struct.unpack(f">{len(trie) // 2}H", trie[: len(trie) // 2 * 2]), UNITS) if self.wide else Trie(trie, BYTES)
+
+    def units(self, ch: str) -> tuple[int, ...]:
+        if self.wide:
+            return (ord(ch),) if ch <= "\uffff" else struct.unpack(">2H", ch.encode("utf-16-be"))
+        k = 0xFF if ch == "\u200d" else 0xFE if ch == "\u200c" else ord(ch) - self.first
+        return (k,) if 0 <= k <= 0xFF else (-1,)
+
+    def beginning(self, text: str, at: int) -> dict[int, int]:
+        """By their stop: the costs of the words that begin at a place of a text. Steps that were taken before are remembered."""
+        out: dict[int, int] = {}
+        state = (0, 0)
+        known = self.steps
+        for stop in range(at, len(text)):
+            ch = text[stop]
+            found = known.get((state, ch), 0)
+            if found == 0:
+                found = known[state, ch] = self._over(state, ch)
+            if found is None:
+                break
+            state, value = found
+            if value is not None:
+                out[stop + 1] = value
+            if state[0] < 0:
+                break
+        return out
+
+    def _over(self, state: tuple[int, int], ch: str) -> tuple[tuple[int, int], int | None] | None:
+        if len(self.steps) > 1_000_000:
+            self.steps.clear()
+        value = None
+        for unit in self.units(ch):
+            found = self.trie.step(*state, unit) if state[0] >= 0 else None
+            if found is None:
+                return None
+            state, value = found[:2], found[2]
+        return state, value
+
+    def words(self) -> dict[str, int]:
+        """All of them."""
+        if self.wide:
+            return {b"".join(u.to_bytes(2, "big") for u in w).decode("utf-16-be"): v for w, v in self.trie.words()}
+        return {"".join("\u200d" if b == 0xFF else "\u200c" if b == 0xFE else chr(self.first + b) for b in w): 0 for w, _ in self.trie.words()}
+
 
 @lru_cache(maxsize=2)
 def confusables(path: str | None = None) -> dict[str, str]:
@@ -175,29 +271,34 @@ class Lattice:
 
     UNKNOWN, PLAIN = 260, 60
 
-    def __init__(self, script: str, listed: dict[str, int]):
-        own = {*FINAL[script], *OPENING[script], *((*JA_TO, *JA_KANA, *JA_REPORT, *ZH_SAY) if script == "east" else ())} if listed else set()
+    def __init__(self, script: str, data: bytes | None):
+        """``data``: a dictionary; without one no word is known."""
         self.script = script
-        self.costs = {**dict.fromkeys(own, self.PLAIN), **{w: c or self.PLAIN for w, c in listed.items() if len(w) <= 16}}
-        self.longest = max(map(len, self.costs), default=1)
+        self.listed = Dictionary(data) if data else None
+        self.own = {*FINAL[script], *OPENING[script], *((*JA_TO, *JA_KANA, *JA_REPORT, *ZH_SAY) if script == "east" else ())} if data else set()
+        self.longest, self.heads = max(map(len, self.own), default=0), {w[0] for w in self.own}
+        self.cut = lru_cache(maxsize=50_000)(self._cut)
+
+    def words_at(self, text: str, i: int) -> dict[int, int]:
+        """By their stop: the costs of the words that begin at ``i``."""
+        out = {j: self.PLAIN for j in range(i + 1, min(len(text), i + self.longest) + 1) if text[i:j] in self.own} if text[i] in self.heads else {}
+        for j, c in self.listed.beginning(text, i).items() if self.listed else ():
+            out[j] = c or self.PLAIN
+        return out
 
-    def cut(self, text: str) -> list[tuple[str, bool]]:
+    def _cut(self, text: str) -> list[tuple[str, bool]]:
         """The words, and whether each is known."""
-        n, get = len(text), self.costs.get
+        n = len(text)
         best: list[float] = [0.0] + [float("inf")] * n
-        back = [0] * (n + 1)
+        back: list[tuple[int, bool]] = [(0, False)] * (n + 1)
         for i in range(n):
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                c = get(text[i:j])
-                if c is None:
-                    if j > i + 1:
-                        continue
-                    c = self.UNKNOWN
+            found = self.words_at(text, i)
+            for j, c in found.items() if i + 1 in found else ((i + 1, self.UNKNOWN), *found.items()):
                 if best[i] + c < best[j]:
-                    best[j], back[j] = best[i] + c, i
+                    best[j], back[j] = best[i] + c, (i, j in found)
         out = []
         while n:
-            out.append((text[back[n] : n], text[back[n] : n] in self.costs))
-            n = back[n]
+            i, known = back[n]
+            out.append((text[i:n], known))
+            n = i
         return out[::-1]
-

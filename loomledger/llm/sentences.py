@@ -239,17 +239,17 @@ def _kind(par: str) -> str:
 class Lattices(dict):
     """The lattice of each script, made when a text first needs it."""
 
-    def __init__(self, listed):
-        self.listed = listed
+    def __init__(self, data):
+        self.data = data
 
     def __missing__(self, script: str) -> lexicon.Lattice:
-        self[script] = lexicon.Lattice(script, self.listed(script))
+        self[script] = lexicon.Lattice(script, self.data(script))
         return self[script]
 
 
 @lru_cache(maxsize=1)
 def known() -> Lattices:
-    return Lattices(lexicon.words)
+    return Lattices(lexicon.raw)
 
 
 #: Of this worker, by the dictionary's path: tasks one after another share the lattices.
@@ -286,10 +286,10 @@ def spans(text: str | None, words: Lattices | None = None) -> list[tuple[int, in
 def sentences(rows: DataFrame, key: str = "doc_id", text: str = "text", dictionary: str | None = None) -> DataFrame:
     """key, sent_ix, sent_start, sent_stop and sentence of every row; one Arrow pass without a shuffle.
 
-    The word lists, of fixed size (some 500,000 words, 8 MB), are read once on the driver from ``dictionary`` (Spark's own ICU library if it is not given) and broadcast.
+    The dictionaries, of fixed size (some 500,000 words, 3 MB), are read on the driver from ``dictionary`` (Spark's own ICU library if it is not given) and broadcast.
     """
     kind = rows.schema[key].dataType.simpleString()
-    shipped = rows.sparkSession.sparkContext.broadcast({s: lexicon.words(s, dictionary) for s in lexicon.FILES})
+    shipped = rows.sparkSession.sparkContext.broadcast({s: lexicon.raw(s, dictionary) for s in lexicon.FILES})
 
     def run(batches):
         words = _OPEN.setdefault(dictionary, Lattices(lambda s: shipped.value[s]))

@@ -183,9 +183,10 @@ def test_sentences():
 def test_lattice_is_the_cheapest_path():
     r_ = random.Random(3)
     lattice = z.known()["east"]
-    listed = r_.sample(sorted(w for w in lattice.costs if 2 <= len(w) <= 3), 200)
+    every = dict.fromkeys(lattice.own, lattice.PLAIN) | {w: c or lattice.PLAIN for w, c in lattice.listed.words().items()}
+    listed = r_.sample(sorted(w for w in every if 2 <= len(w) <= 3), 200)
     alphabet = "".join(sorted({ch for w in listed[:12] for ch in w}))
-    price = lambda w: lattice.costs.get(w, lattice.UNKNOWN if len(w) == 1 else 1e9)
+    price = lambda w: every.get(w, lattice.UNKNOWN if len(w) == 1 else 1e9)
 
     def cost(t, memo):
         if t and t not in memo:
@@ -198,7 +199,15 @@ def test_lattice_is_the_cheapest_path():
 
 
 def test_dictionaries_of_all_scripts():
-    assert {s: len(z.lexicon.words(s)) > n for s, n in (("east", 300_000), ("thai", 20_000), ("lao", 20_000), ("khmer", 50_000), ("burmese", 30_000))} == dict.fromkeys(z.lexicon.FILES, True)
+    every = {s: z.lexicon.Dictionary(z.lexicon.raw(s)) for s in z.lexicon.FILES}
+    assert {s: len(every[s].words()) > n for s, n in (("east", 300_000), ("thai", 20_000), ("lao", 20_000), ("khmer", 50_000), ("burmese", 30_000))} == dict.fromkeys(z.lexicon.FILES, True)
+    r_ = random.Random(4)
+    for d in every.values():  # a walk finds what the whole list holds
+        listed = d.words()
+        for w in r_.sample(sorted(listed), 300):
+            t = w + r_.choice(sorted(listed))
+            assert d.beginning(t, 0) == {j: listed[t[:j]] for j in range(1, len(t) + 1) if t[:j] in listed}
+        assert not list(d.beginning("z😀", 0))
     assert z.known()["east"].cut("知道了") == [("知道", True), ("了", True)]
     assert [w for w, _ in z.known()["thai"].cut("ระดับน้ำสูง")] == ["ระดับน้ำ", "สูง"] or [w for w, _ in z.known()["thai"].cut("ระดับน้ำสูง")] == ["ระดับ", "น้ำ", "สูง"]
     assert sents("ខ្ញុំទៅផ្សារ។ គាត់នៅផ្ទះ។") == ["ខ្ញុំទៅផ្សារ។", "គាត់នៅផ្ទះ។"]
@@ -206,7 +215,7 @@ def test_dictionaries_of_all_scripts():
 
 
 def test_without_a_dictionary_other_sentences_come_out():
-    none = z.Lattices(lambda script: {})
+    none = z.Lattices(lambda script: None)
     for t in ("「雷ですか。」と彼は尋ねた。", "“桥断了？”老人问道。", "ไม่มีใครเชื่อเรื่องนี้ ระดับน้ำสูงขึ้น"):
         assert z.spans(t, none) != z.spans(t)
 
