@@ -312,7 +312,9 @@ def _lse(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def fit(pages: list[list[list[str]]], labels: list[list[int]], epochs: int = EPOCHS, l2: float = 1e-4) -> Crf:
-    """Maximum conditional likelihood by Adagrad; forward and backward run over all pages at once."""
+    """Maximum conditional likelihood by Adagrad; forward and backward run over all pages at once, the longest first, so that each step has only the pages that reach it."""
+    order = sorted(range(len(pages)), key=lambda i: -len(pages[i]))
+    pages, labels = [pages[i] for i in order], [labels[i] for i in order]
     index: dict[str, int] = {"\0": 0}
     for p in pages:
         for f in p:
@@ -336,6 +338,8 @@ def fit(pages: list[list[list[str]]], labels: list[list[int]], epochs: int = EPO
     np.add.at(pairs, (gold[:, :-1][both], gold[:, 1:][both]), 1)
     seen_e, seen_m = np.full_like(model.emit, 1e-6), np.full_like(model.move, 1e-6)
     starts = np.searchsorted(owner, np.arange(len(feats)))
+    live = mask.sum(0)  # how many pages reach each step
+    last = mask.sum(1) - 1
     by_feature = np.argsort(flat, kind="stable")
     present, first = np.unique(flat[by_feature], return_index=True)
     for _ in range(epochs):
@@ -344,17 +348,16 @@ def fit(pages: list[list[list[str]]], labels: list[list[int]], epochs: int = EPO
         fwd, bwd = np.zeros_like(e), np.zeros_like(e)
         fwd[:, 0] = e[:, 0]
         for t in range(1, steps):
-            nxt = _lse(fwd[:, t - 1, :, None] + model.move, 1) + e[:, t]
-            fwd[:, t] = np.where(mask[:, t, None], nxt, fwd[:, t - 1])
-        z = _lse(fwd[:, -1], 1)
-        for t in range(steps - 2, -1, -1):
-            prv = _lse(model.move + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
-            bwd[:, t] = np.where(mask[:, t + 1, None], prv, 0)
-        post = np.exp(fwd + bwd - z[:, None, None]) * mask[..., None]
+            m = live[t]
+            fwd[:m, t] = _lse(fwd[:m, t - 1, :, None] + model.move, 1) + e[:m, t]
+        z = _lse(fwd[np.arange(n), last], 1)
         expected = np.zeros((k, k))
-        for t in range(1, steps):
-            p = np.exp(fwd[:, t - 1, :, None] + model.move + (e[:, t] + bwd[:, t])[:, None, :] - z[:, None, None])
-            expected += (p * mask[:, t, None, None]).sum(0)
+        for t in range(steps - 1, 0, -1):
+            m = live[t]
+            after = model.move + (e[:m, t] + bwd[:m, t])[:, None, :]
+            bwd[:m, t - 1] = _lse(after, 2)
+            expected += np.exp(fwd[:m, t - 1, :, None] + after - z[:m, None, None]).sum(0)
+        post = np.exp(fwd + bwd - z[:, None, None]) * mask[..., None]
         g = np.zeros_like(model.emit)
         g[present] = np.add.reduceat((post - want)[mask][owner[by_feature]], first)
         g = g / n + l2 * model.emit
