@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from loomledger.config import DEFAULT, Settings
 from loomledger.functions.ids import per_mille
-from loomledger.functions.text import numbers
+from loomledger.functions.text import content_words, is_number, numbers
 from loomledger.operators.models import Models
+from loomledger.operators.nli import of_words
 from loomledger.operators.vectors import similar, top_k
 from loomledger.tables import settle
 
@@ -39,9 +40,13 @@ def nominated(claims: DataFrame, settings: Settings = DEFAULT, models: Models =
 
 def equivalent(pairs: DataFrame, veto: bool = True, settings: Settings = DEFAULT, models: Models = Models()) -> DataFrame:
     """a, b and mutual_pm of the pairs that entail each other both ways; with the veto, only where the numbers are the same."""
-    if veto:
-        pairs = pairs.where(numbers("text_a") == numbers("text_b"))
-    pairs = models.with_scores(models.with_scores(pairs, "text_a", "text_b", "_f"), "text_b", "text_a", "_g")
+    if models.scorer is None:  # the stand-in reads words, which are taken once a text
+        pairs = pairs.withColumn("_a", content_words("text_a")).withColumn("_b", content_words("text_b"))
+        pairs = pairs.where(F.filter("_a", is_number) == F.filter("_b", is_number)) if veto else pairs
+        pairs = pairs.withColumn("_f", of_words(F.col("_a"), F.col("_b"))).withColumn("_g", of_words(F.col("_b"), F.col("_a")))
+    else:
+        pairs = pairs.where(numbers("text_a") == numbers("text_b")) if veto else pairs
+        pairs = models.with_scores(models.with_scores(pairs, "text_a", "text_b", "_f"), "text_b", "text_a", "_g")
     return pairs.select("a", "b", F.least(per_mille(F.col("_f.entailment")), per_mille(F.col("_g.entailment"))).alias("mutual_pm")).where(F.col("mutual_pm") >= settings.merge_entailment_pm)
 
 
