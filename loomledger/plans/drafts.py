@@ -28,7 +28,7 @@ _REFS = [(0, 0, None), (1, 999_999, None), (2, 0, "~~nowhere~~")]
 
 
 @query(f"""WITH text_rows AS (SELECT chunk_id AS k, text AS t FROM {_CH}), {sql.SPANS}, f AS (SELECT k, sentence, start FROM spans WHERE sent_ix = 0)
- SELECT c.chunk_id, r.ix AS ref_ix, CASE WHEN r.ix = 0 THEN f.start + c.span.start END AS start, CASE WHEN r.ix = 0 THEN f.start + c.span.start + octet_length(encode(f.sentence)) END AS stop, CASE r.ix WHEN 1 THEN 'no such sentence' WHEN 2 THEN 'not in that sentence' WHEN 3 THEN 'no such source' END AS error FROM {_CH} c JOIN f ON f.k = c.chunk_id CROSS JOIN (VALUES (0), (1), (2), (3)) r(ix)""")
+ SELECT c.chunk_id, r.ix AS ref_ix, CAST(CASE WHEN r.ix = 0 THEN f.start + c.span.start END AS BIGINT) AS start, CAST(CASE WHEN r.ix = 0 THEN f.start + c.span.start + octet_length(encode(f.sentence)) END AS BIGINT) AS stop, CASE r.ix WHEN 1 THEN 'no such sentence' WHEN 2 THEN 'not in that sentence' WHEN 3 THEN 'no such source' END AS error FROM {_CH} c JOIN f ON f.k = c.chunk_id CROSS JOIN (VALUES (0), (1), (2), (3)) r(ix)""")
 def resolved_references(spark, root):
     """Four references to each chunk: its first sentence, one it has not, words that are not in it, and a source that there is not."""
     c = chunks_of(spark, root).select(F.col("chunk_id").alias("source_no"), "doc_id", F.col("span.start").alias("start"), "text")

@@ -99,7 +99,7 @@ _HEARD = f"""(SELECT p.script_id, p.chunk_no, generate_subscripts(p.pieces, 1) -
 
 
 @query(f"""WITH w AS (SELECT u.script_id, chunk_no, ix, len({sql.words('decode(encode(t.text)[u.piece.text.start + 1:u.piece.text.stop])')}) AS n FROM {_HEARD} WHERE t.text IS NOT NULL)
- SELECT script_id, chunk_no, CAST(row_number() OVER (PARTITION BY script_id, chunk_no ORDER BY ix) - 1 AS INTEGER) AS ix, round((sum(n) OVER (PARTITION BY script_id, chunk_no ORDER BY ix) - n) * 0.4, 6) AS start, round(sum(n) OVER (PARTITION BY script_id, chunk_no ORDER BY ix) * 0.4, 6) AS stop FROM w WHERE n > 0""")
+ SELECT script_id, chunk_no, CAST(row_number() OVER (PARTITION BY script_id, chunk_no ORDER BY ix) - 1 AS INTEGER) AS ix, round((sum(n) OVER (PARTITION BY script_id, chunk_no ORDER BY ix) - n) * CAST(0.4 AS DOUBLE), 6) AS start, round(sum(n) OVER (PARTITION BY script_id, chunk_no ORDER BY ix) * CAST(0.4 AS DOUBLE), 6) AS stop FROM w WHERE n > 0""")
 def turn_times(spark, root):
     """The pieces of each planned chunk in a recording that is heard word for word, 0.4 seconds a word."""
     from loomledger.tables import latest
