@@ -11,19 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 #: British spellings and the American ones that a recogniser writes.
-BRITISH_AMERICAN = dict(
-    p.split(":")
-    for p in (
-        "aluminium:aluminum analyse:analyze analysed:analyzed armour:armor behaviour:behavior behaviours:behaviors catalogue:catalog centimetre:centimeter "
-        "centimetres:centimeters centre:center centred:centered centres:centers colour:color coloured:colored colours:colors defence:defense favour:favor "
-        "favourite:favorite favours:favors fibre:fiber fibres:fibers grey:gray harbour:harbor harbours:harbors honour:honor honoured:honored honours:honors "
-        "humour:humor jewellery:jewelry kilometre:kilometer kilometres:kilometers labour:labor litre:liter litres:liters manoeuvre:maneuver manoeuvres:maneuvers "
-        "metre:meter metres:meters millimetre:millimeter millimetres:millimeters neighbour:neighbor neighbouring:neighboring neighbours:neighbors "
-        "organisation:organization organise:organize organised:organized plough:plow programme:program programmes:programs realise:realize realised:realized "
-        "recognise:recognize recognised:recognized rumour:rumor rumours:rumors sceptical:skeptical theatre:theater theatres:theaters travelled:traveled "
-        "traveller:traveler travellers:travelers travelling:traveling vapour:vapor vapours:vapors"
-    ).split()
-)
+BRITISH_AMERICAN = {
+    "aluminium": "aluminum", "analyse": "analyze", "analysed": "analyzed", "armour": "armor", "behaviour": "behavior", "behaviours": "behaviors", "catalogue": "catalog",
+    "centimetre": "centimeter", "centimetres": "centimeters", "centre": "center", "centred": "centered", "centres": "centers", "colour": "color", "coloured": "colored",
+    "colours": "colors", "defence": "defense", "favour": "favor", "favourite": "favorite", "favours": "favors", "fibre": "fiber", "fibres": "fibers", "grey": "gray",
+    "harbour": "harbor", "harbours": "harbors", "honour": "honor", "honoured": "honored", "honours": "honors", "humour": "humor", "jewellery": "jewelry",
+    "kilometre": "kilometer", "kilometres": "kilometers", "labour": "labor", "litre": "liter", "litres": "liters", "manoeuvre": "maneuver", "manoeuvres": "maneuvers",
+    "metre": "meter", "metres": "meters", "millimetre": "millimeter", "millimetres": "millimeters", "neighbour": "neighbor", "neighbouring": "neighboring",
+    "neighbours": "neighbors", "organisation": "organization", "organise": "organize", "organised": "organized", "plough": "plow", "programme": "program",
+    "programmes": "programs", "realise": "realize", "realised": "realized", "recognise": "recognize", "recognised": "recognized", "rumour": "rumor", "rumours": "rumors",
+    "sceptical": "skeptical", "theatre": "theater", "theatres": "theaters", "travelled": "traveled", "traveller": "traveler", "travellers": "travelers",
+    "travelling": "traveling", "vapour": "vapor", "vapours": "vapors",
+}
 #: Number words by their value from 0, and tens from 20.
 _UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _UNITHS = "zeroth first second third fourth fifth sixth seventh eighth ninth tenth eleventh twelfth thirteenth fourteenth fifteenth sixteenth seventeenth eighteenth nineteenth".split()

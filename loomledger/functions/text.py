@@ -13,9 +13,9 @@ WS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202
 NOT_WS = WS.replace("[", "[^", 1)
 #: Words without content.
 STOP_WORDS = (
-    "the and that with from this for are was were has had have its his her their they them over into about also but "
-    "not who which been than then there these those"
-).split()
+    "the", "and", "that", "with", "from", "this", "for", "are", "was", "were", "has", "had", "have", "its", "his", "her", "their", "they", "them", "over", "into",
+    "about", "also", "but", "not", "who", "which", "been", "than", "then", "there", "these", "those",
+)
 
 
 def c(x: Column | str) -> Column:
@@ -57,7 +57,7 @@ def is_number(w: Column) -> Column:
 
 def content_words(t: Column | str) -> Column:
     """The set of words of at least three characters or with a digit that are not stop words, sorted."""
-    return F.array_sort(F.array_distinct(F.filter(alnum_words(t), lambda w: ((F.char_length(w) >= 3) | is_number(w)) & ~w.isin(STOP_WORDS))))
+    return F.array_sort(F.array_distinct(F.filter(alnum_words(t), lambda w: ((F.char_length(w) >= 3) | is_number(w)) & ~w.isin(*STOP_WORDS))))
 
 
 def numbers(t: Column | str) -> Column:

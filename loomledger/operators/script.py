@@ -77,6 +77,10 @@ def beats(turns: DataFrame, key: str = "script_id", ix: str = "turn", mark: str
     return rows.select(key, (F.row_number().over(w) - 1).alias("beat"), F.coalesce(mark, F.lit("narration")).alias("kind"), F.col(ix).alias("start"), F.coalesce(F.lead(ix).over(w), F.col("_last") + 1).alias("stop"))
 
 
+#: Fixed value: what the host says over the second turn.
+ASSENT = "Mm-hm."
+
+
 def directed(turns: DataFrame, key: str = "script_id", ix: str = "turn", host: str = "host") -> DataFrame:
     """key, ix, mark, pace, sounds and callback_to: the directions that the stand-in writer gives the turns of a script (key, ix, quotes).
 
@@ -87,7 +91,7 @@ def directed(turns: DataFrame, key: str = "script_id", ix: str = "turn", host: s
     rows = turns.withColumn("_r", F.row_number().over(every.orderBy(ix))).withColumn("_n", F.count("*").over(every)).withColumn("_first", F.min(ix).over(every))
     last, second = F.col("_r") == F.col("_n"), (F.col("_r") == 2) & (F.col("_n") > 2)
     opening = F.when(F.coalesce(F.size("quotes"), F.lit(0)) > 0, "quote_reading").otherwise("narration")
-    sound = F.array(F.struct(F.lit("backchannel").alias("kind"), F.lit("Mm-hm.").alias("text"), F.lit(host).alias("by"), F.lit("over").alias("at")))
+    sound = F.array(F.struct(F.lit("backchannel").alias("kind"), F.lit(ASSENT).alias("text"), F.lit(host).alias("by"), F.lit("over").alias("at")))
     return rows.select(
         key, ix, F.when(last, "transition").when(F.col("_r") == 1, opening).when(second, "banter").alias("mark"), F.when(last, "long_pause").when(second, "quick").otherwise("normal").alias("pace"),
         F.when(second, sound).otherwise(F.array().cast("array<struct<kind:string,text:string,by:string,at:string>>")).alias("sounds"), F.when(last, F.col("_first")).alias("callback_to"),
