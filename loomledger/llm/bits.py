@@ -51,7 +51,8 @@ _OPEN: dict[str, np.ndarray] = {}
 def opened(shared: Shared, size: int, dtype, unpack: Callable[[bytes], np.ndarray]) -> np.ndarray:
     """The whole table; a worker opens it once."""
     if shared.name not in _OPEN:
-        _OPEN.clear()
+        while len(_OPEN) > 2:  # those that a running query needs, and no more
+            del _OPEN[next(iter(_OPEN))]
         table = np.zeros(size, dtype)
         for k, c in shared.slices.value.items():
             part = unpack(c)
