@@ -85,3 +85,23 @@ def test_ranking(spark):
     assert {r.k: r["median"] for r in ranking.upper_median(df, "k", "v").collect()} == {"a": 3.0, "b": 5.0, "d": 7.0}
     takes = spark.createDataFrame([(1, 0, False, 0, 1.0, 1.0), (1, 1, True, 90, 9.0, 1.0), (1, 2, True, 90, 2.0, 1.0), (1, 3, True, 90, 2.0, 1.0), (2, 0, None, 5, None, None)], "k long, take int, passed boolean, wer_pm int, rate double, median double")
     assert {(r.k, r["take"]) for r in ranking.best_take(takes, "k").collect()} == {(1, 2), (2, 0)}
+
+
+def test_any_number_of_quotes(spark):
+    from loomledger.operators import analyse
+
+    quote = "struct<document:long,span:struct<start:long,stop:long>,text:string>"
+    many = [(99, (0, 1), f"q{i}") for i in range(1200)]
+    turns = spark.createDataFrame([(1, 'He said "one two three" twice.', many)], f"turn_id long, text string, quotes array<{quote}>")
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    got = {(r.kind, r.check_ix) for r in analyse.quote_findings(turns, docs).collect()}
+    assert got == {("quote", i) for i in range(1200)} | {("quotation", 0)}
+    assert {(r.severity, r.n) for r in analyse.by_severity(analyse.quote_findings(turns, docs)).collect()} == {("error", 1201)}
+
+
+def test_directions(spark):
+    from loomledger.operators import script
+
+    t = spark.createDataFrame([(1, 0, ["q"]), (1, 1, []), (1, 2, None), (2, 0, None), (3, 4, []), (3, 5, [])], "script_id long, turn int, quotes array<string>")
+    got = {(r.script_id, r.turn): (r.mark, r.pace, len(r.sounds), r.callback_to) for r in script.directed(t).collect()}
+    assert got == {(1, 0): ("quote_reading", "normal", 0, None), (1, 1): ("banter", "quick", 1, None), (1, 2): ("transition", "long_pause", 0, 0), (2, 0): ("transition", "long_pause", 0, 0), (3, 4): ("narration", "normal", 0, None), (3, 5): ("transition", "long_pause", 0, 4)}
