@@ -56,6 +56,25 @@ def test_hot_lists_are_split(spark, monkeypatch):
     assert {(r.doc_a, r.doc_b) for r in got.collect()} == want and len(want) > 500
 
 
+def test_classes_of_any_size_meet_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SIDE", 3)
+    one = "a b c d e f g h i j k l"
+    rows = [(i, one + " " * (i % 3)) for i in range(20)] + [(100 + i, one + " m") for i in range(8)] + [(500, "quite another text of more than five words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_a, r.doc_b) for r in neardup.document_pairs(*neardup.links(df, words=2, similarity=0.8)).collect()]
+    same = [*range(20), *range(100, 108)]
+    assert sorted(got) == [(a, b) for a in same for b in same if a < b]
+
+
+def test_tables_merge_in_two_steps(spark):
+    df = spark.range(0, 5000, 1, 9).selectExpr("id * 7919 as cls")
+    shared = neardup.bits.bitmap(df, "cls", 1 << 18)
+    own = np.arange(5000, dtype=np.int64) * 7919
+    assert neardup.bits.has(shared, 1 << 18, own).all() and neardup.bits.has(shared, 1 << 18, own + 1).mean() < 0.1
+    other = neardup.bits.bitmap(df.limit(0), "cls", 1 << 18)
+    assert not neardup.bits.has(other, 1 << 18, own).any() and neardup.bits.has(shared, 1 << 18, own).all()  # each by its own name
+
+
 def test_groups(spark):
     chain = [list("abcdefghijklmnopqrstuvwxyz")]
     for i in range(6):
