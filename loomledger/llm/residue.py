@@ -61,7 +61,7 @@ _PHRASES = re.compile(
 )
 #: What every phrase above holds at least one of; looked for first.
 _HINT = re.compile(r"[Ss]cript|ookies|Not Found|Forbidden|Gateway|Unavailable|Internal|Requests|Gone|Denied|Unauthorized|Bad Request|Time-?out|Err[oe]|Ошибка|Fehler|エラー|错误|[Pp]age |Seite|página|Страница|ページ|页面|启用|session|log in|permission|requests|secure|wrong|maintenance|timeout|Traceback|answer|an error|requested URL|HTTP|reached|human|Lorem|lorem|TODO")
-_TAG = re.compile(r"</?(?!noscript)[A-Za-z][^<>]*>|''+")
+_TAG = re.compile(r"(?<!<)</?(?!noscript)[A-Za-z][^<>]*>(?!>)|''+")
 _ESCAPED = re.compile(r"\\([_#%&{}$])")
 
 
@@ -76,8 +76,13 @@ def clean(text: str) -> str:
     return _ESCAPED.sub(r"\1", text) if "\\" in text else text
 
 
+#: A line that goes on: no mark at its end, and a small letter behind it.
+_WRAPPED = re.compile(r"(?<=[^\s.!?:;。！？।>])[ \t]*\r?\n[ \t]*(?=[a-zß-öø-ÿа-я])")
+
+
 def segments(text: str) -> list[str]:
-    return [s for x in _SPLIT.split(text) if (s := x.strip())]
+    """Sentences and lines; a wrapped sentence is one."""
+    return [s for x in _SPLIT.split(_WRAPPED.sub(" ", text)) if (s := x.strip())]
 
 
 def placeholder(segment: str) -> bool:
@@ -142,8 +147,12 @@ class Hasher:
         return (x >> np.uint64(40)).astype(np.int64) % BUCKETS, np.concatenate(who)
 
 
-def _extra(n_tokens: int, n_segments: int, title: str | None) -> tuple[str, ...]:
-    return ("bias", f"len{min(12, n_tokens).bit_length()}", f"doc{min(64, n_segments).bit_length()}", "title" + ("0" if title is None else "1" if title.strip() else "b"))
+_SHAPED = _Known()["{shape}"]
+
+
+def _extra(tokens: list[int], n_segments: int, title: str | None) -> tuple[str, ...]:
+    n_tokens, shaped = len(tokens), ("shape", "shape of the segment") if _SHAPED in tokens else ()
+    return (*shaped, "bias", f"len{min(12, n_tokens).bit_length()}", f"doc{min(64, n_segments).bit_length()}", "title" + ("0" if title is None else "1" if title.strip() else "b"))
 
 
 def _scores(buckets: np.ndarray, owners: np.ndarray, n: int, weights: np.ndarray) -> np.ndarray:
@@ -172,7 +181,7 @@ def labelled(rows: list[tuple[str | None, str | None]], hasher: Hasher) -> list[
         for s, f in zip(segs, flags, strict=True):
             if f or not any(flags):
                 t = hasher.tokens(s)
-                out.append((f, s, t, _extra(len(t), len(segs), title)))
+                out.append((f, s, t, _extra(t, len(segs), title)))
     return out
 
 
@@ -225,7 +234,7 @@ def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
                     segs = segments(clean(text)) if text else []
                     for s in segs:
                         t = hasher.tokens(s)
-                        rows.append((t, _extra(len(t), len(segs), title)))
+                        rows.append((t, _extra(t, len(segs), title)))
                         owner.append(k)
                         segs_all.append(s)
                 if not rows:

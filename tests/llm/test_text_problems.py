@@ -282,6 +282,12 @@ def test_residue_on_unseen_pages(spark):
     assert r.found(df.where("doc_id > 9000")).count() == 0
 
 
+def test_wrapped_lines_and_angles():
+    assert r.segments("“It burned,” he said, “and then it\nwas gone.” Next.\nA line\n\n404 Not Found\nnginx") == ["“It burned,” he said, “and then it was gone.” Next.", "A line", "404 Not Found nginx"]
+    assert "<<place>>" in r.clean("told <b><<place>></b> that") and r.placeholder(r.clean("told &lt;&lt;place&gt;&gt; that"))
+    assert r._SHAPED in r.Hasher().tokens("told <<place>> that") and "shape" in r._extra(r.Hasher().tokens("told {x} that"), 1, None)
+
+
 def test_placeholder_shapes():
     for t in ("{{ title }}", "{{=it.x}}", "${a.b}", "#{x}", "<%= x %>", "__TITLE__", "[%x%]", "%%X_Y%%", "@@x@@", "<<x>>", "[Your name here]", "[PLACE TBD]", "(insert place here)", "On {x}, we", "TODO: write the rest"):
         assert r.placeholder(t), t
