@@ -134,9 +134,26 @@ def _spaced_gap(before: str, marks: str, closers: str, after: str) -> float:
     return 6.0
 
 
+#: Verbs of saying that end a clause after a quotation in Hindi, where no small letter tells.
+HI_SAY = {"पूछा", "कहा", "बोला", "बोली", "बोले", "लिखा", "बताया", "पुकारा", "चिल्लाया", "चिल्लाई", "चिल्लाए", "फुसफुसाया", "सोचा", "उत्तर दिया", "जवाब दिया"}
+_INDIC_CLAUSE = re.compile(r"\s*([\u0900-\u0963\u0970-\u0dff][^।॥.!?…“”]*)")
+
+
+def _said_in_indic(par: str, at: int) -> bool:
+    """Whether the clause after a closed quotation ends in a verb of saying."""
+    m = _INDIC_CLAUSE.match(par, at)
+    words = m[1].split() if m else []
+    return bool(words) and (words[-1] in HI_SAY or " ".join(words[-2:]) in HI_SAY)
+
+
 def _spaced(par: str, _words: lexicon.Lattice | None) -> list[int]:
     """Where the sentences of a paragraph in a spaced script end."""
-    gaps = [(m.end(), _spaced_gap(par[max(0, m.start() - 24) : m.start()], m["t"], m["c"], par[m.end() : m.end() + 40])) for m in _SPACED.finditer(par)]
+    gaps = []
+    for m in _SPACED.finditer(par):
+        score = _spaced_gap(par[max(0, m.start() - 24) : m.start()], m["t"], m["c"], par[m.end() : m.end() + 40])
+        if m["c"] and score > 0 and _said_in_indic(par, m.end()):
+            score = -8.0
+        gaps.append((m.end(), score))
     pairs = quoted(par) if any(c in par for c in "“”«»„") else []
     return best_path(gaps, pairs)
 

@@ -175,6 +175,7 @@ def test_sentences():
     assert sents("“那是雷声吗？”他问道。女教师说：“火星消失了。”没有人相信！") == ["“那是雷声吗？”他问道。", "女教师说：“火星消失了。”", "没有人相信！"]
     assert sents("「雷ですか。」と彼は尋ねた。彼は「消えた。」と言った。本当か？") == ["「雷ですか。」と彼は尋ねた。", "彼は「消えた。」と言った。", "本当か？"]
     assert sents("डॉ. वेलकर पहुँचे। किसने देखा? पानी 13.5 मीटर।") == ["डॉ. वेलकर पहुँचे।", "किसने देखा?", "पानी 13.5 मीटर।"]
+    assert sents("“क्या यह गरज थी?” एक मछुआरा ने पूछा। “चलो!” वह चला गया। “हाँ।” उसने उत्तर दिया।") == ["“क्या यह गरज थी?” एक मछुआरा ने पूछा।", "“चलो!”", "वह चला गया।", "“हाँ।” उसने उत्तर दिया।"]
     assert sents("ไม่มีใครเชื่อเรื่องนี้ ระดับน้ำสูงขึ้น13.5เมตร") == ["ไม่มีใครเชื่อเรื่องนี้", "ระดับน้ำสูงขึ้น13.5เมตร"]
     assert sents(None) == sents("") == sents(" \n\n ") == []
     assert len(sents("word " * 50_000)) == 1
