@@ -31,7 +31,7 @@ EPOCHS = 50
 
 _BLOCK = set("address article aside blockquote body caption center dd div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li link main meta nav noscript ol p pre script section style summary syntaxhighlight table tbody tfoot thead title tr ul math gallery poem source".split())
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)(/?)>", re.S | re.I)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|(?<!<)<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*)?)(/?)>(?!>)", re.S | re.I)  # <<name>> is a placeholder
 _ESCAPED_TAG = re.compile(r"&(?:amp;)*lt;(?:/?[A-Za-z][A-Za-z0-9]*(?:\s|/|&(?:amp;)*gt;)|!--|!DOCTYPE)", re.I)
 _ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,31}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});")
 #: What any notation needs at least one of.
@@ -639,7 +639,7 @@ def convert(texts: list[str], crf: Crf, titles: bool = False) -> list[Converted]
     return out
 
 
-_TITLE_MARKS = re.compile(r"^#{1,6} +|^=+ | =+$|^\\\w+\*?\{(?=[^{}]*\}$)|</?[A-Za-z][^<>]*>|<!--.*?-->")
+_TITLE_MARKS = re.compile(r"^#{1,6} +|^=+ | =+$|^\\\w+\*?\{(?=[^{}]*\}$)|(?<!<)</?[A-Za-z][^<>]*>(?!>)|<!--.*?-->")
 
 
 def _title(title: str) -> Seen:

@@ -123,7 +123,7 @@ def test_markup_cases():
     assert h.removed and h.text == "Fire\n\nThe mill burned & fell.\n\n• one thing\n• two\n\n    x[0] = 1  # row"
     for t in ("# Head\n\nText *is* here.", "It [was](/p/1) so.", "x **Bold** y", "''x''", "\\textit{a} b", "a &quot;b&quot;", "&lt;p&gt;a b&lt;/p&gt;", "see [[A|a]]", "line<br />", "{{cite x|y=1}} a", "Here $x_{3} \\approx 7$ holds", "a <!-- b --> c", "Title\n---------\n\ntext"):
         assert clean(t).removed, t
-    for t in ("It cost $5 at first and $7 later.", "A small * beside a name", "Item #56 in the list", "Readings 5 & 6 disagree [sic].", "flood_notes_3192", "3 < 4 and 9 > 7", "x <|endoftext|> y", "On {{show.name}} and ${x} with <%= a %> and __TITLE__ and [Your name here]", "plain", ""):
+    for t in ("It cost $5 at first and $7 later.", "A small * beside a name", "Item #56 in the list", "Readings 5 & 6 disagree [sic].", "flood_notes_3192", "3 < 4 and 9 > 7", "x <|endoftext|> y", "On <<source>>, it reached <<title>> and << b >>.", "On {{show.name}} and ${x} with <%= a %> and __TITLE__ and [Your name here]", "plain", ""):
         got = clean(t)
         assert not got.removed and got.text == t, t
     assert "⟪" in clean("a $x_{3} \\approx 7$ b").text
