@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -89,6 +91,9 @@ def _matrix(column: pa.Array, dims: int | None) -> np.ndarray:
 
 _FOUND = "qid bigint, cid bigint, sim_pm int, cosine double, ord bigint"
 
+#: Count vectors of many queries meet in cells of at most so many queries and rows; a cell takes its rows in parts of ``PART``, and there are ``CELLS_A_CORE`` cells for each core at least. Sums of up to ``SHARED`` - 1 slots are taken over by the next query.
+CELL_QUERIES, CELL_ROWS, PART, CELLS_A_CORE, SHARED = 1 << 16, 1 << 19, 1 << 15, 2, 4
+
 
 def top_k(queries: DataFrame, corpus: DataFrame, k: int, floor_pm: int = 0, slots: int | None = SLOTS, on_pm: bool = True, block: int = DEFAULT.query_block, corpus_block: int = 1 << 16) -> DataFrame:
     """qid, cid, sim_pm, cosine and rank (from 1) of the ``k`` most similar rows of ``corpus`` for each row of ``queries``.
@@ -97,6 +102,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, floor_pm: int = 0, slot
     (array of groups on the query side, one group on the corpus side; a query meets no row of its own groups, null groups exclude nothing).
     Exact: every query meets every row. Up to ``block`` queries are broadcast, so what a task holds does not grow with the data. More of them, and the corpus, are cut into blocks, and
     each two blocks meet in one task of a single job. A task reduces its rows to k a query before the shuffle. Rows whose cosine, in per mille, is below ``floor_pm`` are left out.
+    More than ``block`` slot arrays above a floor are compared by ``_counted``, which finds the same with a sum of a few columns for each query.
     Where the floor is high and a collection is compared with itself, ``similar`` finds the same without comparing all.
     """
     q = queries.select(F.col("id").cast("bigint").alias("id"), "vec", "grp")
@@ -113,6 +119,8 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, floor_pm: int = 0, slot
                     yield _compared(own, pa.Table.from_batches([b.slice(a, 2048)]), k, floor_pm, slots, on_pm)
 
         out = c.mapInArrow(run, _FOUND)
+    elif slots is not None and slots <= 256 and on_pm and floor_pm > 0:
+        out = _counted(q, n, c, k, floor_pm, slots)
     else:
         qn, cn = -(-n // block), max(1, -(-c.count() // corpus_block))
         cell = lambda df, own, parts, other, others: df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
@@ -169,6 +177,143 @@ def _compared(own, part: pa.Table, k: int, floor_pm: int, slots: int | None, on_
     return pa.RecordBatch.from_arrays([pa.array(qid[rr]), pa.array(cid[cc]), pa.array(pm[rr, cc]), pa.array(cos[rr, cc]), pa.array(order[cc])], names=["qid", "cid", "sim_pm", "cosine", "ord"])
 
 
+def _counted(q: DataFrame, n: int, c: DataFrame, k: int, floor_pm: int, slots: int) -> DataFrame:
+    """The best rows of each cell of queries and rows, for slot arrays; rows without slots are below any floor."""
+    spark = q.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    cn = max(1, -(-c.count() // CELL_ROWS))
+    qn = max(-(-n // CELL_QUERIES), min(-(-CELLS_A_CORE * cores // cn), -(-n // 1024)))
+    cells = qn * cn
+    # the names of the cells: numbers that the hash partitioning of one cell a partition tells apart
+    at = spark.sql(f"SELECT transform(sequence(0, {64 * cells}), x -> pmod(hash(x), {cells})) AS at").first()["at"]
+    name = {r: x for x, r in reversed(list(enumerate(at)))}
+    names = [name.get(i, 64 * cells + i + 1) for i in range(cells)]
+
+    def packed(batches):
+        """Slots as bytes, and the squared length."""
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            vec = t.column("vec").combine_chunks()
+            sizes = vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = vec.flatten().to_numpy(zero_copy_only=False).astype(np.uint8)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            sq = np.zeros(len(sizes), np.int64)
+            for a in range(0, len(sizes), 2048):
+                m = _dense(flat[ends[a] : ends[min(a + 2048, len(sizes))]].astype(np.int64), sizes[a : a + 2048], slots)
+                sq[a : a + 2048] = (m * m).sum(1)
+            data = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
+            t = t.set_column(t.schema.get_field_index("vec"), "vec", data).append_column("sq", pa.array(sq)).filter(pa.array(sq > 0))
+            yield from t.to_batches()
+
+    def celled(df: DataFrame, kinds: str, parts: int, numbers) -> DataFrame:
+        own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+        lists = F.array(*[F.array(*[F.lit(names[i]) for i in numbers(p)]) for p in range(parts)])
+        return df.mapInArrow(packed, kinds).withColumn("cell", F.explode(F.get(lists, own))).repartition(cells, "cell")
+
+    left = celled(q.select("id", "vec", "grp"), "id bigint, vec binary, grp array<string>, sq bigint", qn, lambda p: range(p * cn, p * cn + cn))
+    right = celled(c.select("id", "ord", "vec", "grp"), "id bigint, ord bigint, vec binary, grp string, sq bigint", cn, lambda p: range(p, cells, cn))
+    return left.groupBy("cell").cogroup(right.groupBy("cell")).applyInArrow(lambda x, y: _best_counted(x, y, k, floor_pm, slots), _FOUND)
+
+
+def _bytes_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The slots of all rows, and where each row's begin and the last one's end."""
+    vec = t.column("vec").combine_chunks().cast(pa.large_binary())
+    ends = np.frombuffer(vec.buffers()[1], np.int64)[vec.offset : vec.offset + len(vec) + 1]
+    return np.frombuffer(vec.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _best_counted(x: pa.Table, y: pa.Table, k: int, floor_pm: int, slots: int) -> pa.Table:
+    """The ``k`` best rows of ``y`` for each row of ``x``, by per mille and order.
+
+    The rows are counted slot by slot, a column for each slot, so a query's dot products are the sum of the columns of its slots: one byte a row where no sum can be over 255; rows come
+    by their lengths, which keeps the few that need wider sums together. The least per mille that still counts, that of the k-th row so far, at first the floor, is a least dot product
+    for each row's length. Only rows that have it are looked at one by one.
+    """
+    if not x.num_rows or not y.num_rows:
+        return pa.table({"qid": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "sim_pm": pa.array([], pa.int32()), "cosine": pa.array([], pa.float64()), "ord": pa.array([], pa.int64())})
+    # by length, behind a small part of all lengths, which lifts the floor of most queries
+    by = np.argsort(y.column("sq").to_numpy(), kind="stable")
+    every = -(-len(by) * 16 // PART)
+    few = len(by[::every])
+    y = y.take(pa.array(np.concatenate([by[::every], np.delete(by, slice(None, None, every))])))
+    qid, qsq, qgrp = x.column("id").to_numpy(), x.column("sq").to_numpy().tolist(), x.column("grp").to_pylist()
+    cid, order, csq = (y.column(c).to_numpy() for c in ("id", "ord", "sq"))
+    named = y.column("grp").combine_chunks().dictionary_encode()
+    code = named.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    known = {g: i for i, g in enumerate(named.dictionary.to_pylist())}
+    backed = [[known[g] for g in set(own or ()) if g in known] for own in qgrp]
+    qflat, qends = _bytes_of(x)
+    cflat, cends = _bytes_of(y)
+    lists = [qflat[a:b].tolist() for a, b in zip(qends, qends[1:])]
+    lengths = [v**0.5 for v in qsq]
+    same = set(qid.tolist()) & set(cid.tolist())
+    ids = qid.tolist()
+    least = [floor_pm] * len(lists)
+    kept: list[tuple[np.ndarray, ...] | None] = [None] * len(lists)
+    # queries that begin with the same slots follow each other, and share the sums of those
+    often = np.bincount(qflat, minlength=slots)
+    lists = [sorted(v, key=lambda s: (-often[s], s)) for v in lists]
+    turns = sorted(range(len(lists)), key=lists.__getitem__)
+    edges = [0, *range(few, len(cid), PART), len(cid)]
+    for a, b in zip(edges, edges[1:]):
+        n = b - a
+        flat = cflat[cends[a] : cends[b]].astype(np.int64)
+        counts = np.bincount(flat * n + np.repeat(np.arange(n), np.diff(cends[a : b + 1])), minlength=slots * n).reshape(slots, n)
+        top = counts.max(1)
+        highest = np.add.reduceat(top[qflat], qends[:-1]).tolist()
+        columns, wide = list(counts.astype(np.uint8)), list(counts) if max(highest) > 255 else None
+        del counts
+        sums, mask, last = [np.empty(n, np.uint8) for _ in range(SHARED)], np.empty(n, bool), []
+        sq, where, roots = csq[a:b], code[a:b], np.sqrt(csq[a:b])
+        shortest, needs = float(roots.min()), {}
+        for i in turns:
+            own, bound = lists[i], (least[i] - 0.5) / 1000 * lengths[i]
+            if highest[i] < bound * shortest - 1e-6:
+                continue
+            if highest[i] <= 255:
+                step = int(bound * 64)
+                if step not in needs:
+                    needs[step] = np.minimum(np.ceil(step / 64 * roots - 1e-6), 255).astype(np.uint8)
+                d = 0
+                while d < SHARED - 1 and d < len(own) and d < len(last) and own[d] == last[d]:
+                    d += 1
+                dot = sums[d - 1] if d else None
+                for j in range(d, len(own)):
+                    dot = columns[own[0]] if not j else np.add(dot, columns[own[j]], sums[min(j, SHARED - 1)])
+                    if not j:
+                        sums[0] = dot
+                last = own
+                np.greater_equal(dot, needs[step], mask)
+            else:
+                dot = sum(wide[s] for s in own)
+                np.greater_equal(dot, bound * roots - 1e-6, mask)
+            if not mask.any():
+                continue
+            h = np.flatnonzero(mask)
+            cos = dot[h] / np.sqrt(qsq[i] * sq[h])
+            pm = np.floor(np.minimum(cos, 1) * 1000 + 0.5).astype(np.int32)
+            good = pm >= least[i]
+            if backed[i]:
+                good &= np.isin(where[h], backed[i], invert=True) if len(backed[i]) > 8 else np.logical_and.reduce([where[h] != g for g in backed[i]])
+            if ids[i] in same:
+                good &= cid[a:b][h] != ids[i]
+            if not good.any():
+                continue
+            new = (pm[good], cos[good], h[good] + a)
+            if kept[i] is not None:
+                new = tuple(np.concatenate(z) for z in zip(kept[i], new))
+            if len(new[0]) > k:
+                best = np.lexsort((order[new[2]], -new[0]))[:k]
+                new = tuple(z[best] for z in new)
+            kept[i] = new
+            if len(new[0]) == k:
+                least[i] = int(new[0].min())
+    at = [i for i, z in enumerate(kept) if z is not None]
+    pm, cos, rows = (np.concatenate([kept[i][j] for i in at] or [np.zeros(0, d)]) for j, d in enumerate((np.int32, float, np.int64)))
+    who = np.repeat(qid[at], [len(kept[i][0]) for i in at]) if at else np.zeros(0, np.int64)
+    return pa.table({"qid": who, "cid": cid[rows], "sim_pm": pm, "cosine": cos, "ord": order[rows]})
+
+
 def prefix_keys(slots: np.ndarray, counts: np.ndarray, floor: float) -> list[int]:
     """What another vector must share one of to have a cosine of ``floor``: the first three slots that both have, in one order of all slots.
 

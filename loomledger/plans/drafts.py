@@ -104,7 +104,8 @@ def deciding_windows(spark, root):
 def topk_other_groups(spark, root):
     """The four passages most like each claim among those of groups that its evidence does not come from."""
     d = table(spark, root, "documents").select("doc_id", text.fold_group("source_ref.independence_group").alias("grp"))
-    c = chunks_of(spark, root).join(d, "doc_id").select(F.xxhash64("chunk_id").alias("id"), F.xxhash64("chunk_id").alias("ord"), vectors.slots_of("text").alias("vec"), "grp")
+    of_chunk = chunks_of(spark, root).select("doc_id", F.xxhash64("chunk_id").alias("id"), F.xxhash64("chunk_id").alias("ord"), vectors.slots_of("text").alias("vec"))
+    c = of_chunk.join(d, "doc_id").select("id", "ord", "vec", "grp")  # slots are fewer bytes to shuffle than texts
     q = table(spark, root, "claims").select("claim_id", F.xxhash64("claim_id").alias("id"), vectors.slots_of("text").alias("vec"), F.array_distinct(F.transform("evidence", lambda e: text.fold_group(e["independence_group"]))).alias("grp"))
     best = vectors.top_k(q.select("id", "vec", "grp"), c, DEFAULT.retrieve_k, DEFAULT.retrieve_floor_pm)
     return best.join(q.select(F.col("id").alias("qid"), "claim_id"), "qid").select("claim_id", "rank", "sim_pm")

@@ -1,6 +1,8 @@
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomledger.operators import vectors
@@ -50,6 +52,51 @@ def test_similar_equals_top_k(spark):
     assert vectors.similar(df.limit(0), 8, 800).count() == 0
 
 
+def _counted_rows(n, seed):
+    r = random.Random(seed)
+    rows = [(i, [min(255, int(r.expovariate(1 / 40))) for _ in range(r.choice((1, 2, 5, 9, 12, 30)))]) for i in range(n)]
+    return rows + [(n, []), (n + 1, None), (n + 2, [7] * 300 + [8]), (n + 3, [7, 9])] + [(n + 4 + i, [1, 2, 2, 5]) for i in range(30)]
+
+
+def test_many_counts_equal_the_broadcast(spark):
+    """Also with ties, empty and null slots, counts that no byte holds, own and null groups."""
+    q = spark.createDataFrame([(i, v, [None, ["g1"], ["g0", "g2", None], []][i % 4]) for i, v in _counted_rows(230, 1)], "id long, vec array<int>, grp array<string>")
+    c = spark.createDataFrame([(10_000 + i if i % 9 else i, i % 50, v, [None, "g0", "g1", "g2", "other"][i % 5]) for i, v in _counted_rows(900, 2)], "id long, ord long, vec array<int>, grp string").repartition(3)
+    for k, floor in ((4, 300), (1, 1), (9, 900)):
+        want, got = ({(r.qid, r["rank"], r.sim_pm, r.cosine) for r in vectors.top_k(q, c, k, floor, block=b).collect()} for b in (4096, 50))
+        assert got == want and len(got) > 200
+    unique = c.withColumn("ord", F.col("id"))
+    want, got = ({(r.qid, r.cid, r["rank"]) for r in vectors.top_k(q, unique, 4, 300, block=b).collect()} for b in (4096, 50))
+    assert got == want
+    assert vectors.top_k(q, c.limit(0), 4, 300, block=50).count() == 0
+
+
+def test_many_counts_in_parts_cost_less_than_a_product(monkeypatch):
+    def sides(n, seed, ids):
+        rng = np.random.default_rng(seed)
+        vec = [bytes((rng.random(rng.integers(8, 15)) ** 2 * 255).astype(np.uint8)) for _ in range(n)]
+        m = np.array([np.bincount(np.frombuffer(v, np.uint8), minlength=256) for v in vec], float)
+        return m, pa.table({"id": pa.array(np.arange(n) + ids), "ord": pa.array(np.arange(n)), "vec": vec, "sq": pa.array((m * m).sum(1).astype(np.int64))})
+
+    (qm, x), (cm, y) = sides(3000, 1, 0), sides(30_000, 2, 10**6)
+    x, y = x.append_column("grp", pa.nulls(3000, pa.list_(pa.string()))), y.append_column("grp", pa.nulls(30_000, pa.string()))
+    began = time.process_time()
+    found = vectors._best_counted(x, y, 4, 300, 256)
+    took = time.process_time() - began
+    began = time.process_time()
+    cos = (qm @ cm.T) / np.sqrt(np.outer((qm * qm).sum(1), (cm * cm).sum(1)))
+    pm = np.floor(cos * 1000 + 0.5).astype(np.int32)
+    assert took < (time.process_time() - began)
+    best = [tuple(-np.sort(-row)[:4]) for row in pm]
+    for part in (1 << 15, 1000):
+        monkeypatch.setattr(vectors, "PART", part)
+        got = found if part == 1 << 15 else vectors._best_counted(x, y, 4, 300, 256)
+        of = {}
+        for i, s in zip(got["qid"].to_pylist(), got["sim_pm"].to_pylist()):
+            of.setdefault(i, []).append(s)
+        assert [tuple(sorted(of[i], reverse=True)) for i in range(3000)] == best
+
+
 def test_slots_and_cosines(spark):
     df = spark.createDataFrame([("river mill fire", "mill river"), ("river", "tower"), ("", "x"), (None, "mill")], "a string, b string")
     rows = df.select(vectors.cosine_of_slots(vectors.slots_of("a"), vectors.slots_of("b")).alias("x"), vectors.pair_cosine(vectors.slots_of("a"), vectors.slots_of("b")).alias("y")).collect()
